@@ -42,6 +42,7 @@ def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out:
     need = list(dict.fromkeys([*keys, CHUNK, *order, *inputs]))
     state_t = T.ArrayType(T.DoubleType())
     key_fields = [rows.schema[c] for c in [*keys, CHUNK]]
+    result_columns = [*df.columns, out]
 
     def entry_of(pdf):
         e = pdf["__entry"].iloc[0]
@@ -55,7 +56,7 @@ def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out:
     def results(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         vals, _ = fn(pdf, entry_of(pdf))
-        return pdf.assign(**{out: vals})[[*df.columns, out]]
+        return pdf.assign(**{out: vals})[result_columns]
 
     chunks = W.partitionBy(*keys).orderBy(CHUNK)
     exit_schema = T.StructType([*key_fields, T.StructField("__exit", state_t)])

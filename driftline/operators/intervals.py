@@ -56,19 +56,18 @@ def points_in(
 ) -> DataFrame:
     """Join samples to the intervals that hold them (both ends included unless ``closed`` is False).
 
+    Interval columns other than keys must not clash with sample columns.
     ``how='left'`` may only be used where the intervals of an entity do not overlap, or when every
     (sample, interval) match is wanted; ``left_semi`` and ``left_anti`` are membership tests.
     """
     w = F.lit(int(bin_s * 1_000_000))
-    iv = intervals.withColumn(BIN, F.explode(_bins(_us(span[0]), _us(span[1]), bin_s)))
+    iv = intervals.withColumnsRenamed({k: f"__k_{k}" for k in keys}).withColumn(
+        f"__k{BIN}", F.explode(_bins(_us(span[0]), _us(span[1]), bin_s)))
     p = points.withColumn(BIN, F.floor(_us(ts) / w))
-    cond = [p[k] == iv[k] for k in keys] + [p[BIN] == iv[BIN], p[ts] >= iv[span[0]],
-                                            (p[ts] <= iv[span[1]]) if closed else (p[ts] < iv[span[1]])]
-    j = p.join(iv, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return j.drop(BIN)
-    drop = [iv[k] for k in keys] + [iv[BIN], p[BIN]]
-    return j.drop(*drop)
+    t = F.col(ts)
+    cond = [F.col(c) == F.col(k) for k, c in [*[(k, f"__k_{k}") for k in keys], (BIN, f"__k{BIN}")]]
+    cond += [t >= F.col(span[0]), (t <= F.col(span[1])) if closed else (t < F.col(span[1]))]
+    return p.join(iv, cond, how).drop(BIN, f"__k{BIN}", *[f"__k_{k}" for k in keys])
 
 
 def overlap_seconds(s1, e1, s2, e2) -> Column:

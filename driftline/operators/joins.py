@@ -62,8 +62,8 @@ def lookup_chain(df: DataFrame, hops: list[tuple[DataFrame, str, str, str]]) ->
     reasons = []
     for i, (table, col, key, reason) in enumerate(hops):
         mark = f"__hit{i}"
-        t = table.withColumn(mark, F.lit(True))
-        out = out.join(t, out[col] == t[key], "left")
+        t = table.withColumnRenamed(key, f"__key{i}").withColumn(mark, F.lit(True))
+        out = out.join(t, F.col(col) == F.col(f"__key{i}"), "left").drop(f"__key{i}")
         reasons.append((mark, reason))
     for mark, reason in reversed(reasons):
         status = F.when(F.col(mark).isNull(), F.lit(reason)).otherwise(status)

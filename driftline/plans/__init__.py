@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["q_islands"]
+FAMILIES = ["q_islands", "q_intervals", "q_timebase"]
 
 
 def register_all() -> None:

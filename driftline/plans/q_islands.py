@@ -111,7 +111,7 @@ def r5(spark, d):
   st AS (SELECT user_id, median(dt / 1e6) AS step FROM pos WHERE dt > 0 GROUP BY 1),
   tx AS (SELECT user_id, isl, event_type, row_number() OVER (PARTITION BY user_id, isl ORDER BY count(*) DESC, event_type) AS rk
          FROM rows_ WHERE p IS NOT NULL GROUP BY 1, 2, 3)
-  SELECT r.user_id, p AS code, s AS start_us, event_type AS label_text, round((e - s) / 1e6 + step, 4) AS duration_s
+  SELECT r.user_id, p AS code, s AS start_us, event_type AS label_text, round((e - s) / 1e6 + step, 3) AS duration_s
   FROM runs r JOIN tx USING (user_id, isl) JOIN st ON st.user_id = r.user_id WHERE p IS NOT NULL AND rk = 1""")
 def r6(spark, d):
     from ..operators.timebase import cadence
@@ -119,7 +119,7 @@ def r6(spark, d):
     ax = signal_axis(spark, d)
     step = cadence(sig, ax).select("user_id", "step_s")
     return islands.label_states(sig, ax, "code", "event_type", step).select(
-        "user_id", "code", us("start_ts", "start_us"), "label_text", F.round("duration_s", 4).alias("duration_s"))
+        "user_id", "code", us("start_ts", "start_us"), "label_text", F.round("duration_s", 3).alias("duration_s"))
 
 
 @query("r7_unscorable_states", f"""WITH {runs_sql('CAST(floor(k / 50) AS BIGINT)', ", count(CASE WHEN value > 25 THEN 1 END) AS scored")}

@@ -16,5 +16,5 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
