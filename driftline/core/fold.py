@@ -8,35 +8,26 @@ The state table (one row per chunk) is checkpointed each round.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .axis import CHUNK, Axis
+from .stage import ensure_checkpoint_dir, settle
 
 # (rows of one chunk in order, entry state or None) -> (one output per row, exit state)
 FoldFn = Callable[[pd.DataFrame, "list[float] | None"], "tuple[list, list[float] | None]"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a session without one gets a scratch folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-driftline-"))
-
-
 def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out: str, out_type: str = "boolean",
                  max_rounds: int = 1000) -> DataFrame:
     """Add ``out``, the per-row result of folding ``fn`` along the axis.
 
     ``fn`` sees the ``inputs`` columns of one chunk in axis order.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
+    df = settle(df, 2)  # read once per round
     keys, order = list(axis.keys), list(axis.order)
     rows = df.withColumn(CHUNK, axis.chunk(df))
     need = list(dict.fromkeys([*keys, CHUNK, *order, *inputs]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .axis import CHUNK, Axis
+from .stage import settle
 
 # aggregate name -> (in-chunk aggregate, merge of partial results)
 _PARTIAL = {
@@ -58,6 +59,7 @@ def find_runs(
     value = F.col(value) if isinstance(value, str) else value
     aggs = aggs or {}
     keys = list(axis.keys)
+    df = settle(df)
     d = _islands(df, axis, value)
     parts = [_PARTIAL[op][0](F.col(c) if isinstance(c, str) else c).alias(f"__a_{out}") for out, (op, c) in aggs.items()]
     segs = d.groupBy(*keys, CHUNK, "__isl").agg(
@@ -94,6 +96,7 @@ def label_runs(df: DataFrame, axis: Axis, value: Column | str, start: str = "run
     """Row-level form: every row gets the first and last axis value of the run it belongs to."""
     value = F.col(value) if isinstance(value, str) else value
     keys = list(axis.keys)
+    df = settle(df)
     d = _islands(df, axis, value)
     w = W.partitionBy(*keys, CHUNK, "__isl")
     edges = d.groupBy(*keys, CHUNK, "__isl").agg(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .axis import CHUNK, Axis
+from .stage import settle
 
 Specs = dict[str, "Column | str"]
 
@@ -43,6 +44,7 @@ def scan(
     specs = [(kind, out, _c(e)) for kind, d in kinds.items() for out, e in (d or {}).items()]
     keys, order = list(axis.keys), list(axis.order)
     tmp = {out: f"__in_{out}" for _, out, _ in specs}
+    df = settle(df)
     rows = df.select("*", axis.chunk(df).alias(CHUNK), *[e.alias(tmp[out]) for _, out, e in specs])
 
     at = F.struct(*order)

@@ -13,8 +13,8 @@ from .rolling import gradient, running_median
 from .timebase import linear_fill
 
 # The default pressure-to-depth settings.
-DEPTH_DEFAULTS = {"dive_threshold_m": 1.5, "min_dive_s": 10.0, "max_flat_slope": 0.1, "min_flat_samples": 5,
-                  "flat_cap_m": 8.0, "min_flat_chunks": 10, "sign_flip_below_m": -10.0}
+DEPTH_DEFAULTS = {"dive_threshold_m": 0.5, "min_dive_s": 10.0, "max_flat_slope": 0.1, "min_flat_samples": 60,
+                  "flat_cap_m": 5.0, "min_flat_chunks": 10, "sign_flip_below_m": -10.0}
 
 
 def clamp_factor(factor: Column) -> Column:

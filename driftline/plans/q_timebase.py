@@ -161,7 +161,7 @@ def t12(spark, d):
 @query("t13_chunk_grid", f"""WITH {runs_sql('value > 20')}, per AS (SELECT user_id, s, e FROM runs WHERE p AND e > s),
   sz AS (SELECT user_id, sum(e - s) / 1e7 AS raw FROM per GROUP BY 1),
   cs AS (SELECT user_id, CASE WHEN raw <= 60 THEN 60 WHEN raw <= 120 THEN 120 WHEN raw <= 300 THEN 300 WHEN raw <= 600 THEN 600
-      WHEN raw <= 900 THEN 900 WHEN raw <= 1800 THEN 1800 ELSE 3600 END * 1000000 AS c FROM sz)
+      WHEN raw <= 900 THEN 900 WHEN raw <= 1800 THEN 1800 ELSE 3600 END * CAST(1000000 AS BIGINT) AS c FROM sz)
   SELECT user_id, b AS start_us, least(b + c, e) AS end_us, 'pending' AS status FROM per JOIN cs USING (user_id), generate_series(s, e - 1, c) t(b)
   UNION ALL SELECT user_id, e, n, 'gap' FROM (SELECT user_id, e, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS n FROM per) WHERE n > e""")
 def t13(spark, d):
@@ -208,12 +208,12 @@ def p14(spark, d):
   nb AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER w AS bt, last_value(x IGNORE NULLS) OVER w AS bv,
      first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER f AS ft, first_value(x IGNORE NULLS) OVER f AS fv
    FROM j WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-  SELECT user_id, t AS bin_us, round(coalesce(x, bv + (fv - bv) * (t - bt) / (ft - bt)), 4) AS x FROM nb""")
+  SELECT user_id, t AS bin_us, round(coalesce(x, bv + (fv - bv) * (t - bt) / (ft - bt)), 8) AS x FROM nb""")
 def s10(spark, d):
     sig = signals(spark, d).withColumnRenamed("value", "x")
     x = tb.collate({"depth": (sig, ["x"]), "stroke": (sig.where("event_type <> 'view'").withColumnRenamed("k", "y"), ["y"])},
                    signal_axis(spark, d), "depth", 21600.0)
-    return x.select("user_id", us("bin_ts", "bin_us"), F.round("x", 4).alias("x"))
+    return x.select("user_id", us("bin_ts", "bin_us"), F.round("x", 8).alias("x"))
 
 
 # --- crops and selectors -----------------------------------------------------------------------------
