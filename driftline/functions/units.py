@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 G = 9.80665
@@ -26,31 +24,34 @@ CONVERSIONS = [
     ("hz", "bpm", 60.0),
 ]
 
-# Spellings of one unit.
+# Spellings of one unit, and what counts as no unit.
 ALIASES = {
-    "m/s2": "m/s^2", "m/s²": "m/s^2", "ms-2": "m/s^2", "m*s^-2": "m/s^2", "metres/second^2": "m/s^2",
-    "gs": "g", "gravity": "g", "µt": "ut", "μt": "ut", "microtesla": "ut", "degrees": "deg", "degree": "deg", "°": "deg",
-    "radians": "rad", "meters": "m", "metres": "m", "meter": "m", "count/5 s": "count/5s", "counts/5s": "count/5s",
+    "meter": "m", "meters": "m", "metre": "m", "metres": "m", "sec": "s", "second": "s", "seconds": "s",
+    "m/s2": "m/s^2", "m/s²": "m/s^2", "gs": "g", "µt": "ut", "μt": "ut", "degrees": "deg", "degree": "deg", "radians": "rad",
 }
+NO_UNIT = ["", "nan", "none", "null", "unknown", "n/a", "na"]
+
+
+def _literal_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
 def unit_token(unit: Column) -> Column:
-    """Normalised unit: lower case, trimmed, one spelling."""
-    t = F.regexp_replace(F.lower(F.trim(unit)), r"\s+", " ")
-    for k, v in ALIASES.items():
-        t = F.when(t == k, v).otherwise(t)
-    return t
+    """Normalised unit: lower case, without blanks, one spelling; empty for no unit."""
+    t = F.regexp_replace(F.lower(F.coalesce(unit, F.lit(""))), r"\s+", "")
+    return F.coalesce(_literal_map({**ALIASES, **{n: "" for n in NO_UNIT}})[t], t)
 
 
 def convert(value: Column, unit: Column, target: Column | str, strict: bool = True) -> Column:
     """Value in the target unit. An unknown pair raises when the job runs, or leaves the value (``strict=False``).
 
-    A value already in the target unit is untouched, so converting twice is converting once.
+    A value already in the target unit is untouched, so converting twice is converting once. The factors are
+    one literal map, looked up by the pair of units.
     """
     u, t = unit_token(unit), unit_token(F.lit(target) if isinstance(target, str) else target)
-    fail = F.raise_error(F.concat(F.lit("no conversion from "), F.coalesce(u, F.lit("null")), F.lit(" to "), t)).cast("double") if strict else value
-    steps = reduce(lambda acc, c: acc.when((u == c[0]) & (t == c[1]), value * c[2]), CONVERSIONS, F.when(u == t, value))
-    return steps.otherwise(fail)
+    factor = _literal_map({f"{a}>{b}": f for a, b, f in CONVERSIONS})[F.concat(u, F.lit(">"), t)]
+    fail = F.raise_error(F.concat(F.lit("no conversion from '"), u, F.lit("' to '"), t, F.lit("'"))).cast("double") if strict else value
+    return F.when(u == t, value).when(factor.isNotNull(), value * factor).otherwise(fail)
 
 
 def name_unit(raw: Column) -> tuple[Column, Column]:

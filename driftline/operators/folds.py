@@ -100,7 +100,7 @@ def match_in_order(truth: DataFrame, found: DataFrame, axis: Axis, tol_s: float)
 def match_scores(matched: DataFrame, keys: list[str]) -> DataFrame:
     """tp / fp / fn, precision, recall and F1 of ``match_in_order``."""
     c = matched.groupBy(*keys).agg(
-        F.count_if("matched").alias("tp"), F.count_if("side = 1").alias("nf"), F.count_if("side = 0").alias("nt"))
+        F.count_if("matched").alias("tp"), F.count_if(F.col("side") == 1).alias("nf"), F.count_if(F.col("side") == 0).alias("nt"))
     tp, nf, nt = F.col("tp"), F.col("nf"), F.col("nt")
     p, r = F.coalesce(F.try_divide(tp, nf), F.lit(0.0)), F.coalesce(F.try_divide(tp, nt), F.lit(0.0))
     return c.select(*keys, "tp", (nf - tp).alias("fp"), (nt - tp).alias("fn"), p.alias("precision"), r.alias("recall"),
