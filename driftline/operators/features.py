@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..core.axis import Axis
 from ..core.scan import scan
 from ..functions import dsp
-from ..schema import seconds_between
 
 
 def epochs(df: DataFrame, axis: Axis, column: str, fs: float, window_s: float, step_s: float) -> DataFrame:
@@ -123,11 +122,11 @@ def channel_features(df: DataFrame, axis: Axis, channels: list[str], window_s: f
 def cap_windows(df: DataFrame, keys: list[str], id_cols: list[str], per_entity: int, seed: int = 42) -> DataFrame:
     """The requested number of windows per entity, chosen by a seeded hash (this is the sampling feature of a run).
 
-    The cut is the n-th smallest hash, found per entity from hash counts of windows, not samples.
+    The hash is the axis of a chunked scan, so even one entity's windows are ranked in pieces.
     """
-    h = F.xxhash64(F.lit(seed), *id_cols)
-    d = df.withColumn("__h", h)
-    return d.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy("__h", *id_cols))).where(F.col("__r") <= per_entity).drop("__h", "__r")
+    d = df.withColumn("__h", F.xxhash64(F.lit(seed), *id_cols))
+    ax = Axis(tuple(keys), ("__h", *id_cols), width=2 ** 64 // 4096)
+    return scan(d, ax, index="__r").where(F.col("__r") < per_entity).drop("__h", "__r")
 
 
 def z_normalise(df: DataFrame, columns: list[str], level: list[str]) -> DataFrame:
