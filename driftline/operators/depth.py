@@ -19,7 +19,7 @@ DEPTH_DEFAULTS = {"dive_threshold_m": 0.5, "min_dive_s": 10.0, "max_flat_slope":
 
 def clamp_factor(factor: Column) -> Column:
     """Unit conversion factor limited to [0.01, 100]; exactly -1 (sign only) is allowed."""
-    return F.when(factor == -1, factor).otherwise(F.least(F.greatest(factor, F.lit(0.01)), F.lit(100.0)))
+    return F.when((factor == -1) | factor.isNull(), factor).otherwise(F.least(F.greatest(factor, F.lit(0.01)), F.lit(100.0)))
 
 
 def convert_depth(df: DataFrame, keys: list[str], column: str, factor: Column, out: str, auto_flip: bool = True,

@@ -27,7 +27,7 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) -> Column
     """Great-circle distance in the unit of ``radius``."""
     a, b, c, d = (F.radians(F.col(x) if isinstance(x, str) else x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
 def two_pass_speed_filter(df: DataFrame, axis: Axis, lat: str, lon: str, max_kmh: float, filtered_type: Column) -> DataFrame:

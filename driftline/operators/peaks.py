@@ -224,7 +224,7 @@ def strict_rate(samples: DataFrame, beats: DataFrame, axis: Axis, gaps: DataFram
     d = membership(d, half_open(unusable), axis, "__bad", bin_s=bin_s)
     d = d.withColumn("rate_nan", F.when(~F.col("__gap"), F.col("rate_nan"))).withColumn("rate_fixed", F.col("rate_nan"))
     d = linear_fill(d, axis, ["rate_fixed"], "both")
-    return d.withColumn("rate_fixed", F.when(~F.col("__bad"), F.greatest(F.least("rate_fixed", F.lit(float(max_bpm))), F.lit(float(min_bpm))))).drop("__gap", "__bad")
+    return d.withColumn("rate_fixed", F.when(~F.col("__bad") & F.col("rate_fixed").isNotNull(), F.greatest(F.least("rate_fixed", F.lit(float(max_bpm))), F.lit(float(min_bpm))))).drop("__gap", "__bad")
 
 
 def quality_states(unusable: DataFrame, samples: DataFrame, axis: Axis) -> DataFrame:
@@ -319,7 +319,7 @@ def smoothness_penalty(df: DataFrame, score: str, lam: float, jump_frac: float =
     off = lambda v: F.coalesce(F.greatest(F.lit(min_bpm) - v, F.lit(0.0)) + F.greatest(v - max_bpm, F.lit(0.0)), F.lit(0.0))
     rng = (off(p) + off(n)) / max(max_bpm, 1.0)
     raw = F.col(score) * F.exp(-max(lam, 0.0) * (jump + rng)) if lam > 0 else F.col(score)
-    return df.withColumn("penalized", F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn("penalized", F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))))
 
 
 def probability_signal(candidates: DataFrame, bounds: DataFrame, axis: Axis, prob: str, window_s: float = 1.0, step_s: float = 0.04) -> tuple[DataFrame, DataFrame]:
@@ -334,7 +334,7 @@ def probability_signal(candidates: DataFrame, bounds: DataFrame, axis: Axis, pro
     g = grid(bounds, keys, "lo", "hi", int(step_s * 1e6), axis.ts)
     s = stage(interpolate_onto(g, c, one, ["p"], "both"))
     n = max(1, int(round(window_s / step_s)))
-    s = rolling_mean(s, one, n + (1 - n % 2), ["p"], 1, "_roll").select(*keys, axis.ts, F.least(F.greatest("p_roll", F.lit(0.0)), F.lit(1.0)).alias("prob"))
+    s = rolling_mean(s, one, n + (1 - n % 2), ["p"], 1, "_roll").select(*keys, axis.ts, F.when(F.col("p_roll").isNotNull(), F.least(F.greatest("p_roll", F.lit(0.0)), F.lit(1.0))).alias("prob"))
     s = stage(s)
     at = interpolate_onto(candidates.select(*keys, axis.ts).distinct(), s, one, ["prob"], "both").withColumnRenamed("prob", "prob_local")
     return s, candidates.join(at, [*keys, axis.ts])

@@ -33,8 +33,8 @@ def rest_settings(cfg: dict | None) -> dict:
 
 
 def quantize(value: Column, step: float) -> Column:
-    """Round to a multiple of ``step``."""
-    return F.round(value / step) * step if step > 0 else value
+    """Round to a multiple of ``step``, halves to the even one."""
+    return F.rint(value / step) * step if step > 0 else value
 
 
 def derived_channels(df: DataFrame, axis: Axis, depth: str, fs: float, cfg: dict | None = None) -> DataFrame:
@@ -147,7 +147,8 @@ def trip_phase(segments: DataFrame, keys: list[str], day: str, value: str, phase
         F.max(F.when(F.col(phase) == "negative", d)).alias("__neg"), F.min(F.when(F.col(phase) == "positive", d)).alias("__first"),
         F.avg(F.when((d < c["early_window_days"]) & shallow, F.col(value))).alias("early_reference_value"),
         F.avg(F.when((d > F.col("__last") - c["late_window_days"]) & shallow, F.col(value))).alias("late_reference_value"))
-    turn = F.greatest(F.coalesce("__clear", "__any") - c["backtrack_days"], F.lit(0.0))
+    seen = F.coalesce("__clear", "__any")
+    turn = F.when(seen.isNotNull(), F.greatest(seen - c["backtrack_days"], F.lit(0.0)))
     a = a.withColumn("positive_likely_day", turn).withColumn(
         "__always", F.coalesce(F.col("__neg").isNull() & (F.col("__first") <= c["always_positive_max_day"]), F.lit(False)))
     j = segments.join(a.drop("__clear", "__any", "__neg", "__first"), keys)

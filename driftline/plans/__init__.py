@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["q_islands", "q_intervals", "q_timebase", "q_signal", "q_budgets", "q_beats"]
+FAMILIES = ["q_islands", "q_intervals", "q_timebase", "q_signal", "q_budgets", "q_beats", "q_review"]
 
 
 def register_all() -> None:

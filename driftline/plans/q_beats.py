@@ -202,7 +202,7 @@ def h16(spark, d):
 
 @query("h17_hash_downsample")
 def h17(spark, d):
-    return sampling.hash_downsample(scored(spark, d), "y", 0, 0.5, "event_id").select("event_id", "y")
+    return sampling.hash_downsample(scored(spark, d), "y", 0, 0.25, "event_id").select("event_id", "y")
 
 
 @query("h18_tail_pseudo_labels", f"""WITH {SCORED}, q AS (SELECT user_id, quantile_cont(p, 0.2) AS lo, quantile_cont(p, 0.8) AS hi FROM sc GROUP BY 1)
