@@ -2,71 +2,69 @@
 
 Each chunk is folded as a grouped map from an entry state. Entry states start empty and are replaced by
 the exit state of the preceding chunk until no entry changes: then every chunk was folded from the very
-state a single left-to-right pass would have handed to it. Folds that forget quickly settle in two rounds.
-The state table (one row per chunk) is checkpointed each round.
+state a single left-to-right pass would have handed to it. Folds that forget quickly settle in two rounds;
+entities of one chunk need none. The state table (one row per chunk) is checkpointed each round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .axis import CHUNK, Axis
+from .halo import doubles
 from .stage import ensure_checkpoint_dir, settle
 
-# (rows of one chunk in order, entry state or None) -> (one output per row, exit state)
-FoldFn = Callable[[pd.DataFrame, "list[float] | None"], "tuple[list, list[float] | None]"]
+# (columns of one chunk in order as lists, entry state or None) -> (one output per row, exit state)
+FoldFn = Callable[[dict[str, list], "list[float] | None"], "tuple[list, list[float] | None]"]
 
 
-def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out: str, out_type: str = "boolean",
-                 max_rounds: int = 1000) -> DataFrame:
-    """Add ``out``, the per-row result of folding ``fn`` along the axis.
-
-    ``fn`` sees the ``inputs`` columns of one chunk in axis order.
-    """
+def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out: str, max_rounds: int = 1000) -> DataFrame:
+    """Add the boolean ``out``, the per-row result of folding ``fn`` along the axis over the ``inputs`` columns."""
     ensure_checkpoint_dir(df.sparkSession)
     df = settle(df, 2)  # read once per round
     keys, order = list(axis.keys), list(axis.order)
     rows = df.withColumn(CHUNK, axis.chunk(df))
-    need = list(dict.fromkeys([*keys, CHUNK, *order, *inputs]))
+    group = [*keys, CHUNK]
+    need = list(dict.fromkeys([*group, *order, *inputs]))
     state_t = T.ArrayType(T.DoubleType())
-    key_fields = [rows.schema[c] for c in [*keys, CHUNK]]
-    result_columns = [*df.columns, out]
+    result_columns = list(df.columns)
 
-    def entry_of(pdf):
-        e = pdf["__entry"].iloc[0]
-        return None if e is None else [float(x) for x in e]
+    def ordered(t: pa.Table):
+        t = t.sort_by([(o, "ascending") for o in order])
+        return t, {c: doubles(t, c).tolist() for c in inputs}, t["__entry"][0].as_py()
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        _, state = fn(pdf, entry_of(pdf))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in [*keys, CHUNK]}, "__exit": [state]})
+    def exits(t: pa.Table) -> pa.Table:
+        t, x, entry = ordered(t)
+        one = t.slice(0, 1).select(group)
+        return one.append_column("__exit", pa.array([fn(x, entry)[1]], type=pa.list_(pa.float64())))
 
-    def results(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        vals, _ = fn(pdf, entry_of(pdf))
-        return pdf.assign(**{out: vals})[result_columns]
+    def results(t: pa.Table) -> pa.Table:
+        t, x, entry = ordered(t)
+        return t.select(result_columns).append_column(out, pa.array(fn(x, entry)[0], type=pa.bool_()))
 
     chunks = W.partitionBy(*keys).orderBy(CHUNK)
-    exit_schema = T.StructType([*key_fields, T.StructField("__exit", state_t)])
+    exit_schema = T.StructType([*[rows.schema[c] for c in group], T.StructField("__exit", state_t)])
     src = rows.select(*need)
-    states = src.select(*keys, CHUNK).distinct().withColumn("__entry", F.lit(None).cast(state_t))
-    todo = states
-    done = None
-    for _ in range(max_rounds):
-        got = src.join(todo, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(exits, exit_schema)
-        if done is not None:
-            got = got.unionByName(done.join(todo.select(*keys, CHUNK), [*keys, CHUNK], "left_anti"))
-        done = got.checkpoint()
-        nxt = done.select(*keys, CHUNK, F.lag("__exit").over(chunks).alias("__next"))
-        todo = states.join(nxt, [*keys, CHUNK]).where(~F.col("__next").eqNullSafe(F.col("__entry"))).select(
-            *keys, CHUNK, F.col("__next").alias("__entry"))
-        states = nxt.withColumnRenamed("__next", "__entry")
-        if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError("fold did not settle")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(out_type))])
-    return rows.join(states, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(results, schema)
+    many = src.select(*group).distinct().withColumn("__c", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("__c > 1").select(*group)
+    many = many.checkpoint()
+    states = many.withColumn("__entry", F.lit(None).cast(state_t))
+    if not many.isEmpty():
+        todo, done = states, None
+        for _ in range(max_rounds):
+            got = src.join(todo, group).groupBy(*group).applyInArrow(exits, exit_schema)
+            if done is not None:
+                got = got.unionByName(done.join(todo.select(*group), group, "left_anti"))
+            done = got.checkpoint()
+            nxt = done.select(*group, F.lag("__exit").over(chunks).alias("__next"))
+            todo = states.join(nxt, group).where(~F.col("__next").eqNullSafe(F.col("__entry"))).select(
+                *group, F.col("__next").alias("__entry"))
+            states = nxt.withColumnRenamed("__next", "__entry")
+            if todo.isEmpty():
+                break
+        else:
+            raise RuntimeError("fold did not settle")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
+    return rows.join(states, group, "left").groupBy(*group).applyInArrow(results, schema)

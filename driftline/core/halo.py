@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .axis import Axis
@@ -15,22 +16,27 @@ from .scan import CORE, HALO, IDX, halo_rows, scan
 HaloFn = Callable[[dict[str, np.ndarray], bool, bool], dict[str, np.ndarray]]
 
 
+def doubles(t: pa.Table, name: str) -> np.ndarray:
+    """Column as float64 with NaN for null."""
+    return pc.cast(t[name], pa.float64()).to_numpy()
+
+
 def halo_apply(df: DataFrame, axis: Axis, before: int, after: int, fn: HaloFn, inputs: list[str], outputs: dict[str, str]) -> DataFrame:
     """Add ``outputs`` computed by ``fn`` on chunks of ``axis.rows`` rows plus ``before``/``after`` neighbours.
 
-    A task holds one chunk and its halo, never a whole entity.
+    A task holds one chunk and its halo, never a whole entity. Chunks travel as Arrow tables.
     """
     rows = scan(df, axis, index=IDX, nxt={"__more": F.lit(1)})
     h = halo_rows(rows, axis, before, after)
-    cols = list(df.columns)
-    names = list(outputs)
+    cols, names = list(df.columns), list(outputs)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, kind="stable")
-        arrays = {c: pdf[c].to_numpy(dtype=float) for c in inputs}
-        got = fn(arrays, bool(pdf[IDX].iloc[0] == 0), bool(pd.isna(pdf["__more"].iloc[-1])))
-        core = pdf[CORE].to_numpy()
-        return pdf.loc[core, cols].assign(**{n: got[n][core] for n in names})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t[IDX]))
+        got = fn({c: doubles(t, c) for c in inputs}, t[IDX][0].as_py() == 0, not t["__more"][-1].is_valid)
+        out = t.select(cols)
+        for n in names:
+            out = out.append_column(n, pa.array(got[n], type=pa.float64(), from_pandas=True))
+        return out.filter(t[CORE])
 
-    return h.groupBy(*axis.keys, HALO).applyInPandas(run, schema)
+    return h.groupBy(*axis.keys, HALO).applyInArrow(run, schema)

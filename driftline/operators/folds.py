@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from math import asin, cos, radians, sin, sqrt
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.axis import Axis
@@ -13,14 +14,14 @@ def thin_by_interval(df: DataFrame, axis: Axis, min_s: float) -> DataFrame:
     """Keep a row when at least ``min_s`` passed since the last kept one."""
     gap = int(round(min_s * 1e6))
 
-    def fold(pdf, state):
+    def fold(cols, state):
         last = None if state is None else state[0]
         keep = []
-        for t in pdf["__us"].to_numpy():
+        for t in cols["__us"]:
             ok = last is None or t - last >= gap
-            keep.append(bool(ok))
+            keep.append(ok)
             if ok:
-                last = float(t)
+                last = t
         return keep, None if last is None else [last]
 
     d = df.withColumn("__us", axis.pos(df))
@@ -46,26 +47,22 @@ def speed_filter(df: DataFrame, axis: Axis, lat: str, lon: str, max_kmh: float,
 
     A single outlier does not drag its neighbours along because it never becomes the reference.
     """
-    def fold(pdf, state):
-        t = pdf["__us"].to_numpy(dtype=float) / 3.6e9
-        la, lo = np.radians(pdf[lat].to_numpy(dtype=float)), np.radians(pdf[lon].to_numpy(dtype=float))
+    def fold(cols, state):
         bad = []
-        for i in range(len(t)):
-            if np.isnan(la[i]) or np.isnan(lo[i]):
-                bad.append(False)
-                continue
+        for us, la, lo in zip(cols["__us"], cols[lat], cols[lon]):
             flag = False
-            if state is not None:
-                dt = t[i] - state[0]
-                if dt <= 0:
-                    flag = True
-                else:
-                    h = (np.sin((la[i] - state[1]) / 2) ** 2
-                         + np.cos(state[1]) * np.cos(la[i]) * np.sin((lo[i] - state[2]) / 2) ** 2)
-                    flag = 2 * EARTH_KM * np.arcsin(np.sqrt(min(1.0, h))) / dt > max_kmh
-            bad.append(bool(flag))
-            if not flag:
-                state = [float(t[i]), float(la[i]), float(lo[i])]
+            if la == la and lo == lo:  # a fix without position is neither flagged nor a reference
+                t, la, lo = us / 3.6e9, radians(la), radians(lo)
+                if state is not None:
+                    dt = t - state[0]
+                    if dt <= 0:
+                        flag = True
+                    else:
+                        h = sin((la - state[1]) / 2) ** 2 + cos(state[1]) * cos(la) * sin((lo - state[2]) / 2) ** 2
+                        flag = 2 * EARTH_KM * asin(sqrt(min(1.0, h))) / dt > max_kmh
+                if not flag:
+                    state = [t, la, lo]
+            bad.append(flag)
         return bad, state
 
     d = df.withColumn("__us", axis.pos(df))
@@ -79,17 +76,17 @@ def match_in_order(truth: DataFrame, found: DataFrame, axis: Axis, tol_s: float)
     both = truth.select(*keys, axis.ts, F.lit(0).alias("side")).unionByName(
         found.select(*keys, axis.ts, F.lit(1).alias("side"))).withColumn("__us", F.unix_micros(axis.ts))
 
-    def fold(pdf, state):
+    def fold(cols, state):
         side_waiting, queue = (None, []) if not state else (state[0], list(state[1:]))
         hits = []
-        for t, s in zip(pdf["__us"].to_numpy(), pdf["side"].to_numpy()):
+        for t, s in zip(cols["__us"], cols["side"]):
             queue = [q for q in queue if t - q <= tol]
             if queue and side_waiting != s:
                 queue.pop(0)
                 hits.append(True)
             else:
-                side_waiting = float(s)
-                queue.append(float(t))
+                side_waiting = s
+                queue.append(t)
                 hits.append(False)
         return hits, ([side_waiting, *queue] if queue else None)
 
