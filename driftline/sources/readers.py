@@ -17,14 +17,19 @@ METADATA_ROW = r"^\s*\"?(Collar:|DeviceID:)|Sensor range"
 
 
 def pick_encoding(spark: SparkSession, paths: str | list[str]) -> str:
-    """First encoding that decodes the files without replacement characters."""
-    bad = spark.read.text(paths).where(F.col("value").contains("\ufffd")).limit(1)
+    """UTF-8 when every line is valid UTF-8, else the first single-byte encoding."""
+    bad = spark.read.text(paths).where(~F.is_valid_utf8("value")).limit(1)
     return ENCODINGS[0] if bad.isEmpty() else ENCODINGS[1]
 
 
+def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
+    """Raw lines in the given encoding (the text source knows only UTF-8)."""
+    return spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(paths)
+
+
 def _headers(spark: SparkSession, paths, encoding: str, is_preamble: Column) -> dict[str, list[str]]:
     """Header line per file: the first line that is no preamble. One row per file reaches the driver."""
-    lines = spark.read.option("encoding", encoding).text(paths).select(
+    lines = _lines(spark, paths, encoding).select(
         F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
     first = lines.where(~is_preamble & (F.trim("value") != "") & (F.col("b") == 0)).groupBy("f").agg(F.min_by("value", "i").alias("h"))
     return {r["f"]: r["h"] for r in first.collect()}
@@ -49,7 +54,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], preamble: str = METADA
         files = sorted(f for f, h in heads.items() if h == head)
         cols = _split_header(head)
         st = schema or T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        lines = spark.read.option("encoding", enc).text(files).select("value", F.col("_metadata.file_path").alias("source_file")).where(
+        lines = _lines(spark, files, enc).select("value", F.col("_metadata.file_path").alias("source_file")).where(
             ~F.col("value").rlike(preamble) & (F.trim("value") != "") & (F.col("value") != head))
         full = T.StructType([*st.fields, T.StructField("_corrupt_record", T.StringType())])
         row = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields),
@@ -115,7 +120,7 @@ def read_state_space_locations(spark: SparkSession, paths: str | list[str]) -> D
     d = df.crossJoin(F.broadcast(worse))  # one row
     num = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     extra = [(num(c) if c.endswith("Score") else F.col(f"`{c}`")).alias(slug_name(c)) for c in ("Observation Type", "Observation Score") if c in df.columns]
-    return d.select(F.when(F.col("__worse"), F.try_to_timestamp(F.col("Date"))).otherwise(strict).alias("ts"), num(GPE3_LAT).alias("latitude"),
+    return d.select(F.when(F.col("__worse"), F.coalesce(F.try_to_timestamp(F.col("Date")), strict)).otherwise(strict).alias("ts"), num(GPE3_LAT).alias("latitude"),
                     num(GPE3_LON).alias("longitude"), *extra).dropna(subset=["ts", "latitude", "longitude"])
 
 
@@ -154,7 +159,7 @@ def merge_locations(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def read_intervals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Sensor names and intervals of the ``[activated sensors]`` section of ``NN_name=`` / ``NN_interval=`` headers."""
-    t = spark.read.option("wholetext", True).text(paths).select(F.regexp_extract("value", r"(?s)\[activated sensors\](.*?)(?:\r?\n\r?\n|\r?\n\[|$)", 1).alias("s"))
+    t = spark.read.text(paths, wholetext=True).select(F.regexp_extract("value", r"(?s)\[activated sensors\](.*?)(?:\r?\n\r?\n|\r?\n\[|$)", 1).alias("s"))
     names = F.regexp_extract_all("s", F.lit(r"(?m)^\s*(\d{2})_name=(.*?)\s*$"), 0)
     e = t.select("s", F.explode(names).alias("line"))
     e = e.select("s", F.regexp_extract("line", r"(\d{2})_name", 1).alias("id"), F.lower(F.trim(F.regexp_extract("line", r"_name=(.*)", 1))).alias("signal"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
@@ -13,7 +14,10 @@ def write_signals(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     obs = Observation()
     d = df.withColumn("date", F.to_date("ts")).observe(obs, F.count(F.lit(1)).alias("n"))
     d.repartition("dataset_id", "signal", "date", "deployment_id").write.mode(mode).partitionBy("dataset_id", "signal", "date").parquet(path)
-    n = obs.get["n"]
+    try:
+        n = obs.get["n"]
+    except Py4JJavaError:  # an empty plan reports nothing
+        n = 0
     if n == 0:
         raise ValueError("refusing to publish an export without signal rows")
     return n

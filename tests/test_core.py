@@ -65,7 +65,7 @@ def test_fold_equals_one_pass(data):
             last = t if ok else last
         return out, None if last is None else [last]
 
-    got = chunked_fold(df, AX, ["t"], fold, "keep").where("keep").toPandas()
+    got = chunked_fold(df, AX.with_(width=100), ["t"], fold, "keep").where("keep").toPandas()
     for k, g in pdf.groupby("k"):
         last, want = None, []
         for t in g.t:
