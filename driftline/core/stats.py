@@ -13,6 +13,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
     Beyond that no group is ever gathered: each round counts the values in equal-width bins (combined
     map-side), keeps the bins holding the wanted ranks, and only the last few values are compared.
     """
+    if not keys:
+        return quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, qs, limit, bins).drop("__all")
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     fullest = d.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
     if fullest <= limit:
@@ -25,7 +27,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
         (F.col("__rank") - F.floor("__rank")).alias("__w"), F.lit(0).cast("bigint").alias("__below"))
     kq = [*keys, "__q"]
     for _ in range(64):
-        inside = d.join(b, keys) if keys else d.crossJoin(F.broadcast(b))  # keys empty: b has len(qs) rows
+        inside = d.join(b, keys)
         inside = inside.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
         span = F.col("__hi") - F.col("__lo")
         bin_ = F.when(span > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / span * bins), F.lit(bins - 1))).otherwise(0)
@@ -40,7 +42,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
         worst = b.where(F.col("__lo") < F.col("__hi")).agg(F.max("__m").alias("m")).first()["m"] or 0
         if worst <= limit:
             break
-    few = (d.join(b, keys) if keys else d.crossJoin(F.broadcast(b))).where(
+    few = d.join(b, keys).where(
         (F.col("__lo") < F.col("__hi")) & F.col("__v").between(F.col("__lo"), F.col("__hi")))
     vals = few.groupBy(*kq).agg(F.sort_array(F.collect_list("__v")).alias("__vals"))  # at most ``limit`` values
     at = lambda k: F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(

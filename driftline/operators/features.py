@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.scan import scan
 from ..functions import dsp
@@ -132,7 +133,7 @@ def cap_windows(df: DataFrame, keys: list[str], id_cols: list[str], per_entity:
 def z_normalise(df: DataFrame, columns: list[str], level: list[str]) -> DataFrame:
     """Z-scores within a level (entity, dataset or, with no keys, all); constant columns become 0."""
     s = df.groupBy(*level).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
-    j = df.join(s, level) if level else df.crossJoin(F.broadcast(s))  # one row
+    j = df.join(s, level) if level else with_facts(df, s)
     return j.withColumns({f"{c}_z": F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(
         F.when(F.col(c).isNotNull(), 0.0)) for c in columns}).drop(*[f"__{a}_{c}" for a in "ms" for c in columns])
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..core.facts import with_facts
 from .intervals import merge_near, overlap_join, overlap_seconds
 
 
@@ -43,7 +44,7 @@ def select_pass(df: DataFrame, name: str | None, k: int | None) -> DataFrame:
     has = df.agg(F.max(F.col("pass_name") == F.lit(name)).alias("__has")) if name else None
     if has is None:
         return df.where(F.col("k") == k)
-    j = df.crossJoin(F.broadcast(has))  # one row
+    j = with_facts(df, has)
     return j.where(F.when(F.coalesce("__has", F.lit(False)), F.col("pass_name") == name).otherwise(F.col("k") == F.lit(k))).drop("__has")
 
 
@@ -58,10 +59,13 @@ def balance_weights(df: DataFrame, label: str) -> DataFrame:
     """Class weights n / (classes · class size)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     t = c.agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = c.crossJoin(F.broadcast(t)).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))  # one row per class
+    w = with_facts(c, t).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))
     return df.join(w, label)
 
 
+MAX_CLASSES = 1000
+
+
 def _classifier(kind: str, trees: int, seed: int):
     common = {"featuresCol": "features", "labelCol": "__y", "weightCol": "weight"}
     if kind == "rf":
@@ -95,7 +99,9 @@ class Classifier:
 
 def train(df: DataFrame, columns: list[str], label: str, kind: str = "rf", trees: int = 500, confidence: float = 0.4, seed: int = 42) -> Classifier:
     """Balanced classifier; predictions under the confidence threshold become ``Unknown``."""
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).limit(1000).collect()]  # class names
+    labels = sorted(r[0] for r in df.select(label).distinct().take(MAX_CLASSES + 1))
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; is it a label?")
     y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
     d = balance_weights(df.withColumn("__y", y.cast("double")), label)
     fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), _classifier(kind, trees, seed)]).fit(d)
@@ -106,7 +112,7 @@ def stratify_key(df: DataFrame, dataset: str, label: str, min_class: int = 2) ->
     """``dataset||label`` strata, or the label alone for all rows when some composite class is too small."""
     comp = F.concat_ws("||", dataset, label)
     worst = df.groupBy(comp.alias("c")).count().agg((F.min("count") < min_class).alias("__small"))
-    j = df.crossJoin(F.broadcast(worst))  # one row
+    j = with_facts(df, worst)
     return j.withColumns({"stratum": F.when(F.col("__small"), F.col(label)).otherwise(comp),
                           "stratify_note": F.when(F.col("__small"), "composite_class_too_small").otherwise("composite")}).drop("__small")
 
@@ -158,7 +164,7 @@ def forward_ablation(df: DataFrame, groups: dict[str, list[str]], label: str, id
 def best_cluster_by_f1(df: DataFrame, cluster: str, label: Column) -> DataFrame:
     """The cluster whose membership matches the label best (F1), over one count per cluster."""
     tot = df.agg(F.count_if(label).alias("__pos"))
-    g = df.groupBy(cluster).agg(F.count_if(label).alias("tp"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(tot))  # one row
+    g = with_facts(df.groupBy(cluster).agg(F.count_if(label).alias("tp"), F.count(F.lit(1)).alias("n")), tot)
     return g.select(cluster, F.try_divide(2.0 * F.col("tp"), F.col("n") + F.col("__pos")).alias("f1")).orderBy(F.desc("f1"), cluster).limit(1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.halo import halo_apply
 from ..core.scan import CORE, HALO, IDX, drop_halo, halo_rows, halo_time, range_frame, row_frame, scan
@@ -428,7 +429,7 @@ def precision_recall(df: DataFrame, keys: list[str], label: Column, predicted: C
 def tail_pseudo_labels(df: DataFrame, keys: list[str], score: str, share: float = 0.2) -> DataFrame:
     """1 for the top and 0 for the bottom share of scores, null between; by exact quantiles, not a global ranking."""
     q = quantiles(df, keys, score, {"__lo": share, "__hi": 1 - share})
-    j = df.join(q, keys) if keys else df.crossJoin(F.broadcast(q))  # one row
+    j = df.join(q, keys) if keys else with_facts(df, q)
     return j.withColumn("pseudo_label", F.when(F.col(score) >= F.col("__hi"), 1).when(F.col(score) <= F.col("__lo"), 0)).drop("__lo", "__hi")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..core.facts import with_facts
 from ..core.stats import median
 from ..functions.labels import split_pipe
 
@@ -67,14 +68,16 @@ def presence_matrix(observed: DataFrame, scope: DataFrame, targets: DataFrame, a
     """Scope deployments × target channels with presence, unit seen and unit match.
 
     ``observed``: dataset_id, deployment_id, channel, unit; ``scope``: dataset_id, deployment_id; ``targets``:
-    channel, expected_unit. Targets are a channel list, so this product is deployments × list, the matrix itself.
+    channel, expected_unit. The targets are a configured channel list: it travels as one array and is laid out
+    per deployment without a shuffle.
     """
     o = observed
     if aliases is not None:
         a = aliases.groupBy("alias").agg(F.min("channel").alias("__c"))
         o = o.join(a, o.channel == a.alias, "left").withColumn("channel", F.coalesce("__c", "channel")).drop("__c", "alias")
     seen = o.groupBy("dataset_id", "deployment_id", "channel").agg(F.min(F.lower(F.trim("unit"))).alias("unit_seen"))
-    wanted = scope.withColumn("__t", F.lit(1)).join(targets.withColumn("__t", F.lit(1)), "__t").drop("__t")
+    listed = targets.agg(F.collect_list(F.struct("channel", "expected_unit")).alias("__t"))
+    wanted = with_facts(scope, listed).select("dataset_id", "deployment_id", F.inline("__t"))
     j = wanted.join(seen, ["dataset_id", "deployment_id", "channel"], "left")
     return j.withColumns({"present": F.col("unit_seen").isNotNull(), "unit_match": F.col("unit_seen") == F.lower(F.trim("expected_unit"))})
 
@@ -161,7 +164,7 @@ def label_percentiles(df: DataFrame, keys: list[str], columns: list[str], points
     out = None
     for c in columns:
         q = quantiles(df, keys, c, {f"{c}_{n}": p for n, p in points.items()})
-        out = q if out is None else out.join(q, keys) if keys else out.crossJoin(F.broadcast(q))  # one row each
+        out = q if out is None else out.join(q, keys) if keys else with_facts(out, q)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.runs import find_runs, label_runs
 from ..core.scan import scan
@@ -210,7 +211,7 @@ def supervised_rows(df: DataFrame, label: str, variant: str | None = None) -> Da
     hit = F.col("state_label") == F.col("positive")
     out = df.withColumns({"method": F.lit("supervised"), "method_variant": F.col(variant) if variant else F.lit("rf_full"), "state_label": F.trim(label),
                           "duration_s": seconds_between("start_ts", "end_ts"), "segment_midpoint": midpoint("start_ts", "end_ts")})
-    out = out.crossJoin(F.broadcast(p))  # one row
+    out = with_facts(out, p)
     return out.withColumns({"positive_label": F.coalesce(hit, F.lit(False)), "state_subtype": F.when(hit, "putative_rest")}).drop("positive")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.scan import scan
 
@@ -42,7 +43,7 @@ def hash_downsample(df: DataFrame, label: str, majority, ratio: float, id_col: s
     c = df.agg(F.count_if(F.col(label) == majority).alias("__maj"), F.count_if(F.col(label) != majority).alias("__min"))
     u = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_003)) / 1_000_003.0
     share = F.least(F.lit(1.0), F.try_divide(F.col("__min") * ratio, F.col("__maj")))
-    return df.crossJoin(F.broadcast(c)).where((F.col(label) != majority) | (u < share)).drop("__maj", "__min")  # one row
+    return with_facts(df, c).where((F.col(label) != majority) | (u < share)).drop("__maj", "__min")
 
 
 def top_reasons(df: DataFrame, column: str, n: int = 8) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.scan import scan
 from ..core.stats import median
@@ -66,7 +67,7 @@ def epoch_to_ts(df: DataFrame, col: str, out: str = "ts") -> DataFrame:
     """Unix numbers to instants; the unit is decided once from the median magnitude of the column."""
     num = df.withColumn("__num", F.expr(f"try_cast({col} AS double)"))
     unit = num.agg(F.when(F.percentile_approx("__num", 0.5) >= EPOCH_MS_FROM, 1e3).otherwise(1e6).alias("__mul"))
-    return num.crossJoin(F.broadcast(unit)).withColumn(  # one row
+    return with_facts(num, unit).withColumn(
         out, F.timestamp_micros(F.round(F.col("__num") * F.col("__mul")).cast("bigint"))).drop("__num", "__mul")
 
 
@@ -114,7 +115,7 @@ def build_datetime(df: DataFrame, tz: str = "UTC", units: dict[str, str] | None
             if hz is None:
                 return df.withColumn(out, ts)
             top = df.agg(F.round(F.max(F.col(hz).cast("double"))).alias("__hz"))
-            return df.crossJoin(F.broadcast(top)).withColumn(out, F.when(  # one row
+            return with_facts(df, top).withColumn(out, F.when(
                 F.col("__hz") > 1, F.timestamp_micros(F.unix_micros(ts) + F.round(
                     (F.col(hz).cast("double") - 1) / F.col("__hz") * 1_000_000).cast("bigint"))).otherwise(ts)).drop("__hz")
     raise ValueError(f"no known time layout among {sorted(have)}")

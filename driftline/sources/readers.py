@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..core.facts import with_facts
 from ..functions.labels import slug
 from ..operators.timebase import ISO_PATTERN, try_patterns
 
@@ -117,7 +118,7 @@ def read_state_space_locations(spark: SparkSession, paths: str | list[str]) -> D
         raise ValueError(f"missing columns {missing}")
     strict = F.try_to_timestamp(F.col("Date"), F.lit(GPE3_DATE))
     worse = df.agg((F.avg(strict.isNull().cast("double")) > 0.2).alias("__worse"))
-    d = df.crossJoin(F.broadcast(worse))  # one row
+    d = with_facts(df, worse)
     num = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     extra = [(num(c) if c.endswith("Score") else F.col(f"`{c}`")).alias(slug_name(c)) for c in ("Observation Type", "Observation Score") if c in df.columns]
     return d.select(F.when(F.col("__worse"), F.coalesce(F.try_to_timestamp(F.col("Date")), strict)).otherwise(strict).alias("ts"), num(GPE3_LAT).alias("latitude"),
