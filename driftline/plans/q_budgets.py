@@ -361,11 +361,11 @@ def p2(spark, d):
     return x.select("user_id", "signal", "channel", "n", "min_value", "max_value", r("mean_value"))
 
 
-@query("p3_acceleration_units", "SELECT event_id, round(CASE WHEN event_type = 'view' THEN value ELSE value * 9.80665 END, 4) AS value, 'm/s^2' AS unit FROM events")
+@query("p3_acceleration_units", "SELECT event_id, round(CASE WHEN event_type = 'view' THEN value ELSE value * 9.80665 END, 8) AS value, 'm/s^2' AS unit FROM events")
 def p3(spark, d):
     s = signals(spark, d).withColumn("unit", F.when(F.col("event_type") == "view", "m/s2").otherwise("G"))
     x = project.standardize_acceleration(project.standardize_acceleration(s, ["value"], "unit"), ["value"], "unit")
-    return x.select("event_id", r("value", 4), "unit")
+    return x.select("event_id", r("value", 8), "unit")
 
 
 @query("p4_rate_units", "SELECT event_id, round(CASE event_type WHEN 'view' THEN value * 12 WHEN 'click' THEN value * 60 ELSE value END, 6) AS rate, CASE WHEN event_type IN ('view', 'click') THEN 'spm' ELSE 'm' END AS unit FROM events")
@@ -405,7 +405,7 @@ def p10(spark, d):
 @query("p11_p13_names", "SELECT event_id, event_type || CASE WHEN user_id % 2 = 0 THEN '_2' ELSE '' END AS name FROM events WHERE event_type <> 'error'")
 def p11(spark, d):
     s = project.drop_intermediate(signals(spark, d), ["error"], "event_type")
-    lg = F.when(F.col("user_id") % 2 == 0, "Derived-A").otherwise("CATS")
+    lg = F.when(F.col("user_id") % 2 == 0, "Derived-A").otherwise("Tag-B")
     return s.select("event_id", project.recomputed_name(F.col("event_type"), lg).alias("name"))
 
 
