@@ -25,16 +25,20 @@ def beats(spark, d):
     return signals(spark, d).where("event_type <> 'error'")
 
 
-@query("h1_select_peaks", f"""WITH RECURSIVE {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) AS i, lag(value) OVER ({ORD}) AS pv, lead(value) OVER ({ORD}) AS nv FROM sig),
+def peaks_sql(height: float, distance: int) -> str:
+    return f"""WITH RECURSIVE {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) AS i, lag(value) OVER ({ORD}) AS pv, lead(value) OVER ({ORD}) AS nv FROM sig),
   run AS (SELECT *, sum(CASE WHEN pv IS NULL OR pv <> value THEN 1 ELSE 0 END) OVER ({ORD}) AS g FROM i_),
   pl AS (SELECT user_id, g, any_value(value) AS v, min(i) AS a, max(i) AS b FROM run GROUP BY 1, 2),
   nb AS (SELECT *, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM pl WINDOW w AS (PARTITION BY user_id ORDER BY g)),
-  pk AS (SELECT user_id, v, (a + b) // 2 AS i, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, (a + b) // 2 DESC) AS rk FROM nb WHERE lv < v AND rv < v AND v >= 10),
+  pk AS (SELECT user_id, v, (a + b) // 2 AS i, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, (a + b) // 2 DESC) AS rk FROM nb WHERE lv < v AND rv < v AND v >= {height}),
   f(user_id, rk, kept) AS (SELECT user_id, 0, CAST([] AS BIGINT[]) FROM pk GROUP BY user_id
-   UNION ALL SELECT f.user_id, f.rk + 1, CASE WHEN len(list_filter(f.kept, lambda x: abs(x - pk.i) < 4)) = 0 THEN list_append(f.kept, pk.i) ELSE f.kept END
+   UNION ALL SELECT f.user_id, f.rk + 1, CASE WHEN len(list_filter(f.kept, lambda x: abs(x - pk.i) < {distance})) = 0 THEN list_append(f.kept, pk.i) ELSE f.kept END
    FROM f JOIN pk ON pk.user_id = f.user_id AND pk.rk = f.rk + 1),
   last AS (SELECT user_id, arg_max(kept, rk) AS kept FROM f GROUP BY 1), k_ AS (SELECT user_id, unnest(kept) AS i FROM last)
-  SELECT event_id FROM k_ JOIN i_ USING (user_id, i)""")
+  SELECT event_id FROM k_ JOIN i_ USING (user_id, i)"""
+
+
+@query("h1_select_peaks", peaks_sql(10, 4))
 def h1(spark, d):
     return peaks.select_peaks(signals(spark, d), signal_axis(spark, d), "value", 10.0, 4).select("event_id")
 
@@ -91,13 +95,17 @@ def h8(spark, d):
     return peaks.conflict_pairs(beats(spark, d), signal_axis(spark, d), 0.3, 259200.0).select("event_id")
 
 
-@query("h9_up_jump_rejections")
+UPJ = f"""{RATE}, uj AS (SELECT *, coalesce(lead(fc) OVER ({ORD}) > 0.8, FALSE) AS rej FROM r4),
+  st AS (SELECT *, last_value(CASE WHEN NOT rej THEN us END IGNORE NULLS) OVER ({ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_us FROM uj)"""
+
+
+@query("h9_up_jump_rejections", f"WITH {UPJ} SELECT event_id FROM st WHERE rej")
 def h9(spark, d):
     rej, _ = peaks.up_jump_rejections(beats(spark, d), signal_axis(spark, d), 0.8, 3600.0)
     return rej.select("event_id")
 
 
-@query("h9_repair_gaps")
+@query("h9_repair_gaps", f"WITH {UPJ} SELECT user_id, before_us AS start_us, nus AS end_us FROM st WHERE rej AND before_us IS NOT NULL AND (nus - before_us) / 1e6 < 7200")
 def h9g(spark, d):
     _, gaps = peaks.up_jump_rejections(beats(spark, d), signal_axis(spark, d), 0.8, 7200.0)
     return gaps.select("user_id", us("start_ts", "start_us"), us("end_ts", "end_us"))
@@ -239,7 +247,7 @@ def h22(spark, d):
     return x.select("user_id", "tp", "fp", "fn", r("f1"))
 
 
-@query("h23_dense_peaks")
+@query("h23_dense_peaks", peaks_sql(0, 2))
 def h23(spark, d):
     return peaks.select_peaks(signals(spark, d), signal_axis(spark, d), "value", 0.0, 2).select("event_id")
 
@@ -267,7 +275,10 @@ def h26(spark, d):
     return x.select("vec_id", F.round(F.get("fused", F.lit(0)), 5).alias("first_value"), F.size("fused").cast("bigint").alias("width"))
 
 
-@query("h28_rate_from_candidates")
+@query("h28_rate_from_candidates", f"""WITH {RATE}, b AS (SELECT user_id, us, max(hr) AS rate FROM r2 WHERE us > pus GROUP BY 1, 2),
+  pr AS (SELECT s.user_id, s.us, b.us AS bu, b.rate AS br FROM (SELECT DISTINCT user_id, us FROM sig) s ASOF LEFT JOIN b ON b.user_id = s.user_id AND b.us <= s.us),
+  nx AS (SELECT pr.*, b.us AS fu, b.rate AS fr FROM pr ASOF LEFT JOIN b ON b.user_id = pr.user_id AND b.us >= pr.us)
+  SELECT user_id, us, round(1e4 * CASE WHEN bu IS NULL THEN fr WHEN fu IS NULL OR fu = bu THEN br ELSE br + (fr - br) * (us - bu) / (fu - bu) END, 5) AS rate FROM nx""")
 def h28(spark, d):
     x = peaks.rate_from_candidates(signals(spark, d), beats(spark, d), signal_axis(spark, d))
     return x.select("user_id", us("ts", "us"), F.round(F.col("rate") * 1e4, 5).alias("rate"))

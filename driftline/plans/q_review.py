@@ -248,10 +248,12 @@ def a15(spark, d):
     return qc.signal_qc(observed(spark, d), ["deployment_id"], "channel", ["high", "low", "none"])
 
 
-@query("a16_run_drift", """WITH o AS (SELECT user_id, event_type AS v, avg(value) AS m, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
+DRIFT = """WITH o AS (SELECT user_id, event_type AS v, avg(value) AS m, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
   w AS (SELECT user_id, event_type AS v, avg(value * 1.001) AS m, min(value * 1.001) AS lo, max(value * 1.001) AS hi, count(*) AS n FROM events WHERE event_type <> 'view' AND day(ts) < 30 GROUP BY 1, 2),
-  j AS (SELECT user_id, v, o.n AS n0, w.n AS n1, greatest(abs(w.m - o.m), abs(w.lo - o.lo), abs(w.hi - o.hi)) / greatest(abs(o.hi - o.lo), abs(o.m), 1e-12) AS wr FROM o FULL JOIN w USING (user_id, v))
-  SELECT user_id, v AS variable, CASE WHEN n0 IS NULL THEN 'added' WHEN n1 IS NULL THEN 'lost' WHEN n0 <> n1 OR wr > 0.01 THEN 'changed' ELSE 'unchanged' END AS verdict, round(wr, 6) AS worst_rel FROM j""")
+  j AS (SELECT user_id, v, o.n AS n0, w.n AS n1, greatest(abs(w.m - o.m), abs(w.lo - o.lo), abs(w.hi - o.hi)) / greatest(abs(o.hi - o.lo), abs(o.m), 1e-12) AS wr FROM o FULL JOIN w USING (user_id, v)), vd AS (SELECT *, CASE WHEN n0 IS NULL THEN 'added' WHEN n1 IS NULL THEN 'lost' WHEN n0 <> n1 OR wr > 0.01 THEN 'changed' ELSE 'unchanged' END AS verdict FROM j)"""
+
+
+@query("a16_run_drift", DRIFT + " SELECT user_id, v AS variable, verdict, round(wr, 6) AS worst_rel FROM vd")
 def a16(spark, d):
     return _drift(spark, d).select("user_id", F.col("event_type").alias("variable"), "verdict", r("worst_rel"))
 
@@ -263,9 +265,10 @@ def _drift(spark, d):
     return qc.run_drift(old, new, ["user_id"], "event_type")
 
 
-@query("a16_drift_summary")
+@query("a16_drift_summary", DRIFT + """ SELECT user_id, count(*) FILTER (verdict = 'added') AS n_added, count(*) FILTER (verdict = 'lost') AS n_lost, count(*) FILTER (verdict = 'changed') AS n_changed,
+  count(*) FILTER (verdict = 'unchanged') AS n_unchanged, arg_max(v, (wr, v)) FILTER (wr > 0) AS worst_variable, round(max(wr), 6) AS worst_rel FROM vd GROUP BY 1""")
 def a16s(spark, d):
-    return qc.run_drift_summary(_drift(spark, d), ["user_id"], "event_type")
+    return qc.run_drift_summary(_drift(spark, d), ["user_id"], "event_type").withColumn("worst_rel", F.round("worst_rel", 6))
 
 
 @query("a17_classify_drift", f"""WITH {SIG}, a AS (SELECT user_id, min(value) AS lo, max(value) AS hi, count(*) AS n, max(k) AS mk FROM sig GROUP BY 1)
