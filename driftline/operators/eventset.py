@@ -120,3 +120,8 @@ def model_verdict_events(candidates: DataFrame, keys: list[str], probability: st
 
 def event_end_column(ts: str = "ts", duration: str = "duration_s") -> Column:
     return add_seconds(ts, F.coalesce(F.col(duration), F.lit(0.0)))
+
+
+def edit_counts(events: DataFrame, keys: list[str], auto_keys: list[str], manual_keys: list[str]) -> DataFrame:
+    """Manual and automatic events per entity."""
+    return events.groupBy(*keys).agg(F.count_if(F.col("key").isin(manual_keys)).alias("n_manual"), F.count_if(F.col("key").isin(auto_keys)).alias("n_auto"))

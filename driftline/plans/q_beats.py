@@ -441,3 +441,18 @@ def m13(spark, d):
     s = spans(spark, d).withColumn("label", F.col("event_type"))
     x = learn.common_events({"observed": s.where("event_id % 2 = 0"), "cluster": s.where("event_id % 2 = 1").withColumn("label", F.lit("c"))}, ["user_id"])
     return x.select("user_id", us("ts", "us"), "key")
+
+
+@query("h21_best_cluster_by_f1", f"""WITH {SCORED}, c AS (SELECT user_id % 4 AS cluster, count(*) FILTER (y = 1) AS tp, count(*) AS n, (SELECT sum(y) FROM sc) AS pos FROM sc GROUP BY 1)
+  SELECT cluster, round(2 * tp / (n + pos), 6) AS f1 FROM c ORDER BY 2 * tp / (n + pos) DESC, cluster LIMIT 1""")
+def h21(spark, d):
+    s = scored(spark, d).withColumn("cluster", F.col("user_id") % 4)
+    return learn.best_cluster_by_f1(s, "cluster", F.col("y") == 1).select("cluster", r("f1"))
+
+
+@query("m12_filters_on_predictions", f"WITH {SCORED} SELECT event_id, CASE WHEN p >= 0.5 AND y = 1 THEN 'sleep' WHEN p >= 0.5 THEN 'not_sleep' ELSE 'not_sleep' END AS nominal_class, CASE WHEN p >= 0.5 AND y = 0 THEN 'no_support' END AS context_reject_reason FROM sc")
+def m12(spark, d):
+    from ..operators import rules
+    s = scored(spark, d).withColumns({"base_keep_filtered": F.col("p") >= 0.5, "base_nominal_class": F.lit("sleep")})
+    f = [{"id": "supported", "rule": {"mode": "threshold_gate", "field": "y", "keep_if": {"comparator": ">=", "threshold": 1}}, "reject_reason": "no_support"}]
+    return rules.final_class(rules.apply_filters(s, f)).select("event_id", "nominal_class", "context_reject_reason")

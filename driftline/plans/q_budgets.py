@@ -437,3 +437,22 @@ def scalars(spark, d):
     o = load(spark, d, "orders")
     return o.select("o_orderkey", F.lower(F.regexp_replace("o_orderpriority", " ", "_")).alias("slug_raw"), labels.hh_mm(F.col("o_totalprice") % 24).alias("hhmm"),
                     F.date_format(labels.filename_date(F.concat(F.lit("acc_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".csv"))), "yyyy-MM-dd").alias("file_date"))
+
+
+@query("p8_unit_tokens", "SELECT event_id, CASE event_type WHEN 'view' THEN 'm' WHEN 'click' THEN 's' WHEN 'error' THEN '' WHEN 'signup' THEN 'm/s^2' ELSE 'lux' END AS unit FROM events")
+def p8(spark, d):
+    t = F.col("event_type")
+    raw = F.when(t == "view", " Metres ").when(t == "click", "sec").when(t == "error", "N/A").when(t == "signup", "M / s2").otherwise("Lux")
+    return signals(spark, d).select("event_id", units.unit_token(raw).alias("unit"))
+
+
+@query("p9_decimation_step", "SELECT event_id, CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 2 ELSE 1 END AS step FROM events")
+def p9(spark, d):
+    t = F.col("event_type")
+    sig = F.when(t == "view", "EEG").when(t == "click", "ecg").otherwise("depth")
+    return signals(spark, d).select("event_id", project.decimation_step(sig, F.lit(500.0)).cast("bigint").alias("step"))
+
+
+@query("e5_manual_edit_counts", "SELECT user_id, count(*) FILTER (event_type = 'signup') AS n_manual, count(*) FILTER (event_type = 'view') AS n_auto FROM events GROUP BY 1")
+def e5c(spark, d):
+    return eventset.edit_counts(ev(spark, d), ["user_id"], ["view"], ["signup"])
