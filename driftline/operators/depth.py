@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.axis import Axis
 from ..core.stats import median
-from ..schema import seconds_between
 from .intervals import points_in
 from .islands import dives, flat_chunks
 from .rolling import gradient, running_median
-from .timebase import linear_fill
 
 # The default pressure-to-depth settings.
 DEPTH_DEFAULTS = {"dive_threshold_m": 0.5, "min_dive_s": 10.0, "max_flat_slope": 0.1, "min_flat_samples": 60,

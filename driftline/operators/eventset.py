@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..core.axis import Axis
 from ..schema import add_seconds, seconds_between
 from .intervals import points_in
 

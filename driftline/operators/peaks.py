@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.halo import halo_apply
-from ..core.scan import CORE, HALO, IDX, drop_halo, halo_rows, halo_time, range_frame, row_frame, scan
+from ..core.scan import CORE, IDX, halo_rows, halo_time, range_frame, row_frame, scan
 from ..core.stage import stage
 from ..core.stats import median, quantiles
-from ..schema import add_seconds, seconds_between
+from ..schema import seconds_between
 from .intervals import complement, merge_near, points_in
 from .islands import membership
 from .joins import asof
-from .timebase import bucket, grid, interpolate_onto, linear_fill
+from .timebase import grid, interpolate_onto, linear_fill
 
 ACCEPTED, SUGGESTED = "beat_auto_detect_accepted", "beat_auto_detect_suggested"
 REJECTED, CONFLICT = "beat_auto_detect_rejected", "beat_auto_detect_rejected_conflict"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, islands, learn, peaks, sampling
+from ..operators import features, learn, peaks, sampling
 from ..schema import add_seconds
 from ..sources.tables import load, signal_axis, signals
 from .q_intervals import SPANS, spans

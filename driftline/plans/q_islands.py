@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..core.runs import find_runs, label_runs
 from ..core.scan import scan
-from ..operators import budgets, islands, segments
+from ..operators import islands, segments
 from ..operators.intervals import prorate
-from ..schema import seconds_between
 from ..sources.tables import signal_axis, signals
 from .registry import SIG, query
 

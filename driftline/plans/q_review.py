@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import islands, joins, qc, rest, rules, timebase as tb
+from ..operators import islands, qc, rest, rules, timebase as tb
 from ..schema import seconds_between
 from ..sources.tables import load, signal_axis, signals
 from .q_islands import runs_sql, us

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import depth, filters, folds, geo, islands, orient, rolling, sampling, timebase as tb
+from ..operators import depth, folds, geo, islands, orient, rolling, sampling, timebase as tb
 from ..sources.tables import load, signal_axis, signals
 from .q_islands import runs_sql, us
 from .registry import SIG, query
