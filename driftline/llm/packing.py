@@ -40,26 +40,26 @@ class WordIds(dict):
         super().__init__()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.MOST:
             self.clear()
-        ids = self[word] = np.array(self._bpe.encode_ordinary(word), "<u4").tobytes()
+        ids = self[word] = np.array(self.bpe.encode_ordinary(word), "<u4").tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
+            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
 _held: dict[str, WordIds] = {}
 
 
-def _tokenizer(ranks: str, pattern: str) -> WordIds:
+def tokenizer(ranks: str, pattern: str) -> WordIds:
     if ranks not in _held:
         _held[ranks] = WordIds(ranks, pattern)
     return _held[ranks]
@@ -76,7 +76,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, en
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(ranks, pattern)
+        tok = tokenizer(ranks, pattern)
         for b in batches:
             at, part, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):

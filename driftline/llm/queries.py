@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dedup, mixing, packing, quality
-from .common import crc_mod, table
+from ..core.stage import ensure_checkpoint_dir, stage
+from . import ann, chat, dedup, lm, mixing, packing, quality, sharding, topk, warc
+from .common import crc_mod, table, utf8
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +70,82 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM f
+"""
+
+
+@query("op1_warc_index", WARC_SQL)
+def warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are written, read back into runs, and the runs merged; the rows are those of the merged index."""
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    mean = pages.select(F.avg(F.length(utf8("html")))).first()[0]
+    warc.write_archives(pages, folder, int(mean or 0) + 512)
+    runs = stage(warc.local_runs(spark.read.format("binaryFile").load(folder)))
+    merged = warc.merge_runs(runs)
+    ident = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    return merged.select(ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))
+
+
+@query("op4_sampled_splitters")
+def sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op6_learned_partitions")
+def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (table(spark, sf_dir, "embeddings").where(ann.usable("embedding"))
+            .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")))
+    return ann.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(role, '[^<\[\\\]]', '', 'g')) + length(regexp_replace(text, '[^<\[\\\]]', '', 'g')) + length(role) + length(text)
+             + length('<s>[INST:') + 1 + length('</s>') AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op8_prefix_tree_chat", CHAT_SQL)
+def prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat.read_back(stage(chat.format_trees(rows.unionByName(own), *files)), *files)
+
+
+@query("op9_context_mixing_lm")
+def context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = crc_mod("doc_id", 10)
+    scored = lm.score(table(spark, sf_dir, "documents"), rest != 0)
+    return scored.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+WHERE rank <= 5
+"""
+
+
+@query("op10_uniform_threshold_topk", TOPK_SQL)
+def uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, ok = topk.scaled("embedding")
+    rows = table(spark, sf_dir, "embeddings").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
