@@ -3,7 +3,7 @@
 Sketch: in round i every shingle falls into one bin and brings the value (i, hash); a bin keeps its least value, so what
 came in an earlier round wins. After as many rounds as bins, an empty bin takes its least value over all shingles, so
 every coordinate is filled. Equal sets meet first, as one class; classes that share a band are compared with the band's
-smallest member, later with each other where that left them in different components. Every link is confirmed on full sets.
+smallest member; those it left in different components then meet in blocks. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -200,20 +200,111 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots.select("node", F.col("node").alias("root")))
 
 
-def _across(f: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one band bucket that lie in different components and may be linked, judged by size and sketch, in blocks."""
-    f = f.sort_values(["comp", "rep"], ignore_index=True)
-    n, s = f["n"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, SIZE)
-    comp, rep = f["comp"].to_numpy(), f["rep"].to_numpy()
-    count = f.groupby("comp")["rep"].transform("size").to_numpy()
+def in_block_pairs(nodes: DataFrame, per_block: int) -> DataFrame:
+    """Deals the rows of each ``cluster`` to blocks ``own`` of about ``per_block`` and copies them to every pair of blocks
+    ``b1 <= b2`` that holds their block, so that each two rows meet in a group of bounded size."""
+    size = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("_b"))
+    n = nodes.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"))
+    return (n.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+            .withColumn("b1", F.least("own", "_o")).withColumn("b2", F.greatest("own", "_o")).drop("_o", "_b"))
+
+
+def _forest(pairs: np.ndarray, group: np.ndarray) -> list[int]:
+    """Places of those pairs of row numbers that join groups not joined yet."""
+    root = {g: g for g in group.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     out = []
-    big = comp[np.argmax(count)]
-    for i in np.flatnonzero(comp != big):  # each against the largest component and those before its own
-        ok = ((comp == big) | (comp < comp[i])) & (OF * np.minimum(n, n[i]) >= LINK * np.maximum(n, n[i]))
-        at = np.flatnonzero(ok)
+    for k, (i, j) in enumerate(pairs.tolist()):
+        x, y = find(int(group[i])), find(int(group[j]))
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def _pairs_to_try(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers of the first block, of the second): within one block, or of two different ones."""
+    own, b1, b2 = f["own"].to_numpy(), f["b1"].iloc[0], f["b2"].iloc[0]
+    return np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+
+
+def _alike(f: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the pairs in different components that sizes and sketches allow."""
+    n, s, comp, rep = f["n"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, SIZE), f["comp"].to_numpy(), f["rep"].to_numpy()
+    left, right = _pairs_to_try(f)
+    out = []
+    for i in left:
+        at = right[(comp[right] != comp[i]) & (OF * np.minimum(n[right], n[i]) >= LINK * np.maximum(n[right], n[i]))]
         at = at[(s[at] == s[i]).sum(1) >= AGREE]
-        out.append(np.c_[np.full(len(at), rep[i]), rep[at]])
-    return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["center", "member"])
+        out.append(np.c_[np.full(len(at), i), at])
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    pairs = pairs[_forest(pairs, np.arange(len(f)))]
+    return pd.DataFrame({"u": rep[pairs[:, 0]], "v": rep[pairs[:, 1]]})
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of slices of their incidence matrix; values that one set alone
+    holds are left out, as they are in no intersection."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    row, col = row[keep], column[place[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    step = 4_096
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        lo, hi = np.searchsorted(col, [a, a + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[row[lo:hi], col[lo:hi] - a] = 1
+        out += m @ m.T
+    return out
+
+
+def _linked(f: pd.DataFrame) -> pd.DataFrame:
+    """Links of full sets between different components, as many as join these."""
+    sets = [np.frombuffer(x, np.uint64) for x in f["items"]]
+    comp, rep, n = f["comp"].to_numpy(), f["rep"].to_numpy(), np.array([len(x) for x in sets])
+    left, right = _pairs_to_try(f)
+    both = shared_counts(sets)[np.ix_(left, right)]
+    ok = (OF * both >= LINK * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+    i, j = np.nonzero(ok)
+    pairs = np.c_[left[i], right[j]]
+    pairs = pairs[_forest(pairs, comp)]
+    return pd.DataFrame({"u": rep[pairs[:, 0]], "v": rep[pairs[:, 1]]})
+
+
+def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The links ``u, v`` that join components whose documents share a band, however many they are.
+
+    Components that share bands make clusters; within a cluster all documents meet in pairs of blocks. Sketches are compared
+    first, what they leave is clustered again, and there the full sets are compared. Neither step emits more pairs than join
+    its documents, so a large group of documents that are alike but not linked costs time in many tasks and no rows.
+    """
+    comp = members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    mixed = comp.groupBy("key").agg(F.min("comp").alias("u"), F.max("comp").alias("_b")).where("u < _b").drop("_b")
+    comp = stage(comp.join(mixed, "key").select("u", "rep", "comp").distinct())
+    cluster = components(comp.select("u", F.col("comp").alias("v")).where("u != v")).select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
+    nodes = comp.select("rep", "comp").distinct().join(cluster, "comp").join(named.select("rep", "n", "sketch"), "rep")
+    alike = (in_block_pairs(nodes.select("rep", "comp", "cluster", "n", "sketch"), 512).groupBy("cluster", "b1", "b2").applyInPandas(_alike, "u long, v long"))
+    again = stage(components(stage(alike.distinct())).withColumnRenamed("root", "cluster"))
+    left = again.join(comp.select(F.col("rep").alias("node"), "comp").distinct(), "node").select(F.col("node").alias("rep"), "comp", "cluster")
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), utf8(text).alias("_b")).join(left, "rep").select("rep", "comp", "cluster", "_b")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [shingles(t).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(items, pa.binary())], names=["rep", "comp", "cluster", "items"])
+
+    full = texts.mapInArrow(sets, "rep long, comp long, cluster long, items binary")
+    return in_block_pairs(stage(full), 192).groupBy("cluster", "b1", "b2").applyInPandas(_linked, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,11 +328,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated = same_id.join(named.select(F.col("rep").alias("u")).distinct(), "u").select("u", "v")  # an id whose other text leads elsewhere
     edges = links.select(F.col("center").alias("u"), F.col("member").alias("v")).unionAll(repeated)
     roots = stage(components(edges))
-    comp = (members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")))
-    mixed = comp.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
-    across = (comp.join(mixed, "key").join(named.select("rep", "n", "sketch"), "rep").select("key", "rep", "comp", "n", "sketch")
-              .groupBy("key").applyInPandas(_across, "center long, member long").distinct())
-    more = stage(confirm(across, docs, named, doc_id, text).select(F.col("center").alias("u"), F.col("member").alias("v")))
+    more = stage(across_components(members, named, docs, roots, doc_id, text))
     roots = stage(components(edges.unionAll(more)))
     of_set = named.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     placed = rows.join(of_set, ["hi", "lo"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))

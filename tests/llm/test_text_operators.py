@@ -252,3 +252,27 @@ def test_quality_without_labels(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(documents(spark), quality.fit(documents(spark), one, F.lit(True))).where("score < 0.9").count() == 0
     assert quality.score(empty(spark), quality.CompressionModel()).count() == 0
+
+
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9_000, n).astype(np.uint64)) for n in (0, 1, 50, 800, 6_000, 8_000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = dedup.shared_counts(sets)
+    for i, s in enumerate(sets):
+        got[i, i] = len(s)
+    assert (got == want).all()
+
+
+def test_copies_of_one_text_that_only_it_links(spark):
+    """Copies are linked with their text and not with each other; the text's id is the largest, so stars miss most links."""
+    base = [f"c{k}" for k in range(300)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for k in range(4):
+            w[(i * 5 + 71 * k) % 300] = f"x{i}.{k}"
+        docs.append((i, " ".join(w)))
+    docs.append((1_000, " ".join(base)))
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
