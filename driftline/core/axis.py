@@ -62,12 +62,11 @@ def fit_axis(
     order: list[str] | tuple[str, ...],
     target_rows: int = 1_000_000,
     probe_width: int = DAY_US,
-    max_rounds: int = 4,
 ) -> Axis:
     """Choose a chunk width so that the fullest (entity, chunk) holds about ``target_rows`` rows.
 
-    One map-side-combined count over the key and time columns only; it is repeated at a finer width while
-    the fullest chunk is still too large, so a burst inside one entity is also cut.
+    One map-side-combined count over the key and time columns only; it is repeated at a finer width until
+    the fullest chunk is near the target or a chunk is a single instant, so a burst inside one entity is also cut.
     ``driftline.chunk.seconds`` in the session configuration overrides the probe.
     """
     forced = df.sparkSession.conf.get(WIDTH_CONF, None)
@@ -75,7 +74,7 @@ def fit_axis(
     if forced:
         return axis.with_(width=max(1, int(float(forced) * 1_000_000)))
     width = probe_width
-    for _ in range(max_rounds):
+    while True:
         probe = axis.with_(width=width)
         fullest = (
             df.groupBy(*keys, probe.chunk(df).alias(CHUNK)).count().agg(F.max("count").alias("n")).first()["n"]

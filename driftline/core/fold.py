@@ -21,8 +21,8 @@ from .stage import ensure_checkpoint_dir, settle
 FoldFn = Callable[[dict[str, list], "list[float] | None"], "tuple[list, list[float] | None]"]
 
 
-def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out: str, max_rounds: int = 1000) -> DataFrame:
-    """Add the boolean ``out``, the per-row result of folding ``fn`` along the axis over the ``inputs`` columns."""
+def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out: str) -> DataFrame:
+    """Add the boolean or null ``out``, the per-row result of folding ``fn`` along the axis over the ``inputs`` columns."""
     ensure_checkpoint_dir(df.sparkSession)
     df = settle(df, 2)  # read once per round
     keys, order = list(axis.keys), list(axis.order)
@@ -53,7 +53,7 @@ def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out:
     states = many.withColumn("__entry", F.lit(None).cast(state_t))
     if not many.isEmpty():
         todo, done = states, None
-        for _ in range(max_rounds):
+        while True:  # each round settles at least one more chunk of every entity
             got = src.join(todo, group).groupBy(*group).applyInArrow(exits, exit_schema)
             if done is not None:
                 got = got.unionByName(done.join(todo.select(*group), group, "left_anti"))
@@ -64,7 +64,5 @@ def chunked_fold(df: DataFrame, axis: Axis, inputs: list[str], fn: FoldFn, out:
             states = nxt.withColumnRenamed("__next", "__entry")
             if todo.isEmpty():
                 break
-        else:
-            raise RuntimeError("fold did not settle")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
     return rows.join(states, group, "left").groupBy(*group).applyInArrow(results, schema)

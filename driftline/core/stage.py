@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,11 +13,18 @@ MAX_LEAVES = 12
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without one gets a scratch folder."""
+    """The cluster's ``spark.checkpoint.dir``. Without that setting a local session, as in tests, gets a scratch folder that
+    ends with the process; a cluster session is refused, since its executors share no local folder."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-driftline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-driftline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 

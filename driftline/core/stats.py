@@ -4,55 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+#: Share of a group's rows on either side of a wanted rank within which the exact value is looked for, and the sketch's
+#: accuracy, which places the ends of that stretch within a tenth of it.
+MARGIN, ACCURACY = 0.002, 5_000
+#: Below this many rows the margin holds no whole rank on either side, so the stretch is the whole group.
+FEW = 4_000
 
-def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], limit: int = 1_000_000,
-              bins: int = 1024) -> DataFrame:
+
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles (numpy's linear rule) of ``value`` per group; nulls are ignored.
 
-    Groups are counted first. While all stay below ``limit`` rows one ``percentile`` aggregate does it.
-    Beyond that no group is ever gathered: each round counts the values in equal-width bins (combined
-    map-side), keeps the bins holding the wanted ranks, and only the last few values are compared.
+    One plan and no group gathered: a mergeable sketch gives values that surely lie below and above each wanted rank; rows
+    are then counted by value, all lower ones as one, higher ones not at all (combined map-side), and the running count over
+    the few values between picks the two neighbours of the rank. A sketch that missed its bound is an error, never a
+    wrong value.
     """
     if not keys:
-        return quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, qs, limit, bins).drop("__all")
+        return quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, qs).drop("__all")
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    fullest = d.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if fullest <= limit:
-        return d.groupBy(*keys).agg(*[F.percentile("__v", F.lit(q)).alias(n) for n, q in qs.items()])
-
-    names = F.array(*[F.struct(F.lit(n).alias("__q"), F.lit(float(q)).alias("__p")) for n, q in qs.items()])
-    b = d.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    b = b.select("*", F.inline(names)).withColumn("__rank", F.col("__p") * (F.col("__n") - 1)).select(
-        *keys, "__q", "__lo", "__hi", "__n", F.floor("__rank").alias("__k0"), F.ceil("__rank").alias("__k1"),
-        (F.col("__rank") - F.floor("__rank")).alias("__w"), F.lit(0).cast("bigint").alias("__below"))
-    kq = [*keys, "__q"]
-    for _ in range(64):
-        inside = d.join(b, keys)
-        inside = inside.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        span = F.col("__hi") - F.col("__lo")
-        bin_ = F.when(span > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / span * bins), F.lit(bins - 1))).otherwise(0)
-        h = inside.groupBy(*kq, "__k0", "__k1", "__w", "__n", "__below", bin_.alias("__bin")).agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"))
-        cum = F.sum("__c").over(W.partitionBy(*kq).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1))
-        h = h.withColumn("__before", F.col("__below") + F.coalesce(cum, F.lit(0)))
-        h = h.where((F.col("__before") + F.col("__c") > F.col("__k0")) & (F.col("__before") <= F.col("__k1")))
-        b = h.groupBy(*kq, "__k0", "__k1", "__w", "__n").agg(
-            F.min("__bmin").alias("__lo"), F.max("__bmax").alias("__hi"), F.min("__before").alias("__below"),
-            F.sum("__c").alias("__m")).persist()
-        worst = b.where(F.col("__lo") < F.col("__hi")).agg(F.max("__m").alias("m")).first()["m"] or 0
-        if worst <= limit:
-            break
-    few = d.join(b, keys).where(
-        (F.col("__lo") < F.col("__hi")) & F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    vals = few.groupBy(*kq).agg(F.sort_array(F.collect_list("__v")).alias("__vals"))  # at most ``limit`` values
-    at = lambda k: F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(
-        F.get("__vals", (F.col(k) - F.col("__below")).cast("int")))
-    got = b.join(vals, kq, "left").withColumn("__x", at("__k0") * (1 - F.col("__w")) + at("__k1") * F.col("__w"))
-    return got.groupBy(*keys).pivot("__q", list(qs)).agg(F.first("__x"))
-
-
-def median(df: DataFrame, keys: list[str], value: str, out: str, **kw) -> DataFrame:
-    return quantiles(df, keys, value, {out: 0.5}, **kw)
+    names, ps = list(qs), [float(q) for q in qs.values()]
+    ends = [F.lit(min(max(p + s, 0.0), 1.0)) for p in ps for s in (-MARGIN, MARGIN)]
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+                             F.percentile_approx("__v", F.array(*ends), ACCURACY).alias("__a"))
+    few = F.col("__n") < FEW
+    wanted = F.array(*[F.struct(F.lit(i).alias("__q"), F.lit(p).alias("__p"), F.when(few, F.col("__min")).otherwise(F.col("__a")[2 * i]).alias("__lo"),
+                                F.when(few, F.col("__max")).otherwise(F.col("__a")[2 * i + 1]).alias("__hi")) for i, p in enumerate(ps)])
+    g = g.select(*keys, "__n", F.inline(wanted))
+    near = (d.join(g, keys).where(F.col("__v") <= F.col("__hi"))
+            .groupBy(*keys, "__q", "__p", "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
+    upto = F.sum("__c").over(W.partitionBy(*keys, "__q").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    rank = F.col("__p") * (F.col("__n") - 1)
+    at = lambda k: F.max(F.when((F.col("__to") > k) & (F.col("__to") - F.col("__c") <= k), F.col("__x")))
+    got = (near.withColumn("__to", upto).groupBy(*keys, "__q").agg(at(F.floor(rank)).alias("__x0"), at(F.ceil(rank)).alias("__x1"), F.max(rank - F.floor(rank)).alias("__w")))
+    mixed = F.when(F.col("__x0").isNull() | F.col("__x1").isNull(), F.raise_error(F.lit("quantile sketch missed its bound")).cast("double")).otherwise(F.col("__x0") + (F.col("__x1") - F.col("__x0")) * F.col("__w"))
+    return got.withColumn("__y", mixed).groupBy(*keys).agg(*[F.max(F.when(F.col("__q") == i, F.col("__y"))).alias(n) for i, n in enumerate(names)])
+
+
+def median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    return quantiles(df, keys, value, {out: 0.5})
 
 
 def modes(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -43,9 +43,14 @@ def impulse(order: int, cut: tuple[float, ...], fs: float, tol: float = 1e-10) -
 
 
 def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Causal convolution by FFT, same length as ``x``."""
+    """Causal convolution by FFT, same length as ``x``; an output that a missing input reaches is missing, no other."""
     n = 1 << int(np.ceil(np.log2(len(x) + len(h))))
-    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
+    gone = np.isnan(x)
+    y = np.fft.irfft(np.fft.rfft(np.where(gone, 0.0, x), n) * np.fft.rfft(h, n), n)[: len(x)]
+    if gone.any():
+        last = np.maximum.accumulate(np.where(gone, np.arange(len(x)), -len(h)))
+        y[np.arange(len(x)) - last < len(h)] = np.nan
+    return y
 
 
 def zero_phase(x: np.ndarray, order: int, cut: tuple[float, ...], fs: float, at_start: bool, at_end: bool) -> np.ndarray:
@@ -74,6 +79,19 @@ def zero_phase(x: np.ndarray, order: int, cut: tuple[float, ...], fs: float, at_
     return y[head: len(y) - tail]
 
 
+def zero_phase_between_nulls(x: np.ndarray, order: int, cut: tuple[float, ...], fs: float, at_start: bool, at_end: bool) -> np.ndarray:
+    """``zero_phase`` of each stretch without missing values, which ends like a recording where a value is missing, so that
+    the result doesn't depend on how the recording was cut into chunks."""
+    gone = np.isnan(x)
+    if not gone.any():
+        return zero_phase(x, order, cut, fs, at_start, at_end)
+    y = np.full(len(x), np.nan)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    for a, b in zip(edge[::2], edge[1::2]):
+        y[a:b] = zero_phase(x[a:b], order, cut, fs, at_start or a > 0, at_end or b < len(x))
+    return y
+
+
 def reach(order: int, cut: tuple[float, ...], fs: float) -> int:
     return len(impulse(order, cut, fs))
 

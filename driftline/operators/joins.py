@@ -23,7 +23,7 @@ def asof(
     extra = [tie] if tie else []
     payload = F.struct(F.col(right_ts).alias("__rts"), *[F.col(c) for c in extra if c not in take], *take)
     l = left.select(*keys, F.col(axis.ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"),
-                    F.monotonically_increasing_id().alias("__u") if not axis.order[1:] else F.struct(*axis.order[1:]).alias("__u"))
+                    F.struct(*axis.order[1:]).alias("__u") if axis.order[1:] else F.xxhash64(*left.columns).alias("__u"))
     r = right.select(*keys, F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), payload.alias("__r"),
                      F.col(tie).alias("__k") if tie else F.lit(0).alias("__k"))
     both = l.unionByName(r, allowMissingColumns=True)
@@ -86,12 +86,13 @@ def overlay(base: DataFrame, updates: DataFrame, key: list[str], order: list[str
 
 
 def outer_merge(frames: list[DataFrame], on: list[str], order: str | None = None) -> DataFrame:
-    """Full outer merge of sensor frames on entity and time, one row per instant and frame."""
+    """Full outer merge of sensor frames on entity and time, one row per instant and frame: the smallest by ``order``, then by
+    all columns in order."""
     out = None
     for f in frames:
         rest = [c for c in f.columns if c not in on]
-        pick = F.first if order is None else (lambda c: F.min_by(c, F.struct(*rest)))
-        one = f.groupBy(*on).agg(*[pick(c).alias(c) for c in rest])
+        first = [order] if order in rest else []
+        one = f.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*first, *rest)).alias("__r")).select(*on, "__r.*")
         out = one if out is None else out.join(one, on, "full")
     return out
 

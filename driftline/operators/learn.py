@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core.facts import with_facts
+from ..core.stage import stage
+from ..core.stats import quantiles
 from .intervals import merge_near, overlap_join, overlap_seconds
 
 
@@ -24,7 +26,7 @@ def scaled(df: DataFrame, columns: list[str], out: str = "scaled") -> DataFrame:
 
 def kmeans_pass(df: DataFrame, columns: list[str], k: int | None, max_k: int = 8, seed: int = 42) -> tuple[DataFrame, int]:
     """Cluster standardised features; with ``k=None`` the best silhouette up to ``max_k`` decides."""
-    d = scaled(df, columns).persist()
+    d = stage(scaled(df, columns))
     fit = lambda n: KMeans(featuresCol="scaled", predictionCol="cluster", k=n, seed=seed).fit(d)
     if k is None:
         ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
@@ -63,15 +65,12 @@ def balance_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(w, label)
 
 
-MAX_CLASSES = 1000
-
-
-def _classifier(kind: str, trees: int, seed: int):
+def _classifier(kind: str, trees: int, depth: int, seed: int):
     common = {"featuresCol": "features", "labelCol": "__y", "weightCol": "weight"}
     if kind == "rf":
-        return RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=10, seed=seed, **common)
+        return RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=seed, **common)
     if kind == "gbt":
-        return GBTClassifier(maxIter=trees, seed=seed, **common)
+        return GBTClassifier(maxIter=trees, maxDepth=min(depth, 5), seed=seed, **common)
     if kind == "svm":
         return LinearSVC(**common)
     raise ValueError(f"unknown classifier {kind!r}")
@@ -97,14 +96,15 @@ class Classifier:
         return p.withColumn("predicted_label", lab).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train(df: DataFrame, columns: list[str], label: str, kind: str = "rf", trees: int = 500, confidence: float = 0.4, seed: int = 42) -> Classifier:
-    """Balanced classifier; predictions under the confidence threshold become ``Unknown``."""
-    labels = sorted(r[0] for r in df.select(label).distinct().take(MAX_CLASSES + 1))
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; is it a label?")
+def train(df: DataFrame, columns: list[str], label: str, kind: str = "rf", trees: int = 500, confidence: float = 0.4, seed: int = 42, depth: int = 10) -> Classifier:
+    """Balanced classifier; predictions under the confidence threshold become ``Unknown``.
+
+    ``trees`` and ``depth`` are the run's parameters; the classes are listed on the driver, as the model lists them itself.
+    """
+    labels = sorted(r[0] for r in df.select(label).distinct().collect())
     y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
     d = balance_weights(df.withColumn("__y", y.cast("double")), label)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), _classifier(kind, trees, seed)]).fit(d)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), _classifier(kind, trees, depth, seed)]).fit(d)
     return Classifier(fitted, labels, confidence)
 
 
@@ -123,13 +123,38 @@ def hash_split(df: DataFrame, id_col: str, test_share: float, seed: int = 42) ->
     return df.withColumn("is_test", u < test_share)
 
 
+def stratified_split(df: DataFrame, id_col: str, stratum: str, test_share: float, seed: int = 42) -> DataFrame:
+    """Test flag that holds the share within every stratum: ids hashed below the stratum's exact quantile of hashes."""
+    u = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)).cast("double")
+    d = df.withColumn("__u", u)
+    cut = quantiles(d, [stratum], "__u", {"__cut": test_share})
+    return d.join(cut, stratum).withColumn("is_test", F.col("__u") < F.col("__cut")).select(*df.columns, "is_test")
+
+
 def hash_folds(df: DataFrame, id_col: str, folds: int, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(folds)).cast("int"))
 
 
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """Leave-group-out folds: each group is in one fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    """Leave-group-out folds: each group is in one fold and no fold is empty while there are groups enough.
+
+    Groups (deployments, datasets) are numbered in hashed order; the numbering runs over one row per group.
+    """
+    g = df.select(group).distinct()
+    n = F.row_number().over(W.orderBy(F.xxhash64(group), group)) - 1
+    return df.join(g.withColumn("fold", F.pmod(n, F.lit(folds)).cast("int")), group)
+
+
+def transfer(df: DataFrame, columns: list[str], label: str, dataset: str, source: str, target: str, **kw) -> DataFrame:
+    """Scores of one dataset's rows by a model trained on another's."""
+    return train(df.where(F.col(dataset) == source), columns, label, **kw).transform(df.where(F.col(dataset) == target))
+
+
+def two_cluster_model(df: DataFrame, columns: list[str], label: Column, seed: int = 42) -> DataFrame:
+    """Two clusters of standardised features; the one that matches the label better (F1) becomes class 1."""
+    c, _ = kmeans_pass(df, columns, 2, seed=seed)
+    best = best_cluster_by_f1(c, "cluster", label).select(F.col("cluster").alias("__best"))
+    return with_facts(c, best).withColumn("predicted", (F.col("cluster") == F.col("__best")).cast("int")).drop("__best")
 
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int, **kw) -> DataFrame:
@@ -146,9 +171,23 @@ def platt(df: DataFrame, score: str, label: str) -> DataFrame:
     return m.transform(df).withColumn("calibrated", vector_to_array("__p")[1]).drop("__s", "__p", "__r", "__d")
 
 
-def forward_ablation(df: DataFrame, groups: dict[str, list[str]], label: str, id_col: str, trees: int = 50, seed: int = 42) -> list[tuple[str, float]]:
+def tuned_out_of_fold(df: DataFrame, columns: list[str], label: str, id_col: str, folds: int, beta: float = 2.0, cap: float = 5.0, **kw) -> tuple[DataFrame, DataFrame]:
+    """Scores of all rows by models trained on the other folds, each on a downsample of its majority class, and the threshold
+    with the best F-beta over these scores (one row). Labels are the strings 0 (majority) and 1; ``cap`` majority rows per other row."""
+    from .peaks import best_threshold, threshold_sweep
+    from .sampling import hash_downsample
+    d = hash_folds(df, id_col, folds)
+    parts = []
+    for i in range(folds):
+        seen = hash_downsample(d.where(F.col("fold") != i), label, "0", cap, id_col)
+        parts.append(train(seen, columns, label, confidence=0.0, **kw).transform(d.where(F.col("fold") == i)))
+    scores = stage(reduce(lambda a, b: a.unionByName(b), parts).withColumn("__y", F.col(label).cast("int")))
+    return scores.drop("__y"), best_threshold(threshold_sweep(scores, "__y", "score", beta))
+
+
+def forward_ablation(df: DataFrame, groups: dict[str, list[str]], label: str, id_col: str, trees: int = 500, seed: int = 42) -> list[tuple[str, float]]:
     """Add feature groups one by one, each time the one that helps accuracy most; a loop over configured groups."""
-    d = hash_split(df, id_col, 0.4, seed).persist()
+    d = stage(hash_split(df, id_col, 0.4, seed))
     done, used, left = [], [], dict(groups)
     while left:
         scored = {}

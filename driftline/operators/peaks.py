@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core.facts import with_facts
 from ..core.axis import Axis
+from ..core.fold import chunked_fold
 from ..core.halo import halo_apply
 from ..core.scan import CORE, IDX, halo_rows, halo_time, range_frame, row_frame, scan
 from ..core.stage import stage
@@ -59,20 +60,19 @@ def _decide(v: np.ndarray, height: float, distance: int, at_start: bool, at_end:
     return out
 
 
-def select_peaks(df: DataFrame, axis: Axis, column: str, height: float, distance: int, halo: int | None = None, max_rounds: int = 8) -> DataFrame:
+def select_peaks(df: DataFrame, axis: Axis, column: str, height: float, distance: int, halo: int | None = None) -> DataFrame:
     """Local maxima (middle of plateaus) of at least ``height``, the higher of any two closer than ``distance`` rows.
 
     Which peak wins can depend on a chain of neighbours. Each chunk decides what its halo proves; if any
     row stays open the halo is doubled, so the result equals one pass over the whole recording.
     """
     halo = halo or 8 * distance + 2
-    for _ in range(max_rounds):
+    while True:  # at last the halo holds the whole recording, where nothing stays open
         run = lambda x, a, b: {"__peak": _decide(x[column], height, distance, a, b)}
         got = stage(halo_apply(df, axis, halo, halo, run, [column], {"__peak": "double"}))
         if got.where(F.col("__peak") == 2).isEmpty():
             return got.where(F.col("__peak") == 1).drop("__peak")
         halo *= 2
-    raise RuntimeError("peak selection did not settle; flat signal?")
 
 
 def refine_peaks(peaks: DataFrame, samples: DataFrame, axis: Axis, column: str, radius: int) -> DataFrame:
@@ -303,7 +303,7 @@ def candidate_features(candidates: DataFrame, samples: DataFrame, axis: Axis, co
 
 
 def label_candidates(candidates: DataFrame, events: DataFrame, axis: Axis, tolerance_s: float = 0.2) -> DataFrame:
-    """``label`` 1 for a candidate with a positive event as its nearest within the tolerance, else 0; null label without any event near.
+    """``label`` 1 for a candidate with a positive event as its nearest within the tolerance, else 0.
 
     ``events``: keys, ts, positive (boolean).
     """
@@ -352,34 +352,75 @@ def down_jump_insertions(accepted: DataFrame, candidates: DataFrame, axis: Axis,
     return g.select(*keys, "__c.*").distinct()
 
 
-def model_cleanup(beats: DataFrame, axis: Axis, prob: str, conflict_factor: float = 0.75, jump_frac: float = 0.8, keep_later: bool = True,
-                  max_rounds: int = 50) -> DataFrame:
+def model_cleanup(beats: DataFrame, axis: Axis, prob: str, conflict_factor: float = 0.75, jump_frac: float = 0.8, keep_later: bool = True) -> DataFrame:
     """Thin accepted beats until no pair is closer than a fraction of the median interval and no rate jumps up.
 
-    Each round handles the first offence of every chain of offences at once, all entities together, and
-    recomputes the entity's median interval; rounds end when nothing is left to drop.
+    Offences are settled from the left, each before the next is looked at. Of a close pair the earlier beat goes, or the less
+    probable one (the earlier on ties, the later if a probability is missing); passes with the entity's current median repeat
+    until one removes nothing, with at least 3 beats. Of an interval that ends a jump the less probable end goes, with at least
+    4 beats; one fold settles all of these, because a wider interval cannot start an offence to its left.
     """
-    keys = list(axis.keys)
+    keys, at = list(axis.keys), axis.ts
     cur = stage(beats)
-    for kind in ("conflict", "jump"):
-        for _ in range(max_rounds):
-            s = scan(cur, axis, nxt={"__n": axis.ts, "__np": prob}, prev={"__p": axis.ts}).withColumn("__rr", seconds_between(axis.ts, "__n"))
-            if kind == "conflict":
-                med = median(s.where(F.col("__rr").isNotNull()), keys, "__rr", "__med")
-                s = s.join(med, keys, "left").withColumn("__bad", F.col("__rr") < F.col("__med") * conflict_factor)
-            else:
-                prev_rr = seconds_between("__p", axis.ts)
-                s = s.withColumn("__bad", (F.col("__rr") > 0) & (prev_rr > 0) & (prev_rr > F.col("__rr") * (1 + jump_frac)))
-            s = s.withColumn("__bad", F.coalesce("__bad", F.lit(False)))
-            s = scan(s, axis, prev={"__pbad": "__bad"}).withColumn("__first", F.col("__bad") & ~F.coalesce("__pbad", F.lit(False)))
-            drop_left = F.lit(True) if kind == "conflict" and keep_later else F.col(prob) <= F.col("__np")
-            s = scan(s.withColumn("__dr", F.col("__first") & ~drop_left), axis, prev={"__drop_right": "__dr"})
-            s = s.withColumn("__gone", (F.col("__first") & drop_left) | F.coalesce("__drop_right", F.lit(False)))
-            s = stage(s)
-            if s.where("__gone").isEmpty():
-                break
-            cur = s.where("NOT __gone").select(*beats.columns)
-    return cur
+    while True:
+        s = scan(cur, axis, nxt={"__n": at}).withColumn("__rr", seconds_between(at, "__n"))
+        low = median(s.where(F.col("__rr").isNotNull()), keys, "__rr", "__med")
+        many = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
+        lim = low.join(many, keys).select(*keys, F.when((F.col("__k") >= 3) & (F.col("__med") > 0), F.col("__med") * conflict_factor).alias("__lim"))
+        s = stage(s.join(lim, keys, "left"))
+        if s.where(F.col("__rr") < F.col("__lim")).isEmpty():
+            break
+        if keep_later:
+            kept = s.where(~F.coalesce(F.col("__rr") < F.col("__lim"), F.lit(False)))
+        else:
+            kept = _settled(s, axis, prob, _close_pairs, ["__lim"])
+        cur = stage(kept.select(*beats.columns))
+    many = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
+    folded = cur.join(many, keys).withColumn("__lim", F.when(F.col("__k") >= 4, F.lit(1.0 + jump_frac)))
+    return _settled(folded, axis, prob, _up_jumps, ["__lim"]).select(*beats.columns)
+
+
+def _settled(df: DataFrame, axis: Axis, prob: str, fold, more: list[str]) -> DataFrame:
+    """Rows that a fold keeps. It says False for a row that goes, None for one that takes the place of the last kept row."""
+    d = df.withColumns({"__s": F.unix_micros(axis.ts) / 1e6, "__pr": F.col(prob).cast("double")})
+    d = stage(chunked_fold(d, axis, ["__s", "__pr", *more], fold, "__keep"))
+    d = d.withColumn("__stay", F.coalesce("__keep", F.lit(True))).where("__stay")
+    return scan(d.withColumn("__takes", F.col("__keep").isNull()), axis, nxt={"__taken": "__takes"}).where(~F.coalesce("__taken", F.lit(False)))
+
+
+def _close_pairs(x: dict[str, list], state: list[float] | None) -> tuple[list, list[float] | None]:
+    """State: time and probability of the last kept beat."""
+    out = []
+    for t, p, lim in zip(x["__s"], x["__pr"], x["__lim"]):
+        if state is None or not t - state[0] < lim:
+            out.append(True)
+        elif state[1] <= p:
+            out.append(None)
+        else:
+            out.append(False)
+            continue
+        state = [t, p]
+    return out, state
+
+
+def _up_jumps(x: dict[str, list], state: list[float] | None) -> tuple[list, list[float] | None]:
+    """State: time of the last kept beat but one (not a number at the start), time and probability of the last."""
+    out = []
+    for t, p, factor in zip(x["__s"], x["__pr"], x["__lim"]):
+        if state is None:
+            out.append(True)
+            state = [float("nan"), t, p]
+            continue
+        before, rr = state[1] - state[0], t - state[1]
+        if not (rr > 0 and before > 0 and before > rr * factor):
+            out.append(True)
+            state = [state[1], t, p]
+        elif state[2] <= p:
+            out.append(None)
+            state = [state[0], t, p]
+        else:
+            out.append(False)
+    return out, state
 
 
 def fused_windows(df: DataFrame, windows: list[str], length: int, out: str = "fused") -> DataFrame:

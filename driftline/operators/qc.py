@@ -68,18 +68,19 @@ def presence_matrix(observed: DataFrame, scope: DataFrame, targets: DataFrame, a
     """Scope deployments × target channels with presence, unit seen and unit match.
 
     ``observed``: dataset_id, deployment_id, channel, unit; ``scope``: dataset_id, deployment_id; ``targets``:
-    channel, expected_unit. The targets are a configured channel list: it travels as one array and is laid out
-    per deployment without a shuffle.
+    channel, expected_unit. A channel seen without a unit is present and has no unit.
     """
     o = observed
     if aliases is not None:
         a = aliases.groupBy("alias").agg(F.min("channel").alias("__c"))
         o = o.join(a, o.channel == a.alias, "left").withColumn("channel", F.coalesce("__c", "channel")).drop("__c", "alias")
-    seen = o.groupBy("dataset_id", "deployment_id", "channel").agg(F.min(F.lower(F.trim("unit"))).alias("unit_seen"))
-    listed = targets.agg(F.collect_list(F.struct("channel", "expected_unit")).alias("__t"))
-    wanted = with_facts(scope, listed).select("dataset_id", "deployment_id", F.inline("__t"))
+    seen = o.groupBy("dataset_id", "deployment_id", "channel").agg(F.min(F.lower(F.trim("unit"))).alias("unit_seen"), F.lit(True).alias("__here"))
+    # The matrix has a row per deployment and target by definition; the salt deals the targets' copies to tasks.
+    salts = 8
+    wanted = (scope.select("dataset_id", "deployment_id", F.pmod(F.xxhash64("dataset_id", "deployment_id"), F.lit(salts)).alias("__s"))
+              .join(targets.select("channel", "expected_unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__s")), "__s").drop("__s"))
     j = wanted.join(seen, ["dataset_id", "deployment_id", "channel"], "left")
-    return j.withColumns({"present": F.col("unit_seen").isNotNull(), "unit_match": F.col("unit_seen") == F.lower(F.trim("expected_unit"))})
+    return j.withColumns({"present": F.col("__here").isNotNull(), "unit_match": F.col("unit_seen") == F.lower(F.trim("expected_unit"))}).drop("__here")
 
 
 def channel_presence(matrix: DataFrame) -> DataFrame:

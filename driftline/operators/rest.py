@@ -11,7 +11,7 @@ from ..core.scan import scan
 from ..functions import labels
 from ..schema import seconds_between
 from .intervals import midpoint
-from .rolling import gradient, rolling_mean
+from .rolling import gradient, rolling_mean, rolling_sums
 
 # Thresholds and switches of the base detector.
 REST_DEFAULTS = {
@@ -53,6 +53,10 @@ def derived_channels(df: DataFrame, axis: Axis, depth: str, fs: float, cfg: dict
     return gradient(s, axis, {"d2": "d1"}).withColumn("d2", F.col("d2") * fs)
 
 
+#: Rows up to a segment's last sample whose mean slope says whether it ends flat.
+END_ROWS = 5
+
+
 def detect_rest(df: DataFrame, axis: Axis, cfg: dict | None = None) -> DataFrame:
     """Candidate segments with their class: surface_sleep, long_flat, long_drift or not_sleep.
 
@@ -66,8 +70,9 @@ def detect_rest(df: DataFrame, axis: Axis, cfg: dict | None = None) -> DataFrame
     family = F.when(surface, F.lit("surface")).when(calm, F.lit("drift_candidate"))
     sign = F.when(F.col("d1") < 0, "-").otherwise("+") if c["end_segments_upon_d1_sign_change"] else F.lit("")
     code = F.when(family == "drift_candidate", F.concat(family, sign)).otherwise(family)
-    runs = find_runs(df, axis, code, {
-        "first_depth": ("first", "depth_std"), "last_depth": ("last", "depth_std"), "end_d1": ("last", "d1"), "start_depth_m": ("first", "depth_std")},
+    ended = rolling_sums(df, axis, END_ROWS - 1, 0, ["d1"]).withColumn("__end_d1", F.try_divide(F.col("__sum_d1"), F.col("__cnt_d1"))).select(*df.columns, "__end_d1")
+    runs = find_runs(ended, axis, code, {
+        "first_depth": ("first", "depth_std"), "last_depth": ("last", "depth_std"), "end_d1": ("last", "__end_d1"), "start_depth_m": ("first", "depth_std")},
         F.col("value").isNotNull())
     dur = seconds_between("start_ts", "end_ts")
     seg = runs.withColumn("duration_s", dur).withColumn(

@@ -71,7 +71,8 @@ def odba(df: DataFrame, axis: Axis, n: int, xyz: list[str], method: str = "vedba
 
 
 def odba_fir(df: DataFrame, axis: Axis, fs: float, fh: float, xyz: list[str], out: str = "odba") -> DataFrame:
-    """Dynamic body acceleration by a zero-phase FIR high-pass: the taps are run forward and backward."""
+    """Dynamic body acceleration by a zero-phase FIR high-pass: the taps are run forward and backward. Rows within the taps'
+    reach of a null are null."""
     h = dsp.fir_highpass(4 * int(fs / fh), fh / (fs / 2))
     both = np.convolve(h, h[::-1])
     centre = len(h) - 1
@@ -158,14 +159,15 @@ def bartlett_smooth(df: DataFrame, axis: Axis, n: int, column: str, out: str) ->
 def butterworth(df: DataFrame, axis: Axis, fs: float, cut: tuple[float, ...], columns: dict[str, str], order: int = 2) -> DataFrame:
     """Zero-phase Butterworth filter (low-pass for one cutoff, band-pass for two); output -> column.
 
-    The halo is as long as the impulse response down to 1e-10, so chunk edges leave no trace.
+    The halo is as long as the impulse response down to 1e-10, so chunk edges leave no trace. A null splits the
+    recording: each stretch between nulls is filtered by itself.
     """
     if max(cut) >= fs / 2:
         raise ValueError(f"cutoff {max(cut)} Hz is not below half the rate {fs} Hz")
     r = dsp.reach(order, cut, fs)
 
     def run(x, at_start, at_end):
-        return {o: dsp.zero_phase(x[c], order, cut, fs, at_start, at_end) for o, c in columns.items()}
+        return {o: dsp.zero_phase_between_nulls(x[c], order, cut, fs, at_start, at_end) for o, c in columns.items()}
 
     return halo_apply(df, axis, 2 * r, 2 * r, run, list(columns.values()), {o: "double" for o in columns})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.facts import with_facts
@@ -63,11 +65,19 @@ def spark_pattern(unit: str | None) -> str | None:
     return " ".join(parts)
 
 
-def epoch_to_ts(df: DataFrame, col: str, out: str = "ts") -> DataFrame:
-    """Unix numbers to instants; the unit is decided once from the median magnitude of the column."""
+def _per_recording(df: DataFrame, keys: list[str] | None, fact: Column) -> DataFrame:
+    """Adds an aggregate of each recording, or of all rows when these are one recording."""
+    if not keys:
+        return with_facts(df, df.agg(fact))
+    facts = df.groupBy(*keys).agg(fact)
+    same = [df[k].eqNullSafe(facts[k]) for k in keys]
+    return df.join(facts, reduce(lambda a, b: a & b, same)).select(*[df[c] for c in df.columns], facts[facts.columns[-1]])
+
+
+def epoch_to_ts(df: DataFrame, col: str, out: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """Unix numbers to instants; the unit follows from the median magnitude of each recording, which ``keys`` tell apart."""
     num = df.withColumn("__num", F.expr(f"try_cast({col} AS double)"))
-    unit = num.agg(F.when(F.percentile_approx("__num", 0.5) >= EPOCH_MS_FROM, 1e3).otherwise(1e6).alias("__mul"))
-    return with_facts(num, unit).withColumn(
+    return _per_recording(num, keys, F.when(F.percentile_approx("__num", 0.5) >= EPOCH_MS_FROM, 1e3).otherwise(1e6).alias("__mul")).withColumn(
         out, F.timestamp_micros(F.round(F.col("__num") * F.col("__mul")).cast("bigint"))).drop("__num", "__mul")
 
 
@@ -83,8 +93,9 @@ def try_patterns(text: Column, patterns: list[str | None]) -> Column:
     return F.coalesce(*tries, F.try_to_timestamp(text))
 
 
-def build_datetime(df: DataFrame, tz: str = "UTC", units: dict[str, str] | None = None, out: str = "ts") -> DataFrame:
-    """Make the instant column from whichever time layout the frame has.
+def build_datetime(df: DataFrame, tz: str = "UTC", units: dict[str, str] | None = None, out: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """Make the instant column from whichever time layout the frame has; ``keys`` tell recordings apart, each of which has its
+    own epoch unit and sub-second rate.
 
     Precedence: datetime, datetimenum, datetimenum_utc, datetime_utc, date_utc+time_utc (with the optional
     sub-second counter time_hz), date+time, date_local+time_local. Naive local values are placed in ``tz``.
@@ -96,12 +107,12 @@ def build_datetime(df: DataFrame, tz: str = "UTC", units: dict[str, str] | None
         return df.withColumn(out, local(try_patterns(F.col("datetime").cast("string"), [spark_pattern(units.get("datetime")), ISO_PATTERN])))
     for c in ("datetimenum", "datetimenum_utc"):
         if c in have:
-            return epoch_to_ts(df, c, out)
+            return epoch_to_ts(df, c, out, keys)
     if "datetime_utc" in have:
         if df.schema["datetime_utc"].dataType.typeName() == "timestamp":
             return df.withColumn(out, F.col("datetime_utc"))
         if df.schema["datetime_utc"].dataType.typeName() in ("double", "float", "long", "integer", "decimal"):
-            return epoch_to_ts(df, "datetime_utc", out)
+            return epoch_to_ts(df, "datetime_utc", out, keys)
         return df.withColumn(out, try_patterns(F.col("datetime_utc"), [ISO_PATTERN]))
     for d, t, utc in (("date_utc", "time_utc", True), ("date", "time", False), ("date_local", "time_local", False)):
         if d in have and t in have:
@@ -114,8 +125,8 @@ def build_datetime(df: DataFrame, tz: str = "UTC", units: dict[str, str] | None
             hz = next((c for c in ("time_hz", "time_Hz") if c in have), None) if utc else None
             if hz is None:
                 return df.withColumn(out, ts)
-            top = df.agg(F.round(F.max(F.col(hz).cast("double"))).alias("__hz"))
-            return with_facts(df, top).withColumn(out, F.when(
+            top = F.round(F.max(F.col(hz).cast("double"))).alias("__hz")
+            return _per_recording(df, keys, top).withColumn(out, F.when(
                 F.col("__hz") > 1, F.timestamp_micros(F.unix_micros(ts) + F.round(
                     (F.col(hz).cast("double") - 1) / F.col("__hz") * 1_000_000).cast("bigint"))).otherwise(ts)).drop("__hz")
     raise ValueError(f"no known time layout among {sorted(have)}")

@@ -260,18 +260,34 @@ def h24(spark, d):
     return x.select("event_id")
 
 
-@query("h25_model_cleanup")
+CLEANUP = f"""WITH RECURSIVE {BEAT}, p AS (SELECT 0 AS n, user_id, event_id, us, k FROM bt UNION ALL
+    SELECT n + 1, user_id, event_id, us, k FROM (SELECT *, bool_or(bad) OVER () AS any_bad FROM (
+      SELECT *, rr IS NOT NULL AND cnt >= 3 AND med > 0 AND rr < med * 0.75 AS bad FROM (
+        SELECT *, median(rr) OVER (PARTITION BY user_id) AS med, count(*) OVER (PARTITION BY user_id) AS cnt FROM (
+          SELECT *, (lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) - us) / 1e6 AS rr FROM p)))) WHERE any_bad AND NOT bad),
+  jb AS (SELECT user_id, event_id, us / 1e6 AS t, k, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS cnt
+         FROM p WHERE n = (SELECT max(n) FROM p)),
+  js AS (SELECT user_id, i, CAST(NULL AS DOUBLE) AS t2, t AS t1, k AS p1, event_id AS id1, CAST(NULL AS BIGINT) AS dropped FROM jb WHERE i = 1 UNION ALL
+    SELECT user_id, i, CASE WHEN bad THEN t2 ELSE t1 END, CASE WHEN bad AND NOT p1 <= k THEN t1 ELSE t END, CASE WHEN bad AND NOT p1 <= k THEN p1 ELSE k END,
+           CASE WHEN bad AND NOT p1 <= k THEN id1 ELSE event_id END, CASE WHEN bad THEN CASE WHEN p1 <= k THEN id1 ELSE event_id END END FROM (
+      SELECT b.user_id, b.i, b.t, b.k, b.event_id, s.t1, s.t2, s.p1, s.id1,
+             b.cnt >= 4 AND s.t2 IS NOT NULL AND b.t - s.t1 > 0 AND s.t1 - s.t2 > 0 AND s.t1 - s.t2 > (b.t - s.t1) * 1.8 AS bad
+      FROM js s JOIN jb b ON b.user_id = s.user_id AND b.i = s.i + 1))
+  SELECT event_id FROM jb WHERE event_id NOT IN (SELECT dropped FROM js WHERE dropped IS NOT NULL)"""
+
+
+@query("h25_model_cleanup", CLEANUP)
 def h25(spark, d):
-    return peaks.model_cleanup(beats(spark, d), signal_axis(spark, d), "k", 0.2, 5.0).select("event_id")
+    return peaks.model_cleanup(beats(spark, d), signal_axis(spark, d), "k").select("event_id")
 
 
-@query("h26_fused_windows", """WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[17:32], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
+@query("h26_fused_windows", """WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
   m AS (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, list_stddev_pop(a) AS sa, list_stddev_pop(b) AS sb FROM e)
-  SELECT vec_id, round(((a[1] - ma) / sa + (b[1] - mb) / sb) / 2, 5) AS first_value, 20 AS width FROM m""")
+  SELECT vec_id, round(((a[1] - ma) / sa + (b[1] - mb) / sb) / 2, 5) AS first_value, 40 AS width FROM m""")
 def h26(spark, d):
     e = load(spark, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    e = e.withColumns({"a": F.slice("v", 1, 16), "b": F.slice("v", 17, 16)})
-    x = peaks.fused_windows(e, ["a", "b"], 20)
+    e = e.withColumns({"a": F.slice("v", 1, 32), "b": F.slice("v", 33, 32)})
+    x = peaks.fused_windows(e, ["a", "b"], 40)
     return x.select("vec_id", F.round(F.get("fused", F.lit(0)), 5).alias("first_value"), F.size("fused").cast("bigint").alias("width"))
 
 
@@ -361,12 +377,13 @@ def x9(spark, d):
 
 # --- learning ----------------------------------------------------------------------------------------
 
-def wide(spark, d, n=8):
+def wide(spark, d, n=64):
+    """All values of the vectors as columns."""
     e = load(spark, d, "embeddings")
     return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(n)])
 
 
-FS = [f"f{i}" for i in range(8)]
+FS = [f"f{i}" for i in range(64)]
 
 
 @query("m1_m2_kmeans_ranked")
@@ -389,15 +406,17 @@ def m4(spark, d):
 @query("m5_random_forest")
 def m5(spark, d):
     w = learn.hash_split(wide(spark, d), "vec_id", 0.4)
-    m = learn.train(w.where("NOT is_test"), FS, "label", "rf", 20)
+    m = learn.train(w.where("NOT is_test"), FS, "label", "rf")
     return m.transform(w.where("is_test")).select("vec_id", "label", "predicted_label", r("pred_confidence", 4))
 
 
 @query("m6_other_classifiers")
 def m6(spark, d):
     w = wide(spark, d).withColumn("label", (F.col("label").cast("int") % 2).cast("string"))
-    a = learn.train(w, FS, "label", "svm").transform(w).select("vec_id", F.lit("svm").alias("kind"), "predicted_label")
-    b = learn.train(w, FS, "label", "gbt", 5).transform(w).select("vec_id", F.lit("gbt").alias("kind"), "predicted_label")
+    w = learn.stratified_split(w, "vec_id", "label", 0.4)
+    seen, new = w.where("NOT is_test"), w.where("is_test")
+    a = learn.train(seen, FS, "label", "svm").transform(new).select("vec_id", F.lit("svm").alias("kind"), "predicted_label")
+    b = learn.train(seen, FS, "label", "gbt", 20).transform(new).select("vec_id", F.lit("gbt").alias("kind"), "predicted_label")
     return a.unionByName(b)
 
 
@@ -410,7 +429,7 @@ def m7(spark, d):
 @query("m8_m9_folds_calibrated")
 def m8(spark, d):
     w = wide(spark, d).withColumns({"label": (F.col("label").cast("int") < 5).cast("int").cast("string"), "grp": F.col("vec_id") % 7})
-    o = learn.out_of_fold(learn.group_folds(w, "grp", 3), FS, "label", 3, trees=10)
+    o = learn.out_of_fold(learn.group_folds(w, "grp", 3), FS, "label", 3)
     return learn.platt(o, "score", "label").select("vec_id", "label", r("calibrated", 4))
 
 

@@ -92,7 +92,7 @@ def summary_tables(segments: DataFrame, predictions: DataFrame, depth: DataFrame
 
 def overlap_flags(rows: DataFrame) -> DataFrame:
     """Largest overlap with the other method per row: tp where there is any, else fp (supervised) or fn (algorithmic)."""
-    d = rows.withColumn("__rid", F.xxhash64(*KEYS, "method", "method_variant", "start_ts", "end_ts", "state_label"))
+    d = rows.withColumn("__rid", F.struct(*KEYS, "method", "method_variant", "start_ts", "end_ts", "state_label"))
     parts = []
     for mine, other in (("supervised", "algorithmic"), ("algorithmic", "supervised")):
         r = d.where(F.col("method") == other).select(*KEYS, F.col("start_ts").alias("o_start"), F.col("end_ts").alias("o_end"))

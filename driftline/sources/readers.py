@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..core.facts import with_facts
 from ..functions.labels import slug
 from ..operators.timebase import ISO_PATTERN, try_patterns
 
@@ -17,10 +16,20 @@ ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
 METADATA_ROW = r"^\s*\"?(Collar:|DeviceID:)|Sensor range"
 
 
-def pick_encoding(spark: SparkSession, paths: str | list[str]) -> str:
-    """UTF-8 when every line is valid UTF-8, else the first single-byte encoding."""
-    bad = spark.read.text(paths).where(~F.is_valid_utf8("value")).limit(1)
-    return ENCODINGS[0] if bad.isEmpty() else ENCODINGS[1]
+def _files(spark: SparkSession, paths: str | list[str], is_preamble: Column) -> list[tuple[str, str, str]]:
+    """(file, encoding, header line) of each file, from one pass over the raw lines; one row per file reaches the driver.
+
+    A file is UTF-8 when all its lines are, else it takes the first single-byte encoding. The header is its first line that
+    is neither preamble nor blank.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    head = ~is_preamble & (F.trim("value") != "") & (F.col("b") == 0)
+    got = lines.groupBy("f").agg(F.min_by(F.when(head, F.col("value").cast("binary")), F.when(head, F.col("i"))).alias("h"), F.bool_and(F.is_valid_utf8("value")).alias("ok"))
+    out = []
+    for r in got.where("h IS NOT NULL").collect():
+        enc = ENCODINGS[0] if r["ok"] else ENCODINGS[1]
+        out.append((r["f"], enc, bytes(r["h"]).decode(enc).rstrip("\r")))
+    return sorted(out)
 
 
 def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
@@ -28,14 +37,6 @@ def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     return spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(paths)
 
 
-def _headers(spark: SparkSession, paths, encoding: str, is_preamble: Column) -> dict[str, list[str]]:
-    """Header line per file: the first line that is no preamble. One row per file reaches the driver."""
-    lines = _lines(spark, paths, encoding).select(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
-    first = lines.where(~is_preamble & (F.trim("value") != "") & (F.col("b") == 0)).groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    return {r["f"]: r["h"] for r in first.collect()}
-
-
 def _split_header(line: str) -> list[str]:
     return [c.strip().strip('"') for c in next(csv.reader([line]))]
 
@@ -43,16 +44,17 @@ def _split_header(line: str) -> list[str]:
 def read_csv(spark: SparkSession, paths: str | list[str], preamble: str = METADATA_ROW, schema: T.StructType | None = None) -> DataFrame:
     """CSV files with encoding fallback; lines matching ``preamble`` (metadata, comments) and header lines are skipped.
 
-    All columns are strings unless a schema is given; files with other headers are read as their own group
-    and united by name. Malformed lines land in ``_corrupt_record``.
+    Encoding and header are each file's own; files that agree in both are read as one group, and groups are united by name.
+    All columns are strings unless a schema is given. Malformed lines land in ``_corrupt_record``.
     """
-    enc = pick_encoding(spark, paths)
-    heads = _headers(spark, paths, enc, F.col("value").rlike(preamble))
-    if not heads:
+    found = _files(spark, paths, F.col("value").rlike(preamble))
+    if not found:
         raise ValueError(f"no header line in {paths}")
+    groups: dict[tuple[str, str], list[str]] = {}
+    for f, enc, head in found:
+        groups.setdefault((head, enc), []).append(f)
     out = None
-    for head in sorted(set(heads.values())):
-        files = sorted(f for f, h in heads.items() if h == head)
+    for (head, enc), files in sorted(groups.items()):
         cols = _split_header(head)
         st = schema or T.StructType([T.StructField(c, T.StringType()) for c in cols])
         lines = _lines(spark, files, enc).select("value", F.col("_metadata.file_path").alias("source_file")).where(
@@ -110,15 +112,15 @@ COMMENT = r"^\s*\"?\s*;|^[\s,]*$"
 def read_state_space_locations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Location files with a ``;`` comment preamble: ts, latitude, longitude and provenance.
 
-    When the documented date pattern fails for more than a fifth of the rows, Spark's own parsing is used.
+    When the documented date pattern fails for more than a fifth of a file's rows, Spark's own parsing is used for that file.
     """
     df = read_csv(spark, paths, COMMENT)
     missing = [c for c in (GPE3_LAT, GPE3_LON, "Date") if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
     strict = F.try_to_timestamp(F.col("Date"), F.lit(GPE3_DATE))
-    worse = df.agg((F.avg(strict.isNull().cast("double")) > 0.2).alias("__worse"))
-    d = with_facts(df, worse)
+    worse = df.groupBy("source_file").agg((F.avg(strict.isNull().cast("double")) > 0.2).alias("__worse"))
+    d = df.join(worse, "source_file")
     num = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     extra = [(num(c) if c.endswith("Score") else F.col(f"`{c}`")).alias(slug_name(c)) for c in ("Observation Type", "Observation Score") if c in df.columns]
     return d.select(F.when(F.col("__worse"), F.coalesce(F.try_to_timestamp(F.col("Date")), strict)).otherwise(strict).alias("ts"), num(GPE3_LAT).alias("latitude"),

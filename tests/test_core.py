@@ -75,16 +75,23 @@ def test_fold_equals_one_pass(data):
         assert sorted(got[got.k == k].t) == want
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20])
-def test_quantiles_exact_even_when_narrowed(data, limit):
-    df, pdf = data
-    d = df.withColumn("x", F.col("t") * 1.5)
-    got = quantiles(d, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.93}, limit=limit, bins=4).toPandas().set_index("k")
+@pytest.mark.parametrize("few", [0, 4_000])
+def test_quantiles_exact_even_when_narrowed(spark, monkeypatch, few):
+    monkeypatch.setattr("driftline.core.stats.FEW", few)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 30_000), "t": np.round(rng.lognormal(size=30_000), 2)})
+    d = spark.createDataFrame(pdf).withColumn("x", F.col("t") * 1.5)
+    got = quantiles(d, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.93}).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         for n, q in (("lo", 0.1), ("mid", 0.5), ("hi", 0.93)):
             assert got.loc[k, n] == pytest.approx(np.quantile(g.t * 1.5, q))
 
 
+def test_median_between_two_frequent_values(spark):
+    d = spark.range(400).select(F.lit(0).alias("k"), (F.col("id") % 2).alias("x"))
+    assert quantiles(d, ["k"], "x", {"m": 0.5}).first()["m"] == 0.5
+
+
 def test_mode_takes_smallest_on_ties(spark):
     df = spark.createDataFrame([("a", 2), ("a", 2), ("a", 1), ("a", 1), ("a", 3)], "k string, v int")
     assert modes(df, ["k"], "v", "m").first()["m"] == 1
