@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.stage import stage
@@ -135,6 +136,24 @@ def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("center", "member", "_s1", "_s2").mapInArrow(run, "center long, member long")
 
 
+def fetch(docs: DataFrame, wanted: DataFrame, node: str, doc_id: str, text: str) -> DataFrame:
+    """``wanted`` (a row per ``node``) with ``_b``, the node's text, packed: all texts meet the ids in a shuffle, in which
+    zstandard takes about two thirds of the bytes that Spark's own block compression does."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.compress(t) for t in b.column(1).to_pylist()], pa.binary())], names=[node, "_b"])
+
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(node), utf8(text).alias("_b"))
+    return texts.mapInArrow(pack, f"{node} long, _b binary").join(wanted, node)
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return (d.decompress(t) for t in column.to_pylist())
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Those of the pairs ``center, member`` that the full sets link.
 
@@ -147,11 +166,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, te
     own = (size.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)))
            .select(F.col("center").alias("member"), F.struct("center", "group").alias("_to")))
     wanted = member.unionAll(own).groupBy("member").agg(F.collect_list("_to").alias("_to"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("member"), utf8(text).alias("_b")).join(wanted, "member")
+    texts = fetch(docs, wanted, "member", doc_id, text)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for who, data, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for who, data, to in zip(b.column(0).to_pylist(), unpacked(b.column(1)), b.column(2).to_pylist()):
                 s = shingles(data).tobytes()
                 step = max(1, (1 << 22) // (len(s) + 1))
                 for i in range(0, len(to), step):
@@ -296,11 +315,11 @@ def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roo
     alike = (in_block_pairs(nodes.select("rep", "comp", "cluster", "n", "sketch"), 512).groupBy("cluster", "b1", "b2").applyInPandas(_alike, "u long, v long"))
     again = stage(components(stage(alike.distinct())).withColumnRenamed("root", "cluster"))
     left = again.join(comp.select(F.col("rep").alias("node"), "comp").distinct(), "node").select(F.col("node").alias("rep"), "comp", "cluster")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), utf8(text).alias("_b")).join(left, "rep").select("rep", "comp", "cluster", "_b")
+    texts = fetch(docs, left, "rep", doc_id, text).select("rep", "comp", "cluster", "_b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = [shingles(t).tobytes() for t in b.column(3).to_pylist()]
+            items = [shingles(t).tobytes() for t in unpacked(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(items, pa.binary())], names=["rep", "comp", "cluster", "items"])
 
     full = texts.mapInArrow(sets, "rep long, comp long, cluster long, items binary")
