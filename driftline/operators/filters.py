@@ -86,6 +86,12 @@ def state_selector(selector: str, state: str = "state_name") -> Column:
     return s == selector
 
 
+def label_set(df: DataFrame, column: str, labels: list[str], keep: bool = True) -> DataFrame:
+    """Rows whose trimmed label is in the set, or those whose label is not; a missing label is in no set."""
+    hit = F.coalesce(F.trim(F.col(column)).isin(labels), F.lit(False))
+    return df.where(hit if keep else ~hit)
+
+
 def events_in_window(df: DataFrame, ts: str, duration: str, key: str, span_keys: list[str], lo: Column, hi: Column) -> DataFrame:
     """Events meeting ``[lo, hi]``; only span-type keys reach back by their duration."""
     end = F.when(F.col(key).isin(span_keys), add_seconds(ts, F.coalesce(F.col(duration), F.lit(0.0)))).otherwise(F.col(ts))

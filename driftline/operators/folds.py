@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from math import asin, cos, radians, sin, sqrt
-
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.axis import Axis
@@ -15,14 +14,15 @@ def thin_by_interval(df: DataFrame, axis: Axis, min_s: float) -> DataFrame:
     gap = int(round(min_s * 1e6))
 
     def fold(cols, state):
-        last = None if state is None else state[0]
-        keep = []
-        for t in cols["__us"]:
-            ok = last is None or t - last >= gap
-            keep.append(ok)
-            if ok:
-                last = t
-        return keep, None if last is None else [last]
+        us = np.asarray(cols["__us"])
+        after = np.searchsorted(us, us + gap)  # the row that follows if this one is kept
+        after = np.maximum(after, np.arange(len(us)) + 1)
+        i = 0 if state is None else int(np.searchsorted(us, state[0] + gap))
+        keep, last = np.zeros(len(us), bool), state
+        while i < len(us):
+            keep[i], last = True, [us[i]]
+            i = int(after[i])
+        return keep, last
 
     d = df.withColumn("__us", axis.pos(df))
     return chunked_fold(d, axis, ["__us"], fold, "__keep").where("__keep").drop("__keep", "__us")
@@ -47,22 +47,26 @@ def speed_filter(df: DataFrame, axis: Axis, lat: str, lon: str, max_kmh: float,
 
     A single outlier does not drag its neighbours along because it never becomes the reference.
     """
+    def too_fast(a, b):
+        """Of fixes (hours, latitude, longitude in radians) whether ``b`` can't be reached from ``a``."""
+        dt = b[0] - a[0]
+        h = np.sin((b[1] - a[1]) / 2) ** 2 + np.cos(a[1]) * np.cos(b[1]) * np.sin((b[2] - a[2]) / 2) ** 2
+        return (dt <= 0) | (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) > max_kmh * dt)
+
     def fold(cols, state):
-        bad = []
-        for us, la, lo in zip(cols["__us"], cols[lat], cols[lon]):
-            flag = False
-            if la == la and lo == lo:  # a fix without position is neither flagged nor a reference
-                t, la, lo = us / 3.6e9, radians(la), radians(lo)
-                if state is not None:
-                    dt = t - state[0]
-                    if dt <= 0:
-                        flag = True
-                    else:
-                        h = sin((la - state[1]) / 2) ** 2 + cos(state[1]) * cos(la) * sin((lo - state[2]) / 2) ** 2
-                        flag = 2 * EARTH_KM * asin(sqrt(min(1.0, h))) / dt > max_kmh
-                if not flag:
-                    state = [t, la, lo]
-            bad.append(flag)
+        x = np.array([np.asarray(cols["__us"]) / 3.6e9, np.radians(cols[lat]), np.radians(cols[lon])])
+        at = np.flatnonzero(~np.isnan(x[1:]).any(0))  # a fix without position is neither flagged nor a reference
+        p, bad = x[:, at], np.zeros(x.shape[1], bool)
+        steps = np.flatnonzero(too_fast(p[:, :-1], p[:, 1:])) + 1  # where a fix doesn't follow from its neighbour
+        k = 0
+        while k < len(at):
+            if state is not None and too_fast(state, p[:, k]):
+                bad[at[k]] = True
+                k += 1
+                continue
+            stop = np.searchsorted(steps, k, side="right")
+            end = int(steps[stop]) if stop < len(steps) else len(at)
+            state, k = p[:, end - 1].tolist(), end
         return bad, state
 
     d = df.withColumn("__us", axis.pos(df))

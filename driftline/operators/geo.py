@@ -146,6 +146,13 @@ def bin_locations(df: DataFrame, keys: list[str], ts: str, lat: str, lon: str, b
         F.avg(lat).alias(lat), F.avg(lon).alias(lon), *[F.min_by(c, F.col(ts)).alias(c) for c in first])
 
 
+def values_at_locations(track: DataFrame, values: DataFrame, keys: list[str], ts: str, lat: str, lon: str, value: str, bin_s: float, first: list[str]) -> DataFrame:
+    """Binned mean positions with the mean value of the same bin; bins without a value keep a null, bins without a position go."""
+    from .timebase import bucket
+    v = values.groupBy(*keys, bucket(ts, bin_s).alias("bin_ts")).agg(F.avg(value).alias(value))
+    return bin_locations(track, keys, ts, lat, lon, bin_s, first).join(v, [*keys, "bin_ts"], "left")
+
+
 def track_extent(df: DataFrame, keys: list[str], lat: str, lon: str, pad: float = 20.0, global_extent: bool = False) -> DataFrame:
     """Padded map extent; longitudes are measured on 0..360 and returned on -180..180."""
     if global_extent:

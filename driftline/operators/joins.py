@@ -97,6 +97,16 @@ def outer_merge(frames: list[DataFrame], on: list[str], order: str | None = None
     return out
 
 
+def binned_inner(left: DataFrame, right: DataFrame, keys: list[str], bin_s: float, means: dict[str, tuple[str, str]]) -> DataFrame:
+    """Means of both signals in time bins that both have: output -> (side's time column, value column), sides in order.
+
+    Each side is reduced to one row per bin (combined map-side) before they are joined.
+    """
+    from .timebase import bucket
+    parts = [df.groupBy(*keys, bucket(ts, bin_s).alias("bin_ts")).agg(F.avg(v).alias(out)) for df, (out, (ts, v)) in zip((left, right), means.items())]
+    return parts[0].join(parts[1], [*keys, "bin_ts"])
+
+
 def greedy_match(truth: DataFrame, found: DataFrame, axis: Axis, tol_s: float) -> DataFrame:
     """One-to-one matching in time order within ±tol: two sorted lists consumed from the front.
 

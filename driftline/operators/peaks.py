@@ -43,18 +43,20 @@ def _decide(v: np.ndarray, height: float, distance: int, at_start: bool, at_end:
         out[first[-1]:last[-1] + 1] = np.where(val[-1] >= height and val[-1] > val[-2], 2, 0)
     pos = (first[peak] + last[peak]) // 2
     h = v[pos]
-    state = np.zeros(len(pos), dtype=int)  # 1 kept, -1 removed, 2 unknown
     lo_vis = -np.inf if at_start else last[0] + distance
     hi_vis = np.inf if at_end else first[-1] - distance
-    for j in np.lexsort((pos, h))[::-1]:
-        a, b = np.searchsorted(pos, pos[j] - distance + 1), np.searchsorted(pos, pos[j] + distance)
-        near = [k for k in range(a, b) if k != j and (h[k], pos[k]) > (h[j], pos[j])]
-        if any(state[k] == 1 for k in near):
-            state[j] = -1
-        elif any(state[k] == 2 for k in near) or not (lo_vis <= pos[j] <= hi_vis):
-            state[j] = 2
-        else:
-            state[j] = 1
+    seen = (pos >= lo_vis) & (pos <= hi_vis)
+    rank = np.empty(len(pos), np.int64)
+    rank[np.lexsort((pos, h))] = np.arange(len(pos))
+    near = np.searchsorted(pos, pos + distance) - np.arange(len(pos)) - 1  # later peaks within the distance
+    i = np.repeat(np.arange(len(pos)), near)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(near) - near, near)
+    low, high = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+    state = np.zeros(len(pos), dtype=int)  # 1 kept, -1 removed, 2 unknown; all whose higher neighbours are settled at once
+    has = lambda s: np.bincount(low[state[high] == s], minlength=len(pos)) > 0
+    while (todo := state == 0).any():
+        kept, open_, unsure = has(1), has(0), has(2)
+        state = np.where(todo & kept, -1, np.where(todo & ~open_, np.where(unsure | ~seen, 2, 1), state))
     out[pos[state == 1]] = 1
     out[pos[state == 2]] = 2
     return out

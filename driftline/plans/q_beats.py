@@ -131,6 +131,16 @@ def h10f(spark, d):
     return x.select("event_id", F.round(F.col("rate_fixed") * 1e4, 5).alias("rate_fixed"))
 
 
+@query("h1_h10_beat_chain")
+def beat_chain(spark, d):
+    """The whole chain: band-pass, smoothing, local z-score, peaks, then the strict rate on every sample."""
+    ax, s = signal_axis(spark, d), signals(spark, d)
+    found, _ = peaks.detect_beats(s, ax, "value", 1.0, (0.05, 0.45), (0.1, 0.4), 50.0, 3.0, 12.0, 0.2, 2.0, 0.05)
+    sp = s.where("event_type = 'error' AND value > 50").select("user_id", F.col("ts").alias("start_ts"), add_seconds("ts", 14400.0).alias("end_ts"))
+    x = peaks.strict_rate(s, found, ax, sp, sp.where("day(start_ts) < 10"), 3600.0, 0.001, 0.01, 43200.0)
+    return x.select("event_id", F.round(F.col("rate_nan") * 1e4, 5).alias("rate_nan"), F.round(F.col("rate_fixed") * 1e4, 5).alias("rate_fixed"))
+
+
 @query("h11_snap_labels", f"""WITH {SIG}, sm AS (SELECT * FROM sig WHERE event_type = 'view'), lb AS (SELECT user_id, us FROM sig WHERE event_type = 'click'),
   b AS (SELECT lb.*, x.us AS bu FROM lb ASOF LEFT JOIN sm x ON x.user_id = lb.user_id AND x.us <= lb.us), f AS (SELECT b.*, x.us AS fu FROM b ASOF LEFT JOIN sm x ON x.user_id = b.user_id AND x.us >= b.us),
   p AS (SELECT user_id, us, CASE WHEN fu IS NULL OR us - bu <= fu - us THEN bu ELSE fu END AS m FROM f)

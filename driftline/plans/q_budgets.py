@@ -197,10 +197,21 @@ def j4(spark, d):
   SELECT user_id, epoch_us(b) AS bin_us, round(x, 6) AS x, round(y, 6) AS y FROM a JOIN c USING (user_id, b)""")
 def j5(spark, d):
     s = signals(spark, d)
-    day = F.date_trunc("day", "ts").alias("b")
-    a = s.where("event_type = 'view'").groupBy("user_id", day).agg(F.avg("value").alias("x"))
-    c = s.where("event_type = 'click'").groupBy("user_id", day).agg(F.avg("value").alias("y"))
-    return a.join(c, ["user_id", "b"]).select("user_id", us("b", "bin_us"), r("x"), r("y"))
+    j = joins.binned_inner(s.where("event_type = 'view'"), s.where("event_type = 'click'"), ["user_id"], 86400.0, {"x": ("ts", "value"), "y": ("ts", "value")})
+    return j.select("user_id", us("bin_ts", "bin_us"), r("x"), r("y"))
+
+
+@query("f11_label_set", "SELECT event_id FROM events WHERE event_type NOT IN ('view', 'error')")
+def f11(spark, d):
+    from ..operators import filters
+    return filters.label_set(signals(spark, d), "event_type", ["view", "error"], False).select("event_id")
+
+
+@query("p17_location_columns", "SELECT event_id, value AS latitude, user_id FROM events")
+def p17(spark, d):
+    from ..schema import LOCATION_ALIASES, canonical
+    s = signals(spark, d).select("event_id", F.col("value").alias("GPS_Lat"), "user_id")
+    return canonical(s, {"latitude": LOCATION_ALIASES["latitude"]}).select("event_id", "latitude", "user_id")
 
 
 @query("j8_lookup_chain", """SELECT s_suppkey, n_name, r_name, CASE WHEN n_nationkey IS NULL THEN 'no_nation' WHEN r_regionkey IS NULL THEN 'no_region' ELSE 'ok' END AS match_status

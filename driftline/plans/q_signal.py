@@ -333,6 +333,14 @@ def k8(spark, d):
     return x.select("user_id", us("bin_ts", "bin_us"), r("lat"), r("lon"), "event_type")
 
 
+@query("j7_values_at_locations", f"""WITH {TRK}, b AS (SELECT user_id, us // 43200000000 * 43200000000 AS bin_us, avg(lat) AS lat, avg(lon) AS lon FROM t GROUP BY 1, 2),
+  v AS (SELECT user_id, us // 43200000000 * 43200000000 AS bin_us, avg(value) AS value FROM (SELECT user_id, epoch_us(ts) AS us, value FROM events WHERE event_type = 'view') GROUP BY 1, 2)
+  SELECT user_id, bin_us, round(lat, 6) AS lat, round(lon, 6) AS lon, round(value, 6) AS value FROM b LEFT JOIN v USING (user_id, bin_us)""")
+def j7(spark, d):
+    x = geo.values_at_locations(track(spark, d), signals(spark, d).where("event_type = 'view'"), ["user_id"], "ts", "lat", "lon", "value", 43200.0, [])
+    return x.select("user_id", us("bin_ts", "bin_us"), r("lat"), r("lon"), r("value"))
+
+
 @query("k9_track_extent", f"""WITH {TRK}, e AS (SELECT user_id, min(lat) - 20 AS a, max(lat) + 20 AS b, min(((lon % 360) + 360) % 360) - 20 AS c, max(((lon % 360) + 360) % 360) + 20 AS d FROM t GROUP BY 1)
   SELECT user_id, round(greatest(-90, a), 6) AS lat_min, round(least(90, b), 6) AS lat_max, ((((c % 360) + 360) % 360 + 180) % 360) - 180 AS lon_min,
     ((((d % 360) + 360) % 360 + 180) % 360) - 180 AS lon_max FROM e""")
