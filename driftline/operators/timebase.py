@@ -69,9 +69,9 @@ def _per_recording(df: DataFrame, keys: list[str] | None, fact: Column) -> DataF
     """Adds an aggregate of each recording, or of all rows when these are one recording."""
     if not keys:
         return with_facts(df, df.agg(fact))
-    facts = df.groupBy(*keys).agg(fact)
-    same = [df[k].eqNullSafe(facts[k]) for k in keys]
-    return df.join(facts, reduce(lambda a, b: a & b, same)).select(*[df[c] for c in df.columns], facts[facts.columns[-1]])
+    facts = df.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(fact)
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    return df.join(facts, reduce(lambda a, b: a & b, same)).drop(*[f"__of_{k}" for k in keys])
 
 
 def epoch_to_ts(df: DataFrame, col: str, out: str = "ts", keys: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from driftline.core.fold import chunked_fold
 from driftline.core.runs import find_runs, label_runs
 from driftline.core.scan import scan
 from driftline.core.stats import modes, quantiles
-from driftline.operators import folds, rolling
+from driftline.operators import folds, learn, peaks, rolling
 from driftline.operators.peaks import select_peaks
 
 AX = Axis(("k",), ("t",), width=7, rows=11)
@@ -134,3 +134,35 @@ def test_greedy_match_counts(spark):
     m = folds.match_in_order(mk(truth), mk(found), Axis(("k",), ("t",), width=4_000_000), 2.0)
     r = folds.match_scores(m, ["k"]).first()
     assert (r["tp"], r["fp"], r["fn"]) == (3, 2, 2)
+
+
+def test_filters_do_not_depend_on_chunks_with_nulls(spark):
+    rng = np.random.default_rng(1)
+    v = [None if i in (100, 101, 700) else float(x) for i, x in enumerate(rng.normal(size=1_000))]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "k bigint, t bigint, v double")
+    out = []
+    for rows in (150, 100_000):
+        ax = Axis(("k",), ("t",), width=10_000, rows=rows)
+        b = rolling.bartlett_smooth(df, ax, 7, "v", "s").orderBy("t").toPandas()["s"]
+        w = rolling.butterworth(df, ax, 10.0, (0.5, 2.0), {"w": "v"}).orderBy("t").toPandas()["w"]
+        out.append((b, w))
+    for a, b in zip(*out):
+        np.testing.assert_allclose(a.astype(float), b.astype(float), atol=1e-8)
+    assert out[0][0].isna().sum() == 8 + 7 and out[0][1].isna().sum() == 3
+
+
+def test_cleanup_works_off_a_long_chain(spark):
+    t = np.cumsum([1.0] * 1_000 + [0.5] * 500)
+    df = spark.createDataFrame([(0, i, float(x), 0.5) for i, x in enumerate(t)], "k bigint, id bigint, s double, p double").select(
+        "k", "id", F.timestamp_micros((F.col("s") * 1_000_000).cast("bigint")).alias("ts"), "p")
+    got = peaks.model_cleanup(df, Axis(("k",), ("ts", "id"), width=100_000_000), "p").orderBy("ts").select(F.unix_micros("ts")).toPandas().iloc[:, 0] / 1e6
+    rr = np.diff(got)
+    assert (rr >= 0.75 * np.median(rr)).all() and not (rr[:-1] > 1.8 * rr[1:]).any() and len(got) < 1_010
+
+
+def test_split_holds_its_share_in_every_stratum(spark):
+    df = spark.range(3_000).select("id", F.when(F.col("id") < 2_900, "a").otherwise("b").alias("s"))
+    got = {r["s"]: r["n"] for r in learn.stratified_split(df, "id", "s", 0.4).groupBy("s").agg(F.sum(F.col("is_test").cast("int")).alias("n")).collect()}
+    assert abs(got["a"] - 1_160) <= 2 and abs(got["b"] - 40) <= 1
+    folds_ = learn.group_folds(df.withColumn("g", F.col("id") % 7), "g", 5).groupBy("fold").agg(F.countDistinct("g").alias("n")).collect()
+    assert len(folds_) == 5 and sum(r["n"] for r in folds_) == 7

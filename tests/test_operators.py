@@ -23,32 +23,27 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def context_filters():
-    near = lambda ref: {"mode": "threshold_gate", "value_expr": f"abs(drift_rate_ms - {ref})"}
-    early = {"inferred_trip_phase_in": ["pre_positive", "never_positive"]}
-    return [
-        {"id": "drift_within_intrinsic_context", "target_state_keys": ["find_rest.long_drift"], "applies_when": {"segment_family": "drift_candidate"},
-         "rule": {**near("inferred_value"), "keep_if": {"comparator": "<", "threshold": 0.3}}, "on_missing_covariate": "reject", "reject_reason": "intrinsic_context_mismatch"},
-        {"id": "prepositive_negative_only", "applies_when": early, "rule": {"mode": "category_gate", "field": "segment_sign", "allowed_values": ["negative"]},
-         "reject_reason": "prepositive_positive_drift_rejected"},
-        {"id": "postpositive_negative_deep_enough", "applies_when": {"inferred_trip_phase_in": ["post_positive", "always_positive"], "segment_sign": "negative"},
-         "rule": {"mode": "threshold_gate", "field": "start_depth_m", "keep_if": {"comparator": ">=", "threshold": 200.0}}, "reject_reason": "postpositive_negative_too_shallow"},
-        {"id": "early_trip_refinement", "applies_when": {**early, "elapsed_days": {"comparator": "<", "threshold": 15.0}},
-         "rule": {**near("early_reference_value"), "keep_if": {"comparator": "<", "threshold": 0.15}}, "on_missing_covariate": "skip_filter", "reject_reason": "early_trip_refinement_failed"},
-    ]
-
-
 def test_trip_phase_and_ordered_filters(spark):
-    rows = [(1, i + 1, at(d * 86400), d, r, z, "positive" if r > 0 else "negative") for i, (d, r, z) in enumerate(
-        [(1.0, 0.12, 120.0), (5.0, -0.17, 320.0), (45.0, -0.10, 150.0), (50.0, 0.14, 350.0)])]
+    """A category gate and a threshold gate that apply in some phases, one gate that needs its reference and one that may miss it."""
+    off = lambda ref, most: {"mode": "threshold_gate", "value_expr": f"abs(drift_rate_ms - {ref})", "keep_if": {"comparator": "<", "threshold": most}}
+    filters = [
+        {"id": "near_context", "rule": off("inferred_value", 0.4), "on_missing_covariate": "reject", "reject_reason": "far_from_context"},
+        {"id": "sinks_before_turn", "applies_when": {"inferred_trip_phase_in": ["pre_positive", "never_positive"]},
+         "rule": {"mode": "category_gate", "field": "segment_sign", "allowed_values": ["negative"]}, "reject_reason": "rises_too_early"},
+        {"id": "late_sinks_are_deep", "applies_when": {"inferred_trip_phase_in": ["post_positive", "always_positive"], "segment_sign": "negative"},
+         "rule": {"mode": "threshold_gate", "field": "start_depth_m", "keep_if": {"comparator": ">=", "threshold": 180.0}}, "reject_reason": "late_and_shallow"},
+        {"id": "first_days", "applies_when": {"elapsed_days": {"comparator": "<", "threshold": 20.0}}, "rule": off("early_reference_value", 0.2), "on_missing_covariate": "skip_filter",
+         "reject_reason": "unlike_first_days"},
+    ]
+    days = [(2.0, 0.11, 130.0), (6.0, -0.16, 300.0), (40.0, -0.11, 140.0), (55.0, 0.13, 360.0)]
+    rows = [(1, i + 1, at(d * 86400), d, r, z, "positive" if r > 0 else "negative") for i, (d, r, z) in enumerate(days)]
     seg = frame(spark, rows, "id bigint, segment_rank int, ts timestamp, elapsed_days double, drift_rate_ms double, start_depth_m double, segment_sign string").withColumns({
         "segment_family": F.lit("drift_candidate"), "base_state_key": F.lit("find_rest.long_drift"), "base_nominal_class": F.lit("long_drift"), "base_keep_filtered": F.lit(True)})
     s = rest.smoothed_metric(seg, AX, "drift_rate_ms", F.col("start_depth_m") <= 500, 0.25, "inferred_value", -0.03, 0.0)
     s = rest.trip_phase(s, ["id"], "elapsed_days", "inferred_value", "inferred_value_phase", depth="start_depth_m").withColumnRenamed("trip_phase", "inferred_trip_phase")
-    out = {r["segment_rank"]: r for r in rules.final_class(rules.apply_filters(s, context_filters())).collect()}
+    out = {r["segment_rank"]: r for r in rules.final_class(rules.apply_filters(s, filters)).collect()}
     assert [out[i]["keep_filtered"] for i in (1, 2, 3, 4)] == [False, True, False, True]
-    assert "prepositive_positive_drift_rejected" in out[1]["context_reject_reason"]
-    assert out[3]["context_reject_reason"] == "postpositive_negative_too_shallow"
+    assert "rises_too_early" in out[1]["context_reject_reason"] and out[3]["context_reject_reason"] == "late_and_shallow"
     assert [out[i]["nominal_class"] for i in (1, 2)] == ["not_sleep", "long_drift"]
 
 

@@ -126,3 +126,17 @@ def test_streams_equal_batch(spark, tmp_path):
     bins = spark.table("bins").orderBy("bin_ts").collect()
     assert [r["n_samples"] for r in bins] == [10, 10, 10, 10] and bins[0]["activity"] == 5.0
     assert spark.table("spans").first()["n_merged"] == 40
+
+
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("name,x\nµ,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,x\nå,2\n".encode("latin-1"))
+    got = {r["x"]: r["name"] for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert got == {"1": "µ", "2": "å"}
+
+
+def test_each_recording_has_its_own_epoch_unit(spark):
+    from driftline.operators.timebase import build_datetime
+    df = spark.createDataFrame([("s", 1_700_000_000.0), ("s", 1_700_000_060.0), ("ms", 1_700_000_000_000.0)], "rec string, datetimenum double")
+    got = build_datetime(df, keys=["rec"]).selectExpr("year(ts) AS y").distinct().collect()
+    assert [r["y"] for r in got] == [2023]
