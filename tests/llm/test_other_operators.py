@@ -198,15 +198,16 @@ def test_huffman_and_probabilities_sum_to_one():
     assert sum(2.0 ** -n for n in code[0].tolist()) == pytest.approx(1)
     rng = np.random.default_rng(0)
     model = lm.MixingModel([rng.normal(size=1 << b).astype(np.float16) for b in lm.BITS], code, known, np.full((lm.GATES, lm.K), 0.3, np.float32))
-    text = lm._read(b"aa zz bb", known)
+    read = lambda t: lm._read(t, known, lm.Places(known))
+    text = read(b"aa zz bb")
     p = model.log_p([text])
-    both = model.log_p([text, lm._read(b"cc", known)])
+    both = model.log_p([text, read(b"cc")])
     assert p[0] == pytest.approx(both[0]) and np.isfinite(both).all()
     first = 0.0  # all symbols in the place of the first one
     place = np.arange(-lm.WORDS, 3)
     for s in range(lm.WORDS + 3):
         n, o = int(code[0][s]), int(code[1][s])
-        _, hashed, _ = lm.contexts([lm._read(b"", known)], code[3])
+        _, hashed, _ = lm.contexts([read(b"")], code[3])
         z = 1.0
         for e in code[2][o:o + n]:
             x = int(lm.spread(np.array([e], np.uint32))[0])
