@@ -24,6 +24,16 @@ def utf8(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def bounded_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """Texts go to Python workers in Arrow batches of at most ``rows`` rows, a bound on the session's own setting: with the usual
+    10,000 a batch of long texts takes hundreds of MB on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def pieces(n: int, target: int, least: int = 1) -> int:
     """How many groups of about ``target`` rows ``n`` rows make."""
     return max(least, math.ceil(n / target))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.stage import stage
-from .common import utf8
+from .common import bounded_batches, utf8
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -117,7 +117,7 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(short, pa.binary())],
                 names=["doc_id", "text_hash", "n", "hi", "lo", "keys", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), utf8(text).alias("_b")).mapInArrow(
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), utf8(text).alias("_b")).mapInArrow(
         run, "doc_id long, text_hash long, n long, hi long, lo long, keys array<long>, sketch binary")
 
 

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.stage import stage
-from .common import pieces
+from .common import bounded_batches, pieces
 
 #: White space that splitting at single blanks and line ends does not treat as the tokenizer does.
 _ODD = regex.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
@@ -86,7 +86,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, en
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()),
                                               pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 
 BLOCK = 2048
 DICT_BYTES = 256 * 1024
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", doc_id:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scored(model, 1, b))], names=[doc_id, "score"])
 
-    return docs.select(F.col(doc_id), utf8(text).alias("_b")).mapInArrow(run, f"`{doc_id}` {kind}, score double")
+    return bounded_batches(docs).select(F.col(doc_id), utf8(text).alias("_b")).mapInArrow(run, f"`{doc_id}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -149,4 +149,4 @@ def keep_good(docs: DataFrame, model: CompressionModel, text: str = "text", thre
         for b in batches:
             yield b.filter(pa.array(_scored(model, at, b) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
