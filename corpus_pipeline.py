@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of near copies."""
-    return dedup.keep_first(docs)
+    """One row for each group of near copies; a similarity of 0.8 or more links."""
+    return dedup.keep_first(docs, link=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ smallest member; those it left in different components then meet in blocks. Ever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,8 @@ from ..core.stage import stage
 from .common import bounded_batches, utf8
 
 WORDS = 5
-BANDS, ROWS = 32, 5
-SIZE = BANDS * ROWS
-LINK, OF = 85, 100
-#: Coordinates (of SIZE, compared by 8 bits) that must agree before sets are fetched: at a similarity of 0.85 fewer agree
-#: with a probability below 1e-9.
-AGREE = 104
+SIZE = 160
+OF = 100
 PER_GROUP = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -45,8 +43,27 @@ def _seeds(n: int, start: int) -> np.ndarray:
 
 _PLACE = _seeds(WORDS, 1_000) | np.uint64(1)
 _ROUND = _seeds(2 * SIZE, 2_000)
-_ROW = _seeds(ROWS, 3_000) | np.uint64(1)
-_BAND = _seeds(BANDS, 4_000)
+_ROW = _seeds(SIZE, 3_000) | np.uint64(1)
+_BAND = _seeds(SIZE, 4_000)
+
+
+@dataclass(frozen=True)
+class Law:
+    """What a link of ``link`` hundredths of similarity or more asks for: rows of a band, and coordinates (of SIZE, compared
+    by 8 bits) that must agree before sets are fetched."""
+
+    link: int
+    rows: int
+    agree: int
+
+
+def law(link: int) -> Law:
+    """At a similarity of ``link / OF`` a pair shares no band with a probability of at most 1e-8, the longest bands that
+    do so, and too few of its coordinates agree with a probability of at most 1e-10."""
+    t = link / OF
+    rows = max((r for r in range(1, SIZE + 1) if SIZE % r == 0 and (1 - t ** r) ** (SIZE // r) <= 1e-8), default=1)
+    below = np.cumsum([comb(SIZE, k) * t ** k * (1 - t) ** (SIZE - k) for k in range(SIZE)])
+    return Law(link, rows, int((below <= 1e-10).sum()))
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -85,16 +102,16 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, the band's number mixed in."""
-    return _mix((_mix(coordinates).reshape(BANDS, ROWS) * _ROW).sum(1) ^ _BAND)
+def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` coordinates, the band's number mixed in."""
+    return _mix((_mix(coordinates).reshape(-1, rows) * _ROW[:rows]).sum(1) ^ _BAND[:SIZE // rows])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def describe(docs: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, hash of the text, set size, 128-bit set fingerprint, band keys, and the sketch cut to 8 bits a coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +124,7 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 hi.append(fp >> 64), lo.append(fp & (1 << 64) - 1)
                 if len(s):
                     c = sketch(s)
-                    keys.append(bands(c)), short.append(_mix(c).astype(np.uint8).tobytes())
+                    keys.append(bands(c, rows)), short.append(_mix(c).astype(np.uint8).tobytes())
                 else:
                     keys.append(np.empty(0, np.uint64)), short.append(b"")
             flat = _signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
@@ -121,17 +138,17 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         run, "doc_id long, text_hash long, n long, hi long, lo long, keys array<long>, sketch binary")
 
 
-def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _agree(pairs: DataFrame, nodes: DataFrame, law: Law) -> DataFrame:
     """Pairs whose sizes and sketches allow a link."""
     a = nodes.select(F.col("rep").alias("center"), F.col("n").alias("_n1"), F.col("sketch").alias("_s1"))
     b = nodes.select(F.col("rep").alias("member"), F.col("n").alias("_n2"), F.col("sketch").alias("_s2"))
     near = (pairs.join(b, "member").join(a, "center")
-            .where((OF * F.least("_n1", "_n2") >= LINK * F.greatest("_n1", "_n2"))))
+            .where((OF * F.least("_n1", "_n2") >= law.link * F.greatest("_n1", "_n2"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             s, t = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (2, 3))
-            yield x.select([0, 1]).filter(pa.array((s == t).sum(1) >= AGREE))
+            yield x.select([0, 1]).filter(pa.array((s == t).sum(1) >= law.agree))
 
     return near.select("center", "member", "_s1", "_s2").mapInArrow(run, "center long, member long")
 
@@ -154,13 +171,13 @@ def unpacked(column: pa.Array) -> Iterator[bytes]:
     return (d.decompress(t) for t in column.to_pylist())
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, law: Law, doc_id: str, text: str) -> DataFrame:
     """Those of the pairs ``center, member`` that the full sets link.
 
     Sets are made from the whole texts of the documents concerned. A center's members are dealt to groups of about
     PER_GROUP, each of which gets a copy of the center's set, so no center is too popular for a task.
     """
-    pairs = stage(_agree(pairs, nodes))
+    pairs = stage(_agree(pairs, nodes, law))
     size = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).alias("_groups"))
     member = pairs.join(size, "center").select("member", F.struct("center", F.pmod(F.xxhash64("member"), F.col("_groups")).alias("group")).alias("_to"))
     own = (size.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)))
@@ -186,7 +203,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, te
             x = np.frombuffer(x, np.uint64)
             for h in hub:
                 both = int((h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x).sum()) if len(h) else 0
-                if OF * both >= LINK * (len(h) + len(x) - both) and both:
+                if OF * both >= law.link * (len(h) + len(x) - both) and both:
                     hit.append((c, m))
                     break
         return pd.DataFrame(hit, columns=["center", "member"], dtype="int64")
@@ -253,14 +270,14 @@ def _pairs_to_try(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == b1), np.flatnonzero(own == b2)
 
 
-def _alike(f: pd.DataFrame) -> pd.DataFrame:
+def _alike(f: pd.DataFrame, law: Law) -> pd.DataFrame:
     """A spanning forest of the pairs in different components that sizes and sketches allow."""
     n, s, comp, rep = f["n"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, SIZE), f["comp"].to_numpy(), f["rep"].to_numpy()
     left, right = _pairs_to_try(f)
     out = []
     for i in left:
-        at = right[(comp[right] != comp[i]) & (OF * np.minimum(n[right], n[i]) >= LINK * np.maximum(n[right], n[i]))]
-        at = at[(s[at] == s[i]).sum(1) >= AGREE]
+        at = right[(comp[right] != comp[i]) & (OF * np.minimum(n[right], n[i]) >= law.link * np.maximum(n[right], n[i]))]
+        at = at[(s[at] == s[i]).sum(1) >= law.agree]
         out.append(np.c_[np.full(len(at), i), at])
     pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
     pairs = pairs[_forest(pairs, np.arange(len(f)))]
@@ -287,20 +304,20 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(f: pd.DataFrame) -> pd.DataFrame:
+def _linked(f: pd.DataFrame, law: Law) -> pd.DataFrame:
     """Links of full sets between different components, as many as join these."""
     sets = [np.frombuffer(x, np.uint64) for x in f["items"]]
     comp, rep, n = f["comp"].to_numpy(), f["rep"].to_numpy(), np.array([len(x) for x in sets])
     left, right = _pairs_to_try(f)
     both = shared_counts(sets)[np.ix_(left, right)]
-    ok = (OF * both >= LINK * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+    ok = (OF * both >= law.link * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
     i, j = np.nonzero(ok)
     pairs = np.c_[left[i], right[j]]
     pairs = pairs[_forest(pairs, comp)]
     return pd.DataFrame({"u": rep[pairs[:, 0]], "v": rep[pairs[:, 1]]})
 
 
-def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roots: DataFrame, law: Law, doc_id: str, text: str) -> DataFrame:
     """The links ``u, v`` that join components whose documents share a band, however many they are.
 
     Components that share bands make clusters; within a cluster all documents meet in pairs of blocks. Sketches are compared
@@ -312,7 +329,7 @@ def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roo
     comp = stage(comp.join(mixed, "key").select("u", "rep", "comp").distinct())
     cluster = components(comp.select("u", F.col("comp").alias("v")).where("u != v")).select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
     nodes = comp.select("rep", "comp").distinct().join(cluster, "comp").join(named.select("rep", "n", "sketch"), "rep")
-    alike = (in_block_pairs(nodes.select("rep", "comp", "cluster", "n", "sketch"), 512).groupBy("cluster", "b1", "b2").applyInPandas(_alike, "u long, v long"))
+    alike = (in_block_pairs(nodes.select("rep", "comp", "cluster", "n", "sketch"), 512).groupBy("cluster", "b1", "b2").applyInPandas(lambda f: _alike(f, law), "u long, v long"))
     again = stage(components(stage(alike.distinct())).withColumnRenamed("root", "cluster"))
     left = again.join(comp.select(F.col("rep").alias("node"), "comp").distinct(), "node").select(F.col("node").alias("rep"), "comp", "cluster")
     texts = fetch(docs, left, "rep", doc_id, text).select("rep", "comp", "cluster", "_b")
@@ -323,17 +340,18 @@ def across_components(members: DataFrame, named: DataFrame, docs: DataFrame, roo
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(items, pa.binary())], names=["rep", "comp", "cluster", "items"])
 
     full = texts.mapInArrow(sets, "rep long, comp long, cluster long, items binary")
-    return in_block_pairs(stage(full), 192).groupBy("cluster", "b1", "b2").applyInPandas(_linked, "u long, v long").distinct()
+    return in_block_pairs(stage(full), 192).groupBy("cluster", "b1", "b2").applyInPandas(lambda f: _linked(f, law), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = 85) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row; a similarity of ``link`` hundredths or more links.
 
     Null, empty and wordless texts have no shingles and stay alone. Rows with the same id count as one document, whose
     texts belong together. Rows without an id join the component of rows with the same set; where no such row has an
     id, their component is null and they count as kept.
     """
-    rows = stage(describe(docs, doc_id, text))
+    held = law(link)
+    rows = stage(describe(docs, held.rows, doc_id, text))
     some = rows.where("n > 0")
     nodes = stage(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "keys", "sketch")).alias("_x"))
                   .select("hi", "lo", "rep", "_x.n", "_x.keys", "_x.sketch"))
@@ -342,21 +360,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     members = stage(keyed.join(shared, "key"))
     stars = members.where("rep != center").select("center", F.col("rep").alias("member")).distinct()
-    links = stage(confirm(stars, docs, named, doc_id, text))
+    links = stage(confirm(stars, docs, named, held, doc_id, text))
     same_id = some.where("doc_id IS NOT NULL").select("hi", "lo", F.col("doc_id").alias("u")).join(named.select("hi", "lo", F.col("rep").alias("v")), ["hi", "lo"]).where("u != v")
     repeated = same_id.join(named.select(F.col("rep").alias("u")).distinct(), "u").select("u", "v")  # an id whose other text leads elsewhere
     edges = links.select(F.col("center").alias("u"), F.col("member").alias("v")).unionAll(repeated)
     roots = stage(components(edges))
-    more = stage(across_components(members, named, docs, roots, doc_id, text))
+    more = stage(across_components(members, named, docs, roots, held, doc_id, text))
     roots = stage(components(edges.unionAll(more)))
     of_set = named.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     placed = rows.join(of_set, ["hi", "lo"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return placed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = 85) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one each, with all their columns."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = near_duplicates(docs, doc_id, text, link).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     h = docs.withColumn("__own", F.xxhash64(F.col(text)))
     left = h.join(kept, h[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
     same = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.col("__own"))).orderBy("__own")

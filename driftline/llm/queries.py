@@ -84,7 +84,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 @query("op7_near_duplicates", NEAR_SQL)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), link=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 WARC_SQL = """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftline.core.stage import ensure_checkpoint_dir
-from driftline.llm import ann, chat, lm, topk, warc
+from driftline.llm import ann, chat, dedup, lm, topk, warc
 
 FILES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -229,3 +229,20 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_links_from_a_similarity_of_080(spark):
+    """A text, a copy with a similarity of 0.82, and another text."""
+    docs = []
+    for g in range(25):
+        w = [f"g{g}.{k}" for k in range(186)]
+        docs.append((10 * g, " ".join(w), 1))
+        docs.append((10 * g + 1, " ".join(w[:168] + [f"x{g}.{k}" for k in range(18)]), 1))
+        docs.append((10 * g + 2, " ".join(w[:40] + [f"y{g}.{k}" for k in range(146)]), 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    near = dedup.shingles(docs[0][1].encode()), dedup.shingles(docs[1][1].encode())
+    both = len(np.intersect1d(*near))
+    assert 0.8 <= both / (len(near[0]) + len(near[1]) - both) < 0.85
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == {10 * g + k for g in range(25) for k in (0, 2)}
+    assert dedup.keep_first(frame).count() == 75
+    assert (dedup.law(85), dedup.law(80)) == (dedup.Law(85, 5, 104), dedup.Law(80, 4, 93))
