@@ -15,16 +15,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..core.stage import stage
 from .common import pieces
 
-#: Scaled components from here on could overflow a long in a sum of products.
-LARGEST = 1 << 28
+#: Scores from here on, and below its negative, do not fit; they rank as this number.
+LARGEST = (1 << 63) - 1
 SLICES, HEAD = 2, 24
 
 
 def scaled(embedding: str, factor: int = 256) -> tuple[Column, Column]:
-    """(vector as floor(factor * x), whether it takes part)."""
+    """(vector as floor(factor * x), whole numbers in doubles, whether it takes part: without nulls, all finite)."""
     v = F.col(embedding)
-    ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double") * factor) < LARGEST, F.lit(False)) & ~F.isnan(x))
-    return F.transform(v, lambda x: F.floor(x.cast("double") * factor)), ok
+    ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x))
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * factor
+        return F.when(F.abs(y) < 2.0 ** 52, F.floor(y).cast("double")).otherwise(y)  # doubles from there on are whole
+
+    return F.transform(v, whole), ok
 
 
 def drop_dominated(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
@@ -52,24 +57,54 @@ def _width(*columns: pd.Series) -> int:
 
 
 def _partials(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Exact partial scores of each slice: in doubles while whole numbers stay exact there, else in longs."""
+    """Exact partial scores of each slice, in doubles while whole numbers stay exact there; else the first has the whole
+    score and the others nothing."""
     safe = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2.0 ** 53
+    if not safe:
+        total = _large(q, c)
+        return [total] + [np.zeros_like(total)] * (slices - 1)
     cut = np.array_split(np.arange(q.shape[1]), slices)
-    if safe:
-        q, c = q.astype(float), c.astype(float)
+    q, c = q.astype(float), c.astype(float)
     return [(q[:, x] @ c[:, x].T).astype(np.int64) for x in cut]
 
 
+def _wrapped(m: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2**64, as longs."""
+    if m.dtype.kind == "i":
+        return m.astype(np.int64)
+    r = np.fmod(m, 2.0 ** 64)
+    return np.where(r >= 2.0 ** 63, r - 2.0 ** 64, np.where(r < -2.0 ** 63, r + 2.0 ** 64, r)).astype(np.int64)
+
+
+def _large(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact scores, those beyond ``LARGEST`` as plus or minus this number.
+
+    Sums of longs wrap, so they are right wherever the score fits. Doubles tell where it does; what their error leaves open
+    is summed in Python's integers.
+    """
+    with np.errstate(all="ignore"):
+        out = _wrapped(q) @ _wrapped(c).T
+        x, y = q.astype(float), c.astype(float)
+        near, error = x @ y.T, (np.abs(x) @ np.abs(y).T) * ((q.shape[1] + 8) * 2.0 ** -52)
+        over, under, fits = near - error > 2.0 ** 63, near + error < -2.0 ** 63, np.abs(near) + error < 2.0 ** 63 * (1 - 2.0 ** -40)
+    out[over], out[under] = LARGEST, -LARGEST
+    for i, j in zip(*np.nonzero(~(over | under | fits))):
+        out[i, j] = min(max(sum(int(a) * int(b) for a, b in zip(q[i].tolist(), c[j].tolist())), -LARGEST), LARGEST)
+    return out
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best scores, ties to smaller ids."""
     return np.lexsort((ids, -scores))[:k]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = SLICES, per_block: int = 4_096, per_query_block: int = 1_024) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the k best of ``vectors`` for each of ``queries``, both ``vec_id, v`` of longs.
+    """``query_id, rank, vec_id, score`` of the k best of ``vectors`` for each of ``queries``, both ``vec_id, v`` of whole numbers
+    (longs or doubles).
 
     Rows meet in blocks of bounded size; a query's own id is no candidate. Rows without an id take no part. Fewer than k
-    candidates give fewer rows, and vectors of unequal length are compared as if the shorter ended in zeros.
+    candidates give fewer rows, and vectors of unequal length are compared as if the shorter ended in zeros. A score among the k
+    best that does not fit a long (``LARGEST`` counts as beyond) is an error.
     """
     vectors = stage(drop_dominated(vectors.where("vec_id IS NOT NULL"), k))
     queries = stage(queries.where("vec_id IS NOT NULL").distinct())
@@ -124,4 +159,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = SLI
               .select("vec_id", (F.col("total") - F.abs("total") * F.lit(1e-12)).cast("double").alias("cutoff")))  # safe in doubles
     found = meet(queries.join(stage(cutoff), "vec_id", "left"), resolve, "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fitting = F.when(F.abs("score") < LARGEST, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("score does not fit a long: vectors "), "query_id", F.lit(", "), "vec_id")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fitting.alias("score"))

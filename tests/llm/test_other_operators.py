@@ -92,6 +92,30 @@ def test_topk_few_and_none(spark):
     assert topk.search(r.limit(0), r.limit(0)).count() == 0
 
 
+def test_topk_keeps_large_finite_vectors(spark):
+    raw = [(50, [3e6, 1.0]), (1, [2e6, -1.0]), (2, [-2e6, 0.5]), (3, [0.25, 1e200]), (4, [0.0, 2.0]), (5, [float("inf"), 0.0])]
+    frame = spark.createDataFrame(raw, "vec_id long, embedding array<double>")
+    v, ok = topk.scaled("embedding")
+    r = frame.where(ok).select("vec_id", v.alias("v"))
+    few = r.where("vec_id <> 3")
+    got = topk.search(few, few.where("vec_id = 50")).orderBy("rank").collect()
+    assert [(x["vec_id"], x["score"]) for x in got] == [(1, 65536 * 6 * 10 ** 12 - 65536), (4, 131072), (2, -65536 * 6 * 10 ** 12 + 32768)]
+    assert r.count() == 5
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(r, r.where("vec_id = 50")).collect()
+
+
+def test_large_scores_are_exact():
+    rng = np.random.default_rng(2)
+    q, c = np.floor(rng.normal(size=(9, 128)) * 2.0 ** 29), np.floor(rng.normal(size=(11, 128)) * 2.0 ** 29)
+    c[0] = q[0] * 16  # beyond a long
+    c[1], c[2, :2], q[1, :2] = -c[0], [2.0 ** 70, -2.0 ** 70], 2.0 ** 20  # terms beyond a long that cancel
+    want = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y)), -topk.LARGEST), topk.LARGEST) for y in c] for x in q]
+    assert topk._large(q, c).tolist() == want and want[0][0] == topk.LARGEST == -want[0][1] and abs(want[1][2]) < topk.LARGEST
+    assert topk._large(q.astype(np.int64), c[3:].astype(np.int64)).tolist() == [w[3:] for w in want]
+    assert sum(topk._partials(q, c, 2)).tolist() == want
+
+
 def test_ann_recall_and_scores(spark):
     frame, raw = vectors(spark)
     r = frame.where(ann.usable("embedding")).select("vec_id", F.col("embedding").alias("v"))
