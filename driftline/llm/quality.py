@@ -58,8 +58,9 @@ class CompressionModel:
                 self.__dict__["_made"].append(zstandard.ZstdCompressor(**opts))
         return self.__dict__["_made"]
 
-    def features(self, data: bytes) -> tuple[float, float, float]:
-        """Normalised size difference, compressed share of the text, log length; zeros for an empty text."""
+    def features(self, data: bytes, length: int | None = None) -> tuple[float, float, float]:
+        """Normalised size difference, compressed share of the text, log length; zeros for an empty text. ``data`` may be
+        blocks of a text of ``length`` bytes."""
         if not data:
             return 0.0, 0.0, 0.0
         by_good, by_bad = self._compressors()
@@ -67,7 +68,7 @@ class CompressionModel:
         for block in _blocks(data):
             g += len(by_good.compress(block))
             b += len(by_bad.compress(block))
-        return (b - g) / (b + g), (b + g) / (2.0 * len(data)), float(np.log1p(len(data)))
+        return (b - g) / (b + g), (b + g) / (2.0 * len(data)), float(np.log1p(length or len(data)))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts], dtype=float).reshape(-1, 3)
@@ -92,10 +93,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-3, r
     return [float(w[0] - (w[1:] * mean / std).sum()), *(float(v) for v in w[1:] / std)]
 
 
+def _sampled(share: int) -> Column:
+    """The text ``_b`` as an array of bytes; of one longer than ``share`` as many blocks as fit, chosen by hash, in order."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("_b"), F.lit(BLOCK)), lambda x: F.struct(F.xxhash64("_id", x).alias("h"), x.alias("at")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(starts), 1, share // BLOCK), lambda x: x["at"]))
+    return F.when(F.length("_b") <= share, F.array("_b")).otherwise(F.transform(chosen, lambda x: F.col("_b").substr(x, F.lit(BLOCK))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
         per_class: int = 3000, bytes_per_class: int = 24 << 20) -> CompressionModel:
     """Fit on a bounded sample: of each class the first ``per_class`` labelled documents by hash of the id, while their
-    texts stay within ``bytes_per_class``; even ranks build the dictionary, odd ranks calibrate.
+    texts stay within ``bytes_per_class``; even ranks build the dictionary, odd ranks calibrate. A text longer than a 64th of
+    these bytes brings so many of its blocks, chosen by hash, so that it leaves room for the others.
 
     ``usable`` is a condition on ``labels``. Labels other than 0 and 1 are ignored, a document labelled twice counts with the
     higher label. Without rows of both classes the score is the share of label 1, 0.5 without any label.
@@ -110,18 +119,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     texts = (docs.select(F.col(doc_id).alias("_id"), utf8(text).alias("_b"))
              .join(F.broadcast(chosen), "_id")  # at most 2 * per_class ids
              .where(F.length("_b") > 0))
-    by = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_b"))
-    rows = (texts.withColumn("_sum", F.sum(F.length("_b")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    share = max(BLOCK, bytes_per_class // 64 // BLOCK * BLOCK)
+    texts = texts.select("_id", "_y", F.xxhash64("_b").alias("_h"), F.length("_b").alias("_n"), _sampled(share).alias("_b"))
+    by = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", "_h")
+    rows = (texts.withColumn("_sum", F.sum(F.least("_n", F.lit(share))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_rank", F.row_number().over(by))
             .where((F.col("_sum") <= bytes_per_class) & (F.col("_rank") <= per_class)).orderBy("_y", "_rank").collect())
     total = sum(count.values())
     prior = min(max(count.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else 0.5
     model = CompressionModel(weights=[float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0])
-    parts = {(y, odd): [bytes(r["_b"]) for r in rows if r["_y"] == y and r["_rank"] % 2 == odd] for y in (0, 1) for odd in (0, 1)}
+    parts = {(y, odd): [(b"".join(r["_b"]), r["_n"]) for r in rows if r["_y"] == y and r["_rank"] % 2 == odd] for y in (0, 1) for odd in (0, 1)}
     if any(not p for p in parts.values()):
         return model
-    model.good, model.bad = build_dictionary(parts[1, 0]), build_dictionary(parts[0, 0])
-    x = np.array([model.features(t) for y in (0, 1) for t in parts[y, 1]])
+    model.good, model.bad = (build_dictionary([t for t, _ in parts[y, 0]]) for y in (1, 0))
+    x = np.array([model.features(*t) for y in (0, 1) for t in parts[y, 1]])
     model.weights = calibrate(x, np.repeat([0.0, 1.0], [len(parts[0, 1]), len(parts[1, 1])]), prior)
     return model
 

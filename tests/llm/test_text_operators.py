@@ -245,6 +245,21 @@ def test_quality_learns_and_scores_everything(spark):
     assert kept.columns == ["doc_id", "text", "score"] and kept.where("doc_id >= 1000 AND doc_id < 9000").count() < 20
 
 
+def test_quality_sample_outlasts_a_long_text(spark):
+    """The first text by hash of either class is longer than the class's bytes; the others still make both parts."""
+    first = {y: spark.range(40 * y, 40 * y + 40).orderBy(F.xxhash64("id"), "id").first()["id"] for y in (0, 1)}
+    kinds = ["buy now | click win $$$ free".split(), "the of river stone light walks under".split()]
+    draw = lambda y, i: " ".join(np.random.default_rng(i).choice(kinds[y], 60_000 if i in first.values() else 60))
+    docs = spark.createDataFrame([(40 * y + i, draw(y, 40 * y + i)) for y in (0, 1) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 40) for i in range(80)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), bytes_per_class=256 << 10)
+    got = quality.score(docs, model).toPandas()
+    assert model.good and model.bad and ((got["score"] >= 0.5) == (got["doc_id"] >= 40)).mean() > 0.95
+    text = spark.createDataFrame([(1, bytes(range(256)) * 64)], "_id long, _b binary")
+    part = text.select(quality._sampled(3 * quality.BLOCK).alias("b"), quality._sampled(1 << 14).alias("whole")).first()
+    assert [len(b) for b in part["b"]] == [quality.BLOCK] * 3 and b"".join(part["whole"]) == bytes(range(256)) * 64
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.score(documents(spark), quality.fit(documents(spark), labels, F.lit(True))).toPandas()
