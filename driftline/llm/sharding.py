@@ -117,10 +117,19 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
         mine = split[int(f["range"].iloc[0])]
         room, number = np.array([b for _, b in mine]), [k for k, _ in mine]
         f = f.sort_values(["size", "hash", "key_id", "row"], ascending=[False, True, True, True], ignore_index=True)
-        at = np.empty(len(f), np.int64)
-        for i, s in enumerate(f["size"].to_numpy()):
-            at[i] = k = int(room.argmax())
-            room[k] -= s
+        at, size = np.empty(len(f), np.int64), f["size"].to_numpy()
+        equal = sorted(f.groupby("hash").indices.items(), key=lambda x: (-size[x[1]].sum(), x[0]))
+        ends = {f["hash"].max(): len(room) - 1, f["hash"].min(): 0}  # may go on in the ranges beside this one
+        for h, rows_ in sorted(equal, key=lambda x: x[0] not in ends):
+            k = ends.get(h, int(room.argmax()))
+            k = k if size[rows_].sum() <= room[k] else int(room.argmax())
+            if size[rows_].sum() <= room[k]:
+                at[rows_] = k
+                room[k] -= size[rows_].sum()
+            else:  # no shard has room for all of them
+                for i in rows_:
+                    at[i] = k = int(room.argmax())
+                    room[k] -= size[i]
         return f.assign(shard=np.array(number, np.int32)[at])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes)

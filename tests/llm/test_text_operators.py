@@ -161,6 +161,15 @@ def test_sharding_law(spark, monkeypatch):
     assert len(by) == 6 and by.max() - by.min() <= got["size"].max() and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
 
 
+def test_equal_texts_share_a_shard_unless_one_ends_among_them(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 10)
+    docs = spark.createDataFrame([(i, "t" * (i // 2 % 7) + f" {i // 2}") for i in range(800)], "doc_id long, text string")
+    got = sharding.shard(docs, 6).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(got) == 800 and len(by) == 6 and by.max() - by.min() <= got["size"].max()
+    assert (got.groupby(got["doc_id"] // 2)["shard"].nunique() > 1).sum() <= 5
+
+
 def test_overfull_ranges_are_cut_again(spark, monkeypatch):
     """Equal texts with equal ids: only the staged number tells them apart."""
     monkeypatch.setattr(sharding, "LEAST_RANGES", 30)
