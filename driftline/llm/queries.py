@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.stage import ensure_checkpoint_dir, stage
-from . import ann, chat, dedup, lm, mixing, packing, quality, sharding, topk, warc
+from . import ann, chat, dedup, lm, mixing, packing, periodic, quality, sharding, topk, trie, warc
 from .common import crc_mod, table, utf8
 
 QUERIES: dict = {}
@@ -164,3 +164,71 @@ def uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, ok = topk.scaled("embedding")
     rows = table(spark, sf_dir, "embeddings").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+#: crc32 of an id's digits, bit by bit: every digit's byte comes in with the first of its eight steps.
+CRC_SQL = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ord(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for d in string_split(CAST({id} AS VARCHAR), '')])),
+      lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END), 4294967295)"""
+
+
+def _runs_sql(levels: int = 16) -> str:
+    """Grams named by ranks, doubled ``levels`` times: enough for documents of up to ``2 ** (levels + 2)`` words."""
+    ctes = ["""d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + CRC_SQL.format(id="doc_id") + """ AS h FROM documents)""",
+            """p AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS g FROM d)""",
+            """o AS (SELECT r, n, i, w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // g) ELSE i END + 1] AS word FROM p, LATERAL (SELECT unnest(range(n)) AS i))""",
+            """k1 AS (SELECT r, n, i, dense_rank() OVER (ORDER BY r, word) AS c FROM o)"""]
+    pair = "SELECT a.r, a.n, a.i, dense_rank() OVER (ORDER BY a.c, b.c) AS c FROM {a} a JOIN {b} b ON a.r = b.r AND b.i = a.i + {m}"
+    again = " QUALIFY count(*) OVER (PARTITION BY a.c, b.c) > 1"
+    found = []
+    for j in range(levels):
+        m = 1 << j
+        ctes.append(f"k{2 * m} AS MATERIALIZED ({pair.format(a=f'k{m}', b=f'k{m}', m=m)}{again})")
+        if j == 1:
+            ctes.append(f"s1 AS ({pair.format(a='k4', b='k1', m=4)})")
+            found.append(("s1", 1, 5))
+        if j:
+            ctes.append(f"s{m} AS ({pair.format(a=f'k{2 * m}', b=f'k{m}', m=2 * m)})")
+            found.append((f"s{m}", m, 3 * m))
+    hits = " UNION ALL ".join(f"(SELECT r, i, {k} AS k, lead(i) OVER (PARTITION BY r, c ORDER BY i) - i AS q FROM {s} QUALIFY q >= {m} AND q < {2 * m})" for s, m, k in found)
+    return f"""WITH {', '.join(ctes)}, hits AS ({hits}),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS b FROM hits),
+runs AS (SELECT r, q AS period, min(i) AS start, max(i) - min(i) + min(k) + q AS length FROM isl GROUP BY r, q, b HAVING length >= greatest(6, 4 * q)),
+best AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), struct_pack(e := -CAST(length AS DOUBLE) / period, s := start, p := period)) AS x,
+                sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, sha256(string_agg(word, ' ' ORDER BY i)) AS h FROM o ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(x.s AS BIGINT) AS start, CAST(x.l AS BIGINT) AS length, CAST(x.p AS BIGINT) AS period,
+       CAST(1000 * x.l // x.p AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(kept.h, sha256('')) AS collapsed_sha256
+FROM p LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op11_periodic_runs", _runs_sql())
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = """
+WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+c AS (SELECT conv_id, count(*) AS own, """ + CRC_SQL.format(id="conv_id") + """ % 6 AS h FROM r GROUP BY conv_id),
+b AS (SELECT c.*, least(c.h, coalesce(x.own, 0)) AS taken, c.conv_id - c.conv_id % 100 AS base FROM c LEFT JOIN c x ON x.conv_id = c.conv_id - c.conv_id % 100),
+t AS (SELECT b.conv_id, r.pos, r.role, r.text FROM b JOIN r ON r.conv_id = b.base AND r.pos < b.taken
+      UNION ALL SELECT r.conv_id, r.pos - b.h + b.taken, r.role, r.text FROM r JOIN b USING (conv_id) WHERE r.pos >= b.h),
+m AS (SELECT conv_id, pos + 1 AS depth, length(text) AS chars, sha256(role || chr(0) || text) AS x FROM t),
+path AS (SELECT conv_id, depth, chars, sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS node FROM m
+         UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+p AS (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS last FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+s AS (SELECT v.node, sum((u.n_convs - 1) * u.chars) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+      FROM (SELECT DISTINCT a.node AS v, z.node AS u FROM p a JOIN p z ON a.conv_id = z.conv_id AND z.depth >= a.depth) e JOIN f v ON v.node = e.v JOIN f u ON u.node = e.u GROUP BY v.node)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN f par ON par.node = f.parent
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), F.crc32(F.col("conv").cast("string").cast("binary")) % 6)
