@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.stage import ensure_checkpoint_dir, stage
-from . import ann, chat, dedup, lm, mixing, packing, periodic, quality, sharding, topk, trie, warc
+from . import ann, chat, dedup, lm, mixing, packing, periodic, quality, sharding, suffixes, topk, trie, warc
 from .common import crc_mod, table, utf8
 
 QUERIES: dict = {}
@@ -232,3 +232,8 @@ FROM f JOIN s USING (node) LEFT JOIN f par ON par.node = f.parent
 @query("op12_conversation_trie", TRIE_SQL)
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), F.crc32(F.col("conv").cast("string").cast("binary")) % 6)
+
+
+@query("op13_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
