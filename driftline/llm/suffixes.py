@@ -141,9 +141,9 @@ def _repeated(t: pa.Table) -> pa.Table:
     hit = np.zeros(len(h), bool)
     hit[order[1:][same]] = hit[order[:-1][same]] = True
     bits = np.split(hit, np.cumsum([len(p) for p in parts])[:-1])
-    keep = [k for k, x in enumerate(bits) if x.any()]
+    keep = pa.array([k for k, x in enumerate(bits) if x.any()], pa.int64())
     return pa.table({"block": t["block"].take(keep), "slice": t["slice"].take(keep), "group": t["group"].take(keep),
-                     "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep], pa.binary()), "n": pa.array([int(bits[k].sum()) for k in keep], pa.int64())})
+                     "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep.to_pylist()], pa.binary()), "n": pa.array([int(bits[k].sum()) for k in keep.to_pylist()], pa.int64())})
 
 
 #: What an anchor takes along: its suffix, the text before it backwards, nearest and farthest start, and its place.
