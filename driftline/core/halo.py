@@ -7,10 +7,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .axis import Axis
-from .scan import CORE, HALO, IDX, halo_rows, scan
+from .scan import CORE, HALO, IDX, halo_rows, halo_time, scan
+
+MORE = "__more"
 
 # (input arrays by name, chunk holds the first row, chunk holds the last row) -> output arrays by name
 HaloFn = Callable[[dict[str, np.ndarray], bool, bool], dict[str, np.ndarray]]
@@ -21,22 +23,78 @@ def doubles(t: pa.Table, name: str) -> np.ndarray:
     return pc.cast(t[name], pa.float64()).to_numpy()
 
 
-def halo_apply(df: DataFrame, axis: Axis, before: int, after: int, fn: HaloFn, inputs: list[str], outputs: dict[str, str]) -> DataFrame:
-    """Add ``outputs`` computed by ``fn`` on chunks of ``axis.rows`` rows plus ``before``/``after`` neighbours.
+def indexed(df: DataFrame, axis: Axis) -> DataFrame:
+    """Adds what ``halo_apply`` needs to know of a row: its number within the entity, and whether another follows. Halo maps that follow
+    each other on rows that keep these columns need no scan of their own."""
+    return df if IDX in df.columns and MORE in df.columns else scan(df, axis, index=IDX, nxt={MORE: F.lit(1)})
+
+
+def halo_apply(df: DataFrame, axis: Axis, before: int | Column, after: int | Column, fn: HaloFn, inputs: list[str], outputs: dict[str, str]) -> DataFrame:
+    """Add ``outputs`` computed by ``fn`` on chunks of ``axis.rows`` rows plus ``before``/``after`` neighbours, which may be columns
+    that are constant within an entity.
 
     A task holds one chunk and its halo, never a whole entity. Chunks travel as Arrow tables.
     """
-    rows = scan(df, axis, index=IDX, nxt={"__more": F.lit(1)})
-    h = halo_rows(rows, axis, before, after)
+    h = halo_rows(indexed(df, axis), axis, before, after)
     cols, names = list(df.columns), list(outputs)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t[IDX]))
-        got = fn({c: doubles(t, c) for c in inputs}, t[IDX][0].as_py() == 0, not t["__more"][-1].is_valid)
+        got = fn({c: doubles(t, c) for c in inputs}, t[IDX][0].as_py() == 0, not t[MORE][-1].is_valid)
         out = t.select(cols)
         for n in names:
             out = out.append_column(n, pa.array(got[n], type=pa.float64(), from_pandas=True))
         return out.filter(t[CORE])
 
     return h.groupBy(*axis.keys, HALO).applyInArrow(run, schema)
+
+
+def halo_time_apply(df: DataFrame, axis: Axis, before: int, after: int, fn: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
+                    inputs: list[str], outputs: dict[str, str]) -> DataFrame:
+    """Time version: ``fn`` gets the arrays of a time chunk with neighbours up to ``before``/``after`` axis units away, and the positions."""
+    h = halo_time(df, axis, before, after)
+    cols, names = list(df.columns), list(outputs)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t["__pos"]))
+        got = fn({c: doubles(t, c) for c in inputs}, t["__pos"].to_numpy())
+        out = t.select(cols)
+        for n in names:
+            out = out.append_column(n, pa.array(got[n], type=pa.float64(), from_pandas=True))
+        return out.filter(t[CORE])
+
+    return h.groupBy(*axis.keys, HALO).applyInArrow(run, schema)
+
+
+_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def whole_entities(df: DataFrame, axis: Axis) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of the entities that fit one chunk, rows of the larger ones), None where there are none. One count by key decides."""
+    keys = list(axis.keys)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > axis.rows).select(*keys)
+    if large.isEmpty():
+        return df, None
+    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+
+
+def entity_apply(df: DataFrame, axis: Axis, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], inputs: list[str], outputs: dict[str, str],
+                 keep: str | None = None) -> DataFrame:
+    """Add ``outputs`` computed by ``fn`` on whole entities in order, none larger than a chunk (``whole_entities``). ``keep`` names an
+    output that says which rows stay, and is dropped."""
+    cols = list(df.columns)
+    shown = {n: t for n, t in outputs.items() if n != keep}
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in shown.items()]])
+    order = [(o, "ascending") for o in axis.order]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        got = fn({c: doubles(t, c) for c in inputs})
+        out = t.select(cols)
+        for n, kind in shown.items():
+            out = out.append_column(n, pa.array(got[n], type=_ARROW[kind], from_pandas=True))
+        return out.filter(pa.array(np.asarray(got[keep], bool))) if keep else out
+
+    return df.groupBy(*axis.keys).applyInArrow(run, schema)

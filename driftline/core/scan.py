@@ -120,20 +120,21 @@ IDX = "__idx"
 CORE = "__core"
 
 
-def halo_rows(df: DataFrame, axis: Axis, before: int, after: int, index: str = IDX) -> DataFrame:
+def halo_rows(df: DataFrame, axis: Axis, before: int | Column, after: int | Column, index: str = IDX) -> DataFrame:
     """Re-cut the axis into chunks of ``axis.rows`` rows, each with the neighbours a row frame needs.
 
     A frame ``rowsBetween(-before, after)`` partitioned by ``(entity, HALO)`` is then exact on rows where
-    ``CORE`` is true; only rows near a chunk edge are copied.
+    ``CORE`` is true; only rows near a chunk edge are copied. Reaches given as columns are constant within an entity.
     """
-    size = max(axis.rows, 4 * (before + after + 1))
+    wide = 4 * (before + after + 1)
+    size = F.greatest(F.lit(axis.rows), wide) if isinstance(wide, Column) else F.lit(max(axis.rows, wide))
     d = df if index in df.columns else scan(df, axis, index=index)
     i = F.col(index)
-    lo = F.floor(F.greatest(i - after, F.lit(0)) / F.lit(size))
-    hi = F.floor((i + before) / F.lit(size))
+    lo = F.floor(F.greatest(i - after, F.lit(0)) / size)
+    hi = F.floor((i + before) / size)
     return (
         d.withColumn(HALO, F.explode(F.sequence(lo, hi)))
-        .withColumn(CORE, F.col(HALO) == F.floor(i / F.lit(size)))
+        .withColumn(CORE, F.col(HALO) == F.floor(i / size))
     )
 
 

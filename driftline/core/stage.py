@@ -29,11 +29,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_staged() -> None:
+    """What this process staged goes when it ends; no plan can read it any more."""
+    for spark, path in _written:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended before
+            return
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet into the checkpoint folder and read it back: computed once, prunable, and
-    still there when executors are lost."""
+    still there when executors are lost. The folder is removed when the driver ends."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..core.axis import Axis
 from ..core.scan import scan
 from ..core.stats import median
+from ..functions.special import correlation_p
 from ..schema import seconds_between
 from .timebase import best_lag, lag_curve
 
@@ -111,7 +112,7 @@ def event_timing(df: DataFrame, keys: list[str], start: str, end: str, tz: str =
 
 
 def correlate(binned: DataFrame, axis: Axis, x: str, y: str, max_lag: int, min_pairs: int = 10) -> DataFrame:
-    """Pearson, Spearman (average ranks) and the lag of strongest correlation over aligned bins.
+    """Pearson, Spearman (average ranks), their p-values and the lag of strongest correlation over aligned bins.
 
     Input is one row per bin, so an entity's ranks are over its bins, not its samples.
     """
@@ -121,5 +122,6 @@ def correlate(binned: DataFrame, axis: Axis, x: str, y: str, max_lag: int, min_p
     r = d.withColumns({"__rx": rank(x), "__ry": rank(y)})
     head = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"),
                                 F.corr("__rx", "__ry").alias("spearman_rho")).where(F.col("n") >= min_pairs)
+    head = head.withColumns({"pearson_p": correlation_p(F.col("pearson_r"), F.col("n")), "spearman_p": correlation_p(F.col("spearman_rho"), F.col("n"))})
     b = best_lag(lag_curve(d, axis, x, y, max_lag, min_pairs), keys).withColumnsRenamed({"lag": "best_lag", "r": "best_lag_r"})
     return head.join(b, keys)

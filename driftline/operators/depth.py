@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.axis import Axis
+from ..core.halo import entity_apply, whole_entities
 from ..core.stats import median
 from .intervals import points_in
 from .islands import dives, flat_chunks
@@ -52,6 +54,49 @@ def zero_offset(df: DataFrame, axis: Axis, column: str, chunks: DataFrame, out:
     return d.withColumn(out, F.col(column) - F.col("offset")).drop("__nc")
 
 
+def _run_medians(value: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last row of each run of ``member``, and the median of its known values (not a number without any)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8)))
+    first, last = edge[::2], edge[1::2] - 1
+    row = np.flatnonzero(member & ~np.isnan(value))
+    run = np.searchsorted(first, row, side="right") - 1
+    v = value[row][np.lexsort((value[row], run))]
+    n = np.bincount(run, minlength=len(first))
+    at = np.cumsum(n) - n
+    with np.errstate(invalid="ignore"):
+        pick = lambda k: v[np.minimum(at + k, max(len(v) - 1, 0))] if len(v) else np.full(len(first), np.nan)
+        x, y = pick(np.maximum(n - 1, 0) // 2), pick(n // 2)
+    return first, last, np.where(n > 0, x + (y - x) * 0.5, np.nan)
+
+
+def level_surface(df: DataFrame, axis: Axis, column: str, slope: str, max_slope: float, min_samples: int, cap: float, out: str = "depth_zoc",
+                  min_chunks: int = 1, bin_s: float = 3600.0) -> DataFrame:
+    """``zero_offset`` by the signal's own flat chunks (``islands.flat_chunks``), in one go.
+
+    An entity that fits one chunk takes one task: runs, medians and the offset between them are found on its rows as they stand. Larger ones
+    go through the two operators.
+    """
+    def whole(x):
+        v, us = x[column], x["__us"]
+        first, last, mid = _run_medians(v, np.abs(x[slope]) < max_slope)
+        good = (last - first + 1 >= min_samples) & (np.abs(mid) < cap)
+        offset = np.zeros(len(v))
+        if good.sum() >= max(min_chunks, 1):
+            a, b = np.searchsorted(us, us[first[good]]), np.searchsorted(us, us[last[good]], side="right") - 1
+            level = np.repeat(mid[good], 2)
+            offset = np.interp(np.arange(len(v)), np.stack([a, b], 1).ravel(), level, left=0.0)
+        return {"offset": offset, out: v - offset}
+
+    small, large = whole_entities(df, axis)
+    parts = []
+    if small is not None:
+        d = small.withColumn("__us", axis.pos(small))
+        parts.append(entity_apply(d, axis, whole, [column, slope, "__us"], {"offset": "double", out: "double"}).drop("__us"))
+    if large is not None:
+        parts.append(zero_offset(large, axis, column, flat_chunks(large, axis, column, slope, max_slope, min_samples, cap), out, min_chunks, bin_s))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def row_linear(df: DataFrame, axis: Axis, column: str) -> DataFrame:
     """Fill nulls linearly by row position; leading nulls stay, trailing ones take the last value."""
     from ..core.scan import scan
@@ -94,7 +139,6 @@ def pressure_to_depth(df: DataFrame, axis: Axis, column: str, factor: Column, se
     d = convert_depth(df, keys, column, factor, "depth_m", flip_below=cfg["sign_flip_below_m"])
     d = running_median(d, axis, 5, "depth_m", "__sm")
     d = gradient(d, axis, {"__d1": "__sm"})
-    chunks = flat_chunks(d, axis, "__sm", "__d1", cfg["max_flat_slope"], cfg["min_flat_samples"], cfg["flat_cap_m"])
-    z = zero_offset(d.drop("__d1"), axis, "__sm", chunks, "depth", cfg["min_flat_chunks"]).drop("__sm", "offset")
+    z = level_surface(d, axis, "__sm", "__d1", cfg["max_flat_slope"], cfg["min_flat_samples"], cfg["flat_cap_m"], "depth", cfg["min_flat_chunks"]).drop("__sm", "__d1", "offset")
     dv = dives(z, axis, "depth", cfg["dive_threshold_m"], cfg["min_dive_s"])
     return surface_outside_dives(z, dv, axis, "depth"), dv

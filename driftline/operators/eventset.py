@@ -117,6 +117,23 @@ def model_verdict_events(candidates: DataFrame, keys: list[str], probability: st
     return candidates.select(*keys, "ts", k.alias("key"), F.lit("point").alias("type"), p.alias("value"))
 
 
+MODEL_PREFIX = "beat_ml_"
+
+
+def replace_verdicts(events: DataFrame, candidates: DataFrame, keys: list[str], probability: str, threshold: float, suggested: float) -> DataFrame:
+    """Events with a model's verdicts on ``candidates`` in the place of all earlier ones of these entities; other events and other
+    entities stay. Columns that verdicts lack are null."""
+    new = model_verdict_events(candidates, keys, probability, threshold, suggested)
+    redone = candidates.select(*keys).distinct().withColumn("__redone", F.lit(True))
+    kept = events.join(redone, keys, "left").where(~(F.coalesce(F.col("key").startswith(MODEL_PREFIX), F.lit(False)) & F.coalesce("__redone", F.lit(False)))).select(*events.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def verdict_beats(events: DataFrame) -> DataFrame:
+    """A model's verdict events as beats again: ``verdict`` is accepted, suggested or rejected."""
+    return events.where(F.col("key").startswith(MODEL_PREFIX)).withColumn("verdict", F.expr(f"substring(key, {len(MODEL_PREFIX) + 1})"))
+
+
 def event_end_column(ts: str = "ts", duration: str = "duration_s") -> Column:
     return add_seconds(ts, F.coalesce(F.col(duration), F.lit(0.0)))
 

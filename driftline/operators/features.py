@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.facts import with_facts
@@ -138,11 +140,59 @@ def z_normalise(df: DataFrame, columns: list[str], level: list[str]) -> DataFram
         F.when(F.col(c).isNotNull(), 0.0)) for c in columns}).drop(*[f"__{a}_{c}" for a in "ms" for c in columns])
 
 
+#: Columns of a block of the matrix: a block pair's sums are one row of a partition.
+BLOCK = 128
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Pearson correlations of feature columns in one aggregate: rows (a, b, r)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    """Pairwise Pearson correlations of feature columns over the rows that have both: rows (a, b, r), a before b; null where either
+    is constant.
+
+    One pass: each partition takes matrix products of its rows, block by block of columns, with a mask of what is known, and the
+    blocks' sums are added up in two steps. Columns are centred first.
+    """
+    mean = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([mean[f"m{i}"] or 0.0 for i in range(len(columns))])
+    spread = np.array([mean[f"v{i}"] or 0.0 for i in range(len(columns))])
+    blocks = [(i, min(i + BLOCK, len(columns))) for i in range(0, len(columns), BLOCK)]
+    pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
+    schema = "i int, j int, part int, sums binary"
+
+    def products(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns], 1) - centre
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            for i, j in pairs:
+                (p, q), (r, s) = blocks[i], blocks[j]
+                u, w, mu, mw = x[:, p:q], x[:, r:s], m[:, p:q], m[:, r:s]
+                got = np.stack([mu.T @ mw, u.T @ mw, mu.T @ w, (u * u).T @ mw, mu.T @ (w * w), u.T @ w])
+                total[i, j] = total[i, j] + got if (i, j) in total else got
+        part = TaskContext.get().partitionId() % 64
+        for (i, j), t in total.items():
+            yield pa.RecordBatch.from_pylist([{"i": i, "j": j, "part": part, "sums": t.tobytes()}], schema=arrow)
+
+    arrow = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in t["sums"]], axis=0)
+        return t.slice(0, 1).set_column(3, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    def correlated(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        (p, q), (r, s) = blocks[i], blocks[j]
+        n, sx, sy, sxx, syy, sxy = np.sum([np.frombuffer(x.as_py()) for x in t["sums"]], axis=0).reshape(6, q - p, s - r)
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        ok = (vx > 1e-13 * n * n * spread[p:q, None]) & (vy > 1e-13 * n * n * spread[None, r:s])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where(ok, np.clip((n * sxy - sx * sy) / np.sqrt(vx * vy), -1, 1), np.nan)
+        at = [(k, m) for k in range(q - p) for m in range(s - r) if p + k < r + m]
+        return pa.table({"a": pa.array([columns[p + k] for k, _ in at], pa.string()), "b": pa.array([columns[r + m] for _, m in at], pa.string()),
+                         "r": pa.array([v[k, m] for k, m in at], pa.float64(), from_pandas=True)})
+
+    partial = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(products, schema)
+    return partial.groupBy("i", "j", "part").applyInArrow(added, schema).groupBy("i", "j").applyInArrow(correlated, "a string, b string, r double")
 
 
 def drop_correlated(matrix: DataFrame, columns: list[str], limit: float = 0.8) -> tuple[list[str], list[str]]:

@@ -62,7 +62,7 @@ def run_steps(df: DataFrame, axis: Axis, value: Column) -> DataFrame:
 
 
 def mask_periods(df: DataFrame, axis: Axis, mask: Column, aggs: dict | None = None) -> DataFrame:
-    """Runs of a true mask as periods whose end is extended by the run's median step.
+    """Runs of a true mask as periods whose end is extended by the run's median step, in whole microseconds (a half rounds up).
 
     A single-sample run has no step and keeps its end.
     """
@@ -70,10 +70,11 @@ def mask_periods(df: DataFrame, axis: Axis, mask: Column, aggs: dict | None = No
     mask = F.coalesce(mask, F.lit(False))
     runs = find_segments(df, axis, mask, aggs=aggs)
     steps = run_steps(df, axis, mask).where(mask & F.col("__step").isNotNull()).withColumnRenamed("run_start", "start_ts")
-    med = median(steps, [*keys, "start_ts"], "__step", "step_s")
-    out = runs.join(med, [*keys, "start_ts"], "left").withColumn("step_s", F.coalesce("step_s", F.lit(0.0)))
-    return out.withColumn("end_ts", add_seconds("end_ts", F.col("step_s"))).withColumn(
-        "duration_s", seconds_between("start_ts", "end_ts"))
+    steps = steps.withColumn("__us", F.unix_micros(axis.ts) - F.unix_micros("__prev_ts"))
+    med = median(steps, [*keys, "start_ts"], "__us", "__us")  # a double holds halves of such counts exactly
+    out = runs.join(med, [*keys, "start_ts"], "left").withColumn("__us", F.coalesce(F.floor(F.col("__us") + 0.5), F.lit(0)))
+    out = out.withColumn("end_ts", F.timestamp_micros(F.unix_micros("end_ts") + F.col("__us"))).withColumn("step_s", F.col("__us") / F.lit(1_000_000.0))
+    return out.drop("__us").withColumn("duration_s", seconds_between("start_ts", "end_ts"))
 
 
 def label_states(df: DataFrame, axis: Axis, code: str, text: str, step: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -157,9 +159,15 @@ def two_cluster_model(df: DataFrame, columns: list[str], label: Column, seed: in
     return with_facts(c, best).withColumn("predicted", (F.col("cluster") == F.col("__best")).cast("int")).drop("__best")
 
 
+def at_once(jobs: list[Callable], most: int = 4) -> list:
+    """Results of independent fits, a few at a time: each is a series of small Spark jobs that leave the cluster idle between them."""
+    with ThreadPoolExecutor(min(most, max(len(jobs), 1))) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int, **kw) -> DataFrame:
-    """Scores of models that did not see the row's fold; one model per fold (driver loop over folds, not rows)."""
-    parts = [train(df.where(F.col("fold") != i), columns, label, **kw).transform(df.where(F.col("fold") == i)) for i in range(folds)]
+    """Scores of models that did not see the row's fold; one model per fold, fitted at once."""
+    parts = at_once([lambda i=i: train(df.where(F.col("fold") != i), columns, label, **kw).transform(df.where(F.col("fold") == i)) for i in range(folds)])
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -176,24 +184,29 @@ def tuned_out_of_fold(df: DataFrame, columns: list[str], label: str, id_col: str
     with the best F-beta over these scores (one row). Labels are the strings 0 (majority) and 1; ``cap`` majority rows per other row."""
     from .peaks import best_threshold, threshold_sweep
     from .sampling import hash_downsample
-    d = hash_folds(df, id_col, folds)
-    parts = []
-    for i in range(folds):
+    d = stage(hash_folds(df, id_col, folds))
+
+    def one(i: int) -> DataFrame:
         seen = hash_downsample(d.where(F.col("fold") != i), label, "0", cap, id_col)
-        parts.append(train(seen, columns, label, confidence=0.0, **kw).transform(d.where(F.col("fold") == i)))
+        return train(seen, columns, label, confidence=0.0, **kw).transform(d.where(F.col("fold") == i))
+
+    parts = at_once([lambda i=i: one(i) for i in range(folds)])
     scores = stage(reduce(lambda a, b: a.unionByName(b), parts).withColumn("__y", F.col(label).cast("int")))
     return scores.drop("__y"), best_threshold(threshold_sweep(scores, "__y", "score", beta))
 
 
 def forward_ablation(df: DataFrame, groups: dict[str, list[str]], label: str, id_col: str, trees: int = 500, seed: int = 42) -> list[tuple[str, float]]:
-    """Add feature groups one by one, each time the one that helps accuracy most; a loop over configured groups."""
+    """Add feature groups one by one, each time the one that helps accuracy most; a loop over configured groups, whose candidates are
+    fitted at once."""
     d = stage(hash_split(df, id_col, 0.4, seed))
     done, used, left = [], [], dict(groups)
+
+    def accuracy(cols: list[str]) -> float:
+        p = train(d.where("NOT is_test"), cols, label, trees=trees, confidence=0.0, seed=seed).transform(d.where("is_test"))
+        return p.agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double"))).first()[0] or 0.0
+
     while left:
-        scored = {}
-        for g, cols in left.items():
-            p = train(d.where("NOT is_test"), used + cols, label, trees=trees, confidence=0.0, seed=seed).transform(d.where("is_test"))
-            scored[g] = p.agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double"))).first()[0] or 0.0
+        scored = dict(zip(left, at_once([lambda cols=used + cols: accuracy(cols) for cols in left.values()])))
         best = max(scored, key=lambda g: (scored[g], g))
         used += left.pop(best)
         done.append((best, scored[best]))

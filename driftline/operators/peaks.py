@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.fold import chunked_fold
-from ..core.halo import halo_apply
-from ..core.scan import CORE, IDX, halo_rows, halo_time, range_frame, row_frame, scan
+from ..core.halo import MORE, entity_apply, halo_apply, halo_time_apply, indexed, whole_entities
+from ..core.order import SlidingOrder
+from ..core.scan import CORE, IDX, halo_rows, row_frame, scan
 from ..core.stage import stage
 from ..core.stats import median, quantiles
+from ..functions import dsp
 from ..schema import seconds_between
 from .intervals import complement, merge_near, points_in
 from .islands import membership
@@ -89,20 +91,163 @@ def refine_peaks(peaks: DataFrame, samples: DataFrame, axis: Axis, column: str,
     return samples.join(target, [*keys, *axis.order], "left_semi")
 
 
+# The detector's settings. Cut-offs in Hz, spans in seconds, switches 1 or 0.
+BEAT_DEFAULTS = {"broad_low": 1.0, "broad_high": 35.0, "narrow_low": 5.0, "narrow_high": 20.0, "filter_order": 2.0, "spike_threshold": 400.0, "smooth_s": 0.1, "window_s": 2.0,
+                 "noise": 1e-10, "height": 1.0, "distance_s": 0.3, "min_height": 0.0, "max_height": 1e12, "enable_bandpass": 1.0, "enable_spike_removal": 1.0,
+                 "enable_absolute": 1.0, "enable_smoothing": 1.0, "enable_normalization": 1.0}
+REACH, ROWS = "__reach", ("smooth", "window", "distance")
+
+
+def band_reach(p: dict[str, float], fs: float) -> int:
+    """Rows that the two band-passes see on either side."""
+    if not p["enable_bandpass"]:
+        return 0
+    if max(p["broad_high"], p["narrow_high"]) >= fs / 2:
+        raise ValueError(f"cutoff {max(p['broad_high'], p['narrow_high'])} Hz is not below half the rate {fs} Hz")
+    return 2 * sum(dsp.reach(int(p["filter_order"]), (p[f"{b}_low"], p[f"{b}_high"]), fs) for b in ("broad", "narrow"))
+
+
+def _local_stats(v: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the known values among rows ``[i - half, i + half)``."""
+    known = ~np.isnan(v)
+    x = np.where(known, v, 0.0)
+    c = x.sum() / max(known.sum(), 1)
+    x = np.where(known, v - c, 0.0)  # centred, so squares do not cancel
+    run = lambda a: np.concatenate([[0.0], np.cumsum(a)])
+    i = np.arange(len(v))
+    lo, hi = np.maximum(i - half, 0), np.minimum(i + half, len(v))
+    n, s, q = (r[hi] - r[lo] for r in map(run, (known.astype(float), x, x * x)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mu = s / n
+        return mu + c, np.sqrt(np.maximum(q / n - mu * mu, 0.0))
+
+
+def _detect(df: DataFrame, axis: Axis, column: str, fs: float, params: dict[str, "float | str"], reach: "int | Column") -> tuple[DataFrame, DataFrame]:
+    """The detector, with parameters as numbers or as names of columns that are constant within an entity.
+
+    An entity that fits one chunk takes all steps in one task. A larger one takes three halo maps on one row numbering: both
+    band-passes; rectifying and smoothing, once the entity's spikes are known; local z-score and peaks, once the smoothed signal's
+    spread is known. Returns (peaks, all rows).
+    """
+    keys, named = list(axis.keys), [v for v in params.values() if isinstance(v, str)]
+    value = lambda x, n: float(x[params[n]][0]) if isinstance(params[n], str) else float(params[n])
+    col = lambda n: F.col(params[n]) if isinstance(params[n], str) else F.lit(float(params[n]))
+
+    def rows(n: str, least: int, ask) -> "int | Column":
+        """A span in rows, at least so many; a column if its parameter is one."""
+        if isinstance(params[n], str):
+            return F.greatest(F.lit(least), (F.col(params[n]) * fs).cast("int"))
+        return max(least, int(ask(n) * fs))
+
+    plain = lambda n: float(params[n])
+
+    def band(x, at_start, at_end):
+        v = x[column]
+        if value(x, "enable_bandpass"):
+            for b in ("broad", "narrow"):
+                v = dsp.zero_phase_between_nulls(v, int(value(x, "filter_order")), (value(x, f"{b}_low"), value(x, f"{b}_high")), fs, at_start, at_end)
+        return {"__nb": v}
+
+    def smooth(x, at_start, at_end):
+        v = np.abs(x["__nb"]) if value(x, "enable_absolute") else x["__nb"]
+        n = max(1, int(value(x, "smooth_s") * fs))
+        if value(x, "enable_smoothing"):
+            w = np.bartlett(n)
+            v = dsp.fir_centred(v, w / w.sum(), (n - 1) // 2)
+        return {"smoothed": v}
+
+    def decide(x, at_start, at_end):
+        v = x["smoothed"]
+        if value(x, "enable_normalization"):
+            mu, sd = _local_stats(v, max(1, max(2, int(value(x, "window_s") * fs)) // 2))
+            v = (v - mu) / np.maximum(sd, x["__floor"][0])
+        return {"normalized": v, "__peak": _decide(v, value(x, "height"), max(1, int(value(x, "distance_s") * fs)), at_start, at_end)}
+
+    def whole(x):
+        """The same steps on an entity that is all there."""
+        x = dict(x, **band(x, True, True))
+        known = x["__nb"][~np.isnan(x["__nb"])]
+        if len(known) and value(x, "enable_spike_removal"):
+            med = np.median(known)
+            far = np.abs(x["__nb"] - med) > value(x, "spike_threshold") * np.median(np.abs(known - med))
+            x["__nb"] = np.where(far, med, x["__nb"])
+        x.update(smooth(x, True, True))
+        known = x["smoothed"][~np.isnan(x["smoothed"])]
+        spread, noise = (known.std() if len(known) else 0.0), value(x, "noise")
+        x["__floor"] = [max(noise * (spread or 1.0) if 1e-6 < noise < 1 else noise, 1e-12)]
+        return {"smoothed": x["smoothed"], **decide(x, True, True), IDX: np.arange(len(x[column]))}
+
+    rest = [REACH] if isinstance(reach, Column) else []
+    small, d = whole_entities(df, axis)
+    parts = []
+    if small is not None:
+        parts.append(stage(entity_apply(small, axis, whole, [column, *named], {"smoothed": "double", "normalized": "double", "__peak": "double", IDX: "bigint"})))
+    if d is not None:
+        d = stage(halo_apply(indexed(d, axis), axis, reach, reach, band, [column, *named], {"__nb": "double"}))
+        med = median(d, keys, "__nb", "__med")
+        mad = median(d.join(med, keys).withColumn("__dev", F.abs(F.col("__nb") - F.col("__med"))), keys, "__dev", "__mad")
+        d = d.join(med, keys, "left").join(mad, keys, "left")
+        spike = (col("enable_spike_removal") > 0) & (F.abs(F.col("__nb") - F.col("__med")) > col("spike_threshold") * F.col("__mad"))
+        d = d.withColumn("__nb", F.when(spike, F.col("__med")).otherwise(F.col("__nb"))).drop("__med", "__mad")
+        n = rows("smooth_s", 1, plain)
+        d = stage(halo_apply(d, axis, n, n, smooth, ["__nb", *named], {"smoothed": "double"}).drop("__nb"))
+        spread = d.groupBy(*keys).agg(F.stddev_pop("smoothed").alias("__g"))
+        gs = F.when(F.col("__g") > 0, F.col("__g")).otherwise(F.lit(1.0))
+        share = (col("noise") > 1e-6) & (col("noise") < 1)
+        d = d.join(spread, keys).withColumn("__floor", F.greatest(F.when(share, col("noise") * gs).otherwise(col("noise")), F.lit(1e-12))).drop("__g")
+        halo = rows("window_s", 2, plain) + 8 * rows("distance_s", 1, plain) + 2
+        while True:  # at last the halo holds the whole recording, where no peak stays open
+            got = stage(halo_apply(d, axis, halo, halo, decide, ["smoothed", "__floor", *named], {"normalized": "double", "__peak": "double"}))
+            if got.where(F.col("__peak") == 2).isEmpty():
+                break
+            halo = halo * 2
+        parts.append(got.drop("__floor", MORE))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.where(F.col("__peak") == 1).drop("__peak", *rest), out.drop("__peak", *rest)
+
+
 def detect_beats(df: DataFrame, axis: Axis, column: str, fs: float, broad: tuple[float, float], narrow: tuple[float, float], spike: float = 400.0,
                  smooth_s: float = 0.1, window_s: float = 2.0, height: float = 1.0, distance_s: float = 0.3, noise: float = 1e-10) -> tuple[DataFrame, DataFrame]:
     """Band-pass, spike removal, rectification, smoothing, local z-score and peak picking.
 
     Returns (peaks, processed signal with ``smoothed`` and ``normalized``).
     """
-    from .rolling import bartlett_smooth, butterworth, local_z, remove_spikes
-    keys = list(axis.keys)
-    d = stage(butterworth(df, axis, fs, broad, {"__bb": column}))
-    d = stage(butterworth(d, axis, fs, narrow, {"__nb": "__bb"}))
-    d = remove_spikes(d, keys, "__nb", "__cl", spike).withColumn("__ab", F.abs("__cl"))
-    d = stage(bartlett_smooth(d, axis, max(1, int(smooth_s * fs)), "__ab", "smoothed"))
-    d = stage(local_z(d, axis, max(2, int(window_s * fs)), "smoothed", "normalized", noise).drop("__bb", "__nb", "__cl", "__ab"))
-    return select_peaks(d, axis, "normalized", height, max(1, int(distance_s * fs))), d
+    p = {**BEAT_DEFAULTS, "broad_low": broad[0], "broad_high": broad[1], "narrow_low": narrow[0], "narrow_high": narrow[1], "spike_threshold": spike, "smooth_s": smooth_s,
+         "window_s": window_s, "height": height, "distance_s": distance_s, "noise": noise}
+    found, d = _detect(df, axis, column, fs, p, band_reach(p, fs))
+    return found.drop(IDX), d.drop(IDX)
+
+
+def detect_beats_by_chunk(df: DataFrame, axis: Axis, column: str, fs: float, chunks: DataFrame, defaults: dict[str, float] | None = None, bin_s: float = 3600.0) -> DataFrame:
+    """The detector on each chunk of a grid by itself, with the chunk's own parameters, all chunks in one job.
+
+    ``chunks``: keys, chunk_start, chunk_end (closed), status, params_override (map of texts, sparse; null for none). Chunks of status ``gap``
+    and chunks without samples give nothing. Returns the peaks with ``chunk_start``, ``smoothed``, ``normalized``, ``key`` by the
+    chunk's height limits, and ``refined_index``, the row number over all chunks' samples in order. A sample on an edge that two
+    chunks share is in both, as they are detected apart. Overrides that are no number leave the default.
+    """
+    base = {**BEAT_DEFAULTS, **(defaults or {})}
+    keys, names = list(axis.keys), list(base)
+    own = {n: f"__p_{n}" for n in names}
+    live = chunks.where(F.coalesce(F.col("status"), F.lit("")) != "gap").select(
+        *keys, "chunk_start", "chunk_end", *[F.coalesce(F.expr(f"try_cast(params_override['{n}'] AS double)"), F.lit(float(base[n]))).alias(own[n]) for n in names])
+
+    def designed(frames):
+        """Filters are designed per chunk; different sets are few, so each is solved once."""
+        for f in frames:
+            sets = f[[own[n] for n in names]].itertuples(index=False)
+            yield f.assign(**{REACH: [band_reach(dict(zip(names, s)), fs) for s in sets]})
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in live.dtypes)
+    live = stage(live.mapInPandas(designed, f"{kinds}, {REACH} int"))
+    rows = points_in(df, live, keys, axis.ts, ("chunk_start", "chunk_end"), bin_s).drop("chunk_end")
+    inner = axis.with_(keys=(*keys, "chunk_start"))
+    found, d = _detect(rows, inner, column, fs, own, F.col(REACH))
+    before = W.partitionBy(*keys).orderBy("chunk_start").rowsBetween(W.unboundedPreceding, -1)
+    offset = d.groupBy(*keys, "chunk_start").agg(F.count(F.lit(1)).alias("__n")).select(*keys, "chunk_start", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    high = F.col("smoothed").between(F.col(own["min_height"]), F.col(own["max_height"]))
+    return found.join(offset, [*keys, "chunk_start"]).withColumns({"refined_index": F.col(IDX) + F.col("__before"), "key": F.when(high, ACCEPTED).otherwise(REJECTED)}).select(
+        *df.columns, "chunk_start", "smoothed", "normalized", "refined_index", "key")
 
 
 def pooled_peaks(df: DataFrame, axis: Axis, sources: list[str], height: float, distance: int) -> DataFrame:
@@ -176,8 +321,8 @@ def suggest_beats(jumps: DataFrame, samples: DataFrame, axis: Axis, column: str,
 def conflict_pairs(beats: DataFrame, axis: Axis, factor: float, window_s: float, reject_earlier: bool = True) -> DataFrame:
     """Beats that form a pair much closer than the local median interval.
 
-    The reference interval is the median over pairs whose midpoints lie within ±window/2, a time frame over
-    halo chunks. Returns the beats to reject.
+    The reference interval is the median over pairs whose midpoints lie within ±window/2: halo chunks in time, indexed by
+    rank, so a pair costs the same however wide the window is. Returns the beats to reject.
     """
     keys, half = list(axis.keys), int(window_s * 500_000)
     s = scan(beats.select(*keys, *axis.order), axis, nxt={"__nxt": F.struct(*axis.order)})
@@ -186,9 +331,13 @@ def conflict_pairs(beats: DataFrame, axis: Axis, factor: float, window_s: float,
     s = s.withColumns({"rr_s": seconds_between(axis.ts, f"__nxt.{axis.ts}"),
                        "__mid": F.timestamp_micros(F.floor((us + F.unix_micros(f"__nxt.{axis.ts}")) / 2).cast("bigint"))})
     m_axis = axis.with_(order=("__mid", *axis.order))
-    h = halo_time(s, m_axis, half, half)
-    ref = F.percentile(F.when(F.col("rr_s") > 0, F.col("rr_s")), F.lit(0.5)).over(range_frame(m_axis, half, half))
-    bad = h.withColumn("__ref", ref).where(F.col(CORE) & (F.col("rr_s") < F.col("__ref") * factor))
+
+    def local_median(x, pos):
+        ok = x["rr_s"] > 0
+        at = pos[ok]
+        return {"__ref": SlidingOrder(x["rr_s"][ok]).quantile(np.searchsorted(at, pos - half), np.searchsorted(at, pos + half, side="right"), 0.5)}
+
+    bad = halo_time_apply(s, m_axis, half, half, local_median, ["rr_s"], {"__ref": "double"}).where(F.col("rr_s") < F.col("__ref") * factor)
     return bad.select(*keys, *[F.col(o) for o in axis.order]) if reject_earlier else bad.select(*keys, "__nxt.*")
 
 
@@ -314,6 +463,31 @@ def label_candidates(candidates: DataFrame, events: DataFrame, axis: Axis, toler
     return j.withColumn("label", F.coalesce(F.col("__near_positive").cast("int"), F.lit(0))).drop("__near_positive", "__near_dt_s")
 
 
+MANUAL_OK = "beat_manual_ok"
+
+
+def training_labels(candidates: DataFrame, events: DataFrame, axis: Axis, key: str = "key", tolerance_s: float = 0.2, manual_only: bool = False) -> DataFrame:
+    """Labels to train on: the detector's own verdict, overridden by the nearest event within the tolerance.
+
+    ``candidates`` has the detector's ``key``; ``events``: keys, ts, key, of which accepted, rejected and manually confirmed beats count. With
+    ``manual_only`` all candidates start as 0 and only confirmed beats make a 1. Adds ``label``, ``label_source``, ``manual_positive`` (a
+    confirmed beat lies within the tolerance) and ``in_training_span`` (from the entity's first confirmed beat to its last).
+    """
+    keys = list(axis.keys)
+    manual = events.where(F.col("key") == MANUAL_OK)
+    used = manual if manual_only else events.where(F.col("key").isin(MANUAL_OK, ACCEPTED, REJECTED))
+    c = asof(candidates, used.select(*keys, F.col("ts").alias("__et"), F.col("key").alias("__key")), axis, "__et", ["__key"], tolerance_s, prefix="__near_")
+    c = asof(c.drop("__near_dt_s"), manual.select(*keys, F.col("ts").alias("__et"), F.lit(True).alias("__ok")), axis, "__et", ["__ok"], tolerance_s, prefix="__near_")
+    span = manual.groupBy(*keys).agg(F.min("ts").alias("__a"), F.max("ts").alias("__b"))
+    near = F.col("__near___key")
+    base = F.lit(0) if manual_only else (F.coalesce(F.col(key), F.lit("")) == ACCEPTED).cast("int")
+    return c.join(span, keys, "left").withColumns({
+        "label": F.when(near.isNull(), base).otherwise((near != REJECTED).cast("int")),
+        "label_source": F.when(near.isNotNull(), "event").otherwise("manual_only" if manual_only else "detector"),
+        "manual_positive": F.coalesce("__near___ok", F.lit(False)),
+        "in_training_span": F.coalesce(F.col(axis.ts).between(F.col("__a"), F.col("__b")), F.lit(False))}).drop("__near___key", "__near___ok", "__near_dt_s", "__a", "__b")
+
+
 def smoothness_penalty(df: DataFrame, score: str, lam: float, jump_frac: float = 0.8, min_bpm: float = 0.1, max_bpm: float = 240.0) -> DataFrame:
     """Score damped by exp(-lambda · (jump excess + range excess)) and kept in [0, 1]."""
     hr = lambda c: F.when(F.col(c) > 0, 60.0 / F.col(c))
@@ -361,22 +535,71 @@ def model_cleanup(beats: DataFrame, axis: Axis, prob: str, conflict_factor: floa
     probable one (the earlier on ties, the later if a probability is missing); passes with the entity's current median repeat
     until one removes nothing, with at least 3 beats. Of an interval that ends a jump the less probable end goes, with at least
     4 beats; one fold settles all of these, because a wider interval cannot start an offence to its left.
+
+    An entity whose beats fit one chunk is settled in one task; the passes over larger ones are folded chunk by chunk.
     """
+    def whole(x):
+        return {"__stay": _cleaned(x["__us"], x["__pr"], conflict_factor, jump_frac, keep_later)}
+
+    small, large = whole_entities(beats, axis)
+    parts = []
+    if small is not None:
+        d = small.withColumns({"__us": F.unix_micros(axis.ts), "__pr": F.col(prob).cast("double")})
+        parts.append(entity_apply(d, axis, whole, ["__us", "__pr"], {"__stay": "boolean"}, keep="__stay").select(*beats.columns))
+    if large is not None:
+        parts.append(_cleanup_passes(large, axis, prob, conflict_factor, jump_frac, keep_later))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _standing(fold, rows: np.ndarray, columns: dict[str, list]) -> np.ndarray:
+    """Those of ``rows`` that a fold (see ``_settled``) leaves."""
+    kept: list[int] = []
+    for row, said in zip(rows.tolist(), fold(columns, None)[0]):
+        if said is None:
+            kept[-1] = row
+        elif said:
+            kept.append(row)
+    return np.array(kept, np.int64)
+
+
+def _cleaned(us: np.ndarray, prob: np.ndarray, conflict_factor: float, jump_frac: float, keep_later: bool) -> np.ndarray:
+    left = np.arange(len(us))
+    columns = lambda lim: {"__s": (us[left] / 1e6).tolist(), "__pr": prob[left].tolist(), "__lim": [lim] * len(left)}
+    while len(left) >= 3:
+        rr = np.diff(us[left]) / 1e6
+        lim = np.median(rr) * conflict_factor
+        close = rr < lim
+        if lim <= 0 or not close.any():
+            break
+        left = left[~np.append(close, False)] if keep_later else _standing(_close_pairs, left, columns(lim))
+    if len(left) >= 4:
+        left = _standing(_up_jumps, left, columns(1.0 + jump_frac))
+    stay = np.zeros(len(us), bool)
+    stay[left] = True
+    return stay
+
+
+def _cleanup_passes(beats: DataFrame, axis: Axis, prob: str, conflict_factor: float, jump_frac: float, keep_later: bool) -> DataFrame:
     keys, at = list(axis.keys), axis.ts
-    cur = stage(beats)
+    cur, done = stage(beats), []
     while True:
         s = scan(cur, axis, nxt={"__n": at}).withColumn("__rr", seconds_between(at, "__n"))
         low = median(s.where(F.col("__rr").isNotNull()), keys, "__rr", "__med")
         many = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
         lim = low.join(many, keys).select(*keys, F.when((F.col("__k") >= 3) & (F.col("__med") > 0), F.col("__med") * conflict_factor).alias("__lim"))
         s = stage(s.join(lim, keys, "left"))
-        if s.where(F.col("__rr") < F.col("__lim")).isEmpty():
+        open_ = s.where(F.col("__rr") < F.col("__lim")).select(*keys).distinct()
+        if open_.isEmpty():
+            done.append(cur)
             break
-        if keep_later:
-            kept = s.where(~F.coalesce(F.col("__rr") < F.col("__lim"), F.lit(False)))
-        else:
-            kept = _settled(s, axis, prob, _close_pairs, ["__lim"])
+        done.append(s.join(open_, keys, "left_anti").select(*beats.columns))  # these are settled and take no further pass
+        s = s.join(open_, keys, "left_semi")
+        kept = s.where(~F.coalesce(F.col("__rr") < F.col("__lim"), F.lit(False))) if keep_later else _settled(s, axis, prob, _close_pairs, ["__lim"])
         cur = stage(kept.select(*beats.columns))
+    cur = done[0]
+    for part in done[1:]:
+        cur = cur.unionByName(part)
+    cur = stage(cur)
     many = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
     folded = cur.join(many, keys).withColumn("__lim", F.when(F.col("__k") >= 4, F.lit(1.0 + jump_frac)))
     return _settled(folded, axis, prob, _up_jumps, ["__lim"]).select(*beats.columns)

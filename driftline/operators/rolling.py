@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core.axis import Axis
 from ..core.halo import halo_apply
+from ..core.order import SlidingOrder
 from ..core.scan import CORE, HALO, IDX, drop_halo, halo_rows, row_frame, scan
 from ..core.stats import median
 from ..functions import dsp
@@ -106,12 +107,20 @@ def activity_index(df: DataFrame, axis: Axis, fs_hz: float, xyz: list[str], wind
 
 
 def running_median(df: DataFrame, axis: Axis, kernel: int, column: str, out: str) -> DataFrame:
-    """Median over an odd number of rows with zeros beyond the ends of the recording."""
+    """Median over an odd number of rows; nulls and what lies beyond the ends of the recording count as zeros.
+
+    A row costs the same whatever the kernel: chunks are indexed by rank (``core.order``).
+    """
     half = kernel // 2
-    h = halo_rows(df, axis, half, half)
-    vals = F.collect_list(F.col(column).cast("double")).over(row_frame(axis, half, half))
-    padded = F.sort_array(F.concat(vals, F.array_repeat(F.lit(0.0), F.lit(kernel) - F.size(vals))))
-    return drop_halo(h.withColumn(out, F.element_at(padded, half + 1)))
+
+    def run(x, at_start, at_end):
+        v = np.where(np.isnan(x[column]), 0.0, x[column])
+        w = np.concatenate([np.zeros(half if at_start else 0), v, np.zeros(half if at_end else 0)])
+        i = np.arange(len(v)) + (half if at_start else 0)
+        lo, hi = np.maximum(i - half, 0), np.minimum(i + half + 1, len(w))
+        return {out: SlidingOrder(w).kth(lo, hi, (hi - lo) // 2)}
+
+    return halo_apply(df, axis, half, half, run, [column], {out: "double"})
 
 
 def gradient(df: DataFrame, axis: Axis, columns: dict[str, str]) -> DataFrame:

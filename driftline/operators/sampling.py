@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.scan import scan
+from ..core.stage import stage
 
 
 def stable_sort(df: DataFrame, columns: list[str], tiebreak: str) -> DataFrame:
@@ -14,6 +15,25 @@ def stable_sort(df: DataFrame, columns: list[str], tiebreak: str) -> DataFrame:
     return df.orderBy(*[F.asc_nulls_last(c) for c in columns], F.asc(tiebreak))
 
 
+def sort_positions(df: DataFrame, columns: list[str], tiebreak: str, out: str = "position") -> DataFrame:
+    """Each row's place (from 0) in ``stable_sort``'s order.
+
+    Rows are range-partitioned by the order itself and numbered inside their part; the parts before it, one row each, give the rest.
+    """
+    order = [*[F.asc_nulls_last(c) for c in columns], F.asc(tiebreak)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    base = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    here = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
+    return d.withColumn(out, here).join(base, "__part").withColumn(out, (F.col(out) + F.col("__base")).cast("bigint")).drop("__part", "__base")
+
+
+def hash_share(seed: int, id_col: str) -> Column:
+    """A number in [0, 1) that the id and the seed decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def nth_candidate(df: DataFrame, axis: Axis, kept: Column, n: int) -> DataFrame:
     """The n-th kept row of each entity (1-based), or its last when there are fewer."""
     keys = list(axis.keys)
@@ -41,7 +61,7 @@ def hash_downsample(df: DataFrame, label: str, majority, ratio: float, id_col: s
     Fully distributed: the cut is a threshold on the hash, taken from the two class counts.
     """
     c = df.agg(F.count_if(F.col(label) == majority).alias("__maj"), F.count_if(F.col(label) != majority).alias("__min"))
-    u = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_003)) / 1_000_003.0
+    u = hash_share(seed, id_col)
     share = F.least(F.lit(1.0), F.try_divide(F.col("__min") * ratio, F.col("__maj")))
     return with_facts(df, c).where((F.col(label) != majority) | (u < share)).drop("__maj", "__min")
 

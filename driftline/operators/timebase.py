@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core.facts import with_facts
 from ..core.axis import Axis
-from ..core.scan import scan
+from ..core.halo import doubles
+from ..core.scan import CORE, HALO, IDX, halo_rows, scan
 from ..core.stats import median
 from ..schema import seconds_between
 
@@ -45,24 +50,37 @@ DEFAULT_TIME_PATTERN = "H:mm:ss"
 ISO_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
 
+#: Texts that mean that no layout was declared.
+UNDECLARED = {"", "unknown", "nan", "none"}
+_TOKEN = re.compile(r"MON|\.[0S]+|([YMDHS])\1*|.", re.S)
+
+
+def _letters(token: str, before: str, after: str) -> str:
+    """Spark's letters for one token of a layout; ``before`` and ``after`` are its neighbours among letter tokens."""
+    match token[0], len(token):
+        case "Y", n:
+            return "yyyy" if n > 2 else "yy"
+        case "M", n if token == "MON" or n == 3:
+            return "MMM"
+        case "M", _:
+            return "mm" if before[:1] == "H" or after[:1] == "S" else "MM"
+        case "D" | "H" | "S", _:
+            return {"D": "dd", "H": "HH", "S": "ss"}[token[0]]
+    return token.replace("0", "S") if len(token) > 1 else token  # a fraction
+
+
 def spark_pattern(unit: str | None) -> str | None:
     """Spark datetime pattern of a declared layout such as ``HH:MM:SS DD-Mon-YYYY``; null when undeclared.
 
-    Within a space-separated part MM means minutes when the part also has hours, else months.
+    MM means minutes right after hours or right before seconds, else months.
     """
-    if not unit or unit.strip().lower() in ("unknown", "nan", "none"):
+    text = " ".join((unit or "").split())
+    if text.lower() in UNDECLARED:
         return None
-    parts = []
-    for part in unit.split():
-        p = part.upper()
-        if "HH" in p:
-            p = p.replace("HH", "HH").replace("MM", "mm").replace("SS", "ss", 1)
-            p = p.replace(".000", ".SSS")
-        else:
-            p = p.replace("YYYY", "yyyy").replace("YY", "yy").replace("DD", "dd")
-            p = p.replace("MON", "MMM") if "MON" in p else p
-        parts.append(p)
-    return " ".join(parts)
+    tokens = [m[0] for m in _TOKEN.finditer(text.upper())]
+    dated = [k for k, t in enumerate(tokens) if t[0] in "YMDHS"]
+    beside = lambda k, step: next((tokens[j] for j in (dated if step > 0 else reversed(dated)) if (j - k) * step > 0), "")
+    return "".join(_letters(t, beside(k, -1), beside(k, 1)) for k, t in enumerate(tokens))
 
 
 def _per_recording(df: DataFrame, keys: list[str] | None, fact: Column) -> DataFrame:
@@ -402,20 +420,40 @@ def middle_window(start: str, end: str, minutes: float) -> tuple[Column, Column]
 def lag_curve(df: DataFrame, axis: Axis, x: str, y: str, max_lag: int, min_pairs: int = 10) -> DataFrame:
     """Correlation of ``x[i]`` with ``y[i-lag]`` for each row lag; a positive best lag means x follows y.
 
-    All lags are taken by window offsets within halo chunks and aggregated in one pass, so rows are
-    shuffled once, not once per lag.
+    Each chunk correlates its own rows with those within reach by FFT, all lags at once: the number of pairs in which neither is null,
+    and their sums, squares and products. These add up over chunks. Both signals are centred first, so that squares do
+    not cancel; a signal that is constant over a lag's pairs has no correlation there.
     """
-    from pyspark.sql import Window as W
-    from ..core.scan import CORE, HALO, IDX, halo_rows
-    h = halo_rows(df.select(*axis.keys, *axis.order, x, y), axis, max_lag, max_lag)
-    w = W.partitionBy(*axis.keys, HALO).orderBy(IDX)
-    lags = range(-max_lag, max_lag + 1)
-    name = lambda l: f"__y{l + max_lag}"
-    h = h.select("*", *[F.lag(y, l).over(w).alias(name(l)) for l in lags]).where(CORE)
-    agg = h.groupBy(*axis.keys).agg(*[F.struct(
-        F.lit(l).alias("lag"), F.corr(x, name(l)).alias("r"),
-        F.count(F.when(F.col(x).isNotNull(), F.col(name(l)))).alias("pairs")).alias(name(l)) for l in lags])
-    return agg.select(*axis.keys, F.inline(F.array(*[name(l) for l in lags]))).where(F.col("pairs") >= min_pairs)
+    keys = list(axis.keys)
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"), F.var_pop(x).alias("__vx"), F.var_pop(y).alias("__vy"))
+    d = df.select(*keys, *axis.order, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    h = halo_rows(d, axis, max_lag, max_lag).join(mean, keys).select(*keys, HALO, CORE, IDX, (F.col("__x") - F.col("__mx")).alias("__x"), (F.col("__y") - F.col("__my")).alias("__y"))
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t[IDX]))
+        u, v, core = doubles(t, "__x"), doubles(t, "__y"), t[CORE].to_numpy()
+        size = 1 << int(len(u) + max_lag).bit_length()
+        known, other = core & ~np.isnan(u), ~np.isnan(v)
+        u, v = np.where(known, u, 0.0), np.where(other, v, 0.0)
+        left = [np.fft.rfft(w, size) for w in (known.astype(float), u, u * u)]
+        right = [np.conj(np.fft.rfft(w, size)) for w in (other.astype(float), v, v * v)]
+        at = {"n": (0, 0), "sx": (1, 0), "sy": (0, 1), "sxx": (2, 0), "syy": (0, 2), "sxy": (1, 1)}
+        got = {c: np.fft.irfft(left[i] * right[j], size)[lags] for c, (i, j) in at.items()}
+        got["n"] = np.rint(got["n"])
+        out = t.slice(0, 1).select(keys).take(np.zeros(len(lags), np.int64))
+        for c, w in {"lag": lags.astype(np.int64), **got}.items():
+            out = out.append_column(c, pa.array(w))
+        return out
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums]])
+    per = h.groupBy(*keys, HALO).applyInArrow(run, schema).groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums]).join(mean, keys)
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
+    varies = (vx > 1e-11 * n * n * F.col("__vx")) & (vy > 1e-11 * n * n * F.col("__vy"))
+    r = F.when(varies, F.least(F.greatest((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0)))
+    return per.where(n >= min_pairs).select(*keys, "lag", r.alias("r"), n.cast("bigint").alias("pairs"))
 
 
 def best_lag(curve: DataFrame, keys: list[str]) -> DataFrame:

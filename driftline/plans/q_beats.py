@@ -25,10 +25,10 @@ def beats(spark, d):
     return signals(spark, d).where("event_type <> 'error'")
 
 
-def peaks_sql(height: float, distance: int) -> str:
-    return f"""WITH RECURSIVE {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) AS i, lag(value) OVER ({ORD}) AS pv, lead(value) OVER ({ORD}) AS nv FROM sig),
-  run AS (SELECT *, sum(CASE WHEN pv IS NULL OR pv <> value THEN 1 ELSE 0 END) OVER ({ORD}) AS g FROM i_),
-  pl AS (SELECT user_id, g, any_value(value) AS v, min(i) AS a, max(i) AS b FROM run GROUP BY 1, 2),
+def peaks_sql(height: float, distance: int, column: str = "value") -> str:
+    return f"""WITH RECURSIVE {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) AS i, lag({column}) OVER ({ORD}) AS pv, lead({column}) OVER ({ORD}) AS nv FROM sig),
+  run AS (SELECT *, sum(CASE WHEN pv IS NULL OR pv <> {column} THEN 1 ELSE 0 END) OVER ({ORD}) AS g FROM i_),
+  pl AS (SELECT user_id, g, any_value({column}) AS v, min(i) AS a, max(i) AS b FROM run GROUP BY 1, 2),
   nb AS (SELECT *, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM pl WINDOW w AS (PARTITION BY user_id ORDER BY g)),
   pk AS (SELECT user_id, v, (a + b) // 2 AS i, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, (a + b) // 2 DESC) AS rk FROM nb WHERE lv < v AND rv < v AND v >= {height}),
   f(user_id, rk, kept) AS (SELECT user_id, 0, CAST([] AS BIGINT[]) FROM pk GROUP BY user_id
@@ -49,7 +49,7 @@ def h1b(spark, d):
     return p.select("event_id", r("smoothed", 5), r("normalized", 5))
 
 
-@query("h1_pooled_peaks")
+@query("h1_pooled_peaks", f"SELECT event_id FROM ({peaks_sql(10, 4)}) UNION SELECT event_id FROM ({peaks_sql(10, 4, 'k')})")
 def h1p(spark, d):
     return peaks.pooled_peaks(signals(spark, d), signal_axis(spark, d), ["value", "k"], 10.0, 4).select("event_id")
 
@@ -123,7 +123,14 @@ def h10(spark, d):
     return x.select("event_id", F.round(F.col("rate_nan") * 1e4, 5).alias("rate_nan"))
 
 
-@query("h10_strict_rate_fixed")
+@query("h10_strict_rate_fixed", f"""WITH {BEAT}, p AS (SELECT user_id, us, lead(us) OVER ({ORD}) AS nus FROM bt), q AS (SELECT user_id, us, CASE WHEN (nus - us) / 1e6 >= 3600 THEN least(greatest(60 / ((nus - us) / 1e6), 0.001), 0.01) END AS rt FROM p),
+  s AS (SELECT x.*, q.rt FROM sig x ASOF LEFT JOIN q ON q.user_id = x.user_id AND q.us <= x.us),
+  g AS (SELECT s.*, EXISTS (SELECT 1 FROM sig e WHERE e.event_type = 'error' AND e.value > 50 AND e.user_id = s.user_id AND s.us >= e.us AND s.us < e.us + 14400000000) AS gap,
+    EXISTS (SELECT 1 FROM sig e WHERE e.event_type = 'error' AND e.value > 50 AND day(e.ts) < 10 AND e.user_id = s.user_id AND s.us >= e.us AND s.us < e.us + 14400000000) AS bad FROM s),
+  n AS (SELECT *, CASE WHEN NOT gap THEN rt END AS rn FROM g),
+  z AS (SELECT *, last_value(CASE WHEN rn IS NOT NULL THEN us END IGNORE NULLS) OVER a AS bu, last_value(rn IGNORE NULLS) OVER a AS bv, first_value(CASE WHEN rn IS NOT NULL THEN us END IGNORE NULLS) OVER b AS fu, first_value(rn IGNORE NULLS) OVER b AS fv FROM n
+     WINDOW a AS ({ORD} ROWS UNBOUNDED PRECEDING), b AS ({ORD} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT event_id, CASE WHEN NOT bad THEN round(1e4 * least(greatest(coalesce(rn, bv + (fv - bv) * CASE WHEN fu > bu THEN (us - bu) / (fu - bu) ELSE 0 END, bv, fv), 0.001), 0.01), 5) END AS rate_fixed FROM z""")
 def h10f(spark, d):
     ax, s = signal_axis(spark, d), signals(spark, d)
     sp = s.where("event_type = 'error' AND value > 50").select("user_id", F.col("ts").alias("start_ts"), add_seconds("ts", 14400.0).alias("end_ts"))
@@ -177,6 +184,39 @@ def h13(spark, d):
     return x.select("event_id", "peak_height", "distance")
 
 
+BY_CHUNK = f"""WITH RECURSIVE {SIG}, b AS (SELECT user_id, min(us) AS lo, max(us) AS hi FROM sig GROUP BY 1),
+  ch AS (SELECT user_id, i, lo + i * 432000000000 AS s, CASE WHEN i % 2 = 1 THEN 9 ELSE 2 END AS h, CASE WHEN i % 3 = 2 THEN 5 ELSE 2 END AS d FROM b, LATERAL (SELECT unnest(range(0, (hi - lo) // 432000000000 + 1)) AS i) WHERE i % 7 <> 3),
+  x AS (SELECT sig.*, ch.i AS c, ch.s, h, d FROM sig JOIN ch ON ch.user_id = sig.user_id AND us >= s AND us <= s + 432000000000),
+  i_ AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS pv, lead(value) OVER w AS nv, row_number() OVER (PARTITION BY user_id ORDER BY c, us, event_id) - 1 AS gi FROM x WINDOW w AS (PARTITION BY user_id, c ORDER BY us, event_id)),
+  run AS (SELECT *, sum(CASE WHEN pv IS NULL OR pv <> value THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, c ORDER BY i) AS g FROM i_),
+  pl AS (SELECT user_id, c, g, any_value(value) AS v, min(i) AS a, max(i) AS b, any_value(h) AS h, any_value(d) AS d FROM run GROUP BY 1, 2, 3),
+  nb AS (SELECT *, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM pl WINDOW w AS (PARTITION BY user_id, c ORDER BY g)),
+  pk AS (SELECT user_id, c, d, (a + b) // 2 AS i, row_number() OVER (PARTITION BY user_id, c ORDER BY v DESC, (a + b) // 2 DESC) AS rk FROM nb WHERE lv < v AND rv < v AND v >= h),
+  f(user_id, c, rk, kept) AS (SELECT user_id, c, 0, CAST([] AS BIGINT[]) FROM pk GROUP BY user_id, c
+   UNION ALL SELECT f.user_id, f.c, f.rk + 1, CASE WHEN len(list_filter(f.kept, lambda x: abs(x - pk.i) < pk.d)) = 0 THEN list_append(f.kept, pk.i) ELSE f.kept END
+   FROM f JOIN pk ON pk.user_id = f.user_id AND pk.c = f.c AND pk.rk = f.rk + 1),
+  last AS (SELECT user_id, c, arg_max(kept, rk) AS kept FROM f GROUP BY 1, 2), k_ AS (SELECT user_id, c, unnest(kept) AS i FROM last)
+  SELECT event_id, s AS start_us, gi AS refined_index, CASE WHEN value BETWEEN 0 AND 60 THEN 'beat_auto_detect_accepted' ELSE 'beat_auto_detect_rejected' END AS key FROM k_ JOIN i_ USING (user_id, c, i)"""
+BARE = {"height": 2.0, "distance_s": 2.0, "max_height": 60.0, **{f"enable_{x}": 0.0 for x in ("bandpass", "spike_removal", "absolute", "smoothing", "normalization")}}
+
+
+def override_grid(spark, d):
+    """Five-day chunks; every other one asks for higher peaks, every third for wider distances, every seventh is a gap."""
+    from ..operators.timebase import grid
+    b = signals(spark, d).groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    g = grid(b, ["user_id"], "lo", "hi", 432_000_000_000, "chunk_start").join(b, "user_id")
+    i = F.floor((F.unix_micros("chunk_start") - F.unix_micros("lo")) / 432_000_000_000)
+    maps = F.map_concat(F.when(i % 2 == 1, F.create_map(F.lit("height"), F.lit("9"))).otherwise(F.create_map(F.lit("noted"), F.lit("x"))),
+                        F.when(i % 3 == 2, F.create_map(F.lit("distance_s"), F.lit("5.0"))).otherwise(F.create_map(F.lit("distance_s"), F.lit(None).cast("string"))))
+    return g.select("user_id", "chunk_start", add_seconds("chunk_start", 432000.0).alias("chunk_end"), F.when(i % 7 == 3, "gap").otherwise("pending").alias("status"), maps.alias("params_override"))
+
+
+@query("h13_detect_by_chunk", BY_CHUNK)
+def h13d(spark, d):
+    x = peaks.detect_beats_by_chunk(signals(spark, d), signal_axis(spark, d), "value", 1.0, override_grid(spark, d), BARE, 86400.0)
+    return x.select("event_id", us("chunk_start", "start_us"), "refined_index", "key")
+
+
 @query("h14_candidate_features", f"""WITH {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) - 1 AS i FROM sig), c AS (SELECT * FROM i_ WHERE k > 80),
   w AS (SELECT c.event_id, any_value(c.value) AS v, avg(x.value) AS m, stddev_pop(x.value) AS sd, min(x.value) FILTER (x.i <= c.i) AS lt, min(x.value) FILTER (x.i >= c.i) AS rt
     FROM c JOIN i_ x ON x.user_id = c.user_id AND x.i BETWEEN c.i - 4 AND c.i + 4 GROUP BY 1),
@@ -203,6 +243,35 @@ def h15(spark, d):
     return x.select("event_id", F.col("label").cast("bigint").alias("label"))
 
 
+def training_sql(manual_only: bool) -> str:
+    near = lambda src: f"""(SELECT p.event_id, CASE WHEN p.fu IS NULL OR p.us - p.bu <= p.fu - p.us THEN p.bu ELSE p.fu END AS mu, CASE WHEN p.fu IS NULL OR p.us - p.bu <= p.fu - p.us THEN p.bk ELSE p.fk END AS mk, p.us FROM
+    (SELECT b.*, x.us AS fu, x.key AS fk FROM (SELECT c.*, x.us AS bu, x.key AS bk FROM c ASOF LEFT JOIN {src} x ON x.user_id = c.user_id AND x.us <= c.us) b ASOF LEFT JOIN {src} x ON x.user_id = b.user_id AND x.us >= b.us) p)"""
+    return f"""WITH {SIG}, c AS (SELECT event_id, user_id, us, k FROM sig WHERE event_type = 'view'),
+  ev AS (SELECT user_id, us, CASE WHEN value > 30 THEN 'ok' WHEN value > 15 THEN 'acc' ELSE 'rej' END AS key FROM sig WHERE event_type = 'click'), mn AS (SELECT * FROM ev WHERE key = 'ok'),
+  sp AS (SELECT user_id, min(us) AS a, max(us) AS b FROM mn GROUP BY 1), n AS {near('mn' if manual_only else 'ev')}, m AS {near('mn')}
+  SELECT c.event_id, CASE WHEN abs(n.mu - c.us) <= 21600000000 THEN CASE WHEN n.mk = 'rej' THEN 0 ELSE 1 END ELSE {'0' if manual_only else 'CASE WHEN k > 50 THEN 1 ELSE 0 END'} END AS label,
+    CASE WHEN abs(n.mu - c.us) <= 21600000000 THEN 'event' ELSE '{'manual_only' if manual_only else 'detector'}' END AS label_source, coalesce(abs(m.mu - c.us) <= 21600000000, FALSE) AS manual_positive,
+    coalesce(c.us BETWEEN a AND b, FALSE) AS in_training_span FROM c JOIN n USING (event_id) JOIN m USING (event_id) LEFT JOIN sp ON sp.user_id = c.user_id"""
+
+
+def _training(spark, d, manual_only):
+    s, v = signals(spark, d), F.col("value")
+    e = s.where("event_type = 'click'").select("user_id", "ts", F.when(v > 30, peaks.MANUAL_OK).when(v > 15, peaks.ACCEPTED).otherwise(peaks.REJECTED).alias("key"))
+    c = s.where("event_type = 'view'").withColumn("key", F.when(F.col("k") > 50, peaks.ACCEPTED).otherwise(peaks.REJECTED))
+    x = peaks.training_labels(c, e, signal_axis(spark, d), tolerance_s=21600.0, manual_only=manual_only)
+    return x.select("event_id", F.col("label").cast("bigint").alias("label"), "label_source", "manual_positive", "in_training_span")
+
+
+@query("h15_training_labels", training_sql(False))
+def h15t(spark, d):
+    return _training(spark, d, False)
+
+
+@query("h15_manual_only_labels", training_sql(True))
+def h15m(spark, d):
+    return _training(spark, d, True)
+
+
 SCORED = f"{SIG}, sc AS (SELECT event_id, user_id, ts, us, k / 100 AS p, CASE WHEN value > 20 THEN 1 ELSE 0 END AS y FROM sig)"
 
 
@@ -218,7 +287,8 @@ def h16(spark, d):
     return x.select(r("threshold", 4), r("fbeta"))
 
 
-@query("h17_hash_downsample")
+@query("h17_hash_downsample", f"""WITH {SCORED}, c AS (SELECT count(*) FILTER (y = 0) AS maj, count(*) FILTER (y <> 0) AS mino FROM sc)
+  SELECT event_id, y FROM sc, c WHERE y <> 0 OR CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(1, mino * 0.25::DOUBLE / maj)""")
 def h17(spark, d):
     return sampling.hash_downsample(scored(spark, d), "y", 0, 0.25, "event_id").select("event_id", "y")
 
@@ -316,6 +386,20 @@ def h29(spark, d):
     return model_verdict_events(scored(spark, d), ["event_id"], "p", 0.7, 0.4).select("event_id", "key")
 
 
+@query("h29_verdicts_replaced", f"""WITH {SCORED}, ev AS (SELECT user_id, us, CASE event_type WHEN 'view' THEN 'beat_ml_accepted' WHEN 'click' THEN 'beat_ml_rejected' ELSE 'note' END AS key FROM sig WHERE user_id % 3 <> 1),
+  nw AS (SELECT user_id, us, CASE WHEN p >= 0.7 THEN 'beat_ml_accepted' WHEN p >= 0.4 THEN 'beat_ml_suggested' ELSE 'beat_ml_rejected' END AS key FROM sc WHERE user_id % 2 = 0),
+  al AS (SELECT * FROM ev WHERE NOT (starts_with(key, 'beat_ml_') AND user_id IN (SELECT user_id FROM nw)) UNION ALL SELECT * FROM nw)
+  SELECT user_id, us, replace(key, 'beat_ml_', '') AS verdict, count(*) AS n FROM al WHERE starts_with(key, 'beat_ml_') GROUP BY 1, 2, 3""")
+def h29r(spark, d):
+    """A second model run over some entities replaces their verdicts and leaves all else; then events are read back as beats."""
+    from ..operators.eventset import replace_verdicts, verdict_beats
+    s, t = scored(spark, d), F.col("event_type")
+    old = signals(spark, d).where("user_id % 3 <> 1").select("user_id", "ts", F.when(t == "view", "beat_ml_accepted").when(t == "click", "beat_ml_rejected").otherwise("note").alias("key"),
+                                                             F.lit("point").alias("type"), F.lit(0.5).alias("value"))
+    x = verdict_beats(replace_verdicts(old, s.where("user_id % 2 = 0"), ["user_id"], "p", 0.7, 0.4))
+    return x.groupBy("user_id", us("ts", "us"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("h31_suggest_parameters", f"""WITH {RATE}, q AS (SELECT user_id, (us - pus) / 1e6 AS rr FROM r1) SELECT user_id, round(median(rr) * 0.5, 4) AS peak_distance_s, round(least(500, 78 / min(rr)), 6) AS max_bpm FROM q WHERE rr > 0 GROUP BY 1""")
 def h31(spark, d):
     b = peaks.rate_preview(beats(spark, d), signal_axis(spark, d))
@@ -472,6 +556,31 @@ def m13(spark, d):
     return x.select("user_id", us("ts", "us"), "key")
 
 
+@query("h21_two_cluster_model")
+def h21m(spark, d):
+    return learn.two_cluster_model(wide(spark, d), FS, F.col("label") == "3").select("vec_id", "cluster", "predicted")
+
+
+@query("h27_tuned_out_of_fold")
+def h27(spark, d):
+    w = wide(spark, d).withColumn("label", (F.col("label").cast("int") < 3).cast("int").cast("string"))
+    scores, best = learn.tuned_out_of_fold(w, FS, "label", "vec_id", 3, trees=30, depth=6)
+    return scores.crossJoin(F.broadcast(best)).select("vec_id", "label", "fold", r("score", 4), r("threshold", 4))
+
+
+@query("m8_transfer")
+def m8t(spark, d):
+    w = wide(spark, d).withColumn("ds", F.concat(F.lit("d"), F.col("vec_id") % 3))
+    return learn.transfer(w, FS, "label", "ds", "d0", "d1", trees=30, depth=6).select("vec_id", "label", "predicted_label")
+
+
+@query("m10_forward_ablation")
+def m10(spark, d):
+    groups = {f"block{k}": FS[16 * k:16 * k + 16] for k in range(4)}
+    got = learn.forward_ablation(wide(spark, d), groups, "label", "vec_id", trees=10)
+    return spark.createDataFrame([(k, g, a) for k, (g, a) in enumerate(got)], "step int, feature_group string, accuracy double")
+
+
 @query("h21_best_cluster_by_f1", f"""WITH {SCORED}, c AS (SELECT user_id % 4 AS cluster, count(*) FILTER (y = 1) AS tp, count(*) AS n, (SELECT sum(y) FROM sc) AS pos FROM sc GROUP BY 1)
   SELECT cluster, round(2 * tp / (n + pos), 6) AS f1 FROM c ORDER BY 2 * tp / (n + pos) DESC, cluster LIMIT 1""")
 def h21(spark, d):

@@ -430,10 +430,10 @@ def p12(spark, d):
     return project.attach_metadata(s, "a", "b", meta, ["label"]).select("s_suppkey", "label")
 
 
-@query("l1_stable_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey) > 0 AS ranked FROM orders")
+@query("l1_stable_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey) - 1 AS position FROM orders")
 def l1(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))
-    return sampling.stable_sort(o, ["s"], "o_orderkey").select("o_orderkey", F.lit(True).alias("ranked"))
+    return sampling.sort_positions(o, ["s"], "o_orderkey").select("o_orderkey", "position")
 
 
 @query("l5_top_reasons", "SELECT reason, count(*) AS n FROM (SELECT unnest([event_type, 'u' || (user_id % 7)]) AS reason FROM events) GROUP BY 1 ORDER BY n DESC, reason LIMIT 8")

@@ -97,8 +97,8 @@ def r4(spark, d):
 
 
 @query("r5_mask_periods", f"""WITH {runs_sql('k >= 30')},
-  st AS (SELECT user_id, isl, median((us - prev_us) / 1e6) AS step FROM rows_ WHERE p AND chg = 0 GROUP BY 1, 2)
-  SELECT r.user_id, s AS start_us, CAST(e + round(coalesce(step, 0) * 1e6) AS BIGINT) AS end_us, n
+  st AS (SELECT user_id, isl, median(us - prev_us) AS step FROM rows_ WHERE p AND chg = 0 GROUP BY 1, 2)
+  SELECT r.user_id, s AS start_us, e + CAST(floor(coalesce(step, 0) + 0.5) AS BIGINT) AS end_us, n
   FROM runs r LEFT JOIN st USING (user_id, isl) WHERE p""")
 def r5(spark, d):
     m = islands.mask_periods(signals(spark, d), signal_axis(spark, d), F.col("k") >= 30)

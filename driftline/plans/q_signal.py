@@ -173,8 +173,8 @@ FLAT = f"""{runs_sql('abs(k - 50) < 35')}, md AS (SELECT user_id, isl, median(va
      WINDOW a AS ({ORD} ROWS UNBOUNDED PRECEDING), b AS ({ORD} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
   SELECT event_id, round(value - coalesce(o, bv + (fv - bv) * (idx - bi) / (fi - bi), bv, 0), 6) AS depth_zoc FROM nb""")
 def z2(spark, d):
-    s, ch = _chunks(spark, d)
-    return depth.zero_offset(s, signal_axis(spark, d), "value", ch, bin_s=21600.0).select("event_id", r("depth_zoc"))
+    s = signals(spark, d).withColumn("slope", F.col("k") - 50)
+    return depth.level_surface(s, signal_axis(spark, d), "value", "slope", 35.0, 3, 20.0, bin_s=21600.0).select("event_id", r("depth_zoc"))
 
 
 @query("z3_chunk_regression", f"""WITH {FLAT} SELECT ch.user_id, ch.s AS start_us, round(regr_slope(x.value, x.k - 20), 5) AS slope, round(regr_intercept(x.value, x.k - 20), 5) AS intercept

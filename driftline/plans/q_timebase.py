@@ -137,20 +137,34 @@ def a23(spark, d):
     return c.select("user_id", F.col("lag").cast("bigint").alias("lag"), F.round("r", 6).alias("r"), "pairs")
 
 
+# Two-sided p of a correlation $r over n pairs: the closed sums over powers of the cosine for whole degrees of freedom v = n - 2.
+T_P = """(1 - CASE WHEN (n - 2) % 2 = 0 THEN abs($r) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - $r * $r, k)) FROM range(0, (n - 2) // 2) t(k))
+   ELSE 2 / pi() * (asin(abs($r)) + abs($r) * sqrt(1 - $r * $r) * coalesce((SELECT sum(exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(1 - $r * $r, k)) FROM range(0, (n - 3) // 2) t(k)), 0)) END)"""
+
+
 @query("a23_correlation_summary", f"""WITH {DAYS}, rr AS (SELECT *, avg(rx) OVER (PARTITION BY user_id, x) AS ax, avg(ry) OVER (PARTITION BY user_id, y) AS ay FROM
     (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) AS rx, row_number() OVER (PARTITION BY user_id ORDER BY y) AS ry FROM rk)),
   l AS (SELECT l FROM generate_series(-5, 5) t(l)),
   p AS (SELECT a.user_id, l AS lag, corr(a.x, b.y) AS r, count(*) AS pairs FROM rk a CROSS JOIN l JOIN rk b ON b.user_id = a.user_id AND b.i = a.i - l GROUP BY 1, 2),
-  bl AS (SELECT user_id, arg_max(lag, (abs(r), -lag)) AS best_lag FROM p WHERE pairs >= 10 GROUP BY 1)
-  SELECT user_id, count(*) AS n, round(corr(x, y), 6) AS pearson_r, round(corr(ax, ay), 6) AS spearman_rho, max(best_lag) AS best_lag FROM rr JOIN bl USING (user_id) GROUP BY 1 HAVING count(*) >= 10""")
+  bl AS (SELECT user_id, arg_max(lag, (abs(r), -lag)) AS best_lag FROM p WHERE pairs >= 10 GROUP BY 1),
+  c AS (SELECT user_id, count(*) AS n, corr(x, y) AS pr, corr(ax, ay) AS sr, max(best_lag) AS best_lag FROM rr JOIN bl USING (user_id) GROUP BY 1 HAVING count(*) >= 10)
+  SELECT user_id, n, round(pr, 6) AS pearson_r, round(sr, 6) AS spearman_rho, best_lag, round({T_P.replace('$r', 'pr')}, 8) AS pearson_p, round({T_P.replace('$r', 'sr')}, 8) AS spearman_p FROM c""")
 def a23s(spark, d):
     from ..operators.budgets import correlate
     x = correlate(daily(spark, d), signal_axis(spark, d).with_(order=("ts",)), "x", "y", 5)
     return x.select("user_id", "n", F.round("pearson_r", 6).alias("pearson_r"), F.round("spearman_rho", 6).alias("spearman_rho"),
-                    F.col("best_lag").cast("bigint").alias("best_lag"))
-
-
-@query("t12_estimate_lag")
+                    F.col("best_lag").cast("bigint").alias("best_lag"), F.round("pearson_p", 8).alias("pearson_p"), F.round("spearman_p", 8).alias("spearman_p"))
+
+
+@query("t12_estimate_lag", f"""WITH {SIG}, s AS (SELECT user_id, us, max(value) AS v FROM sig GROUP BY 1, 2), l AS (SELECT user_id, us + 7200000000 AS us, v FROM s),
+  b AS (SELECT user_id, min(us) + 7200000000 AS a, max(us) AS b FROM s GROUP BY 1 HAVING max(us) >= min(us) + 7200000000),
+  g AS (SELECT user_id, unnest(generate_series(a, b, 3600000000)) AS us FROM b),
+  pq AS (SELECT g.user_id, g.us, p.us AS pu, p.v AS pv, q.us AS qu, q.v AS qv FROM g ASOF JOIN s p ON p.user_id = g.user_id AND p.us <= g.us ASOF JOIN l q ON q.user_id = g.user_id AND q.us <= g.us),
+  nx AS (SELECT pq.*, p.us AS pu2, p.v AS pv2, q.us AS qu2, q.v AS qv2 FROM pq ASOF LEFT JOIN s p ON p.user_id = pq.user_id AND p.us > pq.us ASOF LEFT JOIN l q ON q.user_id = pq.user_id AND q.us > pq.us),
+  xy AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, CASE WHEN pu = us THEN pv ELSE pv + (pv2 - pv) * (us - pu) / (pu2 - pu) END AS x,
+    CASE WHEN qu = us THEN qv ELSE qv + (qv2 - qv) * (us - qu) / (qu2 - qu) END AS y FROM nx),
+  c AS (SELECT a.user_id, l AS lag, corr(a.x, b.y) AS r, count(*) AS n FROM xy a CROSS JOIN generate_series(-6, 6) t(l) JOIN xy b ON b.user_id = a.user_id AND b.i = a.i + l WHERE a.x IS NOT NULL AND b.y IS NOT NULL GROUP BY 1, 2)
+  SELECT user_id, arg_max(lag, (abs(r), lag)) AS lag, arg_max(lag, (abs(r), lag)) * 3600.0::DOUBLE AS lag_s FROM c WHERE n >= 10 GROUP BY 1""")
 def t12(spark, d):
     ax = signal_axis(spark, d).with_(order=("ts",))
     s = signals(spark, d).groupBy("user_id", "ts").agg(F.max("value").alias("x"))
