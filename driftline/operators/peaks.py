@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..core.facts import with_facts
 from ..core.axis import Axis
@@ -365,8 +366,58 @@ def up_jump_rejections(beats: DataFrame, axis: Axis, frac: float, min_rr_s: floa
 def strict_rate(samples: DataFrame, beats: DataFrame, axis: Axis, gaps: DataFrame, unusable: DataFrame, min_rr_s: float, min_bpm: float,
                 max_bpm: float, bin_s: float = 3600.0) -> DataFrame:
     """Rate rebuilt strictly: too short intervals and gap spans are null (``rate_nan``), the rest clamped;
-    ``rate_fixed`` fills linearly in both directions and is null again inside unusable spans.
+    ``rate_fixed`` fills linearly in both directions and is null again inside unusable spans (half-open, like gaps).
+
+    An entity whose samples fit one chunk meets its beats and spans in one task; larger ones go through joins and scans.
     """
+    small, large = whole_entities(samples, axis)
+    parts = []
+    if small is not None:
+        parts.append(_strict_whole(small, beats, axis, gaps, unusable, min_rr_s, min_bpm, max_bpm))
+    if large is not None:
+        parts.append(_strict_joined(large, beats, axis, gaps, unusable, min_rr_s, min_bpm, max_bpm, bin_s))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _strict_whole(samples: DataFrame, beats: DataFrame, axis: Axis, gaps: DataFrame, unusable: DataFrame, min_rr_s: float, min_bpm: float, max_bpm: float) -> DataFrame:
+    keys, cols = list(axis.keys), list(samples.columns)
+    mark = lambda d, kind, a, b: d.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.lit(kind).alias("__kind"), F.unix_micros(a).alias("__a"), F.unix_micros(b).alias("__b"))
+    marks = mark(beats, 0, axis.ts, axis.ts).unionAll(mark(gaps, 1, "start_ts", "end_ts")).unionAll(mark(unusable, 2, "start_ts", "end_ts"))
+    rows = samples.withColumn("__us", F.unix_micros(axis.ts))
+    schema = T.StructType([*samples.schema.fields, T.StructField("rate_nan", T.DoubleType()), T.StructField("rate_fixed", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([(o, "ascending") for o in axis.order])
+        us, kind, start, stop = (c.to_numpy() for c in (left["__us"], right["__kind"], right["__a"], right["__b"]))
+
+        def within(k: int) -> np.ndarray:
+            ok = (kind == k) & (stop > start)
+            return np.searchsorted(np.sort(start[ok]), us, side="right") > np.searchsorted(np.sort(stop[ok]), us, side="right")
+
+        at = np.sort(start[kind == 0])
+        rr = np.append(np.diff(at) / 1e6, np.nan)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = np.append(np.where(rr >= min_rr_s, np.clip(60.0 / rr, min_bpm, max_bpm), np.nan), np.nan)  # the last place stands for no beat yet
+        strict = np.where(within(1), np.nan, rate[np.searchsorted(at, us, side="right") - 1])
+        fixed = strict
+        known = np.flatnonzero(~np.isnan(strict))
+        if len(known):
+            i = np.searchsorted(known, np.arange(len(us)), side="right")
+            p, q = known[np.maximum(i - 1, 0)], known[np.minimum(i, len(known) - 1)]
+            span = us[q] - us[p]
+            w = np.where(span > 0, (us - us[p]) / np.where(span > 0, span, 1), 0.0)
+            fixed = np.where(np.isnan(strict), np.where(p < q, strict[p] + (strict[q] - strict[p]) * w, strict[p]), strict)
+        fixed = np.where(within(2), np.nan, np.clip(fixed, min_bpm, max_bpm))
+        out = left.select(cols)
+        for n, v in (("rate_nan", strict), ("rate_fixed", fixed)):
+            out = out.append_column(n, pa.array(v, pa.float64(), from_pandas=True))
+        return out
+
+    return rows.groupBy(*keys).cogroup(marks.groupBy(*[f"__of_{k}" for k in keys])).applyInArrow(run, schema)
+
+
+def _strict_joined(samples: DataFrame, beats: DataFrame, axis: Axis, gaps: DataFrame, unusable: DataFrame, min_rr_s: float, min_bpm: float,
+                   max_bpm: float, bin_s: float) -> DataFrame:
     s = scan(beats.select(*axis.keys, *axis.order), axis, nxt={"__n": axis.ts}).withColumn("__rr", seconds_between(axis.ts, "__n"))
     rate = F.when(F.col("__rr") >= min_rr_s, F.greatest(F.least(60.0 / F.col("__rr"), F.lit(float(max_bpm))), F.lit(float(min_bpm))))
     b = s.select(*axis.keys, F.col(axis.ts).alias("__bt"), rate.alias("rate_nan"))

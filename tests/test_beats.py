@@ -125,6 +125,17 @@ def test_levelling_of_whole_entities_and_by_operators(spark):
     assert found.count() > 5
 
 
+def test_strict_rate_of_whole_entities_and_by_joins(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"a{a}", T0 + timedelta(seconds=int(i)), k) for a in range(3) for k, i in enumerate(np.sort(rng.integers(0, 600, 500)))]
+    s = spark.createDataFrame(rows, "animal string, ts timestamp, n long")
+    beats = s.where("animal <> 'a2' AND n % 7 = 3")  # the last one has none
+    spans = spark.createDataFrame([("a0", T0 + timedelta(seconds=x), T0 + timedelta(seconds=x + w)) for x, w in ((50, 40), (60, 5), (300, 1), (400, 0))], "animal string, start_ts timestamp, end_ts timestamp")
+    got = [peaks.strict_rate(s, beats, AXIS.with_(rows=k), spans, spans.where("start_ts < '2024-01-01 00:01:00'"), 6.0, 3.0, 9.0, 60.0).orderBy("animal", "n").toPandas() for k in (1_000, 10)]
+    assert 300 < got[0]["rate_nan"].notna().sum() < 1_000 and got[0]["rate_fixed"].notna().sum() > 900
+    assert np.allclose(got[0][["rate_nan", "rate_fixed"]], got[1][["rate_nan", "rate_fixed"]], equal_nan=True)
+
+
 def test_conflicts_of_wide_and_narrow_windows(spark):
     rng = np.random.default_rng(5)
     us = np.cumsum(rng.integers(1, 3_000_000, 400))
