@@ -223,3 +223,40 @@ def morlet_power(x: np.ndarray, scale: float) -> np.ndarray:
 
 def morlet_reach(scale: float) -> int:
     return int(np.ceil(8 * scale * np.sqrt(MORLET_BANDWIDTH / 2)))
+
+
+# Chebyshev nodes of a cell one time constant wide: interpolation between them holds a Gaussian to about 1e-14.
+NODES = np.cos(np.pi * (2 * np.arange(14) + 1) / 28)
+_BARY = np.sin(np.pi * (2 * np.arange(14) + 1) / 28) * (-1.0) ** np.arange(14)
+
+
+def _basis(u: np.ndarray) -> np.ndarray:
+    """Lagrange polynomials of the nodes at places ``u`` in [-1, 1], a row per place."""
+    apart = u[:, None] - NODES
+    hit = apart == 0
+    w = _BARY / np.where(hit, 1.0, apart)
+    out = w / w.sum(1, keepdims=True)
+    return np.where(hit.any(1)[:, None], hit.astype(float), out)
+
+
+def gauss_sums(t: np.ndarray, weights: np.ndarray, reach: float) -> np.ndarray:
+    """``sum_j weights[m, j] exp(-(t[j] - t[i])^2 / 2)`` for every m and i, over at least ``reach`` either way; ``t`` ascends.
+
+    Cells of width 1 gather their weights on nodes, cells within reach exchange node values, and rows read theirs off the nodes: linear in the rows
+    however dense they are. The error is about 1e-14 of the weights within reach.
+    """
+    m, n = weights.shape
+    if not n:
+        return np.zeros((m, 0))
+    cell = np.floor(t)
+    cells, first, of = np.unique(cell, return_index=True, return_inverse=True)
+    basis = _basis(2 * (t - cell) - 1)
+    held = np.stack([np.add.reduceat(basis * w[:, None], first, axis=0) for w in weights])
+    nodes = np.zeros_like(held)
+    far = int(np.ceil(reach)) + 1
+    for d in range(-far, far + 1):
+        at = np.minimum(np.searchsorted(cells, cells + d), len(cells) - 1)
+        ok = cells[at] == cells + d
+        kernel = np.exp(-0.5 * (d + (NODES[None, :] - NODES[:, None]) / 2) ** 2)  # target node, source node
+        nodes[:, ok] += held[:, at[ok]] @ kernel.T
+    return np.stack([(basis * v[of]).sum(1) for v in nodes])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.axis import Axis
+from ..core.halo import halo_time_apply
+from ..functions import dsp
 from .timebase import grid, interpolate_onto
 
 
@@ -75,35 +78,26 @@ def latitude_sigma(ts: Column | str, base: float = LAT_SIGMA_DEG) -> Column:
 def kernel_smooth(df: DataFrame, axis: Axis, columns: dict[str, Column], tau_s: float, reach: float = 8.0) -> DataFrame:
     """Gaussian-in-time, weighted mean over neighbouring rows; ``columns``: name -> weight. Adds ``<name>_smoothed``.
 
-    Neighbours beyond ``reach`` time constants (weight below 1e-13) are left out, so chunks with a time
-    halo suffice. Inside a chunk the rows are combined in numpy blocks; no pairs are ever materialised.
+    Neighbours beyond ``reach`` time constants (weight below 1e-13) may be left out, so chunks with a time halo suffice. Inside a
+    chunk a fast Gauss transform adds up all pairs at a cost linear in the rows, however dense the track is (``dsp.gauss_sums``).
     """
-    import numpy as np
-    from pyspark.sql import types as T
-    from ..core.scan import CORE, HALO, halo_time
-    keys, names = list(axis.keys), list(columns)
+    names = list(columns)
     far = int(reach * tau_s * 1e6)
     d = df.withColumns({f"__w_{c}": w.cast("double") for c, w in columns.items()})
-    h = halo_time(d, axis.with_(width=max(axis.width, 4 * far)), far, far)
-    out_cols = list(df.columns)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_smoothed", T.DoubleType()) for c in names]])
-
-    def run(pdf):
-        pdf = pdf.sort_values("__pos", kind="stable")
-        t = pdf["__pos"].to_numpy(float) / 1e6 / tau_s
-        core = np.flatnonzero(pdf[CORE].to_numpy())
-        got = {c: np.full(len(t), np.nan) for c in names}
-        for s in range(0, len(core), 256):
-            i = core[s:s + 256]
-            lo, hi = np.searchsorted(t, t[i[0]] - reach, "left"), np.searchsorted(t, t[i[-1]] + reach, "right")
-            k = np.exp(-0.5 * (t[lo:hi][None, :] - t[i][:, None]) ** 2)
-            for c in names:
-                v, w = pdf[c].to_numpy(float)[lo:hi], pdf[f"__w_{c}"].to_numpy(float)[lo:hi]
-                kw = k * np.where(np.isnan(v), 0.0, w)
-                got[c][i] = (kw @ np.nan_to_num(v)) / kw.sum(1)
-        return pdf[out_cols].assign(**{f"{c}_smoothed": got[c] for c in names}).iloc[core]
-
-    return h.groupBy(*keys, HALO).applyInPandas(run, schema)
+
+    def run(x, pos):
+        t = (pos - pos[0]) / 1e6 / tau_s
+        out = {}
+        for c in names:
+            v = x[c]
+            w = np.where(np.isnan(v), 0.0, x[f"__w_{c}"])
+            num, den = dsp.gauss_sums(t, np.stack([w * np.where(np.isnan(v), 0.0, v), w]), reach)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[f"{c}_smoothed"] = num / den
+        return out
+
+    got = halo_time_apply(d, axis.with_(width=max(axis.width, 4 * far)), far, far, run, [*names, *[f"__w_{c}" for c in names]], {f"{c}_smoothed": "double" for c in names})
+    return got.drop(*[f"__w_{c}" for c in names])
 
 
 def smooth_geolocation(df: DataFrame, axis: Axis, lat: str, lon: str, window_hours: float = 24.0, max_speed_kmh: float | None = 10.0) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..core.axis import Axis
 from ..functions import units
 
 
@@ -97,6 +98,28 @@ def group_by_rate(info: DataFrame, keys: list[str], signal: str, fs: str) -> Dat
     return info.groupBy(*keys, rate.alias("rate_hz")).agg(F.array_sort(F.collect_set(signal)).alias("signals"))
 
 
+def frames_by_rate(frames: dict[str, DataFrame], fs: dict[str, float], axis: Axis) -> dict[int, DataFrame]:
+    """One frame per whole rate: each signal is decimated to its type's target, brought to the whole rate by means if it is none, and merged
+    with the others that land on the same rate by an outer merge on time.
+
+    ``frames``: signal -> its recording (keys, time, one column named like the signal). Signals are a recorder's channels, a handful.
+    """
+    from .joins import outer_merge
+    from .rolling import decimate
+    from .timebase import resample
+    groups: dict[int, list[DataFrame]] = {}
+    on = [*axis.keys, axis.ts]
+    for name, df in frames.items():
+        hz, target = fs[name], TARGET_HZ.get(name.lower())
+        step = int(hz / target) if target and hz > target and hz % target == 0 else 1
+        d = decimate(df, axis, step, {name: name}) if step > 1 else df
+        rate = int(hz / step)
+        if rate and rate != hz / step:
+            d = resample(d, axis, 1.0 / rate, {name: ("mean", name)}, fill_grid=False).withColumnRenamed("bin_ts", axis.ts)
+        groups.setdefault(rate, []).append(d.select(*on, name))
+    return {rate: outer_merge(parts, on) for rate, parts in sorted(groups.items(), reverse=True)}
+
+
 def recomputed_name(signal: Column, logger: Column) -> Column:
     """Signals recomputed by derived loggers get the suffix ``_2``."""
     return F.when(F.lower(logger).contains("derived"), F.concat(signal, F.lit("_2"))).otherwise(signal)

@@ -23,10 +23,21 @@ REST_DEFAULTS = {
 }
 
 
+# Settings that were renamed, and those of older files that the detector does not read.
+RENAMED = {"sign_consistency_required": "end_segments_upon_d1_sign_change"}
+NOT_READ = ("covariates", "context_filters", "context_filter_definitions", "debug")
+
+
 def rest_settings(cfg: dict | None) -> dict:
-    """Defaults overlaid by a (possibly nested) configuration; unknown settings are an error."""
-    flat = dict(cfg or {})
+    """Defaults overlaid by a (possibly nested) configuration; unknown settings are an error.
+
+    A setting under its older name counts unless the present name is there too.
+    """
+    flat = {k: v for k, v in (cfg or {}).items() if k not in NOT_READ}
     flat.update(flat.pop("thresholds", {}) or {})
+    for old, new in RENAMED.items():
+        value = flat.pop(old, None)
+        flat.setdefault(new, value)
     bad = set(flat) - set(REST_DEFAULTS)
     if bad:
         raise ValueError(f"unknown settings {sorted(bad)}")

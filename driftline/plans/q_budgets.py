@@ -413,6 +413,30 @@ def p10(spark, d):
     return project.group_by_rate(s, ["user_id"], "signal", "fs").select("user_id", "rate_hz", F.array_join("signals", "|").alias("signals"))
 
 
+@query("p10_frames_by_rate", """WITH s AS (SELECT user_id, epoch_us(ts) AS us, event_type, value FROM events),
+  v AS (SELECT user_id, us, min(value) AS view FROM s WHERE event_type = 'view' GROUP BY 1, 2), c AS (SELECT user_id, us // 1000000 * 1000000 AS us, avg(value) AS click FROM s WHERE event_type = 'click' GROUP BY 1, 2)
+  SELECT user_id, us, round(view, 6) AS view, round(click, 6) AS click FROM v FULL JOIN c USING (user_id, us)""")
+def p10f(spark, d):
+    """Two channels that land on 1 Hz, one of them from 1.5 Hz, become one frame."""
+    s = signals(spark, d)
+    one = lambda t: s.where(F.col("event_type") == t).withColumnRenamed("value", t)
+    x = project.frames_by_rate({"view": one("view"), "click": one("click")}, {"view": 1.0, "click": 1.5}, signal_axis(spark, d))
+    return x[1].select("user_id", F.unix_micros("ts").alias("us"), F.round("view", 6).alias("view"), F.round("click", 6).alias("click"))
+
+
+@query("s14_older_run_outputs", """WITH s AS (SELECT event_id, ts, value, CASE user_id % 5 WHEN 0 THEN 'long_flat' WHEN 1 THEN 'long_drift' WHEN 2 THEN 'surface_sleep' WHEN 3 THEN 'not_sleep' END AS c FROM events)
+  SELECT event_id, epoch_us(ts) + CAST(floor(value * 1000) AS BIGINT) // 2 AS mid_us, CAST(floor(value * 1000) AS BIGINT) / 1e6 AS duration_s, value > 20 AS base_keep_filtered,
+    CASE c WHEN 'long_flat' THEN 'putative_rest.benthic_sleep' WHEN 'long_drift' THEN 'putative_rest.drift_sleep' WHEN 'surface_sleep' THEN 'putative_rest.surface_sleep' WHEN 'not_sleep' THEN 'find_rest.not_sleep'
+      ELSE 'putative_rest.unfiltered' END AS state_name, CASE c WHEN 'not_sleep' THEN 'find_rest' ELSE 'putative_rest' END AS group_label FROM s""")
+def s14(spark, d):
+    """Segments as older versions wrote them."""
+    from ..sources.sinks import standard_segments
+    k = F.col("user_id") % 5
+    old = signals(spark, d).select("event_id", F.col("ts").alias("start_datetime"), F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 1000)).alias("end_datetime"), (F.col("value") > 20).alias("context_keep"),
+                                   F.when(k == 0, "long_flat").when(k == 1, "long_drift").when(k == 2, "surface_sleep").when(k == 3, "not_sleep").alias("nominal_class"), F.lit(" ").alias("unused"))
+    return standard_segments(old).select("event_id", F.unix_micros("segment_midpoint_ts").alias("mid_us"), "duration_s", "base_keep_filtered", "state_name", "group_label")
+
+
 @query("p11_p13_names", "SELECT event_id, event_type || CASE WHEN user_id % 2 = 0 THEN '_2' ELSE '' END AS name FROM events WHERE event_type <> 'error'")
 def p11(spark, d):
     s = project.drop_intermediate(signals(spark, d), ["error"], "event_type")

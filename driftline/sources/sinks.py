@@ -5,6 +5,9 @@ from __future__ import annotations
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from ..core.facts import with_facts
+from ..schema import seconds_between
+
 
 def write_signals(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     """Long signals as parquet partitioned by dataset, signal and UTC day; an export without rows is refused.
@@ -76,3 +79,50 @@ def publish_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 def load_runs(spark: SparkSession, path: str, ids: list[str], column: str = "deployment_id") -> DataFrame:
     """Segments of a merged run table for some deployments; the id filter reaches the scan."""
     return spark.read.parquet(path).where(F.col(column).isin(ids))
+
+
+# States by the class that older run outputs carry.
+STATE_OF_CLASS = {"surface_sleep": "putative_rest.surface_sleep", "long_flat": "putative_rest.benthic_sleep", "long_drift": "putative_rest.drift_sleep", "not_sleep": "find_rest.not_sleep"}
+UNNAMED_STATE = "putative_rest.unfiltered"
+OLDER_NAMES = {"start_datetime": "start_ts", "end_datetime": "end_ts", "datetime": "ts"}
+
+
+def standard_segments(df: DataFrame) -> DataFrame:
+    """A run's segments under today's column names, whatever version wrote them.
+
+    Times are renamed; ``duration_s`` comes from ``duration`` or the times, ``segment_midpoint_ts`` from the times or ``ts``, ``keep_filtered`` from
+    ``context_keep`` (kept without either), ``base_keep_filtered`` from ``keep_filtered``. ``label_name`` is taken, where it is missing or blank on every row, from
+    ``state_name``, ``base_state_key`` or the class; a named label also names the state, whose first part is the group.
+    """
+    df = df.withColumnsRenamed({a: b for a, b in OLDER_NAMES.items() if a in df.columns and b not in df.columns})
+    has = set(df.columns)
+    times = {"start_ts", "end_ts"} <= has
+    add: dict[str, Column] = {}
+    if "duration_s" not in has:
+        add["duration_s"] = F.expr("try_cast(duration AS double)") if "duration" in has else seconds_between("start_ts", "end_ts") if times else F.lit(None).cast("double")
+    if "segment_midpoint_ts" not in has:
+        middle = F.timestamp_micros(F.unix_micros("start_ts") + F.expr("(unix_micros(end_ts) - unix_micros(start_ts)) div 2")) if times else F.col("ts") if "ts" in has else F.lit(None).cast("timestamp")
+        add["segment_midpoint_ts"] = middle
+    if "keep_filtered" not in has:
+        add["keep_filtered"] = F.col("context_keep") if "context_keep" in has else F.lit(True)
+    df = df.withColumns(add)
+    if "base_keep_filtered" not in has:
+        df = df.withColumn("base_keep_filtered", F.col("keep_filtered"))
+    known = F.create_map(*[F.lit(x) for kv in STATE_OF_CLASS.items() for x in kv])
+    state = F.col("state_name") if "state_name" in has else F.col("base_state_key") if "base_state_key" in has else (
+        F.coalesce(known[F.col("nominal_class")], F.lit(UNNAMED_STATE)) if "nominal_class" in has else F.lit(UNNAMED_STATE))
+    if "label_name" not in has:
+        df = df.withColumn("label_name", state.cast("string"))
+    else:
+        blank = with_facts(df, df.agg((F.count_if(F.coalesce(F.col("label_name").cast("string"), F.lit("")) != "") == 0).alias("__blank")))
+        df = blank.withColumn("label_name", F.when(F.col("__blank"), state.cast("string")).otherwise(F.col("label_name"))).drop("__blank")
+    label = F.trim(F.coalesce("label_name", F.lit("")))
+    df = df.withColumn("state_name", F.when(label == "", F.col("state_name")).otherwise(label) if "state_name" in has else F.col("label_name"))
+    if "group_label" not in has:
+        df = df.withColumn("group_label", F.substring_index("state_name", ".", 1))
+    return df.withColumn("group_label", F.coalesce("group_label", F.lit("")))
+
+
+def load_segments(spark: SparkSession, path: str, ids: list[str] | None = None, column: str = "deployment_id") -> DataFrame:
+    """A run's segments, of some deployments if ``ids`` are given, under today's names."""
+    return standard_segments(load_runs(spark, path, ids, column) if ids else spark.read.parquet(path))

@@ -187,3 +187,28 @@ def test_p_values(spark):
         assert math.isclose(row["p"], closed(row["r"], row["n"]), rel_tol=1e-8, abs_tol=1e-11)
     edge = spark.createDataFrame([(1.0, 9), (-1.0, 9), (0.3, 2), (None, 9)], "r double, n long").withColumn("p", correlation_p(F.col("r"), F.col("n"))).collect()
     assert [r["p"] for r in edge] == [0.0, 0.0, 1.0, None]
+
+
+@pytest.mark.parametrize("n, span", [(1, 1.0), (60, 300.0), (900, 40.0), (1_500, 2.0)])
+def test_fast_gauss_sums_equal_all_pairs(n, span):
+    from driftline.functions import dsp
+    rng = np.random.default_rng(n)
+    t, w = np.sort(rng.random(n) * span), rng.random((2, n))
+    want = w @ np.exp(-0.5 * (t[:, None] - t) ** 2)
+    assert np.allclose(dsp.gauss_sums(t, w, 8.0), want, rtol=1e-11, atol=0)
+
+
+def test_correlations_of_many_columns(spark):
+    from driftline.operators import features
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 140)) + 1_000.0
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = 7.0
+    names = [f"f{i}" for i in range(140)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {(r["a"], r["b"]): r["r"] for r in features.correlation_matrix(df, names).collect()}
+    assert len(got) == 140 * 139 // 2 and got["f0", "f5"] is None and got["f5", "f139"] is None
+    for i, j in ((0, 1), (0, 139), (3, 130), (127, 128), (138, 139)):
+        ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert math.isclose(got[names[i], names[j]], np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs_tol=1e-10)

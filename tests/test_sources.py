@@ -140,3 +140,31 @@ def test_each_recording_has_its_own_epoch_unit(spark):
     df = spark.createDataFrame([("s", 1_700_000_000.0), ("s", 1_700_000_060.0), ("ms", 1_700_000_000_000.0)], "rec string, datetimenum double")
     got = build_datetime(df, keys=["rec"]).selectExpr("year(ts) AS y").distinct().collect()
     assert [r["y"] for r in got] == [2023]
+
+
+def test_declared_layouts():
+    from driftline.operators.timebase import spark_pattern
+    known = {"HH:MM:SS DD-Mon-YYYY": "HH:mm:ss dd-MMM-yyyy", "DD/MM/YYYY  hh:mm:ss.000": "dd/MM/yyyy HH:mm:ss.SSS", "MM/DD/YY": "MM/dd/yy", "HH:MM": "HH:mm", "mm:ss": "mm:ss",
+             "yyyy-mm-dd hh:mm": "yyyy-MM-dd HH:mm", "DD MMM YY": "dd MMM yy", "HH:MM:SS.SSS": "HH:mm:ss.SSS", "unknown": None, " ": None, None: None, "NaN": None}
+    assert {u: spark_pattern(u) for u in known} == known
+
+
+def test_run_outputs_of_any_version(spark, tmp_path):
+    now = spark.createDataFrame([("d1", T0, T0, 0.0, True, "a.b", " "), ("d2", T0, T0, 1.0, None, "", "x.y")],
+                                "deployment_id string, start_ts timestamp, end_ts timestamp, duration_s double, keep_filtered boolean, label_name string, state_name string")
+    got = {r["deployment_id"]: r for r in sinks.standard_segments(now).collect()}
+    assert got["d1"]["state_name"] == "a.b" and got["d2"]["state_name"] == "x.y" and got["d1"]["group_label"] == "a" and got["d2"]["base_keep_filtered"] is None
+    old = now.select("deployment_id", F.col("start_ts").alias("datetime"), F.lit("12.5").alias("duration"), F.lit("").alias("label_name"), F.lit("find_rest.long_flat").alias("base_state_key"))
+    old.write.parquet(str(tmp_path / "run"))
+    r = sinks.load_segments(spark, str(tmp_path / "run"), ["d2"]).collect()
+    assert len(r) == 1 and r[0]["duration_s"] == 12.5 and r[0]["keep_filtered"] and r[0]["segment_midpoint_ts"] == T0 and r[0]["label_name"] == r[0]["state_name"] == "find_rest.long_flat"
+    assert sinks.load_segments(spark, str(tmp_path / "run")).count() == 2
+
+
+def test_renamed_settings():
+    from driftline.operators.rest import REST_DEFAULTS, rest_settings
+    got = rest_settings({"sign_consistency_required": False, "thresholds": {"min_duration_s": 240.0}, "context_filters": [], "debug": {}})
+    assert got == {**REST_DEFAULTS, "end_segments_upon_d1_sign_change": False, "min_duration_s": 240.0}
+    assert rest_settings({"sign_consistency_required": False, "end_segments_upon_d1_sign_change": True})["end_segments_upon_d1_sign_change"]
+    with pytest.raises(ValueError):
+        rest_settings({"no_such": 1})
