@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     these bytes brings so many of its blocks, chosen by hash, so that it leaves room for the others.
 
     ``usable`` is a condition on ``labels``. Labels other than 0 and 1 are ignored, a document labelled twice counts with the
-    higher label. Without rows of both classes the score is the share of label 1, 0.5 without any label.
+    higher label. Without rows of both classes the score is the share of label 1, 0.5 without any label. One task trains on the
+    sample, which its bounds keep small; the driver gets the model alone.
     """
     known = (labels.where(usable & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y")))
@@ -124,11 +125,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     by = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", "_h")
     rows = (texts.withColumn("_sum", F.sum(F.least("_n", F.lit(share))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_rank", F.row_number().over(by))
-            .where((F.col("_sum") <= bytes_per_class) & (F.col("_rank") <= per_class)).orderBy("_y", "_rank").collect())
+            .where((F.col("_sum") <= bytes_per_class) & (F.col("_rank") <= per_class)).select("_y", "_rank", "_b", "_n"))
     total = sum(count.values())
     prior = min(max(count.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(y, rank, b"".join(b), n) for batch in batches for y, rank, b, n in zip(*(c.to_pylist() for c in batch.columns))]
+        m = train(sorted(sample, key=lambda r: r[:2]), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([m.weights], pa.list_(pa.float64()))], names=["good", "bad", "weights"])
+
+    made = rows.repartition(1).mapInArrow(run, "good binary, bad binary, weights array<double>").first()  # the sample is bounded
+    return train([], prior) if made is None else CompressionModel(bytes(made["good"]), bytes(made["bad"]), list(made["weights"]))
+
+
+def train(sample: list[tuple[int, int, bytes, int]], prior: float) -> CompressionModel:
+    """The model of a sample (label, rank, text or blocks of it, length of the text) in order of label and rank."""
     model = CompressionModel(weights=[float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0])
-    parts = {(y, odd): [(b"".join(r["_b"]), r["_n"]) for r in rows if r["_y"] == y and r["_rank"] % 2 == odd] for y in (0, 1) for odd in (0, 1)}
+    parts = {(y, odd): [(b, n) for label, rank, b, n in sample if label == y and rank % 2 == odd] for y in (0, 1) for odd in (0, 1)}
     if any(not p for p in parts.values()):
         return model
     model.good, model.bad = (build_dictionary([t for t, _ in parts[y, 0]]) for y in (1, 0))
