@@ -185,7 +185,13 @@ def j2(spark, d):
     return joins.asof(x, b, ax, "rts", ["v2"], direction="backward", prefix="e_").select("event_id", "c_v1", "e_v2")
 
 
-@query("j4_greedy_match")
+@query("j4_greedy_match", f"""WITH RECURSIVE {SIG}, b AS (SELECT user_id, us, side, row_number() OVER (PARTITION BY user_id ORDER BY us, side) AS i FROM (SELECT user_id, us, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS side FROM sig WHERE event_type IN ('view', 'click'))),
+  f(user_id, i, w, q, hit) AS (SELECT user_id, 0, 0, CAST([] AS BIGINT[]), FALSE FROM b GROUP BY user_id
+   UNION ALL SELECT user_id, i, CASE WHEN len(p) > 0 AND w <> side THEN w ELSE side END, CASE WHEN len(p) > 0 AND w <> side THEN p[2:] ELSE list_append(p, us) END, len(p) > 0 AND w <> side
+   FROM (SELECT b.user_id, b.i, f.w, b.side, b.us, list_filter(f.q, lambda t: b.us - t <= 21600000000) AS p FROM f JOIN b ON b.user_id = f.user_id AND b.i = f.i + 1)),
+  c AS (SELECT b.user_id, count(*) FILTER (hit) AS tp, count(*) FILTER (side = 1) AS nf, count(*) FILTER (side = 0) AS nt FROM b JOIN f USING (user_id, i) GROUP BY 1),
+  s AS (SELECT *, coalesce(tp / nullif(nf, 0), 0) AS p, coalesce(tp / nullif(nt, 0), 0) AS r FROM c)
+  SELECT user_id, tp, nf - tp AS fp, nt - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM s""")
 def j4(spark, d):
     s = signals(spark, d)
     m = folds.match_in_order(s.where("event_type = 'view'"), s.where("event_type = 'click'"), signal_axis(spark, d), 21600.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..operators import depth, folds, geo, islands, orient, rolling, sampling, timebase as tb
 from ..sources.tables import load, signal_axis, signals
 from .q_islands import runs_sql, us
@@ -49,7 +50,24 @@ def w2w(spark, d):
     return rolling.odba(xyz(spark, d), signal_axis(spark, d), 6, A3, "wilson").select("event_id", r("odba"))
 
 
-@query("w3_odba_fir")
+def _taps_sql(h) -> str:
+    return "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, {float(v)!r}::DOUBLE)" for j, v in enumerate(h)) + ") t(j, h))"
+
+
+def _odba_fir_sql() -> str:
+    import numpy as np
+    h = dsp.fir_highpass(16, 0.5)
+    pad = 3 * len(h)
+    far = lambda end, c: f"2 * f.{end}_{c} - i_.{c} AS {c}"
+    return f"""WITH {XYZ}, i_ AS (SELECT event_id, user_id, ax, ay, az, row_number() OVER ({ORD}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM x), {_taps_sql(np.convolve(h, h[::-1]))},
+  f AS (SELECT user_id, any_value(n) AS n, {', '.join(f"arg_min({c}, i) AS a_{c}, arg_max({c}, i) AS z_{c}" for c in ('ax', 'ay', 'az'))} FROM i_ GROUP BY 1),
+  e AS (SELECT user_id, i, ax, ay, az FROM i_ UNION ALL SELECT i_.user_id, -i, {', '.join(far('a', c) for c in ('ax', 'ay', 'az'))} FROM i_ JOIN f USING (user_id) WHERE i BETWEEN 1 AND {pad}
+    UNION ALL SELECT i_.user_id, 2 * (f.n - 1) - i, {', '.join(far('z', c) for c in ('ax', 'ay', 'az'))} FROM i_ JOIN f USING (user_id) WHERE i BETWEEN f.n - 1 - {pad} AND f.n - 2),
+  y AS (SELECT a.event_id, sum(h * e.ax) AS x1, sum(h * e.ay) AS y1, sum(h * e.az) AS z1 FROM i_ a CROSS JOIN tp JOIN e ON e.user_id = a.user_id AND e.i = a.i + {len(h) - 1} - j GROUP BY 1)
+  SELECT event_id, round(sqrt(x1 * x1 + y1 * y1 + z1 * z1), 6) AS odba FROM y"""
+
+
+@query("w3_odba_fir", _odba_fir_sql())
 def w3(spark, d):
     return rolling.odba_fir(xyz(spark, d), signal_axis(spark, d), 1.0, 0.25, A3).select("event_id", r("odba"))
 
@@ -97,7 +115,8 @@ def w10(spark, d):
     return rolling.butterworth(signals(spark, d), signal_axis(spark, d), 1.0, (0.1, 0.3), {"band": "value"}).select("event_id", r("band"))
 
 
-@query("w11_decimate")
+@query("w11_decimate", f"""WITH {SIG}, i_ AS (SELECT *, row_number() OVER ({ORD}) - 1 AS i FROM sig), {_taps_sql(dsp.fir_lowpass(81, 0.25))}
+  SELECT a.event_id, round(sum(h * b.value), 6) AS low FROM i_ a JOIN tp ON a.i % 4 = 0 JOIN i_ b ON b.user_id = a.user_id AND b.i = a.i + 40 - j GROUP BY 1""")
 def w11(spark, d):
     return rolling.decimate(signals(spark, d), signal_axis(spark, d), 4, {"low": "value"}).select("event_id", r("low"))
 
@@ -192,7 +211,17 @@ def z4(spark, d):
     return depth.surface_outside_dives(s, islands.dives(s, ax, "value", 40.0, 3600.0), ax, "value").select("event_id", "value")
 
 
-@query("z5_pressure_to_depth")
+@query("z5_pressure_to_depth", f"""WITH {SIG}, p AS (SELECT *, list_sort([coalesce(lag(value, 2) OVER w, 0), coalesce(lag(value) OVER w, 0), value, coalesce(lead(value) OVER w, 0), coalesce(lead(value, 2) OVER w, 0)])[3] AS sm,
+    row_number() OVER w AS idx FROM sig WINDOW w AS ({ORD})),
+  g AS (SELECT *, coalesce((lead(sm) OVER w - lag(sm) OVER w) / 2, lead(sm) OVER w - sm, sm - lag(sm) OVER w) AS d1 FROM p WINDOW w AS ({ORD})),
+  f AS (SELECT *, coalesce(abs(d1) < 20, FALSE) AS fl FROM g), r1 AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id, fl ORDER BY ts, event_id) AS isl FROM f),
+  ch AS (SELECT user_id, min(us) AS s, max(us) AS e, median(sm) AS md FROM r1 WHERE fl GROUP BY user_id, isl HAVING count(*) >= 3 AND abs(median(sm)) < 30),
+  o AS (SELECT x.*, ch.md AS o FROM r1 x LEFT JOIN ch ON ch.user_id = x.user_id AND x.us BETWEEN ch.s AND ch.e),
+  nb AS (SELECT *, last_value(CASE WHEN o IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS bi, last_value(o IGNORE NULLS) OVER a AS bv, first_value(CASE WHEN o IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS fi, first_value(o IGNORE NULLS) OVER b AS fv FROM o
+     WINDOW a AS ({ORD} ROWS UNBOUNDED PRECEDING), b AS ({ORD} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  z AS (SELECT *, sm - coalesce(o, bv + (fv - bv) * (idx - bi) / (fi - bi), bv, 0) AS depth FROM nb), dv AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id, depth > 15 ORDER BY ts, event_id) AS di FROM z),
+  dr AS (SELECT user_id, min(us) AS s, max(us) AS e FROM dv WHERE depth > 15 GROUP BY user_id, di HAVING max(us) - min(us) >= 10000000), bd AS (SELECT user_id, min(s) AS a, max(e) AS b FROM dr GROUP BY 1)
+  SELECT event_id, round(CASE WHEN us < a OR us > b THEN 0 ELSE depth END, 6) AS depth FROM z LEFT JOIN bd USING (user_id)""")
 def z5(spark, d):
     s, _ = depth.pressure_to_depth(signals(spark, d), signal_axis(spark, d), "value", F.lit(1.0),
                                    {"max_flat_slope": 20.0, "min_flat_samples": 3, "flat_cap_m": 30.0, "min_flat_chunks": 1, "dive_threshold_m": 15.0})
@@ -208,7 +237,14 @@ def v1(spark, d):
     return x.select("event_id", r("acc_intensity"), r("mag_intensity"), r("inclination_deg", 5))
 
 
-@query("v2_triaxial_offset")
+@query("v2_triaxial_offset", f"""WITH {SIG}, x AS (SELECT user_id, sin(event_id) + 0.1 AS x, cos(event_id * 1.7) - 0.2 AS y, sin(event_id * 0.3 + k) AS z FROM sig WHERE k IS NOT NULL),
+  m AS (SELECT user_id, count(*) AS n, sum(x * x + y * y + z * z) AS b, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum((x * x + y * y + z * z) * x) AS bx, sum((x * x + y * y + z * z) * y) AS by_, sum((x * x + y * y + z * z) * z) AS bz,
+    sum(x * x) AS xx, sum(x * y) AS xy, sum(x * z) AS xz, sum(y * y) AS yy, sum(y * z) AS yz, sum(z * z) AS zz FROM x GROUP BY 1),
+  q AS (SELECT user_id, 4 * (xx - sx * sx / n) AS a, 4 * (xy - sx * sy / n) AS h, 4 * (xz - sx * sz / n) AS g, 4 * (yy - sy * sy / n) AS d, 4 * (yz - sy * sz / n) AS f, 4 * (zz - sz * sz / n) AS c,
+    2 * (bx - sx * b / n) AS u, 2 * (by_ - sy * b / n) AS v, 2 * (bz - sz * b / n) AS w FROM m),
+  e AS (SELECT *, a * (d * c - f * f) - h * (h * c - f * g) + g * (h * f - d * g) AS det FROM q)
+  SELECT user_id, round(-(u * (d * c - f * f) - h * (v * c - f * w) + g * (v * f - d * w)) / det, 6) AS ox, round(-(a * (v * c - f * w) - u * (h * c - f * g) + g * (h * w - v * g)) / det, 6) AS oy,
+    round(-(a * (d * w - v * f) - h * (h * w - v * g) + u * (h * f - d * g)) / det, 6) AS oz, 'ok' AS status FROM e""")
 def v2(spark, d):
     s = signals(spark, d).withColumns({"ax": F.sin("event_id") + 0.1, "ay": F.cos(F.col("event_id") * 1.7) - 0.2, "az": F.sin(F.col("event_id") * 0.3 + F.col("k"))})
     return orient.estimate_offsets(s, ["user_id"], A3).select("user_id", r("ox"), r("oy"), r("oz"), "status")
@@ -321,7 +357,14 @@ def k6s(spark, d):
     return x.select("event_id", "outlier", r("lat_smoothed", 5), r("lon_smoothed", 5), "lat_sigma_deg")
 
 
-@query("k7_hourly_smooth")
+@query("k7_hourly_smooth", f"""WITH {TRK}, bd AS (SELECT user_id, min(us) // 1000000 * 1000000 AS a, max(us) AS b FROM t GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(a, b, 3600000000)) AS us FROM bd),
+  one AS (SELECT user_id, us, arg_max(lat, event_id) AS lat, arg_max(lon, event_id) AS lon FROM t GROUP BY 1, 2),
+  pq AS (SELECT g.*, p.us AS pu, p.lat AS pa, p.lon AS po FROM g ASOF JOIN one p ON p.user_id = g.user_id AND p.us <= g.us),
+  nx AS (SELECT pq.*, n.us AS nu, n.lat AS na, n.lon AS no_ FROM pq ASOF LEFT JOIN one n ON n.user_id = pq.user_id AND n.us >= pq.us),
+  v AS (SELECT user_id, us, CASE WHEN pu = us THEN pa ELSE pa + (na - pa) * (us - pu) / (nu - pu) END AS lat, CASE WHEN pu = us THEN po ELSE po + (no_ - po) * (us - pu) / (nu - pu) END AS lon FROM nx),
+  i_ AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM v WHERE lat IS NOT NULL AND lon IS NOT NULL)
+  SELECT a.user_id, a.us, round(sum(exp(-0.5 * (j / 2.0) ** 2) * b.lat) / sum(exp(-0.5 * (j / 2.0) ** 2)), 5) AS lat_smoothed, round(sum(exp(-0.5 * (j / 2.0) ** 2) * b.lon) / sum(exp(-0.5 * (j / 2.0) ** 2)), 5) AS lon_smoothed
+  FROM i_ a CROSS JOIN generate_series(-4, 4) t(j) JOIN i_ b ON b.user_id = a.user_id AND b.i = a.i + j GROUP BY 1, 2""")
 def k7(spark, d):
     x = geo.hourly_smooth(track(spark, d), signal_axis(spark, d), ["lat", "lon"])
     return x.select("user_id", us("ts", "us"), r("lat_smoothed", 5), r("lon_smoothed", 5))
