@@ -1,8 +1,8 @@
 """Sharding by sampled splitters.
 
 Records are ordered by a key, the hash of the text, then the id, then a number that the staged row carries. Splitters are
-quantiles of a sample drawn with a probability that follows the size, so ranges hold about equally many bytes. A range that
-came out overfull is cut again by splitters sampled inside it. Ranges then fill the shards in order; the few that a shard's
+quantiles of a sample drawn with a probability that follows the size, so ranges hold about equally many bytes. A record larger than a
+range may be is one by itself. A range that came out overfull is cut again by splitters sampled inside it, by rows as well as by size. Ranges then fill the shards in order; the few that a shard's
 end falls into are divided record by record, largest first, each to the shard that has most room left.
 """
 
@@ -57,11 +57,17 @@ def _quantiles(sample: pd.DataFrame, n: int) -> pd.DataFrame:
     return s.iloc[at[at < len(s)]].drop_duplicates(ignore_index=True)
 
 
-def _draw(rows: DataFrame, share: float, seed: int) -> pd.DataFrame:
-    """Keys drawn with probability ``share * size``; a row that deserves several draws gets as many."""
-    hits = F.floor(F.col("size") * share + F.rand(seed)).cast("int")
+def _draw(rows: DataFrame, share: float, seed: int, each: float = 0.0) -> pd.DataFrame:
+    """Keys drawn with probability ``share * size + each``; a row that deserves several draws gets as many."""
+    hits = F.floor(F.col("size") * share + each + F.rand(seed)).cast("int")
     return rows.withColumn("_hits", hits).where("_hits > 0").select("hash", F.col("key_id").alias("doc_id"), "row", "_hits").toPandas().pipe(
-        lambda f: f.loc[f.index.repeat(np.minimum(f.pop("_hits"), 10_000))].reset_index(drop=True))
+        lambda f: f.loc[f.index.repeat(f.pop("_hits"))].reset_index(drop=True))
+
+
+def _alone(rows: DataFrame, limit: float) -> pd.DataFrame:
+    """Splitters right at and right after each row above ``limit`` bytes; these are fewer than the ranges."""
+    at = rows.where(F.col("size") > limit).select("hash", F.col("key_id").alias("doc_id"), "row").toPandas()
+    return pd.concat([at, at.assign(row=at["row"] + 1)])
 
 
 def _counts(ranged: DataFrame) -> pd.DataFrame:
@@ -71,16 +77,26 @@ def _counts(ranged: DataFrame) -> pd.DataFrame:
 
 
 def fill(ranges: pd.DataFrame, shards: int) -> dict[int, list[tuple[int, float]]]:
-    """For each range the shards that it reaches into and the bytes that fall to each, in order."""
-    total = float(ranges["bytes"].sum())
+    """For each range the shards that it reaches into and the bytes that fall to each, in order.
+
+    A row that is more than a shard's share of all that is left has a shard of its own, from the last one on.
+    """
+    left, own = float(ranges["bytes"].sum()), {}
+    for r, b in ranges[ranges["rows"] == 1].sort_values(["bytes", "range"], ascending=[False, True])[["range", "bytes"]].itertuples(index=False):
+        if shards == 1 or b * shards <= left:
+            break
+        shards -= 1
+        own[int(r)] = [(shards, float(b))]
+        left -= b
+    ranges = ranges[~ranges["range"].isin(own)]
     end = ranges["bytes"].cumsum().to_numpy(float)
-    edge = total * np.arange(1, shards + 1) / shards
+    edge = left * np.arange(1, shards + 1) / shards
     out = {}
     for r, e, b in zip(ranges["range"], end, ranges["bytes"].to_numpy(float)):
         first = min(int(np.searchsorted(edge, e - b, side="right")), shards - 1)
         last = min(int(np.searchsorted(edge, e, side="left")), shards - 1)
         out[int(r)] = [(k, min(e, edge[k]) - max(e - b, edge[k - 1] if k else 0.0)) for k in range(first, last + 1)]
-    return out
+    return out | own
 
 
 def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
@@ -88,7 +104,8 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
 
     Size is the text's UTF-8 bytes plus 8; a null text has none and the crc32 of no bytes. Equal texts are neighbours in
     the order, so they share a shard unless a shard ends among them. Null ids come first among equal texts; rows that repeat
-    are told apart by their staged number. Fewer rows than shards leave some shards empty.
+    are told apart by their staged number. A text larger than a shard's share has one to itself. Fewer rows than shards leave some
+    shards empty.
     """
     data = utf8(text)
     rows = stage(docs.select(F.col(doc_id).alias("doc_id"), (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
@@ -96,19 +113,24 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
                              F.monotonically_increasing_id().alias("row")))
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     wanted = max(1, min(max(LEAST_RANGES, math.ceil(n / ROWS_PER_RANGE)), n // 40))
-    cuts = _quantiles(_draw(rows, OVERSAMPLE * wanted / max(total, 1), seed), wanted)
+    limit = OVERFULL * max(total / wanted, 1)
+    short = rows.where(F.col("size") <= limit)
+    joined = lambda *c: pd.concat(c).drop_duplicates().sort_values(KEY, ignore_index=True)
+    first = _quantiles(_draw(short, OVERSAMPLE * wanted / max(total, 1), seed), wanted).assign(doc_id=-(1 << 63), row=0)  # equal texts are not parted
+    cuts = joined(_alone(rows, limit), first)
     while True:
         ranged = stage(_ranged(rows, cuts))
         ranges = _counts(ranged)
-        limit = OVERFULL * max(total / wanted, 1)
         over = ranges[(ranges["bytes"] > limit) & (ranges["rows"] > 40) | (ranges["rows"] > OVERFULL * max(ROWS_PER_RANGE, n / wanted))]
         if over.empty:
             break
         seed += 1
         inside = ranged.where(F.col("range").isin([int(r) for r in over["range"]]))
         parts = int(np.ceil(2 * over["bytes"].sum() / limit)) + len(over) + 1
-        more = _draw(inside, OVERSAMPLE * parts / float(over["bytes"].sum()), seed)
-        cuts = pd.concat([cuts, _quantiles(more, parts)]).drop_duplicates().sort_values(KEY, ignore_index=True)
+        more = _draw(inside, OVERSAMPLE / 2 * parts / float(over["bytes"].sum()), seed, OVERSAMPLE / 2 * parts / float(over["rows"].sum()))
+        known, cuts = len(cuts), joined(cuts, _quantiles(more, parts))
+        if len(cuts) == known:
+            break
     parts = fill(ranges, shards)
     split = {r: p for r, p in parts.items() if len(p) > 1}
     whole = docs.sparkSession.createDataFrame([(r, p[0][0]) for r, p in parts.items() if len(p) == 1], "range long, shard int")
