@@ -197,11 +197,10 @@ def prefix_trie(conversations: DataFrame, borrowed: Column | None = None, every:
     own = stage(nodes)
     children = own.where("p1 IS NOT NULL").groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n_children")).withColumnsRenamed({"p1": "f1", "p2": "f2"})
     parents = own.select(F.col("f1").alias("p1"), F.col("f2").alias("p2"), F.col("first").alias("_parent"))
-    full = stage(own.join(children, ["f1", "f2"], "left").join(parents, ["p1", "p2"], "left").join(_ended(local), ["f1", "f2"], "left")
-                 .withColumns({"n_children": F.coalesce("n_children", F.lit(0).cast("long")), "saved_tokens": (F.col("n_convs") - 1) * F.col("chars"),
-                               "n_leaves": F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long"),
-                               "ends_sha256": F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest()))}))
-    deepest = full.agg(F.max("depth")).first()[0] or 0
-    summed = subtree_sums(full, deepest, ["saved_tokens", "n_leaves"])
+    leaf = F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long")
+    narrow = own.join(children, ["f1", "f2"], "left").select("f1", "f2", "p1", "p2", ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"), leaf.alias("n_leaves"))
+    sums = subtree_sums(narrow, own.agg(F.max("depth")).first()[0] or 0, ["saved_tokens", "n_leaves"]).drop("p1", "p2")
+    summed = (own.join(children, ["f1", "f2"], "left").join(parents, ["p1", "p2"], "left").join(sums, ["f1", "f2"]).join(_ended(local), ["f1", "f2"], "left")
+              .withColumns({"n_children": F.coalesce("n_children", F.lit(0).cast("long")), "ends_sha256": F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest()))}))
     named = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return summed.select(named("first").alias("conv_id"), "depth", named("_parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
