@@ -9,6 +9,7 @@ bounds, and pieces find their place by length and rank: nothing that grows with
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,11 +37,12 @@ class WordIds(dict):
 
     MOST = 400_000
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]) -> None:
         super().__init__()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = tuple(special)
+        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.MOST:
@@ -51,18 +53,28 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
         if _ODD.search(text):
             return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
-_held: dict[str, WordIds] = {}
+_held: dict[tuple, WordIds] = {}
 
 
-def tokenizer(ranks: str, pattern: str) -> WordIds:
-    if ranks not in _held:
-        _held[ranks] = WordIds(ranks, pattern)
-    return _held[ranks]
+def tokenizer(ranks: str, pattern: str, special: dict[str, int] | None = None) -> WordIds:
+    """``special``: strings that are one id each wherever they stand in a text; without it they are ordinary text."""
+    key = ranks, *sorted((special or {}).items())
+    if key not in _held:
+        _held[key] = WordIds(ranks, pattern, special or {})
+    return _held[key]
+
+
+def special_ids(tokenizer_json: str) -> dict[str, int]:
+    """The strings that a tokenizer's file declares as ids of their own."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -71,12 +83,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def tokenize(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of every document's whole id sequence, its end mark included; a null text is empty."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(ranks, pattern)
+        tok = tokenizer(ranks, pattern, special)
         for b in batches:
             at, part, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):

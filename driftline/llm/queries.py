@@ -35,8 +35,9 @@ def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Byte-level BPE ids, packed; the ranks file holds the vocabulary of ``byte_bpe_50k.json``."""
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    """Byte-level BPE ids, packed; the ranks file holds the vocabulary of ``byte_bpe_50k.json``, which also names the special strings."""
+    special = packing.special_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special))
 
 
 @query("op3_best_fit_packing")

@@ -94,14 +94,16 @@ def test_dedup_of_nothing(spark):
 
 
 FILES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+SPECIAL = packing.special_ids(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing_round_trip(spark):
-    docs = documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = packing.pack(packing.tokenize(docs, *FILES)).toPandas()
+    marked = "a <|endoftext|> mark<|endoftext|>\n\n in a text"
+    docs = documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    docs = docs.unionAll(spark.createDataFrame([(600, marked)], "doc_id long, text string"))
+    got = packing.pack(packing.tokenize(docs, *FILES, special=SPECIAL)).toPandas()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = {r[0]: r[1] or "" for r in rows()}
+    texts = {r[0]: r[1] or "" for r in rows()} | {600: marked}
     for i, g in got.sort_values("piece").groupby("doc_id"):
         ids = np.array(tok.encode(texts[i], add_special_tokens=False).ids + [2], "<u4")
         assert g["length"].sum() == len(ids) and (g["length"].iloc[1:] == 1024).all() and (len(g) == 1) == (len(ids) <= 1024)
@@ -145,20 +147,30 @@ def test_plan_places_every_piece_once(seed):
 
 def test_words_apart_give_the_tokenizers_ids():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    own = packing.tokenizer(*FILES)
-    for t in ["", "a", " a", "a ", "a  b", "It's  a\n\nb\n c\t d", "x y", "\x1c z", "<|endoftext|>", "don't DON'T\nwe'll", "é ñ 中文 12a_b--c", "a\0b", "\n", "q\r\nr", "end.\nStart, now"]:
+    own = packing.tokenizer(*FILES, SPECIAL)
+    for t in ["<|endoftext|>", "a<|endoftext|> b", " <|endoftext|><|endoftext|>  ", "<|endoftext", "", "a", " a", "a ", "a  b", "It's  a\n\nb\n c\t d", "x y", "\x1c z", "<|endoftext|>", "don't DON'T\nwe'll", "é ñ 中文 12a_b--c", "a\0b", "\n", "q\r\nr", "end.\nStart, now"]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_sharding_law(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 10)
-    got = sharding.shard(documents(spark).where("doc_id <> 405"), 6).toPandas()
-    want = sorted((len(text_of(r)) + 8, zlib.crc32(text_of(r))) for r in rows() if r[0] is not None and r[0] != 405)
+    got = sharding.shard(documents(spark), 6).toPandas()  # one text is as large as all others together
+    want = sorted((len(text_of(r)) + 8, zlib.crc32(text_of(r))) for r in rows())
     assert sorted(zip(got["size"], got["text_crc32"])) == want
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
     by = got.groupby("shard")["size"].sum()
-    assert len(by) == 6 and by.max() - by.min() <= got["size"].max() and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    assert len(by) == 6 and by.max() == got["size"].max() and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    rest = by.drop(by.idxmax())
+    assert rest.max() - rest.min() <= got["size"].nlargest(2).iloc[-1]
+
+
+def test_sharding_ends_with_one_text_among_many_short_ones(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionAll(spark.createDataFrame([(-1, "x" * 1_000_000)], "doc_id long, text string"))
+    got = sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s"), F.count("slot").alias("n"), F.max("slot").alias("m")).toPandas()
+    assert len(got) == 24 and got["n"].sum() == 30_001 and (got["m"] == got["n"] - 1).all()
+    rest = got[got["s"] < 900_000]["s"]
+    assert len(rest) == 23 and rest.max() - rest.min() <= 40
 
 
 def test_equal_texts_share_a_shard_unless_one_ends_among_them(spark, monkeypatch):
