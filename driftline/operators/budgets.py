@@ -42,11 +42,18 @@ def pivot_states(daily: DataFrame, keys: list[str], label: str, states: list[str
     return daily.groupBy(*keys).pivot(label, states).agg(F.sum(value)).fillna(0.0, states)
 
 
-def state_bins(df: DataFrame, keys: list[str], ts: str, label: str, states: list[str], bin_s: float, weight_s: str = "weight_s") -> DataFrame:
-    """Hours per time bin and state, as fixed zero-filled columns."""
+def state_bins(df: DataFrame, keys: list[str], ts: str, label: str, states: list[str], bin_s: float, weight_s: str = "weight_s", wrap_tz: str | None = None) -> DataFrame:
+    """Hours per time bin and state, as fixed zero-filled columns. With ``wrap_tz`` bins are laid over days of that zone: a bin that
+    midnight parts comes once for each day, with ``local_date`` and ``local_hour``, the bin's start on its day's clock."""
     from .timebase import bucket
-    g = df.groupBy(*keys, bucket(ts, bin_s).alias("bin_ts"), label).agg((F.sum(weight_s) / 3600).alias("h"))
-    return g.groupBy(*keys, "bin_ts").pivot(label, states).agg(F.sum("h")).fillna(0.0, states)
+    by = [*keys, "bin_ts"]
+    d = df.withColumn("bin_ts", bucket(ts, bin_s))
+    if wrap_tz:
+        local = F.from_utc_timestamp("bin_ts", wrap_tz)
+        d = d.withColumns({"local_date": F.to_date(F.from_utc_timestamp(ts, wrap_tz)), "local_hour": F.hour(local) + F.minute(local) / 60 + F.second(local) / 3600})
+        by += ["local_date", "local_hour"]
+    g = d.groupBy(*by, label).agg((F.sum(weight_s) / 3600).alias("h"))
+    return g.groupBy(*by).pivot(label, states).agg(F.sum("h")).fillna(0.0, states)
 
 
 def mean_location(loc: DataFrame, keys: list[str], ts: str, lat: str, lon: str, fallback: DataFrame | None = None,

@@ -274,13 +274,36 @@ def hold_fill(df: DataFrame, axis: Axis, columns: list[str], at: Column | None =
                           for c in columns}).select(*df.columns)
 
 
+def limited_fill(df: DataFrame, axis: Axis, columns: list[str], forward: int, backward: int = 0) -> DataFrame:
+    """Nulls filled with the last known value over at most ``forward`` rows, then with the next one over at most ``backward`` rows."""
+    s = scan(df, axis, index="__i")
+    pack = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v")))
+    s = scan(s, axis, ffill={f"__b_{c}": pack(c) for c in columns}, bfill={f"__f_{c}": pack(c) for c in columns} if backward else None)
+
+    def filled(c: str) -> Column:
+        tries = [F.col(c), F.when(F.col("__i") - F.col(f"__b_{c}.i") <= forward, F.col(f"__b_{c}.v"))]
+        return F.coalesce(*tries, *([F.when(F.col(f"__f_{c}.i") - F.col("__i") <= backward, F.col(f"__f_{c}.v"))] if backward else []))
+
+    return s.withColumns({c: filled(c) for c in columns}).select(*df.columns)
+
+
 def limited_ffill(df: DataFrame, axis: Axis, columns: list[str], limit: int) -> DataFrame:
     """Forward fill over at most ``limit`` rows."""
-    s = scan(df, axis, index="__i")
-    pack = {f"__b_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v"))) for c in columns}
-    s = scan(s, axis, ffill=pack)
-    ok = lambda c: F.col("__i") - F.col(f"__b_{c}.i") <= limit
-    return s.withColumns({c: F.coalesce(F.col(c), F.when(ok(c), F.col(f"__b_{c}.v"))) for c in columns}).select(*df.columns)
+    return limited_fill(df, axis, columns, limit)
+
+
+def on_regular_grid(features: DataFrame, recordings: DataFrame, axis: Axis, columns: list[str], limit: int, step_s: float = 1.0) -> DataFrame:
+    """Epoch features on a grid of ``step_s`` over each recording: the features of a step (the last by order) where there are any, held over at
+    most ``limit`` steps and then drawn back over at most ``limit + 1``.
+
+    ``recordings``: keys, ``a`` and ``b``, first and last instant; the grid starts at the step that holds the first.
+    """
+    keys = list(axis.keys)
+    width = int(step_s * 1_000_000)
+    r = recordings.select(*keys, bucket("a", step_s).alias("a"), "b")
+    g = grid(r, keys, "a", "b", width, axis.ts)
+    f = features.groupBy(*keys, bucket(axis.ts, step_s).alias(axis.ts)).agg(*[F.max_by(c, F.struct(*axis.order)).alias(c) for c in columns])
+    return limited_fill(g.join(f, [*keys, axis.ts], "left"), axis.with_(order=(axis.ts,)), columns, limit, limit + 1)
 
 
 def interpolate_onto(points: DataFrame, samples: DataFrame, axis: Axis, columns: list[str], edges: str = "inside") -> DataFrame:

@@ -452,6 +452,19 @@ def x6(spark, d):
     return limited_ffill(s, signal_axis(spark, d), ["v"], 2).select("event_id", "v")
 
 
+@query("x6_features_on_grid", f"""WITH {SIG}, bd AS (SELECT user_id, min(us) // 3600000000 * 3600000000 AS a, max(us) AS b FROM sig GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(a, b, 3600000000)) AS us FROM bd),
+  f AS (SELECT user_id, us // 3600000000 * 3600000000 AS us, arg_max(value, (us, event_id)) AS v FROM sig WHERE k > 70 GROUP BY 1, us // 3600000000 * 3600000000),
+  i_ AS (SELECT g.user_id, g.us, v, row_number() OVER (PARTITION BY g.user_id ORDER BY g.us) AS i FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.us = g.us),
+  n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER x AS bi, last_value(v IGNORE NULLS) OVER x AS bv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER y AS fi, first_value(v IGNORE NULLS) OVER y AS fv FROM i_
+    WINDOW x AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), y AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT user_id, us, CASE WHEN v IS NOT NULL THEN v WHEN i - bi <= 8 THEN bv WHEN fi - i <= 9 THEN fv END AS v FROM n""")
+def x6g(spark, d):
+    from ..operators.timebase import on_regular_grid
+    s = signals(spark, d)
+    b = s.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return on_regular_grid(s.where("k > 70").withColumnRenamed("value", "v"), b, signal_axis(spark, d), ["v"], 8, 3600.0).select("user_id", us("ts", "us"), "v")
+
+
 @query("x7_channel_features", f"""WITH {SIG}, z AS (SELECT *, us // 432000000000 * 432000000000 AS b, value - lag(value) OVER w AS dv, avg(value) OVER f AS sv FROM sig WINDOW w AS ({ORD}), f AS ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
   SELECT user_id, b AS window_us, count(*) AS n_samples, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(avg(dv), 6) AS value_diff_mean, round(max(sv) - min(sv), 6) AS value_smoothed_range FROM z GROUP BY 1, 2 HAVING count(*) >= 5""")
 def x7(spark, d):

@@ -126,6 +126,14 @@ def a25(spark, d):
     return x.select("user_id", us("bin_ts", "bin_us"), *[r(s, 5) for s in STATES])
 
 
+@query("a25_wrapped_state_bins", f"WITH {WT} SELECT user_id, us // 21600000000 * 21600000000 AS bin_us, strftime(make_timestamp(us) + INTERVAL 3 HOUR, '%Y-%m-%d') AS local_date, (us // 21600000000 * 6 + 3) % 24::DOUBLE AS local_hour, " + ", ".join(
+    f"round(coalesce(sum(w) FILTER (event_type = '{s}'), 0) / 3600, 5) AS {s}" for s in STATES) + " FROM wt GROUP BY 1, 2, 3, 4")
+def a25w(spark, d):
+    """Six-hour bins over days of a zone three hours ahead, whose midnights part them."""
+    x = budgets.state_bins(weighted(spark, d), ["user_id"], "ts", "event_type", STATES, 21600.0, wrap_tz="Africa/Nairobi")
+    return x.select("user_id", us("bin_ts", "bin_us"), F.date_format("local_date", "yyyy-MM-dd").alias("local_date"), "local_hour", *[r(s, 5) for s in STATES])
+
+
 @query("a22_daily_rest_along_track", f"""WITH {SPANS}, iv AS (SELECT * FROM sp WHERE event_type = 'error'), d_ AS (SELECT *, (lead(us) OVER ({ORD}) - us) / 1e6 AS dt FROM sig),
   md AS (SELECT user_id, median(dt) AS m FROM d_ GROUP BY 1), p AS (SELECT d_.*, coalesce(dt, CASE WHEN m > 0 THEN m ELSE 60 END) AS w,
      EXISTS (SELECT 1 FROM iv WHERE iv.user_id = d_.user_id AND d_.us BETWEEN iv.s AND iv.e) AS resting FROM d_ JOIN md USING (user_id))
