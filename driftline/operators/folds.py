@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -81,12 +83,13 @@ def match_in_order(truth: DataFrame, found: DataFrame, axis: Axis, tol_s: float)
         found.select(*keys, axis.ts, F.lit(1).alias("side"))).withColumn("__us", F.unix_micros(axis.ts))
 
     def fold(cols, state):
-        side_waiting, queue = (None, []) if not state else (state[0], list(state[1:]))
+        side_waiting, queue = (None, deque()) if not state else (state[0], deque(state[1:]))
         hits = []
         for t, s in zip(cols["__us"], cols["side"]):
-            queue = [q for q in queue if t - q <= tol]
+            while queue and t - queue[0] > tol:
+                queue.popleft()
             if queue and side_waiting != s:
-                queue.pop(0)
+                queue.popleft()
                 hits.append(True)
             else:
                 side_waiting = s

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..core.facts import with_facts
 from ..core.axis import Axis
 from ..core.fold import chunked_fold
-from ..core.halo import MORE, entity_apply, halo_apply, halo_time_apply, indexed, whole_entities
+from ..core.halo import MORE, doubles, entity_apply, halo_apply, halo_time_apply, indexed, whole_entities
 from ..core.order import SlidingOrder
-from ..core.scan import CORE, IDX, halo_rows, row_frame, scan
+from ..core.scan import CORE, HALO, IDX, halo_rows, row_frame, scan
 from ..core.stage import stage
 from ..core.stats import median, quantiles
 from ..functions import dsp
@@ -457,15 +458,32 @@ def suggest_parameters(rr: DataFrame, keys: list[str], rr_col: str) -> DataFrame
 # --- candidates --------------------------------------------------------------------------------------
 
 def window_arrays(candidates: DataFrame, samples: DataFrame, axis: Axis, columns: list[str], half: int) -> DataFrame:
-    """Samples within ``half`` rows of each candidate as arrays ``<c>_win`` (2·half+1 values at most), with ``<c>_left``, the count before it."""
+    """Samples within ``half`` rows of each candidate as arrays ``<c>_win`` (2·half+1 values at most, nulls left out), with ``n_left``, the
+    count of rows before it. Only candidates leave their chunk, with arrays cut from the chunk's columns."""
     keys = list(axis.keys)
     mark = candidates.select(*keys, *axis.order, F.lit(True).alias("__cand")).distinct()
     s = samples.select(*keys, *axis.order, *columns).join(mark, [*keys, *axis.order], "left")
     h = halo_rows(s, axis, half, half)
-    f = row_frame(axis, half, half)
-    h = h.withColumns({f"{c}_win": F.collect_list(F.col(c).cast("double")).over(f) for c in columns})
-    h = h.where(F.col(CORE) & F.col("__cand")).withColumn("n_left", F.least(F.col(IDX), F.lit(half)).cast("int"))
-    return h.select(*keys, *axis.order, "n_left", *columns, *[f"{c}_win" for c in columns])
+    shown = [*keys, *axis.order]
+    schema = T.StructType([*[s.schema[c] for c in shown], T.StructField("n_left", T.IntegerType()), *[s.schema[c] for c in columns],
+                           *[T.StructField(f"{c}_win", T.ArrayType(T.DoubleType())) for c in columns]])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t[IDX]))
+        at = np.flatnonzero(pc.and_kleene(t[CORE], t["__cand"].fill_null(False)).to_numpy())
+        lo, hi = np.maximum(at - half, 0), np.minimum(at + half + 1, t.num_rows)
+        row = np.repeat(lo - np.cumsum(np.append(0, hi - lo)[:-1]), hi - lo) + np.arange(int((hi - lo).sum()))
+        picked = t.take(pa.array(at))
+        out = picked.select(shown).append_column("n_left", pa.array(np.minimum(picked[IDX].to_numpy(), half).astype(np.int32)))
+        for c in columns:
+            out = out.append_column(c, picked[c])
+        for c in columns:
+            known = t[c].is_valid().to_numpy()[row]
+            ends = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(at)), hi - lo)[known], minlength=len(at)))).astype(np.int32)
+            out = out.append_column(f"{c}_win", pa.ListArray.from_arrays(pa.array(ends), pa.array(doubles(t, c)[row][known])))
+        return out
+
+    return h.groupBy(*keys, HALO).applyInArrow(run, schema)
 
 
 def window_features(c: str) -> dict[str, Column]:

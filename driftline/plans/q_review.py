@@ -87,10 +87,10 @@ def a11s(spark, d):
 
 
 @query("a12_stage_funnel", f"""WITH {VERDICT}, a AS (SELECT count(*) AS t, count(*) FILTER (base) AS b, count(*) FILTER (stage = 'rejected_after_measured_filters') AS m, count(*) FILTER (stage = 'rejected_after_inferred_filters') AS i, count(*) FILTER (ok) AS k FROM vd)
-  SELECT '1) unfiltered_rest_candidate' AS stage, t AS remaining_before, 0::BIGINT AS dropped_here, t AS remaining_after FROM a UNION ALL SELECT '2) filtered_rest_candidate', t, 0, t FROM a UNION ALL SELECT '3) unfiltered_putative_rest', t, t - b, b FROM a
-  UNION ALL SELECT '4) rejected_after_measured_filters', b, m, b - m FROM a UNION ALL SELECT '5) rejected_after_inferred_filters', b - m, i, b - m - i FROM a UNION ALL SELECT '6) rest', b - m - i, greatest(b - m - i - k, 0), k FROM a""")
+  SELECT '1) unfiltered_rest_candidate' AS stage, t AS remaining_before, 0::BIGINT AS dropped_here, t AS remaining_after, t AS applied_count FROM a UNION ALL SELECT '2) filtered_rest_candidate', t, 0, t, t FROM a UNION ALL SELECT '3) unfiltered_putative_rest', t, t - b, b, t FROM a
+  UNION ALL SELECT '4) rejected_after_measured_filters', b, m, b - m, b FROM a UNION ALL SELECT '5) rejected_after_inferred_filters', b - m, i, b - m - i, b - m FROM a UNION ALL SELECT '6) rest', b - m - i, greatest(b - m - i - k, 0), k, b - m - i FROM a""")
 def a12(spark, d):
-    return qc.stage_funnel(verdicts(spark, d)).drop("applied_count")
+    return qc.stage_funnel(verdicts(spark, d))
 
 
 @query("a19_run_diagnostics", f"WITH {VERDICT} SELECT user_id, count(*) AS n_segments, count(*) FILTER (ok) AS n_kept, count(*) FILTER (NOT ok) AS n_rejected FROM vd GROUP BY 1")
