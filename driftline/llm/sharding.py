@@ -65,7 +65,7 @@ def _draw(rows: DataFrame, share: float, seed: int, each: float = 0.0) -> pd.Dat
 
 
 def _alone(rows: DataFrame, limit: float) -> pd.DataFrame:
-    """Splitters right at and right after each row above ``limit`` bytes; these are fewer than the ranges."""
+    """Splitters right at and right after each row above ``limit`` bytes; these are fewer than the ranges or than four a shard."""
     at = rows.where(F.col("size") > limit).select("hash", F.col("key_id").alias("doc_id"), "row").toPandas()
     return pd.concat([at, at.assign(row=at["row"] + 1)])
 
@@ -114,10 +114,11 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     wanted = max(1, min(max(LEAST_RANGES, math.ceil(n / ROWS_PER_RANGE)), n // 40))
     limit = OVERFULL * max(total / wanted, 1)
-    short = rows.where(F.col("size") <= limit)
+    large = min(limit, total / (4 * shards))
+    short = rows.where(F.col("size") <= large)
     joined = lambda *c: pd.concat(c).drop_duplicates().sort_values(KEY, ignore_index=True)
     first = _quantiles(_draw(short, OVERSAMPLE * wanted / max(total, 1), seed), wanted).assign(doc_id=-(1 << 63), row=0)  # equal texts are not parted
-    cuts = joined(_alone(rows, limit), first)
+    cuts = joined(_alone(rows, large), first)
     while True:
         ranged = stage(_ranged(rows, cuts))
         ranges = _counts(ranged)
