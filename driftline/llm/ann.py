@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.stage import stage
 from .common import pieces
-from .topk import best, drop_dominated, matrix
+from .topk import drop_dominated, matrix
 
 #: Documented bounds of the fit: sampled vectors, of which every eighth only validates; graph degree.
 SAMPLE, DEGREE = 8_192, 10
@@ -129,9 +129,9 @@ def train_router(x: np.ndarray, y: np.ndarray, parts: int, rounds: int = 40, see
     return Router(p[0] * scale, p[1], p[2], p[3], parts)
 
 
-def fit(sample: np.ndarray, parts: int, k: int, recall: float = 0.97) -> Router:
+def fit(sample: np.ndarray, parts: int, k: int, recall: float = 0.93) -> Router:
     """Graph, parts and classifier from the sample; the number of parts that a query visits is the least with which held-out
-    rows find the wanted share of their true neighbours."""
+    rows find the wanted share of their true neighbours, and more by what the share may be off on so few rows."""
     x = unit(sample)
     held = np.arange(len(x)) % 8 == 7
     base = x[~held]
@@ -147,19 +147,27 @@ def fit(sample: np.ndarray, parts: int, k: int, recall: float = 0.97) -> Router:
     place = np.argsort(route, axis=1)  # place of each part in a query's order
     need = np.take_along_axis(place, home[true], axis=1)
     found = [(need < p).mean() for p in range(1, parts + 1)]
-    router.probes = min(parts, 1 + int(np.argmax(np.array(found) >= recall)) + parts // 16)
+    wanted = min(1.0, recall + need.size ** -0.5)
+    router.probes = 1 + int(np.argmax(np.array(found) >= wanted))
     return router
 
 
+def evened(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: squares neither overflow nor vanish, and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosine of rows in doubles; the same two vectors give the same value wherever they stand."""
+    q, c = evened(q), evened(c)
     return (q * c).sum(-1) / (np.sqrt((q * q).sum(-1)) * np.sqrt((c * c).sum(-1)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_part: int = 1_600, most_parts: int = 256, per_block: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts_per_root: float = 0.36, most_parts: int = 256, per_block: int = 4_096, most_queries: int = 4_096) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest found for each query; both tables are ``vec_id, v`` of doubles.
 
-    Parts follow the number of rows up to ``most_parts``, a bound of the classifier; larger parts are dealt to more blocks.
+    Parts grow with the root of the number of rows up to ``most_parts``, a bound of the classifier. A part's rows are dealt to blocks of about
+    ``per_block``, the queries that go there to blocks of about ``most_queries``, and each two of these meet in a group of bounded size.
     Rows without an id take no part, wholly equal rows count once, vectors of unequal length are compared as if the
     shorter ended in zeros.
     """
@@ -169,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_part: in
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     if drawn.empty:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = fit(matrix(drawn["v"], max(map(len, drawn["v"]))), max(1, min(most_parts, n // rows_per_part)), k)
+    router = fit(matrix(drawn["v"], max(map(len, drawn["v"]))), max(1, min(most_parts, int(parts_per_root * n ** 0.5))), k)
 
     def routed(count: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,9 +189,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_part: in
     kinds = "vec_id long, v array<double>, parts array<int>"
     indexed = stage(vectors.mapInPandas(routed(1), kinds).select("vec_id", "v", F.col("parts")[0].alias("part")))
     blocks = indexed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))  # a row per part
-    c = indexed.join(F.broadcast(blocks), "part").select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("cb"))
-    asked = (queries.mapInPandas(routed(router.probes), kinds).select("vec_id", "v", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
-             .select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb")))
+    routed_to = stage(queries.mapInPandas(routed(router.probes), kinds).select("vec_id", "v", F.explode("parts").alias("part")))
+    crowds = routed_to.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / most_queries).cast("int").alias("crowds"))  # a row per part
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = F.broadcast(blocks.join(crowds, "part"))
+    c = indexed.join(sized, "part").select("vec_id", "v", "part", dealt("blocks").alias("cb"), every("crowds").alias("qb"))
+    asked = routed_to.join(sized, "part").select("vec_id", "v", "part", dealt("crowds").alias("qb"), every("blocks").alias("cb"))
 
     def rerank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -196,13 +208,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_part: in
                 rough = unit(q) @ near.T
                 rough[own[:, None] == ids[None, :]] = -9
                 floor = -np.partition(-rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] - 1e-9
-                for i in range(len(q)):
-                    at = np.flatnonzero((rough[i] >= floor[i]) & (rough[i] > -5))
-                    score = cosine(q[i], x[at])
-                    top = best(ids[at], score, k)
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at][top], "score": score[top]}))
+                row, at = np.nonzero((rough >= floor[:, None]) & (rough > -5))
+                cut = np.array_split(np.arange(len(row)), len(row) // 100_000 + 1)
+                score = np.concatenate([cosine(q[row[p]], x[at[p]]) for p in cut])
+                order = np.lexsort((ids[at], -score, row))
+                row, at, score = row[order], at[order], score[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"query_id": own[row[top]], "vec_id": ids[at[top]], "score": score[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, int), "vec_id": np.empty(0, int), "score": np.empty(0)})
 
-    found = c.groupBy("part", "cb").cogroup(asked.groupBy("part", "cb")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = c.groupBy("part", "cb", "qb").cogroup(asked.groupBy("part", "cb", "qb")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

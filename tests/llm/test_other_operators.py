@@ -119,7 +119,7 @@ def test_large_scores_are_exact():
 def test_ann_recall_and_scores(spark):
     frame, raw = vectors(spark)
     r = frame.where(ann.usable("embedding")).select("vec_id", F.col("embedding").alias("v"))
-    got = ann.search(r, r.where("vec_id % 50 = 0"), rows_per_part=60, per_block=40).toPandas()
+    got = ann.search(r, r.where("vec_id % 50 = 0"), parts_per_root=0.6, per_block=40, most_queries=3).toPandas()
     live = {i: np.array(x) for i, x in raw if i is not None and x and None not in x and np.isfinite(x).all() and np.any(x)}
     hit = total = 0
     for q in [i for i in live if i % 50 == 0]:
@@ -133,6 +133,27 @@ def test_ann_recall_and_scores(spark):
     assert ann.search(r.limit(0), r.limit(0)).count() == 0
 
 
+def test_cosine_of_huge_and_tiny_vectors():
+    a, b = np.array([3.0, -4.0, 1.5]), np.array([[1.0, 2.0, -2.5], [3.0, -4.0, 1.5]])
+    plain = (a * b).sum(1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(1)))
+    assert ann.cosine(a, b).tolist() == plain.tolist()
+    for u, v in ((1e160, 1.0), (1e-170, 1e200), (1e308 / 4, 1e-300)):
+        assert np.allclose(ann.cosine(a * u, b * v), plain, rtol=1e-13)
+
+
+def test_small_tables_are_partitioned_too(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(25, 32))
+    x = centres[np.arange(500) % 25] + 0.4 * rng.normal(size=(500, 32))
+    router = ann.fit(x, int(0.36 * 500 ** 0.5), 5)
+    assert router.b2.shape == (8,) and router.probes < 8
+    r = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    got = ann.search(r, r.where("vec_id % 50 = 0")).toPandas().groupby("query_id")["vec_id"].apply(set)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = sum(len(set(np.argsort(-np.where(np.arange(500) == q, -9, unit @ unit[q]))[:5]) & got[q]) for q in range(0, 500, 50))
+    assert hit >= 45
+
+
 def test_parts_are_balanced():
     x = ann.unit(np.random.default_rng(0).normal(size=(640, 8)))
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 8)
