@@ -27,3 +27,8 @@ def test_grid_is_dealt_to_all_tasks(spark):
 def test_filled_grid_is_not_broadcast(spark):
     r = tb.resample(recordings(spark), AX, 3600.0, {"x": ("mean", "x")})
     assert "Broadcast" not in joins(tb.linear_fill(r, AX.with_(order=("bin_ts",)), ["x"]))
+
+
+def test_collated_signals_are_not_broadcast(spark):
+    s = recordings(spark)
+    assert "Broadcast" not in joins(tb.collate({"a": (s, ["x"]), "b": (s.withColumnRenamed("x", "y"), ["y"])}, AX, "a", 3600.0))
