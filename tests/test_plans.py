@@ -32,3 +32,13 @@ def test_filled_grid_is_not_broadcast(spark):
 def test_collated_signals_are_not_broadcast(spark):
     s = recordings(spark)
     assert "Broadcast" not in joins(tb.collate({"a": (s, ["x"]), "b": (s.withColumnRenamed("x", "y"), ["y"])}, AX, "a", 3600.0))
+
+
+def test_lagged_grids_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    curve = tb.lag_curve
+    monkeypatch.setattr(tb, "lag_curve", lambda df, *a, **kw: seen.append(joins(df)) or curve(df, *a, **kw))
+    s = recordings(spark)
+    tb.estimate_lag(s, s.withColumnRenamed("x", "y"), AX, "x", "y", 3600.0, 3)
+    top = next(line for line in seen[0].splitlines() if "Join" in line)
+    assert "SortMergeJoin" in top
