@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from driftline.core.axis import Axis
+from driftline.core.stats import steady_mean
 from driftline.operators import depth
 
 T0 = dt.datetime(2021, 1, 1)
@@ -21,3 +22,14 @@ def test_no_slope_without_varying_temperature(spark):
     y = df.withColumn("v", F.col("line") * 2 + 1)
     got = depth.chunk_regression(y, chunks, axis, "v", "line", bin_s=10.0).collect()
     assert all(abs(r.slope - 2) < 1e-12 and abs(r.intercept - 41) < 1e-10 for r in got)
+
+
+def test_equal_means_are_equal_to_the_last_bit(spark):
+    """19.66 as a mean of one value repeated, of two in either order, and of values that are no decimals."""
+    parts = {"a": [19.66] * 6, "b": [9.33, 29.99] * 3, "c": [29.99] * 3 + [9.33] * 3, "d": [0.1, 19.66, 39.22], "e": [39.22, 19.66, 0.1]}
+    df = spark.createDataFrame([(k, v) for k, vs in parts.items() for v in vs], "k string, v double").repartition(3)
+    got = {r.k: r.m for r in df.groupBy("k").agg(steady_mean("v").alias("m")).collect()}
+    assert set(got.values()) == {19.66}
+    odd = spark.createDataFrame([("a", 1 / 3), ("a", None), ("b", float("nan")), ("b", 1.0), ("c", 1e300), ("d", None)], "k string, v double")
+    got = {r.k: r.m for r in odd.groupBy("k").agg(steady_mean("v").alias("m")).collect()}
+    assert got["a"] == 1 / 3 and got["b"] != got["b"] and got["c"] == 1e300 and got["d"] is None
