@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftline.core.axis import Axis
+from driftline.core.halo import entity_apply
 from driftline.core.stats import steady_mean
 from driftline.operators import depth
 
@@ -33,3 +35,25 @@ def test_equal_means_are_equal_to_the_last_bit(spark):
     odd = spark.createDataFrame([("a", 1 / 3), ("a", None), ("b", float("nan")), ("b", 1.0), ("c", 1e300), ("d", None)], "k string, v double")
     got = {r.k: r.m for r in odd.groupBy("k").agg(steady_mean("v").alias("m")).collect()}
     assert got["a"] == 1 / 3 and got["b"] != got["b"] and got["c"] == 1e300 and got["d"] is None
+
+
+def test_small_groups_share_batches(spark):
+    """Groups smaller and larger than an Arrow batch, null keys too, come whole and in order, and no group is a stream of its own."""
+    rows = [(None if k == 3 else k, i, float((i * 37 + k) % 101)) for k in range(23) for i in range(1 + (k * k * 7) % 60)]
+    df = spark.createDataFrame(rows, "k long, t long, v double").repartition(3)
+    axis = Axis(("k",), ("t",), rows=1000)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        run = lambda x: {"s": np.cumsum(x["v"]), "n": np.full(len(x["v"]), len(x["v"])), "odd": np.arange(len(x["v"])) % 2 == 1}
+        d = entity_apply(df, axis, run, ["v"], {"s": "double", "n": "bigint", "odd": "boolean"}, keep="odd")
+        got = {(r.k, r.t): (r.s, r.n) for r in d.collect()}
+        assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted(r for r in rows if r[0] == k) if k is not None else sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        total = np.cumsum([r[2] for r in own])
+        want.update({(k, r[1]): (s, len(own)) for i, (r, s) in enumerate(zip(own, total)) if i % 2})
+    assert got == want
