@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftline.core.axis import Axis
 from driftline.core.halo import entity_apply
-from driftline.core.stats import steady_mean
-from driftline.operators import depth
+from driftline.core.stats import median, quantiles, steady_mean
+from driftline.operators import depth, islands
 
 T0 = dt.datetime(2021, 1, 1)
 
@@ -57,3 +57,26 @@ def test_small_groups_share_batches(spark):
         total = np.cumsum([r[2] for r in own])
         want.update({(k, r[1]): (s, len(own)) for i, (r, s) in enumerate(zip(own, total)) if i % 2})
     assert got == want
+
+
+def test_median_of_two_is_their_halves(spark):
+    """Two values as far below as above 20 have the median 20; a difference that is rounded first gives less."""
+    rows = [(k, x) for k in range(1, 2000) for x in ((2000 - k) / 100, (2000 + k) / 100)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    assert {r.m for r in median(df, ["k"], "v", "m").collect()} == {20.0}
+    got = quantiles(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double"), [], "v", {"a": 0.0, "b": 0.25, "c": 1.0}).first()
+    assert (got.a, got.b, got.c) == (1.0, 1.5, 4.0)
+
+
+def test_runs_that_start_at_one_instant_stay_apart(spark):
+    """Two flat runs whose first rows share an instant have a median each."""
+    at = [0, 0, 0, 0, 0, 1, 2]
+    slope, x, code = [0.0, 0.0, 0.0, 9.0, 0.0, 0.0, 0.0], [1.0, 2.0, 3.0, 50.0, 4.0, 5.0, 6.0], [1, 1, 1, 2, 1, 1, 1]
+    df = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=s), i, *r, f"t{i}") for i, (s, *r) in enumerate(zip(at, slope, x, code))],
+                               "id string, ts timestamp, n long, slope double, x double, code long, label string")
+    axis = Axis(("id",), ("ts", "n"))
+    got = islands.flat_chunks(df, axis, "x", "slope", 0.5, 3, 20.0).collect()
+    assert sorted((r.n, r.median_value) for r in got) == [(3, 2.0), (3, 5.0)]
+    step = spark.createDataFrame([("a", 1.0)], "id string, step_s double")
+    got = islands.label_states(df, axis, "code", "label", step).collect()
+    assert sorted((r.code, r.n, r.label_text) for r in got) == [(1, 3, "t0"), (1, 3, "t4"), (2, 1, "t3")]
