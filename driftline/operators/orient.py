@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.axis import Axis
+from ..core.stats import steady_mean
 
 
 def norm(xyz: list[Column | str]) -> Column:
@@ -64,9 +65,11 @@ def apply_offsets(df: DataFrame, offsets: DataFrame, keys: list[str], xyz: list[
 
 
 def mean_posture(df: DataFrame, keys: list[str], xyz: list[str], calm: Column, prior: DataFrame | None = None) -> DataFrame:
-    """Belly-down posture per entity: prior configuration, else mean of calm rows, else overall mean, else [1, 0, -1]."""
-    m = df.groupBy(*keys).agg(*[F.avg(F.when(calm, F.col(c))).alias(f"calm{i}") for i, c in enumerate(xyz)],
-                              *[F.avg(c).alias(f"all{i}") for i, c in enumerate(xyz)])
+    """Belly-down posture per entity: prior configuration, else mean of calm rows, else overall mean, else [1, 0, -1].
+
+    The means do not depend on the order of rows: a vector along its own mean has a roll of 180 or -180 degrees by their last bit."""
+    m = df.groupBy(*keys).agg(*[steady_mean(F.when(calm, F.col(c))).alias(f"calm{i}") for i, c in enumerate(xyz)],
+                              *[steady_mean(c).alias(f"all{i}") for i, c in enumerate(xyz)])
     if prior is not None:
         m = m.join(prior, keys, "left")
     last = [1.0, 0.0, -1.0]
@@ -94,7 +97,8 @@ def animal_frame(df: DataFrame, angles: DataFrame, keys: list[str], acc: list[st
                  mag: list[str] | None = None, declination: str | None = None) -> DataFrame:
     """Rotate tag vectors into the animal frame; pitch, roll and tilt-compensated heading in degrees.
 
-    Rotated channels are named ``<channel>_animal``. Heading needs ``mag``; the declination (degrees) is a column.
+    Rotated channels are named ``<channel>_animal``. A side component within rounding of zero is zero, so upside down is a roll of 180 and never
+    -180 degrees by a last bit. Heading needs ``mag``; the declination (degrees) is a column.
     """
     j = df.join(angles, keys)
     p, r = F.col("p0"), F.col("r0")
@@ -103,7 +107,9 @@ def animal_frame(df: DataFrame, angles: DataFrame, keys: list[str], acc: list[st
         rot = _rotate([F.col(c).cast("double") for c in chans], p, r)
         j = j.withColumns({f"{c}_animal": e for c, e in zip(chans, rot)})
     a = [F.col(f"{c}_animal") for c in acc]
-    j = j.withColumns({"pitch_deg": -F.degrees(F.asin(F.try_divide(a[0], norm(a)))), "roll_deg": F.degrees(F.atan2(a[1], a[2]))})
+    level = (F.abs(a[1]) <= 1e-15 * F.abs(a[2])) & (F.abs(a[2]) < 1e300)
+    side = F.when(level, F.lit(0.0)).otherwise(a[1])
+    j = j.withColumns({"pitch_deg": -F.degrees(F.asin(F.try_divide(a[0], norm(a)))), "roll_deg": F.degrees(F.atan2(side, a[2]))})
     if mag:
         rr, pp = F.radians("roll_deg"), F.radians("pitch_deg")
         h = _rotate([F.col(f"{c}_animal") for c in mag], pp, rr)

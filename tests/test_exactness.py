@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.core.axis import Axis
 from driftline.core.halo import entity_apply
 from driftline.core.stats import median, quantiles, steady_mean
-from driftline.operators import depth, islands
+from driftline.operators import depth, islands, orient
 
 T0 = dt.datetime(2021, 1, 1)
 
@@ -80,3 +80,25 @@ def test_runs_that_start_at_one_instant_stay_apart(spark):
     step = spark.createDataFrame([("a", 1.0)], "id string, step_s double")
     got = islands.label_states(df, axis, "code", "label", step).collect()
     assert sorted((r.code, r.n, r.label_text) for r in got) == [(1, 3, "t0"), (1, 3, "t4"), (2, 1, "t3")]
+
+
+def test_posture_of_repeated_rows_is_the_row(spark):
+    """Rows that repeat one vector have that vector as their mean posture, to the last bit, however they are dealt."""
+    v = [0.1, 7 / 25 - 1, (19.17 + 26) / 80 - 1]
+    df = spark.createDataFrame([(n, i % 2 == 0, *v) for n in (1, 10, 60, 61) for i in range(n)], "id long, calm boolean, x double, y double, z double")
+    for parts in (1, 7):
+        got = orient.mean_posture(df.repartition(parts), ["id"], ["x", "y", "z"], F.col("calm")).collect()
+        assert len(got) == 4 and all([r.abar0, r.abar1, r.abar2] == v for r in got)
+
+
+def test_upside_down_is_one_angle(spark):
+    """A vector that its own mean posture levels has a roll of 0; turned over along its axis, of 180, never -180."""
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    own = orient.posture_angles(df.select("id", *[F.col(c).alias(f"abar{i}") for i, c in enumerate("xyz")]), ["id"])
+    rolls = lambda d: {round(r.roll_deg, 9) for r in orient.animal_frame(d, own, ["id"], ["x", "y", "z"]).collect()}
+    assert rolls(df) == {0.0}
+    assert rolls(df.withColumns({c: -F.col(c) for c in "xyz"})) == {180.0}
+    nothing = df.limit(3).withColumn("z", F.lit(float("nan")))
+    assert all(r.roll_deg != r.roll_deg for r in orient.animal_frame(nothing, own, ["id"], ["x", "y", "z"]).collect())
