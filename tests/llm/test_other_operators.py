@@ -236,6 +236,16 @@ def test_lm_beats_word_frequencies_on_held_out_texts(spark):
     assert got[0] > 0.95 * got[1]
 
 
+def test_lm_learns_from_every_training_text(spark):
+    """Nothing comes of a sample: its size does not matter, and bytes of all words count once each."""
+    docs = spark.createDataFrame([(i, "zq" * (i % 5) + f" w{i % 7} the end" + " kx" * (i == 59)) for i in range(60)], "doc_id long, text string")
+    a, b = (lm.score(docs, F.col("doc_id") % 10 != 0, sample=k, frequent=4).orderBy("doc_id").toPandas() for k in (1, 50))
+    assert (a["score"] == b["score"]).all() and len(a) == 60
+    seen = Counter(b"".join(r.text.lower().encode() for r in docs.collect()).replace(b" ", b""))
+    counted = lm.count_words(docs.select(F.col("text").cast("binary").alias("b")).repartition(3)).where("byte IS NOT NULL").collect()
+    assert {r.byte: r.n for r in counted} == dict(seen)
+
+
 def test_huffman_and_probabilities_sum_to_one():
     """The code is prefix-free and complete, and the model's probabilities of all next symbols sum to 1."""
     known = np.sort(lm.hashes([b"aa", b"bb", b"cc"]))
