@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..core.axis import Axis
 from ..core.halo import halo_time_apply
 from ..functions import dsp
-from .timebase import grid, interpolate_onto
+from .timebase import grid, grid_axis, interpolate_onto
 
 
 def regularize_track(df: DataFrame, axis: Axis, step_s: float, columns: list[str]) -> DataFrame:
@@ -18,7 +18,8 @@ def regularize_track(df: DataFrame, axis: Axis, step_s: float, columns: list[str
     b = df.groupBy(*keys).agg(
         F.timestamp_micros((F.ceil(F.unix_micros(F.min(axis.ts)) / w) * w).cast("bigint")).alias("lo"),
         F.timestamp_micros((F.floor(F.unix_micros(F.max(axis.ts)) / w) * w).cast("bigint")).alias("hi"))
-    return interpolate_onto(grid(b, keys, "lo", "hi", w, axis.ts), df, axis, columns)
+    axis = grid_axis(axis, b, "lo", "hi", w)
+    return interpolate_onto(grid(b, keys, "lo", "hi", w, axis.ts, axis.tasks), df, axis, columns)
 
 
 EARTH_RADIUS_KM = 6371.0088
@@ -117,7 +118,8 @@ def hourly_smooth(df: DataFrame, axis: Axis, columns: list[str], sigma: float =
     from ..core.scan import IDX
     keys, half = list(axis.keys), taps // 2
     b = df.groupBy(*keys).agg(F.date_trunc("second", F.min(axis.ts)).alias("a"), F.max(axis.ts).alias("b"))
-    g = interpolate_onto(grid(b, keys, "a", "b", 3_600_000_000, axis.ts), df, axis, columns).dropna(subset=columns)
+    axis = grid_axis(axis, b, "a", "b", 3_600_000_000)
+    g = interpolate_onto(grid(b, keys, "a", "b", 3_600_000_000, axis.ts, axis.tasks), df, axis, columns).dropna(subset=columns)
     h = halo_rows(g, axis.with_(order=(axis.ts,)), half, half)
     from pyspark.sql import Window as W
     from ..core.scan import HALO

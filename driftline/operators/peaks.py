@@ -20,7 +20,7 @@ from ..schema import seconds_between
 from .intervals import complement, merge_near, points_in
 from .islands import membership
 from .joins import asof
-from .timebase import grid, interpolate_onto, linear_fill
+from .timebase import grid, grid_axis, interpolate_onto, linear_fill
 
 ACCEPTED, SUGGESTED = "beat_auto_detect_accepted", "beat_auto_detect_suggested"
 REJECTED, CONFLICT = "beat_auto_detect_rejected", "beat_auto_detect_rejected_conflict"
@@ -575,9 +575,9 @@ def probability_signal(candidates: DataFrame, bounds: DataFrame, axis: Axis, pro
     """
     from .rolling import rolling_mean
     keys = list(axis.keys)
-    one = axis.with_(order=(axis.ts,))
+    one = grid_axis(axis.with_(order=(axis.ts,)), bounds, "lo", "hi", int(step_s * 1e6))
     c = candidates.groupBy(*keys, axis.ts).agg(F.max(prob).alias("p"))
-    g = grid(bounds, keys, "lo", "hi", int(step_s * 1e6), axis.ts)
+    g = grid(bounds, keys, "lo", "hi", int(step_s * 1e6), axis.ts, one.tasks)
     s = stage(interpolate_onto(g, c, one, ["p"], "both"))
     n = max(1, int(round(window_s / step_s)))
     s = rolling_mean(s, one, n + (1 - n % 2), ["p"], 1, "_roll").select(*keys, axis.ts, F.when(F.col("p_roll").isNotNull(), F.least(F.greatest("p_roll", F.lit(0.0)), F.lit(1.0))).alias("prob"))

@@ -102,3 +102,22 @@ def test_upside_down_is_one_angle(spark):
     assert rolls(df.withColumns({c: -F.col(c) for c in "xyz"})) == {180.0}
     nothing = df.limit(3).withColumn("z", F.lit(float("nan")))
     assert all(r.roll_deg != r.roll_deg for r in orient.animal_frame(nothing, own, ["id"], ["x", "y", "z"]).collect())
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Where a grid has more rows than the session's partitions should hold, the scan and the grid are dealt to more tasks, with the same rows."""
+    from driftline.core import axis as core_axis
+    from driftline.core.axis import fit_axis
+    from driftline.operators import geo
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(hours=7 * i), float(i)) for k in range(6) for i in range(40)], "id long, ts timestamp, v double")
+    few = fit_axis(df, ["id"], ["ts"])
+    want = {(r.id, r.ts): r.v for r in geo.regularize_track(df, few, 3600.0, ["v"]).collect()}
+    smooth = {(r.id, r.ts): r.v_smoothed for r in geo.hourly_smooth(df, few, ["v"]).collect()}
+    monkeypatch.setattr(core_axis, "ROWS_A_TASK", 60)
+    many = fit_axis(df, ["id"], ["ts"])
+    assert few.tasks == 1 and many.tasks == 4
+    out = geo.regularize_track(df, many, 3600.0, ["v"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"], {-(-len(want) // 60)}") >= 2
+    assert {(r.id, r.ts): r.v for r in out.collect()} == want and len(want) == 6 * 274
+    assert {(r.id, r.ts): r.v_smoothed for r in geo.hourly_smooth(df, many, ["v"]).collect()} == smooth
