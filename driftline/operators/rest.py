@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.facts import with_facts
-from ..core.axis import Axis
+from ..core.axis import CHUNK, Axis
 from ..core.runs import find_runs, label_runs
-from ..core.scan import scan
+from ..core.scan import CORE, HALO, halo_rows, row_frame, scan
 from ..functions import labels
 from ..schema import seconds_between
 from .intervals import midpoint
-from .rolling import gradient, rolling_mean, rolling_sums
+from .rolling import frame_gradient, frame_sums
 
 # Thresholds and switches of the base detector.
 REST_DEFAULTS = {
@@ -52,16 +52,22 @@ def quantize(value: Column, step: float) -> Column:
 def derived_channels(df: DataFrame, axis: Axis, depth: str, fs: float, cfg: dict | None = None) -> DataFrame:
     """Standardised depth with its first and second derivative per second.
 
-    Depth is quantised and smoothed; slow or coarse sources get the wider window.
+    Depth is quantised and smoothed; slow or coarse sources get the wider window. All are taken in one cut of the rows (``_cut_channels``).
     """
-    c = rest_settings(cfg)
+    cut = _cut_channels(df, axis, depth, fs, rest_settings(cfg), 0)
+    return cut.where(CORE).select(*df.columns, "depth_std", "d1", "d2")
+
+
+def _cut_channels(df: DataFrame, axis: Axis, depth: str, fs: float, c: dict, before: int) -> DataFrame:
+    """Rows with their channels in halo chunks that reach far enough for all of them on core rows, and on ``before`` rows ahead of these."""
     coarse = 1.0 / fs >= c["coarse_interval_threshold_s"] or c["quantize_step"] >= c["coarse_resolution_threshold"] and fs < 1
     n = max(1, int(round((c["coarse_smooth_seconds"] if coarse else c["base_smooth_seconds"]) * fs)))
     n += 1 - n % 2
-    q = df.withColumn("__q", quantize(F.col(depth), c["quantize_step"]))
-    s = rolling_mean(q, axis, n, ["__q"], 1, "_sm").withColumnRenamed("__q_sm", "depth_std").drop("__q")
-    s = gradient(s, axis, {"d1": "depth_std"}).withColumn("d1", F.col("d1") * fs)
-    return gradient(s, axis, {"d2": "d1"}).withColumn("d2", F.col("d2") * fs)
+    half = n // 2
+    h = halo_rows(df.withColumn("__q", quantize(F.col(depth), c["quantize_step"])), axis, half + 2 + before, half + 2)
+    s = frame_sums(h, axis, half, half, ["__q"]).withColumn("depth_std", F.when(F.col("__cnt___q") >= 1, F.col("__sum___q") / F.col("__cnt___q")))
+    s = s.withColumn("d1", frame_gradient(s, axis, "depth_std") * fs)
+    return s.withColumn("d2", frame_gradient(s, axis, "d1") * fs)
 
 
 #: Rows up to a segment's last sample whose mean slope says whether it ends flat.
@@ -75,13 +81,24 @@ def detect_rest(df: DataFrame, axis: Axis, cfg: dict | None = None) -> DataFrame
     small slope and curvature below the surface; a change of slope sign may end a run. The decision tree
     is compiled to columns over per-segment aggregates, merged across chunk edges like any run.
     """
+    return _segments(halo_rows(df, axis, END_ROWS - 1, 0), axis, rest_settings(cfg))
+
+
+def rest_candidates(df: DataFrame, axis: Axis, depth: str, fs: float, cfg: dict | None = None) -> DataFrame:
+    """``detect_rest`` of the ``derived_channels``: rows are cut once for both, and runs are found in the same chunks."""
     c = rest_settings(cfg)
+    return _segments(_cut_channels(df, axis, depth, fs, c, END_ROWS - 1), axis, c)
+
+
+def _segments(h: DataFrame, axis: Axis, c: dict) -> DataFrame:
+    """Segments of rows in halo chunks that hold the ``END_ROWS`` rows up to each core row."""
     surface = F.col("depth_std") < c["dive_depth_min_m"]
     calm = (F.abs("d1") <= c["first_deriv_abs_max_ms"]) & (F.abs("d2") <= c["second_deriv_abs_max_ms2"])
     family = F.when(surface, F.lit("surface")).when(calm, F.lit("drift_candidate"))
     sign = F.when(F.col("d1") < 0, "-").otherwise("+") if c["end_segments_upon_d1_sign_change"] else F.lit("")
     code = F.when(family == "drift_candidate", F.concat(family, sign)).otherwise(family)
-    ended = rolling_sums(df, axis, END_ROWS - 1, 0, ["d1"]).withColumn("__end_d1", F.try_divide(F.col("__sum_d1"), F.col("__cnt_d1"))).select(*df.columns, "__end_d1")
+    ended = h.withColumn("__end_d1", F.avg("d1").over(row_frame(axis, END_ROWS - 1, 0))).where(CORE)
+    ended = ended.select(*dict.fromkeys([*axis.keys, *axis.order, "depth_std", "d1", "d2"]), "__end_d1", F.col(HALO).alias(CHUNK))
     runs = find_runs(ended, axis, code, {
         "first_depth": ("first", "depth_std"), "last_depth": ("last", "depth_std"), "end_d1": ("last", "__end_d1"), "start_depth_m": ("first", "depth_std")},
         F.col("value").isNotNull())

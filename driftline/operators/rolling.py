@@ -21,7 +21,11 @@ def rolling_sums(df: DataFrame, axis: Axis, before: int, after: int, columns: li
     Wide frames would be re-read for every row, so each is a difference of two running sums inside a halo
     chunk: linear in the rows whatever the width.
     """
-    h = halo_rows(df, axis, before, after)
+    return frame_sums(halo_rows(df, axis, before, after), axis, before, after, columns, squares).where(CORE).drop(HALO, CORE)
+
+
+def frame_sums(h: DataFrame, axis: Axis, before: int, after: int, columns: list[str], squares: bool = False) -> DataFrame:
+    """``rolling_sums`` on rows in halo chunks, which stay there; right where the chunk holds the whole frame."""
     w = W.partitionBy(*axis.keys, HALO).orderBy(IDX)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     parts = {}
@@ -35,8 +39,7 @@ def rolling_sums(df: DataFrame, axis: Axis, before: int, after: int, columns: li
     whole = W.partitionBy(*axis.keys, HALO)
     top = lambda c: F.coalesce(F.lead(c, after).over(w), F.max_by(c, F.col(IDX)).over(whole)) if after else F.col(c)
     low = lambda c: F.coalesce(F.lag(c, before + 1).over(w), F.lit(0))
-    h = h.withColumns({f"__{n}": top(f"__r_{n}") - low(f"__r_{n}") for n in parts}).drop(*[f"__r_{n}" for n in parts])
-    return h.where(CORE).drop(HALO, CORE)
+    return h.withColumns({f"__{n}": top(f"__r_{n}") - low(f"__r_{n}") for n in parts}).drop(*[f"__r_{n}" for n in parts])
 
 
 def rolling_mean(df: DataFrame, axis: Axis, n: int, columns: list[str], min_periods: int = 1, suffix: str = "_mean") -> DataFrame:
@@ -131,6 +134,13 @@ def gradient(df: DataFrame, axis: Axis, columns: dict[str, str]) -> DataFrame:
     return s.withColumns({o: ends(o, c) for o, c in columns.items()}).select(*df.columns, *columns)
 
 
+def frame_gradient(h: DataFrame, axis: Axis, column: str) -> Column:
+    """``gradient`` of a column on rows in halo chunks; right where the chunk holds both neighbours."""
+    w = W.partitionBy(*axis.keys, HALO).orderBy(IDX)
+    p, n = F.lag(column).over(w), F.lead(column).over(w)
+    return F.coalesce((n - p) / 2, n - F.col(column), F.col(column) - p)
+
+
 def local_z(df: DataFrame, axis: Axis, window: int, column: str, out: str, noise: float = 1e-10) -> DataFrame:
     """Local z-score over rows ``[i-h, i+h)`` with a floor under the deviation.
 

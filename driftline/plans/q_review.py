@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core.scan import IDX
 from ..functions import labels
 from ..operators import islands, qc, rest, rules, timebase as tb
 from ..schema import seconds_between
@@ -147,10 +148,10 @@ def g19(spark, d):
 # --- rest detection: the user signal on an hourly grid, in depth-like units ----------------------------
 
 def hourly(spark, d):
-    ax = signal_axis(spark, d)
-    h = tb.resample(signals(spark, d), ax, 3600.0, {"depth": ("mean", "value")})
-    one = ax.with_(order=("bin_ts",))
-    return tb.linear_fill(h, one, ["depth"]), one
+    s, ax = signals(spark, d), signal_axis(spark, d)
+    ends = s.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    ax = tb.grid_axis(ax, ends, "a", "b", 3_600_000_000)
+    return tb.resample_linear(s, ax, 3600.0, {"depth": ("mean", "value")}, IDX), ax.with_(order=("bin_ts",))
 
 
 SLOW = {"quantize_step": 1.0, "thresholds": {"dive_depth_min_m": 15.0, "first_deriv_abs_max_ms": 0.001, "second_deriv_abs_max_ms2": 0.00001, "min_duration_s": 7200.0,
@@ -172,7 +173,7 @@ def g1(spark, d):
 @query("g2_g4_detect_rest")
 def g2(spark, d):
     h, ax = hourly(spark, d)
-    x = rest.detect_rest(rest.derived_channels(h, ax, "depth", 1 / 3600, SLOW), ax, SLOW)
+    x = rest.rest_candidates(h, ax, "depth", 1 / 3600, SLOW)
     return x.select("user_id", us("start_ts", "start_us"), us("end_ts", "end_us"), "segment_family", "base_nominal_class", r("drift_rate_ms", 8))
 
 

@@ -1,5 +1,8 @@
 """How work is dealt: sizes that Spark guesses before rows are multiplied must not lead to a broadcast or to one task."""
 
+import datetime as dt
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftline.core.axis import Axis
@@ -7,6 +10,7 @@ from driftline.operators import timebase as tb
 
 HOUR = 3_600_000_000
 AX = Axis(("k",), ("ts",))
+T0 = dt.datetime(2021, 1, 1)
 
 
 def recordings(spark, n=40):
@@ -42,3 +46,31 @@ def test_lagged_grids_are_not_broadcast(spark, monkeypatch):
     tb.estimate_lag(s, s.withColumnRenamed("x", "y"), AX, "x", "y", 3600.0, 3)
     top = next(line for line in seen[0].splitlines() if "Join" in line)
     assert "SortMergeJoin" in top
+
+
+def test_rest_detection_cuts_the_grid_once(spark):
+    """Filling the grid, channels and segments shuffle the rows of the grid once, and give what the operators give one by one on other cuts."""
+    from driftline.core.scan import IDX
+    from driftline.operators import rest
+    rng = np.random.default_rng(3)
+    rows = [(k, T0 + dt.timedelta(minutes=int(m)), None if m % 11 == 0 else float(np.round(20 + 15 * np.sin(m / 4000 + k) + rng.normal(), 1)))
+            for k in range(3) for m in np.unique(rng.integers(0, 40_000, 150 - 70 * k))]
+    df = spark.createDataFrame([(f"r{k}", t, v) for k, t, v in rows] + [("none", T0, None)], "id string, ts timestamp, x double")
+    cfg = {"quantize_step": 1.0, "base_smooth_seconds": 10_800.0, "coarse_smooth_seconds": 10_800.0, "dive_depth_min_m": 15.0, "first_deriv_abs_max_ms": 0.001, "second_deriv_abs_max_ms2": 0.00001,
+           "min_duration_s": 7200.0, "drift_rate_abs_max_ms": 0.0005, "filter_out_negative_slopes": False}
+    day = Axis(("id",), ("ts",), width=86_400_000_000, rows=50)
+    one = day.with_(order=("bin_ts",))
+    full = tb.linear_fill(tb.resample(df, day, 3600.0, {"x": ("mean", "x")}), one, ["x"])
+    grid = tb.resample_linear(df, day, 3600.0, {"x": ("mean", "x")}, IDX)
+    flat = lambda d: sorted((tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+    want = flat(full.select("id", "bin_ts", "x"))
+    assert flat(grid.select("id", "bin_ts", "x")) == want and any(r[2] is None for r in want) and len(want) > 1500
+    for k in ("r0", "r1", "r2", "none"):
+        assert [r[IDX] for r in grid.where(f"id = '{k}'").orderBy("bin_ts").collect()] == list(range(sum(r[0] == k for r in want)))
+    parts = flat(rest.detect_rest(rest.derived_channels(full, one, "x", 1 / 3600, cfg), one, cfg))
+    at_once = rest.rest_candidates(grid, one, "x", 1 / 3600, cfg)
+    assert flat(at_once) == parts and len(parts) > 50
+    assert flat(rest.rest_candidates(full, one.with_(rows=100_000), "x", 1 / 3600, cfg)) == parts
+    plan = at_once._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.splitlines() if "Exchange" in x]
+    assert "__halo" in moves[0] and "__at" in moves[1]
