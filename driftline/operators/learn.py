@@ -67,6 +67,17 @@ def balance_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(w, label)
 
 
+#: Rows a task of a fit gets at the least: every pass of a fit sends a table of statistics per task, whatever its rows.
+ROWS_A_FIT_TASK = 500
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt evenly to the session's cores: a small file is one partition, which a fit of hundreds of trees or their scores would
+    pass over in one task, again and again."""
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FIT_TASK))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _classifier(kind: str, trees: int, depth: int, seed: int):
     common = {"featuresCol": "features", "labelCol": "__y", "weightCol": "weight"}
     if kind == "rf":
@@ -103,9 +114,12 @@ def train(df: DataFrame, columns: list[str], label: str, kind: str = "rf", trees
 
     ``trees`` and ``depth`` are the run's parameters; the classes are listed on the driver, as the model lists them itself.
     """
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    labels = sorted(sizes)
     y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
-    d = balance_weights(df.withColumn("__y", y.cast("double")), label)
+    rows = sum(sizes.values())
+    weight = F.get(F.array(*[F.lit(rows / (len(labels) * sizes[x])) for x in labels]), y.cast("int"))  # as ``balance_weights``, without its join
+    d = spread(df.select(*columns, label, y.cast("double").alias("__y"), weight.alias("weight")), rows)
     fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), _classifier(kind, trees, depth, seed)]).fit(d)
     return Classifier(fitted, labels, confidence)
 
@@ -166,9 +180,13 @@ def at_once(jobs: list[Callable], most: int = 4) -> list:
 
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int, **kw) -> DataFrame:
-    """Scores of models that did not see the row's fold; one model per fold, fitted at once."""
-    parts = at_once([lambda i=i: train(df.where(F.col("fold") != i), columns, label, **kw).transform(df.where(F.col("fold") == i)) for i in range(folds)])
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Scores of models that did not see the row's fold; one model per fold, fitted at once. They are written once, as what follows
+    (a calibration) reads them many times."""
+    df = stage(df)
+    sizes = {r[0]: r[1] for r in df.groupBy("fold").count().collect()}
+    parts = at_once([lambda i=i: train(df.where(F.col("fold") != i), columns, label, **kw).transform(spread(df.where(F.col("fold") == i), sizes.get(i, 0)))
+                     for i in range(folds)])
+    return stage(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def platt(df: DataFrame, score: str, label: str) -> DataFrame:

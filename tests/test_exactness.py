@@ -121,3 +121,22 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     assert plan.count(f"], {-(-len(want) // 60)}") >= 2
     assert {(r.id, r.ts): r.v for r in out.collect()} == want and len(want) == 6 * 274
     assert {(r.id, r.ts): r.v_smoothed for r in geo.hourly_smooth(df, many, ["v"]).collect()} == smooth
+
+
+def test_fits_of_a_small_file_take_all_tasks(spark, monkeypatch, tmp_path):
+    """A file of one partition is fitted and scored in several tasks, and what is calibrated on the scores does not score again."""
+    from driftline.operators import learn
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, v), str(int(v[0] + v[1] > 0)), i % 5) for i, v in enumerate(rng.normal(size=(2400, 2)))]
+    spark.createDataFrame(rows, "id long, a double, b double, label string, g long").coalesce(1).write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    assert df.rdd.getNumPartitions() == 1
+    fitted = []
+    fit = learn.Pipeline.fit
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, d, *a: fitted.append(d.rdd.getNumPartitions()) or fit(self, d, *a))
+    out = learn.out_of_fold(learn.group_folds(df, "g", 3), ["a", "b"], "label", 3, trees=4, depth=4)
+    tasks = min(spark.sparkContext.defaultParallelism, 2)
+    assert len(fitted) == 3 and min(fitted) >= tasks
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert sorted(r.id for r in got) == list(range(2400)) and np.mean([r.predicted_label == r.label for r in got]) > 0.85
