@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.axis import Axis
@@ -13,9 +15,27 @@ from ..operators.geo import sun_local_hour
 KEYS = ["dataset_id", "deployment_id"]
 
 
+class SummaryTables(Mapping):
+    """Tables by name, each made when it is asked for, from steps that are made once: who reads one table does not pay for the others."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def summary_tables(segments: DataFrame, predictions: DataFrame, depth: DataFrame, location: DataFrame, deployments: DataFrame,
                    features: DataFrame, axis: Axis, depth_threshold_m: float = 2.0, groups: DataFrame | None = None,
-                   tolerance_s: float = 43_200.0, feature_tolerance_s: float = 600.0) -> dict[str, DataFrame]:
+                   tolerance_s: float = 43_200.0, feature_tolerance_s: float = 600.0) -> SummaryTables:
     """Summary tables of a segmentation run.
 
     ``segments``: ids, segment_rank, start_ts, end_ts, state_name, keep_filtered, …; ``predictions``: ids,
@@ -24,70 +44,86 @@ def summary_tables(segments: DataFrame, predictions: DataFrame, depth: DataFrame
     """
     algo = rest.method_rows(segments, "algorithmic", "algorithmic_segments", "state_name")
     sup = rest.supervised_rows(predictions, "predicted_label", "variant_id")
-    combined = stage(algo.unionByName(sup, allowMissingColumns=True))
-    positive = combined.where("positive_label")
-
-    # putative rest: local time, nearest position and feature value
-    mid_axis = axis.with_(order=("segment_midpoint", "start_ts"))
-    p = joins.asof(positive, location.select(*KEYS, F.col("ts").alias("loc_ts"), "latitude", "longitude"), mid_axis, "loc_ts",
-                   ["latitude", "longitude"], tolerance_s, prefix="near_")
-    p = joins.asof(p, features.select(*KEYS, F.col("ts").alias("feat_ts"), F.col("value").alias("feature_value")), mid_axis, "feat_ts",
-                   ["feature_value"], feature_tolerance_s, prefix="snap_")
+    combined = algo.unionByName(sup, allowMissingColumns=True)
     dep = deployments.select(*KEYS, "tz", "fallback_latitude", "fallback_longitude")
-    p = p.join(dep, KEYS, "left")
-    local = F.from_utc_timestamp("segment_midpoint", F.coalesce("tz", F.lit("UTC")))
-    p = p.withColumns({"local_date": F.to_date(local), "local_hour": F.hour(local),
-                       "near_latitude": F.coalesce("near_latitude", "fallback_latitude"), "near_longitude": F.coalesce("near_longitude", "fallback_longitude")})
-    p = stage(overlap_flags(p))
-
-    # samples with weights, painted per method
-    w = budgets.sample_weights(depth, axis).join(dep, KEYS, "left")
-    base = F.when(F.coalesce(F.col("depth"), F.lit(float("inf"))) < depth_threshold_m, "surfacing").otherwise("diving")
-    methods = positive.select(*KEYS, "method", "method_variant").distinct()
-    m_axis = axis.with_(keys=(*KEYS, "method", "method_variant"))
-    samples = w.join(methods, KEYS)
-    iv = positive.select(*m_axis.keys, "start_ts", "end_ts", F.coalesce("state_subtype", "state_label").alias("label"),
-                         F.unix_micros("end_ts").alias("rank"))
-    painted = intervals.paint(samples, iv, m_axis, "start_ts", "end_ts", "label", "rank", base, "state_label_raw")
-    painted = stage(painted.withColumns({"state_label_canonical": canonical_behavior(F.col("state_label_raw")), "tz": F.coalesce("tz", F.lit("UTC"))}))
-    by = [*m_axis.keys]
-    tz = F.col("tz")
-    local = F.from_utc_timestamp(axis.ts, tz)
-    day, hour = F.to_date(local).alias("local_date"), F.hour(local).alias("hour_of_day")
-    lab = ["state_label_raw", "state_label_canonical"]
-    daily = painted.groupBy(*by, day, *lab).agg((F.sum("weight_s") / 3600).alias("duration_h")).withColumn("pct_of_24h", F.col("duration_h") * 100 / 24)
-    hourly = painted.groupBy(*by, day, hour, *lab).agg((F.sum("weight_s") / 3600).alias("duration_h"))
-    tot = painted.groupBy(*by, day, hour).agg((F.sum("weight_s") / 3600).alias("hour_total_h"))
-    hourly = hourly.join(tot, [*by, "local_date", "hour_of_day"]).withColumn(
-        "pct_of_observed_hour", F.col("duration_h") * 100 / F.nullif(F.col("hour_total_h"), F.lit(0.0)))
-
-    loc = location.join(dep, KEYS, "left")
-    ll = F.from_utc_timestamp("ts", F.coalesce("tz", F.lit("UTC")))
-    where = loc.groupBy(*KEYS, F.to_date(ll).alias("local_date")).agg(F.avg("latitude").alias("mean_latitude"), F.avg("longitude").alias("mean_longitude"))
-    sun = daily.select(*KEYS, "local_date").distinct().join(where, [*KEYS, "local_date"], "left").join(dep, KEYS, "left")
-    sun = sun.withColumns({"mean_latitude": F.coalesce("mean_latitude", "fallback_latitude"), "mean_longitude": F.coalesce("mean_longitude", "fallback_longitude")})
+    m_keys = [*KEYS, "method", "method_variant"]
     zone = F.coalesce("tz", F.lit("UTC"))
-    sun = sun.withColumns({"sunrise_local_hour": sun_local_hour(F.col("local_date"), F.col("mean_latitude"), F.col("mean_longitude"), zone, True),
-                           "sunset_local_hour": sun_local_hour(F.col("local_date"), F.col("mean_latitude"), F.col("mean_longitude"), zone, False)})
-    sun = stage(sun.drop("tz", "fallback_latitude", "fallback_longitude"))
-    name = lambda m, v: F.concat(F.initcap(m), F.lit(" ("), v, F.lit(")"))
-    daily = daily.join(sun, [*KEYS, "local_date"], "left").withColumn("method_label", name(F.col("method"), F.col("method_variant")))
-    hourly = hourly.join(sun, [*KEYS, "local_date"], "left").withColumn("method_label", name(F.col("method"), F.col("method_variant")))
-
-    g = daily.join(groups, ["deployment_id"], "left") if groups is not None else daily.withColumn("group_name", F.lit(None).cast("string"))
-    g = g.withColumn("group_name", F.coalesce("group_name", F.lit("Unknown")))
-    compare = budgets.rollup_levels(g, ["method", "method_variant", "method_label", "state_label_canonical"], "deployment_id", "dataset_id", "group_name",
-                                    ["duration_h", "pct_of_24h"])
-    return {
-        "segmentation_summary": combined,
-        "putative_rest_summary": p,
-        "overlap_counts": p.groupBy("method", "weak_confusion").agg(F.count(F.lit(1)).alias("n")),
-        "method_daily_budget": daily,
+
+    def flagged() -> DataFrame:
+        return stage(overlap_flags(step["combined"].where("positive_label")))
+
+    def putative_rest() -> DataFrame:
+        """Local time, nearest position and feature value."""
+        mid_axis = axis.with_(order=("segment_midpoint", "start_ts"))
+        p = joins.asof(step["flagged"], location.select(*KEYS, F.col("ts").alias("loc_ts"), "latitude", "longitude"), mid_axis, "loc_ts",
+                       ["latitude", "longitude"], tolerance_s, prefix="near_")
+        p = joins.asof(p, features.select(*KEYS, F.col("ts").alias("feat_ts"), F.col("value").alias("feature_value")), mid_axis, "feat_ts",
+                       ["feature_value"], feature_tolerance_s, prefix="snap_")
+        p = p.join(dep, KEYS, "left")
+        local = F.from_utc_timestamp("segment_midpoint", zone)
+        p = p.withColumns({"local_date": F.to_date(local), "local_hour": F.hour(local),
+                           "near_latitude": F.coalesce("near_latitude", "fallback_latitude"), "near_longitude": F.coalesce("near_longitude", "fallback_longitude")})
+        flags = ["overlap_s", "weak_confusion"]
+        return p.select(*[c for c in p.columns if c not in flags], *flags)
+
+    def painted() -> DataFrame:
+        """Samples with weights, painted per method."""
+        positive = step["combined"].where("positive_label")
+        w = budgets.sample_weights(depth, axis).join(dep.select(*KEYS, "tz"), KEYS, "left").select(*KEYS, axis.ts, "depth", "weight_s", "tz")
+        base = F.when(F.coalesce(F.col("depth"), F.lit(float("inf"))) < depth_threshold_m, "surfacing").otherwise("diving")
+        m_axis = axis.with_(keys=tuple(m_keys))
+        samples = w.join(positive.select(*m_keys).distinct(), KEYS)
+        iv = positive.select(*m_keys, "start_ts", "end_ts", F.coalesce("state_subtype", "state_label").alias("label"), F.unix_micros("end_ts").alias("rank"))
+        x = intervals.paint(samples, iv, m_axis, "start_ts", "end_ts", "label", "rank", base, "state_label_raw")
+        local = F.from_utc_timestamp(axis.ts, zone)
+        return stage(x.select(*m_keys, F.to_date(local).alias("local_date"), F.hour(local).alias("hour_of_day"), "state_label_raw",
+                              canonical_behavior(F.col("state_label_raw")).alias("state_label_canonical"), "weight_s"))
+
+    lab = ["state_label_raw", "state_label_canonical"]
+    hours = (F.sum("weight_s") / 3600).alias
+    name = F.concat(F.initcap("method"), F.lit(" ("), F.col("method_variant"), F.lit(")"))
+
+    def daily() -> DataFrame:
+        d = step["painted"].groupBy(*m_keys, "local_date", *lab).agg(hours("duration_h"))
+        return d.withColumn("pct_of_24h", F.col("duration_h") * 100 / 24)
+
+    def sun() -> DataFrame:
+        loc = location.join(dep, KEYS, "left")
+        where = loc.groupBy(*KEYS, F.to_date(F.from_utc_timestamp("ts", zone)).alias("local_date")).agg(
+            F.avg("latitude").alias("mean_latitude"), F.avg("longitude").alias("mean_longitude"))
+        x = step["painted"].select(*KEYS, "local_date").distinct().join(where, [*KEYS, "local_date"], "left").join(dep, KEYS, "left")
+        x = x.withColumns({"mean_latitude": F.coalesce("mean_latitude", "fallback_latitude"), "mean_longitude": F.coalesce("mean_longitude", "fallback_longitude")})
+        x = x.withColumns({f"{k}_local_hour": sun_local_hour(F.col("local_date"), F.col("mean_latitude"), F.col("mean_longitude"), zone, k == "sunrise")
+                           for k in ("sunrise", "sunset")})
+        return stage(x.drop("tz", "fallback_latitude", "fallback_longitude"))
+
+    def with_sun(df: DataFrame) -> DataFrame:
+        return df.join(step["sun"], [*KEYS, "local_date"], "left").withColumn("method_label", name)
+
+    def hourly() -> DataFrame:
+        h = step["painted"].groupBy(*m_keys, "local_date", "hour_of_day", *lab).agg(hours("duration_h"))
+        tot = step["painted"].groupBy(*m_keys, "local_date", "hour_of_day").agg(hours("hour_total_h"))
+        return with_sun(h.join(tot, [*m_keys, "local_date", "hour_of_day"]).withColumn(
+            "pct_of_observed_hour", F.col("duration_h") * 100 / F.nullif(F.col("hour_total_h"), F.lit(0.0))))
+
+    def compare() -> DataFrame:
+        d = step["daily"].withColumn("method_label", name)
+        g = d.join(groups, ["deployment_id"], "left") if groups is not None else d.withColumn("group_name", F.lit(None).cast("string"))
+        g = g.withColumn("group_name", F.coalesce("group_name", F.lit("Unknown")))
+        return budgets.rollup_levels(g, ["method", "method_variant", "method_label", "state_label_canonical"], "deployment_id", "dataset_id", "group_name",
+                                     ["duration_h", "pct_of_24h"])
+
+    step = SummaryTables({"combined": lambda: stage(combined), "flagged": flagged, "painted": painted, "daily": daily, "sun": sun})
+    return SummaryTables({
+        "segmentation_summary": lambda: step["combined"],
+        "putative_rest_summary": putative_rest,
+        "overlap_counts": lambda: step["flagged"].groupBy("method", "weak_confusion").agg(F.count(F.lit(1)).alias("n")),
+        "method_daily_budget": lambda: with_sun(step["daily"]),
         "method_hourly_budget": hourly,
-        "daily_activity": daily.groupBy(*KEYS, "local_date", "state_label_raw").agg(F.sum("duration_h").alias("duration_h")),
+        "daily_activity": lambda: step["daily"].groupBy(*KEYS, "local_date", "state_label_raw").agg(F.sum("duration_h").alias("duration_h")),
         "group_comparison": compare,
-        "method_metadata": combined.select(*KEYS, "method", "method_variant").distinct().join(dep.select(*KEYS, "tz"), KEYS, "left"),
-    }
+        "method_metadata": lambda: step["combined"].select(*KEYS, "method", "method_variant").distinct().join(dep.select(*KEYS, "tz"), KEYS, "left"),
+    })
 
 
 def overlap_flags(rows: DataFrame) -> DataFrame:
@@ -101,7 +137,7 @@ def overlap_flags(rows: DataFrame) -> DataFrame:
     return out.withColumn("weak_confusion", F.when(F.col("overlap_s") > 0, "tp").when(F.col("method") == "supervised", "fp").otherwise("fn")).drop("__rid")
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
     """One parquet table each, partitioned by dataset where it has one."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")

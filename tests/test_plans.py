@@ -74,3 +74,27 @@ def test_rest_detection_cuts_the_grid_once(spark):
     plan = at_once._jdf.queryExecution().executedPlan().toString()
     moves = [x for x in plan.splitlines() if "Exchange" in x]
     assert "__halo" in moves[0] and "__at" in moves[1]
+
+
+def test_a_summary_table_makes_only_what_it_reads(spark, monkeypatch):
+    """Counting overlaps paints no samples and joins no positions; a step that two tables read is made once."""
+    from driftline.plans import summary
+    ids = "dataset_id string, deployment_id string, "
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    seg = spark.createDataFrame([("d", "a", at(1), at(2), "find_rest.long_drift", True), ("d", "a", at(5), at(6), "find_rest.long_drift", True)],
+                                ids + "start_ts timestamp, end_ts timestamp, state_name string, keep_filtered boolean")
+    pred = spark.createDataFrame([("d", "a", at(1), at(3), "sleep", "rf")], ids + "start_ts timestamp, end_ts timestamp, predicted_label string, variant_id string")
+    depth = spark.createDataFrame([("d", "a", at(i), float(i)) for i in range(8)], ids + "ts timestamp, depth double")
+    loc = spark.createDataFrame([("d", "a", at(0), 1.0, 2.0)], ids + "ts timestamp, latitude double, longitude double")
+    dep = spark.createDataFrame([("d", "a", "UTC", 1.0, 2.0)], ids + "tz string, fallback_latitude double, fallback_longitude double")
+    did = []
+    for where, name in ((summary.intervals, "paint"), (summary.joins, "asof"), (summary, "sun_local_hour"), (summary, "overlap_flags")):
+        monkeypatch.setattr(where, name, lambda *a, fn=getattr(where, name), name=name, **kw: did.append(name) or fn(*a, **kw))
+    t = summary.summary_tables(seg, pred, depth, loc, dep, depth.withColumnRenamed("depth", "value"), Axis(("dataset_id", "deployment_id"), ("ts",)))
+    assert did == [] and len(t) == 8 and "sunrise_local_hour" not in t["group_comparison"].columns
+    assert did == ["paint"] and {r.comparison_level for r in t["group_comparison"].collect()} == {"deployment", "dataset", "group"}
+    assert {(r.method, r.weak_confusion, r.n) for r in t["overlap_counts"].collect()} == {("algorithmic", "tp", 1), ("algorithmic", "fn", 1), ("supervised", "tp", 1)}
+    assert did == ["paint", "overlap_flags"]
+    assert t["putative_rest_summary"].count() == 3 and did == ["paint", "overlap_flags", "asof", "asof"]
+    assert t["putative_rest_summary"].columns[-2:] == ["overlap_s", "weak_confusion"]
+    assert all(df.count() for df in t.values()) and did.count("paint") == 1 and did.count("sun_local_hour") == 2
