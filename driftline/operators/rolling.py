@@ -10,6 +10,7 @@ from ..core.axis import Axis
 from ..core.halo import halo_apply
 from ..core.order import SlidingOrder
 from ..core.scan import CORE, HALO, IDX, drop_halo, halo_rows, row_frame, scan
+from ..core.stage import stage
 from ..core.stats import median
 from ..functions import dsp
 from ..schema import seconds_between
@@ -159,10 +160,14 @@ def local_z(df: DataFrame, axis: Axis, window: int, column: str, out: str, noise
 
 
 def remove_spikes(df: DataFrame, keys: list[str], column: str, out: str, threshold: float = 400.0) -> DataFrame:
-    """Replace values further than ``threshold`` median absolute deviations from the median by the median."""
-    med = median(df, keys, column, "__med")
+    """Replace values further than ``threshold`` median absolute deviations from the median by the median.
+
+    Medians and deviations, a row per entity, are written: in one plan, small tables are broadcast and one task holds the sorts and
+    hash tables of both medians at once.
+    """
+    med = stage(median(df, keys, column, "__med"))
     d = df.join(med, keys)
-    mad = median(d.withColumn("__dev", F.abs(F.col(column) - F.col("__med"))), keys, "__dev", "__mad")
+    mad = stage(median(d.withColumn("__dev", F.abs(F.col(column) - F.col("__med"))), keys, "__dev", "__mad"))
     return d.join(mad, keys).withColumn(out, F.when(
         F.abs(F.col(column) - F.col("__med")) > F.lit(threshold) * F.col("__mad"), F.col("__med")).otherwise(F.col(column))).drop("__med", "__mad")
 

@@ -98,3 +98,12 @@ def test_a_summary_table_makes_only_what_it_reads(spark, monkeypatch):
     assert t["putative_rest_summary"].count() == 3 and did == ["paint", "overlap_flags", "asof", "asof"]
     assert t["putative_rest_summary"].columns[-2:] == ["overlap_s", "weak_confusion"]
     assert all(df.count() for df in t.values()) and did.count("paint") == 1 and did.count("sun_local_hour") == 2
+
+
+def test_spikes_are_cut_by_finished_medians(spark):
+    """The task that cuts the spikes holds no aggregate, sort or window of either median."""
+    from driftline.operators import rolling
+    out = rolling.remove_spikes(recordings(spark).withColumn("x", F.when(F.col("x") % 50 == 7, 1e6).otherwise(F.col("x") % 3)), ["k"], "x", "y", 3.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+    assert {r.y for r in out.collect()} == {0.0, 1.0, 2.0}
