@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.core.axis import Axis
 from driftline.core.halo import entity_apply
 from driftline.core.stats import median, quantiles, steady_mean
-from driftline.operators import depth, islands, orient
+from driftline.operators import depth, islands, orient, peaks
 
 T0 = dt.datetime(2021, 1, 1)
 
@@ -68,6 +68,22 @@ def test_median_of_two_is_their_halves(spark):
     assert (got.a, got.b, got.c) == (1.0, 1.5, 4.0)
 
 
+def test_quantile_between_equal_values_is_that_value(spark):
+    """The 80 % quantile of 54 or 63 rows lies between two equal scores; a sum rounded twice ends above or below, and rows fall out of the tail."""
+    rows = [(n, i, x if i >= 5 else 0.0) for n, x in ((54, 0.85), (63, 0.84), (75, 0.82), (74, 0.87)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, p double")
+    got = quantiles(df, ["k"], "p", {"lo": 0.2, "hi": 0.8}).collect()
+    assert {r.k: (r.lo, r.hi) for r in got} == {54: (0.85, 0.85), 63: (0.84, 0.84), 75: (0.82, 0.82), 74: (0.87, 0.87)}
+    tails = peaks.tail_pseudo_labels(df, ["k"], "p").collect()
+    assert all(r.pseudo_label == (1 if r.i >= 5 else 0) for r in tails) and len(tails) == len(rows)
+
+
+def test_quantile_is_rounded_once(spark):
+    """0.2 of the way from 0.22 to 0.23 as DuckDB gives it."""
+    rows = [(float(x),) for x in [0.0] * 11 + [0.22, 0.23] + [1.0] * 44]
+    assert quantiles(spark.createDataFrame(rows, "v double"), [], "v", {"q": 0.2}).first().q == 0.222
+
+
 def test_runs_that_start_at_one_instant_stay_apart(spark):
     """Two flat runs whose first rows share an instant have a median each."""
     at = [0, 0, 0, 0, 0, 1, 2]
