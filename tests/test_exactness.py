@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.core.axis import Axis
 from driftline.core.halo import entity_apply
-from driftline.core.stats import median, quantiles, steady_mean
+from driftline.core.stats import median, ordered_means, quantiles, steady_mean
 from driftline.operators import depth, islands, orient, peaks
 
 T0 = dt.datetime(2021, 1, 1)
@@ -37,6 +37,38 @@ def test_equal_means_are_equal_to_the_last_bit(spark):
     assert got["a"] == 1 / 3 and got["b"] != got["b"] and got["c"] == 1e300 and got["d"] is None
 
 
+def test_means_add_rows_in_order(spark):
+    """0.1, 0.2 and 0.3 make another double than 0.3, 0.2 and 0.1; rows meet in the order of their ids, however they are dealt."""
+    parts = {"a": [0.1, 0.2, 0.3], "b": [0.3, 0.2, 0.1], "c": [None, 7.0], "d": [None], "e": [19.17, 0.1, 29.99, 9.33, 0.7] * 12}
+    rows = [(k, i, v) for k, vs in parts.items() for i, v in enumerate(vs)]
+    want = {}
+    for k, vs in parts.items():
+        total = 0.0
+        for v in (v for v in vs if v is not None):
+            total += v
+        n = sum(v is not None for v in vs)
+        want[k] = total / n if n else None
+    assert want["a"] != want["b"]
+    for dealt in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "k string, i long, v double").repartition(dealt)
+        assert {r.k: r.m for r in ordered_means(df, ["k"], ["i"], {"m": "v"}).collect()} == want
+
+
+def test_daily_means_are_those_of_the_sql(spark, tmp_path):
+    """Two days whose rows differ in their order only: the SQL adds them as they are stored and ranks the days apart, so do we."""
+    import duckdb
+    from driftline.plans import q_timebase
+    days = [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], *[[x, x / 3, 1.7] for x in range(1, 12)]]
+    rows = [(3 * d + i, T0 + dt.timedelta(days=d, hours=i), 1, "view", float(v), '{"k": %d}' % (d * i % 5)) for d, vs in enumerate(days) for i, v in enumerate(vs)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute("SELECT epoch_us(ts) // 86400000000, avg(value) FROM events GROUP BY 1 ORDER BY 1").fetchall()
+    got = q_timebase.daily(spark, str(tmp_path)).selectExpr("unix_micros(ts) div 86400000000 AS day", "x").orderBy("day").collect()
+    assert [(r.day, r.x) for r in got] == want and want[0][1] != want[1][1]
+
+
 def test_small_groups_share_batches(spark):
     """Groups smaller and larger than an Arrow batch, null keys too, come whole and in order, and no group is a stream of its own."""
     rows = [(None if k == 3 else k, i, float((i * 37 + k) % 101)) for k in range(23) for i in range(1 + (k * k * 7) % 60)]
