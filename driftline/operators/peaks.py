@@ -242,7 +242,8 @@ def detect_beats_by_chunk(df: DataFrame, axis: Axis, column: str, fs: float, chu
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in live.dtypes)
     live = stage(live.mapInPandas(designed, f"{kinds}, {REACH} int"))
-    rows = points_in(df, live, keys, axis.ts, ("chunk_start", "chunk_end"), bin_s).drop("chunk_end")
+    # Parameters that repeat are next to nothing in the file, whose size Spark goes by; as rows by bin they would fill the driver as a broadcast.
+    rows = points_in(df, live.hint("merge"), keys, axis.ts, ("chunk_start", "chunk_end"), bin_s).drop("chunk_end")
     inner = axis.with_(keys=(*keys, "chunk_start"))
     found, d = _detect(rows, inner, column, fs, own, F.col(REACH))
     before = W.partitionBy(*keys).orderBy("chunk_start").rowsBetween(W.unboundedPreceding, -1)

@@ -107,3 +107,18 @@ def test_spikes_are_cut_by_finished_medians(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Window" not in plan
     assert {r.y for r in out.collect()} == {0.0, 1.0, 2.0}
+
+
+def test_chunk_parameters_are_not_broadcast(spark, monkeypatch):
+    """Staged chunks whose parameters repeat are a small file and many rows by bin, so samples and chunks merge."""
+    from driftline.operators import peaks
+    seen = []
+    inside = peaks.points_in
+    monkeypatch.setattr(peaks, "points_in", lambda *a, **kw: seen.append(inside(*a, **kw)) or seen[-1])
+    s = recordings(spark)
+    span = s.groupBy("k").agg(F.min("ts").alias("chunk_start"), F.max("ts").alias("chunk_end"))
+    chunks = span.select("*", F.lit("pending").alias("status"), F.create_map(F.lit("height"), F.lit("2")).alias("params_override"))
+    off = {f"enable_{x}": 0.0 for x in ("bandpass", "spike_removal", "absolute", "smoothing", "normalization")}
+    got = peaks.detect_beats_by_chunk(s, AX, "x", 1.0, chunks, off, 86400.0)
+    assert got.columns[:3] == s.columns and len(seen) == 1
+    assert "SortMergeJoin" in joins(seen[0]) and "Broadcast" not in joins(seen[0])
