@@ -246,6 +246,35 @@ def test_lm_learns_from_every_training_text(spark):
     assert {r.byte: r.n for r in counted} == dict(seen)
 
 
+def test_lm_weights_follow_every_bit_of_a_text(monkeypatch):
+    """Scores equal a reading bit by bit whose weights are corrected after each, to the end of a long text, whatever texts are beside it."""
+    rng = np.random.default_rng(3)
+    known = np.sort(lm.hashes([b"w%d" % i for i in range(40)]))
+    code = (*lm.huffman(rng.integers(1, 500, lm.WORDS + 40)), np.arange(40) < 8)
+    model = lm.MixingModel([rng.normal(size=1 << b).astype(np.float16) for b in lm.BITS], code, known, np.full((lm.GATES, lm.K), lm.WEIGHT, np.float32))
+    texts = [lm._read(b" ".join(b"w%d" % i if i < 40 else b"r%d" % i for i in rng.integers(0, 48, n)), known, lm.Places(known)) for n in (700, 0, 1, 350, *range(2, 60))]
+
+    def plainly(text):
+        s, hashed, _ = lm.contexts([text], code[3])
+        w, total = [lm.WEIGHT] * lm.K, 0.0
+        for i, x in enumerate(s):
+            for e in code[2][code[1][x]:code[1][x] + code[0][x]]:
+                at = int(lm.spread(np.array([e], np.uint32))[0])
+                st = [float(model.tables[k][(int(hashed[k][i]) ^ at) & ((1 << lm.BITS[k]) - 1)]) for k in range(lm.K)]
+                z = min(max((1 if e & 1 else -1) * sum(a * b for a, b in zip(w, st)), -14), 14)
+                total -= np.log1p(np.exp(-z))
+                miss = (1 if e & 1 else -1) / (1 + np.exp(z))
+                w = [a + lm.RATE * miss * b for a, b in zip(w, st)]
+        return total
+
+    want = [plainly(t) for t in texts]
+    assert model.log_p(texts) == pytest.approx(want, rel=1e-5)
+    for few, window, step in ((0, 1 << 10, 16), (1000, 1 << 20, 64)):  # all side by side in small windows, and each by itself
+        monkeypatch.setattr(lm, "FEW", few), monkeypatch.setattr(lm, "WINDOW", window), monkeypatch.setattr(lm, "STEP", step)
+        assert model.log_p(texts) == pytest.approx(want, rel=1e-5)
+    assert model.log_p(texts[:1]) == pytest.approx(want[:1], rel=1e-5)
+
+
 def test_huffman_and_probabilities_sum_to_one():
     """The code is prefix-free and complete, and the model's probabilities of all next symbols sum to 1."""
     known = np.sort(lm.hashes([b"aa", b"bb", b"cc"]))
